@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .media import op3_media_columns
+from .secrets import op1_secret_scan
 from .simhash import op2_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
+    "op3_media_columns": op3_media_columns,
 }
 
 ORACLE_SQL: dict[str, str] = {}
