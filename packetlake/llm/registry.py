@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .media import op3_media_columns
 from .secrets import op1_secret_scan
 from .simhash import op2_simhash
+from .winnow import op8_winnow_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
     "op3_media_columns": op3_media_columns,
+    "op8_winnow_fingerprints": op8_winnow_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
