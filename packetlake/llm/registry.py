@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op9_language_id
 from .media import op3_media_columns
 from .secrets import op1_secret_scan
 from .simhash import op2_simhash
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_media_columns": op3_media_columns,
     "op8_winnow_fingerprints": op8_winnow_fingerprints,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
