@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .langid import op9_language_id
 from .media import op3_media_columns
 from .secrets import op1_secret_scan
+from .packing import op10_pack_sequences
 from .simhash import op2_simhash
 from .winnow import op8_winnow_fingerprints
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op8_winnow_fingerprints": op8_winnow_fingerprints,
     "op9_language_id": op9_language_id,
+    "op10_pack_sequences": op10_pack_sequences,
 }
 
 ORACLE_SQL: dict[str, str] = {}
