@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .langid import op9_language_id
+from .linededup import op6_line_dedup
 from .media import op3_media_columns
 from .secrets import op1_secret_scan
+from .mixing import op4_mix_sources
 from .packing import op10_pack_sequences
 from .simhash import op2_simhash
 from .winnow import op8_winnow_fingerprints
@@ -17,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
     "op3_media_columns": op3_media_columns,
+    "op4_mix_sources": op4_mix_sources,
+    "op6_line_dedup": op6_line_dedup,
     "op8_winnow_fingerprints": op8_winnow_fingerprints,
     "op9_language_id": op9_language_id,
     "op10_pack_sequences": op10_pack_sequences,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.ORACLE}
