@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .chat import op5_chat_repair
 from .langid import op9_language_id
 from .linededup import op6_line_dedup
 from .media import op3_media_columns
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_media_columns": op3_media_columns,
     "op4_mix_sources": op4_mix_sources,
+    "op5_chat_repair": op5_chat_repair,
     "op6_line_dedup": op6_line_dedup,
     "op8_winnow_fingerprints": op8_winnow_fingerprints,
     "op9_language_id": op9_language_id,
