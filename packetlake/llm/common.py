@@ -14,16 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, its lineage cut.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``, which all executors share;
-    a folder of our own is set only where there is none, as in local tests.
+    A folder of our own is set only where there is none, as in local tests.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="packetlake-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -32,24 +32,33 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(data: bytes, shingle_words: int) -> int:
-    """SimHash of the word shingles of UTF-8 text, A-Z lower-cased; repeats count."""
+def shingle_hashes(data: bytes, shingle_words: int) -> np.ndarray:
+    """XXH64 of each word shingle of UTF-8 text, A-Z lower-cased, repeats included; of all words where they are fewer."""
     words = data.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle_words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[:-1].tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle_words - 1 :] - 1).tolist(), strict=False)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle_words - 1 :] - 1).tolist(), strict=False)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; zero for none."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):  # bounded for very long texts
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(data: bytes, shingle_words: int) -> int:
+    """SimHash of the word shingles of UTF-8 text; zero without words."""
+    return majority(shingle_hashes(data, shingle_words))
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     """(doc_id long, fp long) of every whole text of ``docs``; null text is empty, its fingerprint zero."""
 
@@ -80,7 +89,7 @@ def coordinates(near: np.ndarray, far: np.ndarray) -> np.ndarray:
 
 
 def forest(fps: np.ndarray, at: np.ndarray, max_bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that span each group of fingerprints within ``max_bits`` of each other, found breadth-first.
+    """Links, as positions, that span each group of fingerprints joined by steps of at most ``max_bits``.
 
     No coordinate of two such fingerprints differs by more than ``max_bits`` (triangle inequality): the
     others are discarded by their maximum coordinate difference, and the survivors' bits are compared.
@@ -95,33 +104,40 @@ def forest(fps: np.ndarray, at: np.ndarray, max_bits: int) -> tuple[list[np.ndar
             close[close] = np.bitwise_count(bits[left[close]] ^ bits[x]) <= max_bits
             if close.any():
                 met = left[close]
-                ends[0].append(np.full(len(met), fps[x]))
-                ends[1].append(fps[met])
+                ends[0].append(np.full(len(met), x))
+                ends[1].append(met)
                 queue += met.tolist()
                 left = left[~close]
     return ends
 
 
-def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(a, b) long: links that join all fingerprints within ``max_bits`` (3 at most) into the right components.
+def deal(keyed: DataFrame, parts: Column, *carried: str) -> DataFrame:
+    """Rows of (key, node, parts, ...) dealt to cells of their key, sorted by key and cell.
 
-    Fingerprints meet under block keys; a key with many is dealt to cells so that every two of its
-    fingerprints meet in some cell, and no task holds a whole key. Within a cell only a spanning forest
-    leaves: as many links as fingerprints, not as pairs.
+    Nodes of a key with several parts are dealt to that many shards by a hash, and each shard meets each
+    other in a cell of their own: every two nodes of a key meet in some cell.
     """
-    if max_bits > 3:
-        raise ValueError("the block keys are exact for at most 3 differing bits")
-    keyed = pivot_table(distinct.select("fp")).withColumn("key", F.explode(block_keys(F.col("fp"))))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select(split_exchange("key"), "size")
-    parts = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
-    shard = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    shard = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     cells = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, F.col("shard")) * F.col("parts") + F.greatest(j, F.col("shard"))))
-    dealt = keyed.join(sizes, "key").withColumn("parts", parts).withColumn("shard", shard).withColumn("cell", F.explode(cells))
+    dealt = keyed.withColumn("parts", parts.cast("int")).withColumn("shard", shard).withColumn("cell", F.explode(cells))
+    return dealt.select("key", "cell", "node", *carried).repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+
+def links(prints: DataFrame, keys: Column, max_bits: int) -> DataFrame:
+    """(a, b) long: links between the nodes of (node, fp) that share one of their ``keys``.
+
+    They join all that are within ``max_bits`` of another under the same key into the right components.
+    A key with many nodes is dealt to cells, so that no task holds a whole key. Within a cell only a
+    spanning forest leaves: as many links as fingerprints, not as pairs.
+    """
+    keyed = pivot_table(prints.select("node", "fp", keys.alias("keys"))).select("node", "fp", "near", "far", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select(split_exchange("key"), "size")
+    met = deal(keyed.join(sizes, "key"), F.ceil(F.col("size") / F.lit(CELL)), "fp", "near", "far")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "fp", "near", "far")]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "node", "fp", "near", "far")]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             if not len(now[0]):
@@ -135,20 +151,26 @@ def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
 
     def solve(now: list[np.ndarray], breaks: np.ndarray) -> pa.RecordBatch:
         bounds = [0, *breaks[breaks < len(now[0])].tolist(), len(now[0])]
-        at = coordinates(now[3], now[4])
+        at = coordinates(now[4], now[5])
         a, b = [], []
         for i, j in zip(bounds, bounds[1:], strict=False):
             if j - i > 1:
-                one, two = forest(now[2][i:j], at[i:j], max_bits)
-                a += one
-                b += two
+                one, two = forest(now[3][i:j], at[i:j], max_bits)
+                a += [now[2][i:j][x] for x in one]
+                b += [now[2][i:j][x] for x in two]
         none = np.array([], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or [none])), pa.array(np.concatenate(b or [none]))], ["a", "b"])
 
-    met = dealt.select("key", "cell", "fp", "near", "far").repartition("key", "cell").sortWithinPartitions("key", "cell")
     return met.mapInArrow(run, "a long, b long")
 
 
+def fingerprint_links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
+    """Links that join all fingerprints of ``fp`` within ``max_bits``, 3 at most, into the right components."""
+    if max_bits > 3:
+        raise ValueError("the block keys are exact for at most 3 differing bits")
+    return links(distinct.select(F.col("fp").alias("node"), "fp"), block_keys(F.col("fp")), max_bits)
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
     """One row per document: doc_id, fp long, component_id (smallest doc_id reachable by links).
 
@@ -159,7 +181,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3)
     """
     prints = cut(fingerprints(docs, shingle_words))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(links(distinct, max_bits))
+    roots = connected_components(fingerprint_links(distinct, max_bits))
     rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).select(split_exchange("root"), "component_id")
     named = rooted.select("fp", "root").join(least, "root").select(split_exchange("fp"), "component_id")

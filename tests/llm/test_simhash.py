@@ -86,7 +86,7 @@ def test_many_near_fingerprints_and_chains(spark, monkeypatch):
         groups.setdefault(find(x), set()).add(simhash.signed(x))
     df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
     got = {}
-    for r in components.connected_components(simhash.links(df)).collect():
+    for r in components.connected_components(simhash.fingerprint_links(df)).collect():
         got.setdefault(r.root, set()).add(r.node)
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
     assert all(r == min(g) for r, g in got.items())
