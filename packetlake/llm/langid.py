@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -89,51 +90,40 @@ class Model:
 
     def __init__(self, words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]], word_totals: dict[str, int], gram_totals: dict[tuple[int, str], int]):
         self.langs = sorted(word_totals)
-        at = {lang: i for i, lang in enumerate(self.langs)}
-
-        def rows(counts: dict[str, dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
-            values = np.full((len(counts) + 1, len(self.langs)), SMOOTH)
-            values[-1] = 1.0  # the row of what says nothing
-            for i, by in enumerate(counts.values()):
-                for lang, n in by.items():
-                    values[i, at[lang]] += n
-            return {k: i for i, k in enumerate(counts)}, np.log(values)
-
-        self.words, self.word_logs = rows(words)
-        self.grams, self.gram_logs = rows(grams)
-        self.word_logs[:-1] -= np.log([word_totals[lang] + SMOOTH * (len(words) + 1) for lang in self.langs])
         sizes = Counter(map(len, grams))
-        floor = {n: np.log([gram_totals.get((n, lang), 0) + SMOOTH * (sizes[n] + 1) for lang in self.langs]) for n in sizes}
-        for g, i in self.grams.items():
-            self.gram_logs[i] -= floor[len(g)]
-
-    def backed_off(self, word: str) -> np.ndarray:
-        """Mean log frequency of the word's longest n-grams of which any is known."""
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            if found := [i for i in (self.grams.get(g) for g in grams_of(word, n)) if i is not None]:
-                return self.gram_logs[found].mean(axis=0)
-        return self.gram_logs[-1]
-
-    def predict(self, text: str | None, seen: dict[str, np.ndarray]) -> tuple[str, float]:
-        """(language, posterior); ``seen`` keeps the logs of unseen words."""
+        of_words = [math.log(word_totals[lang] + SMOOTH * (len(words) + 1)) for lang in self.langs]
+        of_grams = {k: [math.log(gram_totals.get((k, lang), 0) + SMOOTH * (n + 1)) for lang in self.langs] for k, n in sizes.items()}
+        logs = lambda by, totals: [math.log(by.get(lang, 0) + SMOOTH) - t for lang, t in zip(self.langs, totals, strict=True)]
+        self.words = {w: logs(by, of_words) for w, by in words.items()}
+        self.grams = {g: logs(by, of_grams[len(g)]) for g, by in grams.items()}
+        #: Logs of unseen words, kept by each worker between texts.
+        self.seen: dict[str, list[float]] = {}
+
+    def backed_off(self, word: str) -> list[float]:
+        """Mean log frequency by language of the word's longest n-grams of which any is known."""
+        framed, known = f" {word} ", self.grams.get
+        for n in range(min(LONGEST, len(framed)), 0, -1):
+            if found := [r for i in range(len(framed) - n + 1) if (r := known(framed[i : i + n]))]:
+                size = len(found)
+                return [sum(x) / size for x in zip(*found, strict=True)]
+        return [0.0] * len(self.langs)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """(language, posterior)."""
         words = words_of(text)
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        rows = []
-        for word, n in Counter(words).items():
-            if (i := self.words.get(word)) is not None:
-                rows.append((i, n))
-            else:
-                if (logs := seen.get(word)) is None:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    logs = seen[word] = self.backed_off(word)
-                total += n * logs
-        if rows:
-            at, n = np.array(rows).T
-            total += n @ self.word_logs[at]
-        mean = total / len(words) * min(len(words), EVIDENCE)
+        counts = Counter(words)
+        rows = list(map(self.words.get, counts))
+        if None in rows:
+            for i, word in enumerate(counts):
+                if rows[i] is None:
+                    if (logs := self.seen.get(word)) is None:
+                        if len(self.seen) > 100_000:
+                            self.seen.clear()
+                        logs = self.seen[word] = self.backed_off(word)
+                    rows[i] = logs
+        mean = np.fromiter(counts.values(), float, len(counts)) @ np.array(rows) / len(words) * min(len(words), EVIDENCE)
         best = int(mean.argmax())
         return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
 
@@ -159,9 +149,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            found = [shared.value.predict(t, seen) for t in batch.column("text").to_pylist()]
+            found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -173,8 +162,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
 
     @F.pandas_udf("boolean")
     def found(text):
-        seen: dict[str, np.ndarray] = {}
-        return text.map(lambda t: (lambda lang, score: lang != UNKNOWN and score >= least)(*shared.value.predict(t, seen)))
+        return text.map(lambda t: (lambda lang, score: lang != UNKNOWN and score >= least)(*shared.value.predict(t)))
 
     return docs.where(found(F.col("text").cast("string")))
 

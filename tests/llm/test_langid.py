@@ -19,10 +19,10 @@ def test_counts_and_back_off(spark):
     rows = [("the cat", "en"), ("the dog", "en"), ("le chat", "fr"), (None, "fr"), ("ignored", None), ("", "de")]
     model = train(spark.createDataFrame(rows, "text string, lang string"))
     assert model.langs == ["en", "fr"] and set(model.words) == {"the", "cat", "dog", "le", "chat"}
-    assert model.predict("THE", {})[0] == "en" and model.predict("le", {})[0] == "fr"
+    assert model.predict("THE")[0] == "en" and model.predict("le")[0] == "fr"
     assert grams_of("ab", 1) == ["a", "b"] and grams_of("ab", 3) == [" ab", "ab "]
-    assert model.predict("dogs", {})[0] == "en"  # by " dog"
-    assert model.predict("zzz", {}) == ("en", 0.5)  # nothing known: a tie
+    assert model.predict("dogs")[0] == "en"  # by " dog"
+    assert model.predict("zzz") == ("en", 0.5)  # nothing known: a tie
     assert words_of("x² 12 É_à") == ["é", "à"] and words_of("²") == [] and words_of("x²") == ["x"]
 
 
