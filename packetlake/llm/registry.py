@@ -10,6 +10,7 @@ from . import mixing
 from .chat import op5_chat_repair
 from .langid import op9_language_id
 from .linededup import op6_line_dedup
+from .lm import op7_lm_score
 from .media import op3_media_columns
 from .secrets import op1_secret_scan
 from .mixing import op4_mix_sources
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_chat_repair": op5_chat_repair,
     "op6_line_dedup": op6_line_dedup,
+    "op7_lm_score": op7_lm_score,
     "op8_winnow_fingerprints": op8_winnow_fingerprints,
     "op9_language_id": op9_language_id,
     "op10_pack_sequences": op10_pack_sequences,
