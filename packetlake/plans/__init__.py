@@ -1,0 +1,16 @@
+"""Named queries over the canonical views."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+MODULES = ("store_queries",)
+
+
+def all_queries() -> tuple[dict, dict]:
+    """(queries, SQL) of all modules, by name."""
+    for m in MODULES:
+        import_module(f"{__name__}.{m}")
+    from .catalog import ORACLES, QUERIES
+
+    return QUERIES, ORACLES
