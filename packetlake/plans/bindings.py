@@ -65,8 +65,8 @@ SELECT flow_id, job_id, type, src_ip, src_port, dst_ip, dst_port, start_time, st
   CASE WHEN type = 'TLS' THEN CASE a % 7 WHEN 0 THEN 'e7d705a3286e19ea42f587b344ee6865' WHEN 1 THEN '6bea65232d2734571b057466a576d801' ELSE md5(CAST(a AS STRING)) END END AS ja3_hash,
   CASE WHEN type = 'TLS' THEN CASE a % 4 WHEN 0 THEN 'files.local' ELSE 'www' || CAST(a % 30 AS STRING) || '.example.com' END END AS sni,
   CASE WHEN type = 'TLS' THEN b % 5 = 0 END AS cert_self_signed,
-  CASE WHEN type = 'TCP' THEN CASE b % 4 WHEN 0 THEN 'SYN' WHEN 1 THEN 'SYN ACK PSH FIN' WHEN 2 THEN 'SYN ACK RST' ELSE 'ACK' END END AS tcp_flags,
-  CASE WHEN type = 'TCP' AND b % 4 = 2 THEN CASE a % 3 WHEN 0 THEN 'suspicious' WHEN 1 THEN 'genuine' ELSE 'unknown' END END AS rst_authenticity,
+  CASE WHEN type = 'TCP' THEN CASE a % 4 WHEN 0 THEN 'SYN' WHEN 1 THEN 'SYN ACK PSH FIN' WHEN 2 THEN 'SYN ACK RST' ELSE 'ACK' END END AS tcp_flags,
+  CASE WHEN type = 'TCP' AND a % 4 = 2 THEN CASE c % 3 WHEN 0 THEN 'suspicious' WHEN 1 THEN 'genuine' ELSE 'unknown' END END AS rst_authenticity,
   CASE WHEN type IN ('GTP', 'Diameter', 'NGAP') AND b % 5 <> 0 THEN '00101' || CAST(1000000000 + c % 40 AS STRING) END AS imsi,
   CASE WHEN type IN ('GTP', 'Diameter') AND a % 3 = 0 THEN '4477' || CAST(10000000 + c % 40 AS STRING) END AS msisdn,
   CASE WHEN type = 'GTP' AND a % 2 = 0 THEN CASE c % 2 WHEN 0 THEN 'internet' ELSE 'ims' END END AS apn,
