@@ -122,7 +122,18 @@ SELECT '10.0.0.' || CAST(s_suppkey % 25 AS STRING) AS ip, CAST(s_suppkey AS BIGI
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 """
 
-VIEWS = {"packets": PACKETS, "events": EVENTS, "flows": FLOWS, "calls": CALLS, "legs": LEGS, "enrichment": ENRICHMENT}
+#: Transport headers of packets in order of frame_number, and RTP headers of others.
+SEGMENTS = """
+SELECT event_id AS frame_number, ts AS timestamp, CASE WHEN rev THEN b ELSE a END AS src_ip, CASE WHEN rev THEN a ELSE b END AS dst_ip,
+  CAST(CASE WHEN rev THEN 443 ELSE 1000 + user_id % 20 END AS INT) AS src_port, CAST(CASE WHEN rev THEN 1000 + user_id % 20 ELSE 443 END AS INT) AS dst_port,
+  CASE user_id % 4 WHEN 0 THEN 'UDP' WHEN 3 THEN 'ICMP' ELSE 'TCP' END AS protocol, CAST(floor(value) AS BIGINT) % 400 AS payload_len,
+  (event_id * 53) % 4000 + 4294966000 AS seq, (event_id * 61) % 4400 + 4294966000 AS ack,
+  CASE event_id % 11 WHEN 0 THEN 2 WHEN 3 THEN 18 WHEN 6 THEN 4 WHEN 9 THEN 17 ELSE 24 END AS flags, CAST(CASE WHEN event_id % 17 = 0 THEN 0 ELSE 50 + user_id % 3 + event_id % 8 END AS INT) AS ttl, CAST(event_id % 5 AS INT) AS ip_id,
+  user_id * 7 AS ssrc, (event_id * 3) % 65536 AS rtp_seq, (event_id * 160 + user_id * 5) % 4294967296 AS rtp_time
+FROM (SELECT *, event_id % 3 = 0 AS rev, '10.0.0.' || CAST(user_id % 20 AS STRING) AS a, '10.2.0.' || CAST(user_id % 7 AS STRING) AS b FROM {events}) AS ends
+"""
+
+VIEWS = {"segments": SEGMENTS, "packets": PACKETS, "events": EVENTS, "flows": FLOWS, "calls": CALLS, "legs": LEGS, "enrichment": ENRICHMENT}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
