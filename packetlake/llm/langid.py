@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -69,11 +69,11 @@ def gram_counts(counts: DataFrame) -> DataFrame:
     return counts.mapInArrow(run, "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, key: str, most: int) -> dict[str, dict[str, int]]:
-    """{key: {lang: n}} of at most ``most`` keys: the classes of highest totals that are so few together.
+def most_frequent(counts: DataFrame, key: str, most: int, langs: list[str]) -> tuple[str, np.ndarray]:
+    """(keys joined by line breaks, counts [keys, langs]) of at most ``most`` keys: the classes of highest totals that are so few together.
 
     A class holds totals within one part in 64 of a doubling, so that a histogram of classes stays small
-    for any corpus, and only keys that are kept reach the driver.
+    for any corpus, and only keys that are kept reach the driver. No key has a line break.
     """
     of = F.floor(F.log2(F.col("total").cast("double")) * 64)
     totals = cut(counts.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).withColumn("class", of))
@@ -82,22 +82,40 @@ def most_frequent(counts: DataFrame, key: str, most: int) -> dict[str, dict[str,
         if kept + r["count"] > most:
             break
         least, kept = r["class"], kept + r["count"]
-    return {r[key]: dict(r["by"]) for r in totals.where(F.col("class") >= least).select(key, "by").collect()} if kept else {}
+    if not kept:
+        return "", np.zeros((0, len(langs)))
+    each = F.array(*[F.coalesce(F.try_element_at("by", F.lit(lang)), F.lit(0)) for lang in langs])
+    found = totals.where(F.col("class") >= least).select(key, each.alias("n")).toArrow()
+    return "\n".join(found.column(key).to_pylist()), found.column("n").combine_chunks().flatten().to_numpy().reshape(-1, len(langs)).astype(float)
 
 
 class Model:
-    """Log frequencies by language of the kept words and n-grams."""
-
-    def __init__(self, words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]], word_totals: dict[str, int], gram_totals: dict[tuple[int, str], int]):
-        self.langs = sorted(word_totals)
-        sizes = Counter(map(len, grams))
-        of_words = [math.log(word_totals[lang] + SMOOTH * (len(words) + 1)) for lang in self.langs]
-        of_grams = {k: [math.log(gram_totals.get((k, lang), 0) + SMOOTH * (n + 1)) for lang in self.langs] for k, n in sizes.items()}
-        logs = lambda by, totals: [math.log(by.get(lang, 0) + SMOOTH) - t for lang, t in zip(self.langs, totals, strict=True)]
-        self.words = {w: logs(by, of_words) for w, by in words.items()}
-        self.grams = {g: logs(by, of_grams[len(g)]) for g, by in grams.items()}
-        #: Logs of unseen words, kept by each worker between texts.
-        self.seen: dict[str, list[float]] = {}
+    """Log frequencies by language of the kept words and n-grams.
+
+    It travels as two strings and two matrices; its tables are built where it is first asked.
+    """
+
+    def __init__(self, langs: list[str], words: tuple[str, np.ndarray], grams: tuple[str, np.ndarray], word_totals: dict[str, int], gram_totals: dict[tuple[int, str], int]):
+        self.langs = langs
+        self._words, self._grams = words[0], grams[0]
+        self._word_logs = np.log(words[1] + SMOOTH) - np.log([word_totals[lang] + SMOOTH * (len(words[1]) + 1) for lang in langs])
+        lengths = np.array([len(g) for g in self._grams.split("\n")] if self._grams else [], int)
+        sizes = np.bincount(lengths, minlength=LONGEST + 1)
+        totals = np.log([[gram_totals.get((n, lang), 0) + SMOOTH * (sizes[n] + 1) for lang in langs] for n in range(LONGEST + 1)])
+        self._gram_logs = np.log(grams[1] + SMOOTH) - totals[lengths]
+
+    @cached_property
+    def words(self) -> dict[str, list[float]]:
+        return dict(zip(self._words.split("\n"), self._word_logs.tolist(), strict=True)) if self._words else {}
+
+    @cached_property
+    def grams(self) -> dict[str, list[float]]:
+        return dict(zip(self._grams.split("\n"), self._gram_logs.tolist(), strict=True)) if self._grams else {}
+
+    @cached_property
+    def seen(self) -> dict[str, list[float]]:
+        """Logs of unseen words, kept by each worker between texts."""
+        return {}
 
     def backed_off(self, word: str) -> list[float]:
         """Mean log frequency by language of the word's longest n-grams of which any is known."""
@@ -137,7 +155,10 @@ def train(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_
     word_totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     grams = cut(gram_counts(counts))
     gram_totals = {(r.k, r.lang): r.n for r in grams.groupBy(F.length("gram").alias("k"), "lang").agg(F.sum("n").alias("n")).collect()}
-    return Model(most_frequent(counts, "word", max_words), most_frequent(grams, "gram", max_grams), word_totals, gram_totals)
+    langs = sorted(word_totals)
+    if not langs:
+        return Model([], ("", np.zeros((0, 0))), ("", np.zeros((0, 0))), {}, {})
+    return Model(langs, most_frequent(counts, "word", max_words, langs), most_frequent(grams, "gram", max_grams, langs), word_totals, gram_totals)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
