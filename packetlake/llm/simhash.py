@@ -88,27 +88,35 @@ def coordinates(near: np.ndarray, far: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[:, None] >> shifts) & ((1 << BITS) - 1) for x in (near, far)], axis=1).astype(np.int8)
 
 
-def forest(fps: np.ndarray, at: np.ndarray, max_bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links, as positions, that span each group of fingerprints joined by steps of at most ``max_bits``.
+def groups(fps: np.ndarray, at: np.ndarray, max_bits: int) -> list[np.ndarray]:
+    """Positions of the fingerprints of each group joined by steps of at most ``max_bits``, if it has two or more.
 
-    No coordinate of two such fingerprints differs by more than ``max_bits`` (triangle inequality): the
-    others are discarded by their maximum coordinate difference, and the survivors' bits are compared.
+    Groups are searched breadth-first. No coordinate of two fingerprints of a step differs by more than
+    ``max_bits`` (triangle inequality): the others are discarded by their maximum coordinate difference,
+    and the survivors' bits are compared.
     """
-    ends: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    out = []
     left, bits = np.arange(len(fps)), fps.view(np.uint64)  # bitwise_count of a signed number counts its absolute value
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
+        found = list(queue)
         while queue and len(left):
             x = queue.pop()
             close = np.abs(at[left] - at[x]).max(axis=1) <= max_bits
             close[close] = np.bitwise_count(bits[left[close]] ^ bits[x]) <= max_bits
             if close.any():
                 met = left[close]
-                ends[0].append(np.full(len(met), x))
-                ends[1].append(met)
+                found += met.tolist()
                 queue += met.tolist()
                 left = left[~close]
-    return ends
+        if len(found) > 1:
+            out.append(np.array(found))
+    return out
+
+
+def star(node: np.ndarray, found: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links of each group's nodes to its smallest one."""
+    return [node[g] for g in found], [np.full(len(g), node[g].min()) for g in found]
 
 
 def deal(keyed: DataFrame, parts: Column, *carried: str) -> DataFrame:
@@ -127,8 +135,8 @@ def links(prints: DataFrame, keys: Column, max_bits: int) -> DataFrame:
     """(a, b) long: links between the nodes of (node, fp) that share one of their ``keys``.
 
     They join all that are within ``max_bits`` of another under the same key into the right components.
-    A key with many nodes is dealt to cells, so that no task holds a whole key. Within a cell only a
-    spanning forest leaves: as many links as fingerprints, not as pairs.
+    A key with many nodes is dealt to cells, so that no task holds a whole key. A cell links each group to
+    its smallest node: as many links as fingerprints, not as pairs.
     """
     keyed = pivot_table(prints.select("node", "fp", keys.alias("keys"))).select("node", "fp", "near", "far", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select(split_exchange("key"), "size")
@@ -155,9 +163,9 @@ def links(prints: DataFrame, keys: Column, max_bits: int) -> DataFrame:
         a, b = [], []
         for i, j in zip(bounds, bounds[1:], strict=False):
             if j - i > 1:
-                one, two = forest(now[3][i:j], at[i:j], max_bits)
-                a += [now[2][i:j][x] for x in one]
-                b += [now[2][i:j][x] for x in two]
+                one, two = star(now[2][i:j], groups(now[3][i:j], at[i:j], max_bits))
+                a += one
+                b += two
         none = np.array([], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or [none])), pa.array(np.concatenate(b or [none]))], ["a", "b"])
 
