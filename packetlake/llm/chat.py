@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,16 +62,27 @@ def canonical(role: str | None) -> str | None:
     return low if low in ROLES else None
 
 
+def _step(role: str | None) -> np.ndarray:
+    out = np.full((4, 4), np.inf)
+    for state, ways in enumerate(_MOVES[role]):
+        for cost, to, *_ in ways:
+            out[state, to] = min(out[state, to], cost)
+    return out
+
+
+_STEPS = {r: _step(r) for r in _MOVES}
+
+
+def joined_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least costs over two stretches in a row: the product of minima and sums."""
+    return (a[:, :, None] + b[None]).min(axis=1)
+
+
 def costs(roles: list[str | None]) -> np.ndarray:
     """[4, 4]: the least cost of taking all the turns from each state to each state."""
-    total = np.full((4, 4), np.inf)
-    np.fill_diagonal(total, 0.0)
+    total = np.where(np.eye(4) == 1, 0.0, np.inf)
     for role in roles:
-        now = np.full((4, 4), np.inf)
-        for state, ways in enumerate(_MOVES[role]):
-            for cost, to, *_ in ways:
-                now[:, to] = np.minimum(now[:, to], total[:, state] + cost)
-        total = now
+        total = joined_costs(total, _STEPS[role])
     return total
 
 
@@ -102,49 +114,64 @@ def header(role: str) -> str:
 FOOTER = "<|im_end|>\n"
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys of sorted rows, each whole, over the borders of batches."""
-    rest: list[pd.DataFrame] = []
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str], n: int) -> Iterator[list[tuple]]:
+    """Runs of sorted rows that agree in their first ``n`` fields, each whole, over the borders of batches."""
+    key, rows = None, []
     for batch in batches:
-        if not len(batch):
-            continue
-        codes = batch[keys].ne(batch[keys].shift()).any(axis=1).to_numpy()
-        bounds = [*np.flatnonzero(codes).tolist(), len(batch)]
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            part = batch.iloc[a:b]
-            if rest and not all(part[k].iloc[0] == rest[-1][k].iloc[0] for k in keys):
-                yield pd.concat(rest) if len(rest) > 1 else rest[0]
-                rest = []
-            rest.append(part)
-    if rest:
-        yield pd.concat(rest) if len(rest) > 1 else rest[0]
-
-
-def _product(group: pd.DataFrame) -> np.ndarray:
-    """Least costs over all chunks of a group, from state to state."""
-    total = np.array(group["m"].iloc[0]).reshape(4, 4)
-    for m in group["m"].iloc[1:]:
-        total = (total[:, :, None] + np.array(m).reshape(4, 4)[None]).min(axis=1)
-    return total
-
-
-def _borders(group: pd.DataFrame) -> list[int]:
-    """The states between the chunks of a group on a way of least cost from ``enter`` to ``leave``."""
-    m = [np.array(x).reshape(4, 4) for x in group["m"]]
-    left = np.where(np.arange(4) == group["leave"].iloc[0], 0.0, np.inf)
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if row[:n] != key:
+                if rows:
+                    yield rows
+                key, rows = row[:n], []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _batch(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], list(fields))
+
+
+def _written(rows: Iterator[tuple], fields: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size."""
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == 4096:
+            yield _batch(held, fields)
+            held = []
+    if held:
+        yield _batch(held, fields)
+
+
+def _borders(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
+    """The states between stretches on a way of least cost from one state to another."""
+    left = np.where(np.arange(4) == leave, 0.0, np.inf)
     after = [left]
-    for x in reversed(m[1:]):
+    for x in reversed(matrices[1:]):
         left = (x + left).min(axis=1)
         after.append(left)
-    states = [int(group["enter"].iloc[0])]
-    for x, left in zip(m, reversed(after), strict=True):
+    states = [enter]
+    for x, left in zip(matrices, reversed(after), strict=True):
         states.append(int((x[states[-1]] + left).argmin()))
     return states
 
 
 _CONV = ["none", "c"]
-_MATRIX = "none boolean, c long, part long, m array<double>"
-_STATES = "none boolean, c long, part long, enter int, leave int, first boolean, final boolean"
+_KEY = {"none": pa.bool_(), "c": pa.int64(), "part": pa.int64()}
+_MATRIX = _KEY | {"m": pa.list_(pa.float64())}
+_STATES = _KEY | {"enter": pa.int32(), "leave": pa.int32(), "first": pa.bool_(), "final": pa.bool_()}
+_SEGMENT = {"conv_id": pa.int64(), "turn": pa.int64(), "seq": pa.int32(), "action": pa.string(), "role": pa.string(), "old_role": pa.string(), "cost": pa.float64(), "text": pa.string(), "segment": pa.string()}
+_DDL = {pa.bool_(): "boolean", pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.list_(pa.float64()): "array<double>"}
+
+
+def _ddl(fields: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{n} {_DDL[t]}" for n, t in fields.items())
+
+
+def _square(m: list[float]) -> np.ndarray:
+    return np.array(m).reshape(4, 4)
 
 
 def _part(number: str, chunk: int) -> Column:
@@ -163,31 +190,31 @@ def _levels(matrices: DataFrame, chunk: int) -> DataFrame:
         farthest //= chunk
         up = _part("part", chunk) if farthest else F.lit(0).cast("long")
 
-        def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for group in _groups(batches, [*_CONV, "up"]):
-                first = group.iloc[0]
-                yield pd.DataFrame({"none": [first["none"]], "c": [first["c"]], "part": [first["up"]], "m": [_product(group).ravel().tolist()]})
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _written(((*g[0][:3], reduce(joined_costs, [_square(r[3]) for r in g]).ravel().tolist()) for g in _runs(batches, [*_CONV, "up", "m"], 3)), _MATRIX)
 
         below = levels[-1].withColumn("up", up)
-        levels.append(cut(below.repartition(*_CONV, "up").sortWithinPartitions(*_CONV, "up", "part").mapInPandas(join, _MATRIX)))
+        levels.append(cut(below.repartition(*_CONV, "up").sortWithinPartitions(*_CONV, "up", "part").mapInArrow(join, _ddl(_MATRIX))))
 
-    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ends = [int((np.array(m).reshape(4, 4)[START] + [END_COST[s] for s in range(4)]).argmin()) for m in batch["m"]]
-            yield batch[[*_CONV, "part"]].assign(enter=START, leave=ends, first=True, final=True)
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = np.array([END_COST[s] for s in range(4)])
+        return _written(((*g[0][:3], START, int((_square(g[0][3])[START] + ends).argmin()), True, True) for g in _runs(batches, list(_MATRIX), 3)), _STATES)
 
-    def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches, [*_CONV, "up"]):
-            states = _borders(group)
-            ends = np.arange(len(group))
-            yield group[[*_CONV, "part"]].assign(enter=states[:-1], leave=states[1:], first=group["first"] & (ends == 0), final=group["final"] & (ends == len(group) - 1))
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for g in _runs(batches, [*_CONV, "up", "part", "m", "enter", "leave", "first", "final"], 3):
+                states = _borders([_square(r[4]) for r in g], g[0][5], g[0][6])
+                for i, r in enumerate(g):
+                    yield (*r[:2], r[3], states[i], states[i + 1], r[7] and i == 0, r[8] and i == len(g) - 1)
 
-    states = levels[-1].mapInPandas(top, _STATES)
+        return _written(rows(), _STATES)
+
+    states = levels[-1].mapInArrow(top, _ddl(_STATES))
     for depth in range(len(levels) - 2, -1, -1):
         up = _part("part", chunk) if depth < len(levels) - 2 else F.lit(0).cast("long")
         parents = states.withColumnRenamed("part", "up")
         met = levels[depth].withColumn("up", up).join(parents, [*_CONV, "up"])
-        states = met.repartition(*_CONV, "up").sortWithinPartitions(*_CONV, "up", "part").mapInPandas(down, _STATES)
+        states = met.repartition(*_CONV, "up").sortWithinPartitions(*_CONV, "up", "part").mapInArrow(down, _ddl(_STATES))
     return states
 
 
@@ -215,45 +242,46 @@ def repair(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     keys = [*_CONV, "part"]
     order = [*keys, "t", "old_role", "text"]
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches, keys):
-            first = group.iloc[0]
-            yield pd.DataFrame({"none": [first["none"]], "c": [first["c"]], "part": [first["part"]], "m": [costs([canonical(r) for r in group["old_role"]]).ravel().tolist()]})
-
-    dealt = keyed.select(*order).repartition(*keys).sortWithinPartitions(*order)
-    states = _levels(cut(dealt.mapInPandas(solve, _MATRIX)), chunk)
-    joined = keyed.join(states, keys)
-
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["conv_id", "turn", "seq", "action", "role", "old_role", "cost", "text", "segment"]
-        for group in _groups(batches, keys):
-            first = group.iloc[0]
-            out: list[tuple] = []
-            open_message = not first["first"]
-            path = best_path([canonical(r) for r in group["old_role"]], int(first["enter"]), int(first["leave"]))
-            previous, seq = None, 0
-            conv_id = None if first["none"] else int(first["c"])
-            turn = None
-            for t, gone, old, text, (cost, _, action, role, inserted) in zip(group["t"], group["no_turn"], group["old_role"], group["text"], path, strict=True):
-                seq = seq + 1 if t == previous else 0
-                previous, turn = t, None if gone else int(t)
-                for extra in inserted:
-                    out.append((conv_id, turn, seq, "insert", extra, None, INSERT, "", (FOOTER if open_message else "") + header(extra)))
-                    open_message, seq = True, seq + 1
-                start = "\n" if action == "merge" else (FOOTER if open_message else "") + header(role)
-                out.append((conv_id, turn, seq, action, role, old, cost - INSERT * len(inserted), text, start + text))
-                open_message = True
-            if first["final"]:
-                for extra in END_ROLES[int(first["leave"])]:
-                    seq += 1
-                    out.append((conv_id, turn, seq, "insert", extra, None, INSERT, "", FOOTER + header(extra)))
-                out[-1] = (*out[-1][:-1], out[-1][-1] + FOOTER)
-            frame = pd.DataFrame(out, columns=names)
-            frame["conv_id"], frame["turn"] = frame["conv_id"].astype("Int64"), frame["turn"].astype("Int64")
-            yield frame
-
-    schema = "conv_id long, turn long, seq int, action string, role string, old_role string, cost double, text string, segment string"
-    return joined.repartition(*keys).sortWithinPartitions(*order).mapInPandas(render, schema)
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _written(((*g[0][:3], costs([canonical(r[3]) for r in g]).ravel().tolist()) for g in _runs(batches, [*keys, "old_role"], 3)), _MATRIX)
+
+    dealt = keyed.select(*order).repartition(*keys).sortWithinPartitions(*order).select(*keys, "old_role")
+    states = _levels(cut(dealt.mapInArrow(solve, _ddl(_MATRIX))), chunk)
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for g in _runs(batches, [*keys, "t", "no_turn", "old_role", "text", "enter", "leave", "first", "final"], 3):
+                yield from segments(g)
+
+        return _written(rows(), _SEGMENT)
+
+    wanted = [*keys, "t", "no_turn", "old_role", "text", "enter", "leave", "first", "final"]
+    joined = keyed.join(states, keys).select(*wanted)
+    return joined.repartition(*keys).sortWithinPartitions(*order).mapInArrow(render, _ddl(_SEGMENT))
+
+
+def segments(group: list[tuple]) -> list[tuple]:
+    """The segments of a chunk's turns (none, c, part, t, no_turn, old_role, text, enter, leave, first, final)."""
+    none, conv, _, _, _, _, _, enter, leave, first, final = group[0]
+    conv_id = None if none else conv
+    out: list[tuple] = []
+    opened, previous, seq, turn = not first, None, 0, None
+    path = best_path([canonical(r[5]) for r in group], enter, leave)
+    for (_, _, _, t, no_turn, old, text, *_), (cost, _, action, role, inserted) in zip(group, path, strict=True):
+        seq = seq + 1 if t == previous else 0
+        previous, turn = t, None if no_turn else t
+        for extra in inserted:
+            out.append((conv_id, turn, seq, "insert", extra, None, INSERT, "", (FOOTER if opened else "") + header(extra)))
+            opened, seq = True, seq + 1
+        start = "\n" if action == "merge" else (FOOTER if opened else "") + header(role)
+        out.append((conv_id, turn, seq, action, role, old, cost - INSERT * len(inserted), text, start + text))
+        opened = True
+    if final:
+        for extra in END_ROLES[leave]:
+            seq += 1
+            out.append((conv_id, turn, seq, "insert", extra, None, INSERT, "", FOOTER + header(extra)))
+        out[-1] = (*out[-1][:-1], out[-1][-1] + FOOTER)
+    return out
 
 
 def conversations(segments: DataFrame) -> DataFrame:
