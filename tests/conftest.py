@@ -12,6 +12,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("packetlake-tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN")  # small tables: compiling takes longer than running
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
