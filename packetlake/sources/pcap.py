@@ -107,12 +107,8 @@ def parse(micros: int, link: int, frame: bytes) -> tuple | None:
     return micros, str(ipaddress.ip_address(src)), str(ipaddress.ip_address(dst)), sport, dport, name, len(frame), payload, len(payload), seq, ack, flags, ttl, ip_id, frame
 
 
-def read_pcap(spark: SparkSession, path: str, job_id: int = 0) -> DataFrame:
-    """The IP packets of all captures under ``path``, numbered from 1 in each file.
-
-    Files are read by Spark from any store it reaches and parsed in the tasks, one file at a time; a
-    capture to be read in parallel comes as many files. ``file`` names the file.
-    """
+def _parsed(files: DataFrame, job_id: int) -> DataFrame:
+    """The IP packets of capture files of (path, content)."""
     names = [c.split()[0] for c in " ".join(PACKET.split()).split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.timestamp("us"), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
 
@@ -132,8 +128,22 @@ def read_pcap(spark: SparkSession, path: str, job_id: int = 0) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap*").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, f"{PACKET}, file string")
+    return files.select("path", "content").mapInArrow(run, f"{PACKET}, file string")
+
+
+def read_pcap(spark: SparkSession, path: str, job_id: int = 0) -> DataFrame:
+    """The IP packets of all captures under ``path``, numbered from 1 in each file.
+
+    Files are read by Spark from any store it reaches and parsed in the tasks, one file at a time; a
+    capture to be read in parallel comes as many files. ``file`` names the file.
+    """
+    return _parsed(spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap*").option("recursiveFileLookup", "true").load(path), job_id)
+
+
+def stream_pcap(spark: SparkSession, path: str, job_id: int = 0, files_per_batch: int = 100) -> DataFrame:
+    """The same of a spool folder, as a stream: captures are read once, as they arrive (finished files moved in whole)."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return _parsed(spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.pcap*").option("maxFilesPerTrigger", files_per_batch).load(path), job_id)
 
 
 def with_protocol(packets: DataFrame) -> DataFrame:
