@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,8 +24,10 @@ WINDOW, STEP = 32, 24
 #: Width of the attention, and of what the output tree reads (one more holds a node's bias).
 WIDTH, OUT = 16, 7
 CONTEXT = WINDOW - STEP
-#: Fitting: in each round another 1 in SHARE of the training documents, windows of a step, learning rate.
-ROUNDS, SHARE, BATCH, RATE = 3, 32, 64, 0.15
+#: Fitting: in each round another 1 in SHARE of the training documents, all of them together, windows of a step, learning rate.
+ROUNDS, SHARE, BATCH, RATE = 3, 3, 64, 0.15
+#: Ids whose windows are held at once.
+HELD = 1 << 18
 #: Words whose counts every task gets, the most frequent; the others are joined.
 FREQUENT = 50_000
 SMOOTH = 0.1
@@ -151,9 +153,12 @@ class Attention:
             "mix": (None, c["a"].reshape(-1, WIDTH).T @ du), "skip": (None, x[:, CONTEXT:].reshape(-1, WIDTH).T @ du),
         }
 
-    def fit(self, windows: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> None:
-        """One pass of Adagrad over the windows, in their order."""
-        past = {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.weights.items()}
+    def past(self) -> dict[str, np.ndarray]:
+        """Sums of squared gradients before the first step."""
+        return {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.weights.items()}
+
+    def fit(self, windows: np.ndarray, targets: np.ndarray, counted: np.ndarray, past: dict[str, np.ndarray]) -> None:
+        """One pass of Adagrad over the windows, in their order; ``past`` goes on from the passes before."""
         for i in range(0, len(windows), BATCH):
             for k, (rows, g) in self.gradients(windows[i : i + BATCH], targets[i : i + BATCH], counted[i : i + BATCH]).items():
                 at = slice(None) if rows is None else rows
@@ -180,6 +185,19 @@ def cut_windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return every[first[:, None] + np.arange(WINDOW)], every[first[:, None] + CONTEXT + 1 + np.arange(STEP)], counted, text
 
 
+def held_together(texts: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The texts in lists of about HELD ids, a longer text alone or as the last of its list."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > HELD:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def score_texts(model: Attention, texts: list[np.ndarray]) -> np.ndarray:
     """log10 probabilities of texts given as ids."""
     windows, targets, counted, text = cut_windows(texts)
@@ -241,7 +259,8 @@ def train(docs: DataFrame, words: DataFrame, texts: int, rounds: int = ROUNDS, s
 
     In each round every task starts from the same weights, fits those of its documents that the round
     takes (1 in ``share``, by a hash of id and text) and sends the changes of the rows it touched; each
-    row changes by their mean. What is sent grows with the corpus; a model doesn't.
+    row changes by their mean. With as many rounds as shares, as set, every document is fitted once.
+    What is sent grows with the corpus; a model doesn't.
     """
     model = Attention(id_counts(words, texts))
     names = list(model.weights)
@@ -255,14 +274,12 @@ def train(docs: DataFrame, words: DataFrame, texts: int, rounds: int = ROUNDS, s
             base = start.value
             own = Attention.__new__(Attention)
             own.__dict__ = base.__dict__ | {"weights": {k: v.copy() for k, v in base.weights.items()}, "rows": None}
-            some = False
-            for batch in batches:
-                texts = [_ids(encode, t) for t in batch.column("text").to_pylist()]
-                if texts:
-                    some = True
-                    windows, targets, counted, _ = cut_windows(texts)
-                    order = np.random.default_rng(len(windows)).permutation(len(windows))
-                    own.fit(windows[order], targets[order], counted[order])
+            some, past = False, own.past()
+            for held in held_together(_ids(encode, t) for batch in batches for t in batch.column("text").to_pylist()):
+                some = True
+                windows, targets, counted, _ = cut_windows(held)
+                order = np.random.default_rng(len(windows)).permutation(len(windows))
+                own.fit(windows[order], targets[order], counted[order], past)
             if some:
                 for k, name in enumerate(names):
                     change = (own.weights[name] - base.weights[name]).reshape(len(base.weights[name]), -1)
@@ -273,7 +290,8 @@ def train(docs: DataFrame, words: DataFrame, texts: int, rounds: int = ROUNDS, s
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(rows), *[pa.array(wide[:, j]) for j in range(WIDTH)]], ["weight", "row", *fields])
 
         sent = docs.where(turn == round_number).select(F.col("text").cast("string")).mapInArrow(run, "weight int, row long, " + ", ".join(f"{f} float" for f in fields))
-        mean = sent.groupBy("weight", "row").agg(*[F.avg(f).alias(f) for f in fields]).toArrow()
+        sums = sent.groupBy("weight", "row").agg(*[F.sum(f).alias(f) for f in fields], F.count("*").alias("tasks"))
+        mean = sums.select("weight", "row", *[(F.col(f) / F.col("tasks")).cast("float").alias(f) for f in fields]).toArrow()
         which, rows = mean.column("weight").to_numpy(), mean.column("row").to_numpy()
         change = np.stack([mean.column(f).to_numpy() for f in fields], axis=1).astype(np.float32) if len(which) else np.zeros((0, WIDTH), np.float32)
         for k, name in enumerate(names):
@@ -346,15 +364,7 @@ def model_scores(docs: DataFrame, model: Attention) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder().encode_ordinary
         for batch in batches:
-            scores, held, size = [], [], 0
-            for text in batch.column("text").to_pylist():
-                held.append(_ids(encode, text))
-                size += len(held[-1])
-                if size > 1 << 18:
-                    scores.append(score_texts(shared.value, held))
-                    held, size = [], 0
-            if held:
-                scores.append(score_texts(shared.value, held))
+            scores = [score_texts(shared.value, held) for held in held_together(_ids(encode, t) for t in batch.column("text").to_pylist())]
             if scores:
                 yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("doc_id"), pa.array(np.concatenate(scores))], ["k1", "k2", "doc_id", "score"])
 

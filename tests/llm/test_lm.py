@@ -132,3 +132,16 @@ def test_edges_of_the_input(spark):
     nothing = score(docs, docs.limit(0)).collect()
     assert len(nothing) == len(rows) and {r.n_known for r in nothing} == {0} and {r.train_tokens for r in nothing} == {0}
     assert score(docs.limit(0), learned).count() == 0
+
+
+def test_every_training_document_is_fitted(spark):
+    encode = lm.encoder().encode_ordinary
+    ids = {}
+    for word in duckdb.sql("select distinct unnest(string_split(lower(text), ' ')) w from '/root/testdata/sf0.001/documents.parquet' order by w").fetchall():
+        if len(x := encode(f" {word[0]}")) == 1:
+            ids[f" {word[0]}"] = x[0]
+    rows = [(i, w * 2) for i, w in enumerate(ids)][:200]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    model = lm.train(docs, lm.word_counts(docs), len(rows))
+    # What a document alone teaches: the lowest node above its only id, which stands twice.
+    assert len(rows) == 200 and all(model.weights["tree"][model.node[model.first[ids[w[: len(w) // 2]]]], :-1].any() for _, w in rows)
