@@ -6,7 +6,6 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -230,52 +229,62 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def id_counts(words: DataFrame, texts: int) -> np.ndarray:
-    """How often each id stands in the texts whose words are counted in (word, n), ends included, 1 at least.
-
-    Every word of every text counts, as it is tokenized after a space.
-    """
+def tokenized(docs: DataFrame) -> DataFrame:
+    """(k1, k2, doc_id, ids): document key, id and the lower-cased whole text's ids, two bytes each, of every row."""
+    k1, k2 = document_keys(F.col("doc_id"), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder().encode_ordinary
+        for batch in batches:
+            ids = [_ids(encode, t).astype("<u2").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("doc_id"), pa.array(ids, pa.binary())], ["k1", "k2", "doc_id", "ids"])
+
+    return docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "k1 long, k2 long, doc_id long, ids binary")
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return (np.frombuffer(x.as_buffer(), "<u2").astype(np.int32) for x in batch.column("ids"))
+
+
+def id_counts(tokens: DataFrame) -> np.ndarray:
+    """How often each id stands in the texts of (ids), ends included, 1 at least: counted in the tasks first, then summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            ids = [encode(f" {w}") for w in batch.column("word").to_pylist()]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum())
-            total += np.bincount(flat, np.repeat(batch.column("n").to_numpy(), sizes), VOCABULARY).astype(np.int64)
+            for ids in _read(batch):
+                total[EDGE] += 1
+                np.add.at(total, ids, 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
     counts = np.ones(VOCABULARY, np.int64)
-    counts[EDGE] += texts
-    found = words.select("word", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts[found.column("id").to_numpy()] += found.column("n").to_numpy()
     return counts
 
 
-def train(docs: DataFrame, words: DataFrame, texts: int, rounds: int = ROUNDS, share: int = SHARE) -> Attention:
-    """A model of ``docs``: its tree and biases from all their words, its weights fitted on a share of them in each round.
+def train(tokens: DataFrame, rounds: int = ROUNDS, share: int = SHARE) -> Attention:
+    """A model of the texts of (k1, k2, ids): its tree and biases from all their ids, its weights fitted on a share of them in each round.
 
     In each round every task starts from the same weights, fits those of its documents that the round
-    takes (1 in ``share``, by a hash of id and text) and sends the changes of the rows it touched; each
+    takes (1 in ``share``, by a hash of the document key) and sends the changes of the rows it touched; each
     row changes by their mean. With as many rounds as shares, as set, every document is fitted once.
     What is sent grows with the corpus; a model doesn't.
     """
-    model = Attention(id_counts(words, texts))
+    model = Attention(id_counts(tokens))
     names = list(model.weights)
     fields = [f"d{j}" for j in range(WIDTH)]
-    turn = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(share))
+    turn = F.pmod(F.xxhash64("k1", "k2"), F.lit(share))
     for round_number in range(rounds):
-        start = docs.sparkSession.sparkContext.broadcast(model)
+        start = tokens.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encode = encoder().encode_ordinary
             base = start.value
             own = Attention.__new__(Attention)
             own.__dict__ = base.__dict__ | {"weights": {k: v.copy() for k, v in base.weights.items()}, "rows": None}
             some, past = False, own.past()
-            for held in held_together(_ids(encode, t) for batch in batches for t in batch.column("text").to_pylist()):
+            for held in held_together(ids for batch in batches for ids in _read(batch)):
                 some = True
                 windows, targets, counted, _ = cut_windows(held)
                 order = np.random.default_rng(len(windows)).permutation(len(windows))
@@ -289,7 +298,7 @@ def train(docs: DataFrame, words: DataFrame, texts: int, rounds: int = ROUNDS, s
                     wide[:, : change.shape[1]] = change[rows]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(rows), *[pa.array(wide[:, j]) for j in range(WIDTH)]], ["weight", "row", *fields])
 
-        sent = docs.where(turn == round_number).select(F.col("text").cast("string")).mapInArrow(run, "weight int, row long, " + ", ".join(f"{f} float" for f in fields))
+        sent = tokens.where(turn == round_number).select("ids").mapInArrow(run, "weight int, row long, " + ", ".join(f"{f} float" for f in fields))
         sums = sent.groupBy("weight", "row").agg(*[F.sum(f).alias(f) for f in fields], F.count("*").alias("tasks"))
         mean = sums.select("weight", "row", *[(F.col(f) / F.col("tasks")).cast("float").alias(f) for f in fields]).toArrow()
         which, rows = mean.column("weight").to_numpy(), mean.column("row").to_numpy()
@@ -356,19 +365,16 @@ def base_scores(docs: DataFrame, counts: DataFrame, texts: int, frequent: int =
     return each.select("k1", "k2", per("tokens").alias("n_tokens"), per("found").alias("n_known"), (F.col("logs") / F.col("same") - per("tokens") * whole).alias("base_score")), tokens
 
 
-def model_scores(docs: DataFrame, model: Attention) -> DataFrame:
-    """(k1, k2, doc_id, score): the log10 probability of every whole text, its end included."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    k1, k2 = document_keys(F.col("doc_id"), F.col("text"))
+def model_scores(tokens: DataFrame, model: Attention) -> DataFrame:
+    """(k1, k2, doc_id, score): the log10 probability of every whole text of (k1, k2, doc_id, ids), its end included."""
+    shared = tokens.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder().encode_ordinary
         for batch in batches:
-            scores = [score_texts(shared.value, held) for held in held_together(_ids(encode, t) for t in batch.column("text").to_pylist())]
-            if scores:
+            if scores := [score_texts(shared.value, held) for held in held_together(_read(batch))]:
                 yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("doc_id"), pa.array(np.concatenate(scores))], ["k1", "k2", "doc_id", "score"])
 
-    return docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "k1 long, k2 long, doc_id long, score double")
+    return tokens.select("k1", "k2", "doc_id", "ids").mapInArrow(run, "k1 long, k2 long, doc_id long, score double")
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -379,13 +385,18 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     repeated rows each give a row, with equal values; other columns are ignored. No training documents:
     nothing is known, and every id is as likely as its place in a balanced tree. No documents, no rows.
     """
+    return _score(docs, training, cut(tokenized(docs)), cut(tokenized(training)))
+
+
+def _score(docs: DataFrame, training: DataFrame, tokens: DataFrame, training_tokens: DataFrame) -> DataFrame:
     words, texts = cut(word_counts(training)), training.count()
-    base, tokens = base_scores(docs, words, texts)
-    joined = model_scores(docs, train(training, words, texts)).join(base, ["k1", "k2"])
-    return joined.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    base, learned = base_scores(docs, words, texts)
+    joined = model_scores(tokens, train(training_tokens)).join(base, ["k1", "k2"])
+    return joined.select("doc_id", "n_tokens", "n_known", F.lit(learned).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 10) == 0
-    return score(docs, docs.where(~held_out)).withColumn("held_out", held_out)
+    tokens = cut(tokenized(docs))  # counted, fitted and scored
+    return _score(docs, docs.where(~held_out), tokens, tokens.where(~held_out)).withColumn("held_out", held_out)

@@ -142,6 +142,16 @@ def test_every_training_document_is_fitted(spark):
             ids[f" {word[0]}"] = x[0]
     rows = [(i, w * 2) for i, w in enumerate(ids)][:200]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
-    model = lm.train(docs, lm.word_counts(docs), len(rows))
+    model = lm.train(lm.tokenized(docs))
     # What a document alone teaches: the lowest node above its only id, which stands twice.
     assert len(rows) == 200 and all(model.weights["tree"][model.node[model.first[ids[w[: len(w) // 2]]]], :-1].any() for _, w in rows)
+
+
+def test_ids_are_counted_in_whole_texts(spark):
+    texts = ["The line\nbreaks\n\n  and\ttabs", "word\n", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter({EDGE: len(texts)})
+    for t in texts:
+        want.update(lm.encoder().encode_ordinary((t or "").lower()))
+    got = lm.id_counts(lm.tokenized(docs))
+    assert {int(i): int(got[i]) - 1 for i in np.flatnonzero(got > 1)} == want
