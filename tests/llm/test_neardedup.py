@@ -73,3 +73,15 @@ def test_edges_of_the_input(spark):
     kept = [(r.doc_id, r.text if len(r.text or "") < 99 else "long") for r in dedup_near_copies(docs).collect()]
     assert sorted(kept, key=str) == sorted([(3, " \n"), (10, "A b"), (12, "a b c"), (19, "long"), (30, "same row"), (None, "no id")], key=str)
     assert dedup_near_copies(docs.limit(0)).count() == 0
+
+
+def test_repeated_shingles_do_not_hide_copies(spark):
+    """Copies of the same words apart from a repeated phrase: their sets are alike, their SimHashes are not."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(20):
+        words = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+        rows += [(len(rows), words), (len(rows) + 1, f"{words} {'- ' * 90}")]
+    want = slow(rows)
+    assert all(want[d] == d // 2 * 2 for d, _ in rows)
+    assert {r.k1: r.w1 for r in near_copies(spark.createDataFrame(rows, SCHEMA)).collect()} == want
