@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 LONGEST, END = 1024, 0
+#: The added token of ``byte_bpe_50k.json``, its last id.
+END_MARK = "<|endoftext|>"
 #: Parts of a length that are numbered apart, so that no task holds all pieces of a common length.
 SALTS = 1024
 
@@ -22,21 +25,22 @@ SALTS = 1024
 def encoder(path: str | None = None) -> tiktoken.Encoding:
     """The byte-level BPE of 50k ids, from its rank file.
 
-    The ids are those of ``byte_bpe_50k.json`` without special tokens (a test compares them); the rank
-    file is the same vocabulary and several times faster to apply.
+    The ids are those of ``byte_bpe_50k.json`` without added special tokens (a test compares them); the rank
+    file is the same vocabulary and several times faster to apply. The literal end mark in a text is one
+    id, as in that file, where the text is encoded with ``allowed_special="all"``.
     """
     import public_tokenizers
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_MARK: len(ranks)})
 
 
 def pieces(docs: DataFrame, longest: int = LONGEST, path: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and a last 0, cut every ``longest`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = partial(encoder(path).encode, allowed_special="all")
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for batch in batches:
             columns: tuple[list, ...] = ([], [], [], [], [])

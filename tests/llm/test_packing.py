@@ -80,3 +80,12 @@ def test_edges_of_the_input(spark):
     twice = pack_documents(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.length, r.offset) for r in twice) == [(None, 3, 0), (None, 3, 3)] and len({r.sequence_id for r in twice}) == 1
     assert pack_documents(docs.limit(0)).count() == 0
+
+
+def test_the_end_mark_in_a_text_is_its_id(spark):
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a b<|endoftext|>c", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|>x", "<|endoftext| >", "<|ENDOFTEXT|>", "x  <|endoftext|>  'S", "<|endo<|endoftext|>ftext|>"]
+    want = [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+    assert [encoder().encode(x, allowed_special="all") for x in texts] == want and 50_256 in want[0]
+    got = {r.doc_id: r for r in pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i].doc_tokens == len(x) + 1 and got[i].ids_crc32 == zlib.crc32(np.array([*x, 0], "<u4")) for i, x in enumerate(want))
