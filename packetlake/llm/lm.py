@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
+from itertools import compress, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,202 +19,231 @@ from .packing import encoder
 
 #: Ids, the last one before a text's start and at its end.
 VOCABULARY, EDGE = 50_257, 50_256
+EDGES = np.array([EDGE], np.int32)
 #: Positions of a window, and how many of them, its last, are scored: the others are context only.
 WINDOW, STEP = 32, 24
-#: Width of the attention, and of what the output tree reads (one more holds a node's bias).
-WIDTH, OUT = 16, 7
 CONTEXT = WINDOW - STEP
-#: Fitting: in each round another 1 in SHARE of the training documents, all of them together, windows of a step, learning rate.
-ROUNDS, SHARE, BATCH, RATE = 3, 3, 64, 0.15
-#: Ids whose windows are held at once.
-HELD = 1 << 18
+#: Width of the attention; classes of ids that the model tells apart; the most frequent ids, each a class of its own.
+WIDTH, CLASSES, ALONE = 16, 48, 24
+#: Width of what a position asks and answers by.
+KEY = 8
+#: Neighbours, the most frequent ids, by which the places of all ids are told.
+NEIGHBOURS = 32
+#: Fitting: ids of a block of training texts, windows of a step, learning rate.
+BLOCK, BATCH, RATE = 1 << 20, 128, 0.05
+#: Weights are summed over blocks as whole numbers of this size: sums that don't depend on their order.
+GRAIN = 2.0**-24
+#: Ids whose windows are held at once; a multiple of STEP.
+HELD = STEP * 10_000
 #: Words whose counts every task gets, the most frequent; the others are joined.
-FREQUENT = 50_000
+FREQUENT = 100_000
 SMOOTH = 0.1
+#: A float's exponent starts at this bit, and 1.0 is that many of them.
+UNIT, ZERO = 1 << 23, np.float32(127 << 23)
+SCALE = np.float32(UNIT * KEY**-0.5)
 
 
-def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(node, sign, first, bias): a binary code tree of all ids, the frequent ones near its root.
+def places(counts: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """float32 [ids, WIDTH]: where ids that stand beside the same neighbours are near each other.
 
-    ``node[first[i]:first[i + 1]]`` are the inner nodes above id i and ``sign`` the side it is on; a
-    node's bias gives each side the share of the counts that is below it.
+    ``beside`` [ids, neighbours] counts neighbours of each id. Its rows as roots of shares are turned to
+    their principal axes, weighted by the ids' counts, and stretched to the same deviation; the last coordinate
+    is the log of the count.
     """
-    n = len(counts)
-    heap = [(int(c), i) for i, c in enumerate(counts)]
-    heapq.heapify(heap)
-    parent, side, bias = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.float32), np.zeros(n - 1, np.float32)
-    for k in range(n - 1):
-        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[x] = parent[y] = n + k
-        side[x], side[y] = 1, -1
-        bias[k] = math.log(a / b)
-        heapq.heappush(heap, (a + b, n + k))
-    nodes, signs, lengths = [], [], []
-    for i in range(n):
-        x, size = i, 0
-        while x != 2 * n - 2:
-            nodes.append(parent[x] - n)
-            signs.append(side[x])
-            x, size = parent[x], size + 1
-        lengths.append(size)
-    return np.array(nodes, np.int64), np.array(signs, np.float32), np.concatenate([[0], np.cumsum(lengths)]), bias
+    share = np.sqrt((beside + 0.01) / (beside + 0.01).sum(axis=1, keepdims=True))
+    weight = np.sqrt(counts / counts.sum())
+    weight /= weight.sum()
+    share -= weight @ share
+    _, axes = np.linalg.eigh((share * weight[:, None]).T @ share)
+    axes = axes[:, ::-1][:, : WIDTH - 1]
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1, 1)  # signs are arbitrary otherwise
+    out = np.zeros((len(counts), WIDTH))
+    out[:, : axes.shape[1]] = share @ axes
+    out[:, -1] = np.log(counts)
+    out -= weight @ out
+    deviation = np.sqrt(weight @ out**2)
+    return np.round(out / np.where(deviation > 1e-9, deviation, 1), 4).astype(np.float32)
+
+
+def classes(counts: np.ndarray, before: np.ndarray, turns: int = 8) -> np.ndarray:
+    """int64 [ids]: the class of each id: the most frequent alone, the others by weighted means of what stands before them."""
+    n = min(CLASSES, len(counts))
+    order = np.argsort(-counts, kind="stable")
+    alone = order[: min(ALONE, n - 1)]
+    rest = order[len(alone) :]
+    at, weight = places(counts, before)[rest], np.sqrt(counts[rest])
+    k = n - len(alone)
+    means = at[:k].astype(np.float64)
+    for _ in range(turns):
+        near = ((means**2).sum(axis=1) - 2 * at @ means.T).argmin(axis=1)
+        sums = np.stack([np.bincount(near, weight * at[:, j], k) for j in range(at.shape[1])], axis=1)
+        sizes = np.bincount(near, weight, k)[:, None]
+        means = np.where(sizes > 0, sums / np.maximum(sizes, 1e-9), means)
+    out = np.zeros(len(counts), np.int64)
+    out[alone] = np.arange(len(alone))
+    out[rest] = len(alone) + near
+    return out
+
+
+def power(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(2**x between whole x by straight lines, its slopes) for x given as UNIT * x + ZERO: the number's own bits."""
+    bits = bits.astype(np.int32)
+    return bits.view(np.float32), (bits & np.int32(-UNIT)).view(np.float32)
 
 
 class Attention:
-    """One causal self-attention layer over windows of ids; each next id's probability is a path down a code tree.
+    """One causal self-attention layer over windows of ids.
 
-    Before fitting, every context gives the ids the shares they have among all training tokens.
+    The next id's probability is that of its class, which the layer gives, times its share of its class.
+    Where ids stand (their inputs), classes, shares and how often a class follows another are counted; the layer
+    adds to the logs of the latter and is fitted. Before fitting it adds nothing. Both where it looks and
+    the classes' odds are ``power`` of linear functions over their sum: as exp would be, at a tenth of its time.
     """
 
-    def __init__(self, counts: np.ndarray, seed: int = 0):
-        """``counts``: how often each id stands in the training texts, 1 at least."""
+    def __init__(self, counts: np.ndarray, place: np.ndarray, of: np.ndarray, follow: np.ndarray, seed: int = 0):
+        """``counts``: of ids, 1 at least; ``place``, ``of``: their places and classes; ``follow`` [class, class]: how often the second follows the first."""
         rng = np.random.default_rng(seed)
-        self.node, self.sign, self.first, bias = huffman(counts)
+        self.place, self.of = place, of.astype(np.int32)
+        totals = np.bincount(of, counts, len(follow))
+        self.share = np.log2(counts / totals[of])
+        prior = np.maximum(totals, 1) / np.maximum(totals, 1).sum()
+        odds = (follow + 5 * prior) / (follow.sum(axis=1, keepdims=True) + 5)
+        whole = np.floor(np.log2(odds))
+        self.follow = ((whole + odds / 2**whole - 1) * UNIT + ZERO).astype(np.float32)
         normal = lambda *shape: (rng.standard_normal(shape) * shape[-2] ** -0.5).astype(np.float32)
-        self.weights = {
-            "embed": rng.standard_normal((len(counts), WIDTH)).astype(np.float32) * np.float32(0.3),
-            "tree": np.concatenate([np.zeros((len(bias), OUT), np.float32), bias[:, None]], axis=1),
-            "place": normal(WINDOW, WIDTH) * np.float32(0.3), "project": normal(WIDTH, 3 * WIDTH), "mix": normal(WIDTH, OUT), "skip": normal(WIDTH, OUT),
-        }
-        self.below = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-        self.rows: np.ndarray | None = None
+        self.weights = {"position": normal(WINDOW, WIDTH) * np.float32(0.3), "project": normal(WIDTH, 2 * KEY + 2 * WIDTH), "out": np.zeros((WIDTH, len(follow)), np.float32)}
+        self.below = np.tril(np.ones((WINDOW, WINDOW), np.float32))[CONTEXT:]
 
     def look(self, windows: np.ndarray) -> dict[str, np.ndarray]:
-        """What the layer computes of ids [n, WINDOW], up to the tree's input for the scored positions."""
+        """What the layer computes of ids [n, WINDOW], up to the odds of the classes at the scored positions."""
         w = self.weights
-        x = w["embed"].take(windows, axis=0) + w["place"]
+        x = self.place.take(windows, axis=0)
+        x += w["position"]
         n = len(x)
-        qkv = (x.reshape(-1, WIDTH) @ w["project"]).reshape(n, WINDOW, 3 * WIDTH)
+        parts = (x.reshape(-1, WIDTH) @ w["project"]).reshape(n, WINDOW, -1)
+        ask, answer, value, own = parts[:, CONTEXT:, :KEY], parts[..., KEY : 2 * KEY], parts[..., 2 * KEY : -WIDTH], parts[:, CONTEXT:, -WIDTH:]
         v = np.ones((n, WINDOW, WIDTH + 1), np.float32)
-        v[..., :WIDTH] = qkv[..., 2 * WIDTH :]
-        s = np.matmul(qkv[:, CONTEXT:, :WIDTH], qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1))
-        s *= np.float32(WIDTH**-0.5)
-        np.clip(s, -40, 40, out=s)
-        np.exp(s, out=s)
-        s *= self.below[CONTEXT:]
-        a = np.matmul(s, v)
+        v[..., :WIDTH] = value
+        s = np.matmul(ask, answer.transpose(0, 2, 1))
+        s *= SCALE
+        np.clip(s, -60 * UNIT, 60 * UNIT, out=s)
+        s += ZERO
+        p, slope = power(s)
+        p *= self.below
+        a = np.matmul(p, v)
         total = a[..., WIDTH:]
         a = a[..., :WIDTH] / total
-        h = np.ones((n * STEP, OUT + 1), np.float32)
-        h[:, :OUT] = np.tanh(a.reshape(-1, WIDTH) @ w["mix"] + x[:, CONTEXT:].reshape(-1, WIDTH) @ w["skip"])
-        return {"x": x, "qkv": qkv, "p": s, "total": total, "a": a, "h": h}
-
-    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places in ``node``, steps of each id, its first place among them)."""
-        steps = self.first[ids + 1] - self.first[ids]
-        ends = np.cumsum(steps)
-        at = np.arange(ends[-1])
-        at += np.repeat(self.first[ids] - (ends - steps), steps)
-        return at, steps, ends - steps
+        h = (a + own).reshape(-1, WIDTH)
+        np.tanh(h, out=h)
+        z = self.follow.take(self.of.take(windows[:, CONTEXT:].ravel()), axis=0)
+        z += h @ (w["out"] * UNIT)
+        odds, steep = power(z)
+        return {"x": x, "ask": ask, "answer": answer, "value": value, "p": p, "slope": slope, "total": total, "a": a, "h": h, "odds": odds, "steep": steep, "sum": odds @ np.ones(odds.shape[1], np.float32)}
 
     def log_probabilities(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural logs of the probabilities of ids [n, STEP], the next ones of the scored positions of ids [n, WINDOW]."""
-        if self.rows is None:
-            self.rows = self.weights["tree"][self.node] * self.sign[:, None]
-        at, steps, starts = self.paths(targets.ravel())
-        z = np.einsum("ij,ij->i", np.repeat(self.look(windows)["h"], steps, axis=0), self.rows.take(at, axis=0))
-        np.negative(z, out=z)
-        np.clip(z, -80, 80, out=z)
-        np.exp(z, out=z)
-        np.log1p(z, out=z)
-        return -np.add.reduceat(z, starts).reshape(targets.shape)
-
-    def gradients(self, windows: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> dict[str, tuple[np.ndarray | None, np.ndarray]]:
-        """{weight: (its rows, None for all, and their gradients)} of the mean log loss where ``counted``."""
+        """Logs to base 2 of the probabilities of ids [n, STEP], the next ones of the scored positions of ids [n, WINDOW]."""
+        c, goal = self.look(windows), targets.ravel()
+        found = c["odds"][np.arange(len(goal)), self.of.take(goal)]
+        return (np.log2(found / c["sum"]) + self.share.take(goal)).reshape(targets.shape)
+
+    def gradients(self, windows: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss (natural) where ``counted``, by the weights."""
         w, c = self.weights, self.look(windows)
-        n, share = len(windows), np.float32(1 / max(1, counted.sum()))
-        at, steps, starts = self.paths(targets.ravel())
-        node, sign = self.node[at], self.sign[at]
-        tree, h = w["tree"][node], np.repeat(c["h"], steps, axis=0)
-        z = np.clip(np.einsum("ij,ij->i", h, tree) * sign, -80, 80)
-        dz = -sign / (1 + np.exp(z)) * np.repeat(counted.ravel(), steps) * share
-        rows, of = np.unique(node, return_inverse=True)
-        d_tree = np.stack([np.bincount(of, dz * h[:, j], len(rows)) for j in range(OUT + 1)], axis=1)
-        dh = np.add.reduceat(dz[:, None] * tree, starts, axis=0)[:, :OUT]
-        du = dh * (1 - c["h"][:, :OUT] ** 2)
-        x, qkv, p = c["x"], c["qkv"], c["p"] / c["total"]
-        dx = np.zeros_like(x)
-        dx[:, CONTEXT:] += (du @ w["skip"].T).reshape(n, STEP, WIDTH)
-        da = (du @ w["mix"].T).reshape(n, STEP, WIDTH)
-        q, k, v = qkv[:, CONTEXT:, :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-        dp = np.matmul(da, v.transpose(0, 2, 1))
-        ds = p * (dp - (dp * p).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        d_qkv = np.zeros_like(qkv)
-        d_qkv[:, CONTEXT:, :WIDTH] = np.matmul(ds, k)
-        d_qkv[..., WIDTH : 2 * WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
-        d_qkv[..., 2 * WIDTH :] = np.matmul(p.transpose(0, 2, 1), da)
-        flat = d_qkv.reshape(-1, 3 * WIDTH)
-        dx += (flat @ w["project"].T).reshape(x.shape)
-        ids, of = np.unique(windows, return_inverse=True)
-        every = dx.reshape(-1, WIDTH)
-        d_embed = np.stack([np.bincount(of.ravel(), every[:, j], len(ids)) for j in range(WIDTH)], axis=1)
-        return {
-            "embed": (ids, d_embed), "tree": (rows, d_tree), "place": (None, dx.sum(axis=0)), "project": (None, x.reshape(-1, WIDTH).T @ flat),
-            "mix": (None, c["a"].reshape(-1, WIDTH).T @ du), "skip": (None, x[:, CONTEXT:].reshape(-1, WIDTH).T @ du),
-        }
-
-    def past(self) -> dict[str, np.ndarray]:
-        """Sums of squared gradients before the first step."""
-        return {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.weights.items()}
+        n, weight = len(windows), counted.ravel() * np.float32(1 / max(1, counted.sum()))
+        at, goal = np.arange(n * STEP), self.of.take(targets.ravel())
+        dz = c["steep"]
+        own = weight * dz[at, goal] / c["odds"][at, goal]
+        dz *= (weight / c["sum"])[:, None]
+        dz[at, goal] -= own
+        du = dz @ w["out"].T
+        du *= 1 - c["h"] ** 2
+        du = du.reshape(n, STEP, WIDTH)
+        da = du / c["total"]
+        ds = np.matmul(da, c["value"].transpose(0, 2, 1))
+        ds -= np.einsum("nij,nij->ni", da, c["a"])[..., None]
+        ds *= c["slope"]
+        ds *= self.below * np.float32(SCALE / UNIT)
+        back = np.zeros((n, WINDOW, 2 * KEY + 2 * WIDTH), np.float32)
+        back[:, CONTEXT:, :KEY] = np.matmul(ds, c["answer"])
+        back[..., KEY : 2 * KEY] = np.matmul(ds.transpose(0, 2, 1), c["ask"])
+        back[..., 2 * KEY : -WIDTH] = np.matmul(c["p"].transpose(0, 2, 1), da)
+        back[:, CONTEXT:, -WIDTH:] = du
+        return {"position": back.sum(axis=0) @ w["project"].T, "project": c["x"].reshape(-1, WIDTH).T @ back.reshape(n * WINDOW, -1), "out": c["h"].T @ dz}
 
     def fit(self, windows: np.ndarray, targets: np.ndarray, counted: np.ndarray, past: dict[str, np.ndarray]) -> None:
         """One pass of Adagrad over the windows, in their order; ``past`` goes on from the passes before."""
         for i in range(0, len(windows), BATCH):
-            for k, (rows, g) in self.gradients(windows[i : i + BATCH], targets[i : i + BATCH], counted[i : i + BATCH]).items():
-                at = slice(None) if rows is None else rows
-                past[k][at] += (g * g).astype(np.float32)
-                self.weights[k][at] -= (RATE * g / np.sqrt(past[k][at])).astype(np.float32)
-        self.rows = None
+            for k, g in self.gradients(windows[i : i + BATCH], targets[i : i + BATCH], counted[i : i + BATCH]).items():
+                past[k] += g * g
+                self.weights[k] -= RATE * g / np.sqrt(past[k])
+            np.clip(self.weights["out"], -2, 2, out=self.weights["out"])  # keeps the odds within what floats hold
+
+    def unfitted(self) -> tuple[Attention, dict[str, np.ndarray]]:
+        """(a copy whose weights may change, sums of squared gradients before the first step)."""
+        out = Attention.__new__(Attention)
+        out.__dict__ = self.__dict__ | {"weights": {k: v.copy() for k, v in self.weights.items()}}
+        return out, {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.weights.items()}
 
 
-def cut_windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(windows, targets, counted, text): overlapping windows in which each id and each text's end is a target once."""
-    sizes = np.array([len(t) + 1 for t in texts])
+def cut_windows(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, targets, counted, line): overlapping windows of lines of CONTEXT + 1 ids before and ids that are each a target once."""
+    sizes = np.array([len(x) for x in lines]) - CONTEXT - 1
     number = -(-sizes // STEP)
-    flat, starts, at = [], [], 0
-    for t, n in zip(texts, number.tolist(), strict=True):
-        padded = np.full(n * STEP + CONTEXT + 1, EDGE, np.int32)
-        padded[CONTEXT + 1 : CONTEXT + 1 + len(t)] = t
-        flat.append(padded)
-        starts.append(at + STEP * np.arange(n))
-        at += len(padded)
-    every, first = np.concatenate(flat), np.concatenate(starts)
-    text = np.repeat(np.arange(len(texts)), number)
-    order = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
-    counted = (order * STEP)[:, None] + np.arange(STEP) < sizes[text][:, None]
-    return every[first[:, None] + np.arange(WINDOW)], every[first[:, None] + CONTEXT + 1 + np.arange(STEP)], counted, text
-
-
-def held_together(texts: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """The texts in lists of about HELD ids, a longer text alone or as the last of its list."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size > HELD:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    width = number * STEP + CONTEXT + 1
+    ends = np.cumsum(width)
+    every = np.full(ends[-1], EDGE, np.int32)
+    for x, at in zip(lines, (ends - width).tolist(), strict=True):
+        every[at : at + len(x)] = x
+    line = np.repeat(np.arange(len(lines)), number)
+    order = np.arange(len(line)) - np.repeat(np.cumsum(number) - number, number)
+    first = (ends - width)[line] + order * STEP
+    counted = (order * STEP)[:, None] + np.arange(STEP) < sizes[line][:, None]
+    return every[first[:, None] + np.arange(WINDOW)], every[first[:, None] + CONTEXT + 1 + np.arange(STEP)], counted, line
+
+
+def lines_of(ids: np.ndarray) -> list[np.ndarray]:
+    """A text's ids and its end, edges before, cut every HELD ids with what stands before them: windows are those of the whole."""
+    whole = np.full(len(ids) + CONTEXT + 2, EDGE, np.int32)
+    whole[CONTEXT + 1 : -1] = ids
+    return [whole[k : k + HELD + CONTEXT + 1] for k in range(0, len(ids) + 1, HELD)]
+
+
+def held_together(texts: Iterable[np.ndarray]) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """(lines, the text each belongs to, numbered from 0): of about HELD ids together, also where one text has more."""
+    lines, of, size = [], [], 0
+    for i, t in enumerate(texts):
+        for x in lines_of(t):
+            lines.append(x)
+            of.append(i)
+            size += len(x)
+            if size > HELD:
+                yield lines, of
+                lines, of, size = [], [], 0
+    if lines:
+        yield lines, of
 
 
 def score_texts(model: Attention, texts: list[np.ndarray]) -> np.ndarray:
     """log10 probabilities of texts given as ids."""
-    windows, targets, counted, text = cut_windows(texts)
     total = np.zeros(len(texts))
-    for i in range(0, len(windows), BATCH):
-        part = slice(i, i + BATCH)
-        logs = np.where(counted[part], model.log_probabilities(windows[part], targets[part]), 0)
-        np.add.at(total, text[part], logs.sum(axis=1, dtype=np.float64))
-    return total / math.log(10)
+    for lines, of in held_together(texts):
+        windows, targets, counted, line = cut_windows(lines)
+        text = np.array(of)[line]
+        for i in range(0, len(windows), BATCH):
+            part = slice(i, i + BATCH)
+            logs = np.where(counted[part], model.log_probabilities(windows[part], targets[part]), 0)
+            np.add.at(total, text[part], logs.sum(axis=1, dtype=np.float64))
+    return total * math.log10(2)
 
 
-def lowered(text: str | None) -> bytes:
-    return (text or "").encode().lower()
+def _binary(docs: DataFrame, *keys) -> DataFrame:
+    """Keys and the text as bytes; null stays null."""
+    return docs.select(*keys, F.col("text").cast("string").cast("binary").alias("text"))
 
 
-def _ids(encode, text: str | None) -> np.ndarray:
-    return np.array(encode(lowered(text).decode()), np.int32)
+def words_of(text: bytes | None) -> list[bytes]:
+    """A-Z lower-cased words, parted by white space of ASCII."""
+    return text.lower().split() if text else []
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -223,91 +253,113 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             counts: Counter[bytes] = Counter()
             for text in batch.column("text").to_pylist():
-                counts.update(lowered(text).split())
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+                counts.update(words_of(text))
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary(), size=len(counts)).cast(pa.string()), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], ["word", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return _binary(docs).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
-    """(k1, k2, doc_id, ids): document key, id and the lower-cased whole text's ids, two bytes each, of every row."""
+    """(k1, k2, doc_id, n, ids): document key, id, number of ids and the lower-cased whole text's ids, two bytes each, of every row."""
     k1, k2 = document_keys(F.col("doc_id"), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder().encode_ordinary
+        encode = partial(encoder().encode_to_numpy, disallowed_special=())  # a literal end mark is text
         for batch in batches:
-            ids = [_ids(encode, t).astype("<u2").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("doc_id"), pa.array(ids, pa.binary())], ["k1", "k2", "doc_id", "ids"])
+            ids = [encode(t.lower().decode()).astype("<u2") if t else np.zeros(0, "<u2") for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(x) for x in ids], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("doc_id"), pa.array(sizes), pa.array([x.tobytes() for x in ids], pa.binary())], ["k1", "k2", "doc_id", "n", "ids"])
 
-    return docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "k1 long, k2 long, doc_id long, ids binary")
+    return _binary(docs, k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long")).mapInArrow(run, "k1 long, k2 long, doc_id long, n long, ids binary")
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     return (np.frombuffer(x.as_buffer(), "<u2").astype(np.int32) for x in batch.column("ids"))
 
 
-def id_counts(tokens: DataFrame) -> np.ndarray:
-    """How often each id stands in the texts of (ids), ends included, 1 at least: counted in the tasks first, then summed."""
+def _summed(tokens: DataFrame, size: int, of: Callable[[np.ndarray], Iterable[np.ndarray]]) -> np.ndarray:
+    """How often each number below ``size`` is among those that ``of`` makes of texts (ids between two edges): counted in the tasks, then summed.
+
+    ``size`` is bounded by the vocabulary, whatever the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(VOCABULARY, np.int64)
+        total, held, n = np.zeros(size, np.int64), [], 0
+
+        def add() -> None:
+            for x in of(np.concatenate(held)):
+                total[:] += np.bincount(x, minlength=size)
+
         for batch in batches:
             for ids in _read(batch):
-                total[EDGE] += 1
-                np.add.at(total, ids, 1)
+                held += [EDGES, ids]
+                n += len(ids)
+                if n > 1 << 20:
+                    add()
+                    held, n = [], 0
+        if held:
+            held.append(EDGES)
+            add()
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    counts = np.ones(VOCABULARY, np.int64)
-    found = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    counts[found.column("id").to_numpy()] += found.column("n").to_numpy()
+    counts = np.zeros(size, np.int64)
+    found = tokens.select("ids").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
     return counts
 
 
-def train(tokens: DataFrame, rounds: int = ROUNDS, share: int = SHARE) -> Attention:
-    """A model of the texts of (k1, k2, ids): its tree and biases from all their ids, its weights fitted on a share of them in each round.
+def train(tokens: DataFrame) -> Attention:
+    """A model of the texts of (k1, k2, n, ids): all their ids are counted, and its layer is fitted on all of them.
 
-    In each round every task starts from the same weights, fits those of its documents that the round
-    takes (1 in ``share``, by a hash of the document key) and sends the changes of the rows it touched; each
-    row changes by their mean. With as many rounds as shares, as set, every document is fitted once.
-    What is sent grows with the corpus; a model doesn't.
+    Texts are dealt by a hash to blocks of about BLOCK ids, as many as the corpus needs, and sorted within. Each
+    block fits the layer from the same start, text after text, and the weights become the mean over blocks. So
+    neither partitions nor lost executors change the model. What reaches the driver is bounded by the vocabulary.
     """
-    model = Attention(id_counts(tokens))
-    names = list(model.weights)
-    fields = [f"d{j}" for j in range(WIDTH)]
-    turn = F.pmod(F.xxhash64("k1", "k2"), F.lit(share))
-    for round_number in range(rounds):
-        start = tokens.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            base = start.value
-            own = Attention.__new__(Attention)
-            own.__dict__ = base.__dict__ | {"weights": {k: v.copy() for k, v in base.weights.items()}, "rows": None}
-            some, past = False, own.past()
-            for held in held_together(ids for batch in batches for ids in _read(batch)):
-                some = True
-                windows, targets, counted, _ = cut_windows(held)
+    counts = _summed(tokens, VOCABULARY, lambda line: (line[1:],)) + 1
+    column = np.full(VOCABULARY, NEIGHBOURS)
+    column[np.argsort(-counts, kind="stable")[:NEIGHBOURS]] = np.arange(NEIGHBOURS)
+    each = NEIGHBOURS + 1
+    beside = _summed(tokens, VOCABULARY * 2 * each, lambda line: (line[1:] * (2 * each) + column[line[:-1]], line[:-1] * (2 * each) + each + column[line[1:]]))
+    beside = beside.reshape(VOCABULARY, 2 * each)
+    of = classes(counts, beside[:, :each])
+    number = int(of.max()) + 1
+    follow = _summed(tokens, number * number, lambda line: (of[line[:-1]] * number + of[line[1:]],)).reshape(number, number)
+    model = Attention(counts, places(counts, beside), of, follow)
+    return fitted(model, tokens, max(1, round(int(counts.sum() - VOCABULARY) / BLOCK)))
+
+
+def fitted(model: Attention, tokens: DataFrame, blocks: int) -> Attention:
+    """The model with the mean of the weights that ``blocks`` parts of the texts lead to."""
+    shared = tokens.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = shared.value
+        sums, n = {k: np.zeros(v.shape, np.int64) for k, v in start.weights.items()}, 0
+        rows = (row for batch in batches for row in zip(batch.column("block").to_pylist(), _read(batch), strict=True))
+        for _, texts in groupby(rows, lambda row: row[0]):
+            own, past = start.unfitted()
+            for lines, _ in held_together(ids for _, ids in texts):
+                windows, targets, counted, _ = cut_windows(lines)
                 order = np.random.default_rng(len(windows)).permutation(len(windows))
                 own.fit(windows[order], targets[order], counted[order], past)
-            if some:
-                for k, name in enumerate(names):
-                    change = (own.weights[name] - base.weights[name]).reshape(len(base.weights[name]), -1)
-                    change = change.reshape(-1, WIDTH) if name not in ("embed", "tree") and change.size % WIDTH == 0 else change
-                    rows = np.flatnonzero(change.any(axis=1))
-                    wide = np.zeros((len(rows), WIDTH), np.float32)
-                    wide[:, : change.shape[1]] = change[rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(rows), *[pa.array(wide[:, j]) for j in range(WIDTH)]], ["weight", "row", *fields])
-
-        sent = tokens.where(turn == round_number).select("ids").mapInArrow(run, "weight int, row long, " + ", ".join(f"{f} float" for f in fields))
-        sums = sent.groupBy("weight", "row").agg(*[F.sum(f).alias(f) for f in fields], F.count("*").alias("tasks"))
-        mean = sums.select("weight", "row", *[(F.col(f) / F.col("tasks")).cast("float").alias(f) for f in fields]).toArrow()
-        which, rows = mean.column("weight").to_numpy(), mean.column("row").to_numpy()
-        change = np.stack([mean.column(f).to_numpy() for f in fields], axis=1).astype(np.float32) if len(which) else np.zeros((0, WIDTH), np.float32)
-        for k, name in enumerate(names):
-            w = model.weights[name]
-            flat = w if name in ("embed", "tree") or w.size % WIDTH else w.reshape(-1, WIDTH)
-            flat[rows[which == k]] += change[which == k][:, : flat.shape[1]]
-        start.unpersist()
+            for k, total in sums.items():
+                total += np.round((own.weights[k].astype(np.float64) - start.weights[k]) / GRAIN).astype(np.int64)
+            n += 1
+        if n:
+            flat = np.concatenate([*[x.ravel() for x in sums.values()], [n]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["at", "change"])
+
+    block = F.pmod(F.xxhash64("k1", "k2"), F.lit(blocks)).cast("int").alias("block")
+    dealt = tokens.select(block, "k1", "k2", "ids").repartition(min(blocks, 1 << 14), "block").sortWithinPartitions("block", "k1", "k2")
+    found = dealt.mapInArrow(run, "at long, change long").groupBy("at").agg(F.sum("change").alias("change")).orderBy("at").toArrow()
+    changes = found.column("change").to_numpy()
+    if len(changes):
+        mean, at = changes[:-1] / changes[-1] * GRAIN, 0
+        for k, w in model.weights.items():
+            model.weights[k] = (w + mean[at : at + w.size].reshape(w.shape)).astype(np.float32)
+            at += w.size
+    shared.unpersist()
     return model
 
 
@@ -325,34 +377,39 @@ def base_scores(docs: DataFrame, counts: DataFrame, texts: int, frequent: int =
         if kept + r["count"] > frequent:
             break
         least, kept = r["class"], kept + r["count"]
-    hot = {r["word"].encode(): math.log10(r["n"] + SMOOTH) for r in counts.where(F.col("class") >= least).select("word", "n").collect()} if kept else {}
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    hot = counts.where(F.col("class") >= least).select(F.col("word").cast("binary").alias("word"), "n").toArrow() if kept else None
+    logs = np.append(np.log10(hot.column("n").to_numpy() + SMOOTH), 0.0) if kept else np.zeros(1)
+    shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(hot.column("word").to_pylist())} if kept else {}, logs))
     end = math.log10(texts + SMOOTH)
     k1, k2 = document_keys(F.col("doc_id"), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, logs = shared.value
         for batch in batches:
-            lengths, words, times, logs, found, tokens = [], [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                own = lowered(text).split()
-                got = list(map(known.get, own))
-                rare = Counter(w for w, x in zip(own, got, strict=True) if x is None) if None in got else {}
+            lengths, words, times, sums, found, tokens = [], [], [], [], [], []
+            for key, text in zip(batch.column("k2").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = words_of(text)
+                at = np.fromiter(map(known.get, own, repeat(-1)), np.int32, len(own))
+                rare = Counter(compress(own, (at < 0).tolist()))
                 n = len(own) - sum(rare.values())
                 # A document's first row has what its frequent words add. No word has a space, so it meets none.
-                words += [b" %d" % (row % 997), *rare]
-                times += [0, *rare.values()]
-                logs += [sum(x for x in got if x is not None) + end, *[0.0] * len(rare)]
-                found += [n + (texts > 0), *[0] * len(rare)]
-                tokens += [len(own) + 1, *[0] * len(rare)]
+                words.append(b" %d" % key)
+                words += rare
+                times.append(0)
+                times += rare.values()
+                sums.append(float(logs.take(at).sum()) + end)
+                found.append(n + (texts > 0))
+                tokens.append(len(own) + 1)
                 lengths.append(1 + len(rare))
-            keys = [np.repeat(batch.column(k).to_numpy(), lengths) for k in ("k1", "k2")]
+            first = np.cumsum(lengths) - lengths
+            spread = lambda x, kind: (lambda out: out.__setitem__(first, x) or pa.array(out))(np.zeros(len(words), kind))  # noqa: E731  zero but in first rows
+            keys = [pa.array(np.repeat(batch.column(k).to_numpy(), lengths)) for k in ("k1", "k2")]
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, keys), pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), pa.array(logs, pa.float64()), pa.array(found, pa.int64()), pa.array(tokens, pa.int64())],
+                [*keys, pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), spread(sums, np.float64), spread(found, np.int64), spread(tokens, np.int64)],
                 ["k1", "k2", "word", "times", "logs", "found", "tokens"],
             )
 
-    rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text")).mapInArrow(run, "k1 long, k2 long, word string, times long, logs double, found long, tokens long")
+    rows = _binary(docs, k1.alias("k1"), k2.alias("k2")).mapInArrow(run, "k1 long, k2 long, word string, times long, logs double, found long, tokens long")
     others = counts.where(F.col("class") < least) if kept else counts
     met = rows.join(others.select("word", "n"), "word", "left")
     added = F.when(F.col("times") == 0, F.col("logs")).otherwise(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH))
@@ -371,8 +428,9 @@ def model_scores(tokens: DataFrame, model: Attention) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if scores := [score_texts(shared.value, held) for held in held_together(_read(batch))]:
-                yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("doc_id"), pa.array(np.concatenate(scores))], ["k1", "k2", "doc_id", "score"])
+            if batch.num_rows:
+                scores = score_texts(shared.value, list(_read(batch)))
+                yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("doc_id"), pa.array(scores)], ["k1", "k2", "doc_id", "score"])
 
     return tokens.select("k1", "k2", "doc_id", "ids").mapInArrow(run, "k1 long, k2 long, doc_id long, score double")
 
@@ -383,7 +441,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     ``base_score`` is the unigram log10 probability of the words and one end, ``score`` the attention
     model's of the lower-cased text's ids and the end. Null text is empty; a null doc_id stays null;
     repeated rows each give a row, with equal values; other columns are ignored. No training documents:
-    nothing is known, and every id is as likely as its place in a balanced tree. No documents, no rows.
+    nothing is known, and every id is as likely as any other. No documents, no rows.
     """
     return _score(docs, training, cut(tokenized(docs)), cut(tokenized(training)))
 
