@@ -85,10 +85,14 @@ def classes(counts: np.ndarray, before: np.ndarray, turns: int = 8) -> np.ndarra
     return out
 
 
-def power(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(2**x between whole x by straight lines, its slopes) for x given as UNIT * x + ZERO: the number's own bits."""
-    bits = bits.astype(np.int32)
-    return bits.view(np.float32), (bits & np.int32(-UNIT)).view(np.float32)
+def power(bits: np.ndarray) -> np.ndarray:
+    """2**x, between whole x by straight lines, for x given as UNIT * x + ZERO: the number's own bits."""
+    return bits.astype(np.int32).view(np.float32)
+
+
+def slopes(powers: np.ndarray) -> np.ndarray:
+    """The slopes of ``power`` where it has these values."""
+    return (powers.view(np.int32) & np.int32(-UNIT)).view(np.float32)
 
 
 class Attention:
@@ -114,59 +118,68 @@ class Attention:
         self.weights = {"position": normal(WINDOW, WIDTH) * np.float32(0.3), "project": normal(WIDTH, 2 * KEY + 2 * WIDTH), "out": np.zeros((WIDTH, len(follow)), np.float32)}
         self.below = np.tril(np.ones((WINDOW, WINDOW), np.float32))[CONTEXT:]
 
-    def look(self, windows: np.ndarray) -> dict[str, np.ndarray]:
-        """What the layer computes of ids [n, WINDOW], up to the odds of the classes at the scored positions."""
+    def look(self, windows: np.ndarray, sloped: bool = True) -> dict[str, np.ndarray]:
+        """What the layer computes of ids [n, WINDOW], up to the odds of the classes at the scored positions; slopes if they are wanted."""
         w = self.weights
         x = self.place.take(windows, axis=0)
         x += w["position"]
         n = len(x)
         parts = (x.reshape(-1, WIDTH) @ w["project"]).reshape(n, WINDOW, -1)
-        ask, answer, value, own = parts[:, CONTEXT:, :KEY], parts[..., KEY : 2 * KEY], parts[..., 2 * KEY : -WIDTH], parts[:, CONTEXT:, -WIDTH:]
+        ask, answer, own = parts[:, CONTEXT:, :KEY], parts[..., KEY : 2 * KEY], parts[:, CONTEXT:, -WIDTH:]
         v = np.ones((n, WINDOW, WIDTH + 1), np.float32)
-        v[..., :WIDTH] = value
+        v[..., :WIDTH] = parts[..., 2 * KEY : -WIDTH]
         s = np.matmul(ask, answer.transpose(0, 2, 1))
         s *= SCALE
         np.clip(s, -60 * UNIT, 60 * UNIT, out=s)
         s += ZERO
-        p, slope = power(s)
+        p = power(s)
+        slope = slopes(p) if sloped else p
         p *= self.below
         a = np.matmul(p, v)
         total = a[..., WIDTH:]
         a = a[..., :WIDTH] / total
         h = (a + own).reshape(-1, WIDTH)
-        np.tanh(h, out=h)
+        bent = np.abs(h)
+        bent += 1
+        h /= bent
         z = self.follow.take(self.of.take(windows[:, CONTEXT:].ravel()), axis=0)
         z += h @ (w["out"] * UNIT)
-        odds, steep = power(z)
-        return {"x": x, "ask": ask, "answer": answer, "value": value, "p": p, "slope": slope, "total": total, "a": a, "h": h, "odds": odds, "steep": steep, "sum": odds @ np.ones(odds.shape[1], np.float32)}
+        odds = power(z)
+        return {"x": x, "ask": ask, "answer": answer, "v": v, "p": p, "slope": slope, "total": total, "a": a, "bent": bent, "h": h, "odds": odds, "sum": odds @ np.ones(odds.shape[1], np.float32)}
 
     def log_probabilities(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Logs to base 2 of the probabilities of ids [n, STEP], the next ones of the scored positions of ids [n, WINDOW]."""
-        c, goal = self.look(windows), targets.ravel()
-        found = c["odds"][np.arange(len(goal)), self.of.take(goal)]
+        c, goal = self.look(windows, sloped=False), targets.ravel()
+        odds = c["odds"]
+        found = odds.ravel().take(np.arange(0, odds.size, odds.shape[1]) + self.of.take(goal))
         return (np.log2(found / c["sum"]) + self.share.take(goal)).reshape(targets.shape)
 
     def gradients(self, windows: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss (natural) where ``counted``, by the weights."""
         w, c = self.weights, self.look(windows)
         n, weight = len(windows), counted.ravel() * np.float32(1 / max(1, counted.sum()))
-        at, goal = np.arange(n * STEP), self.of.take(targets.ravel())
-        dz = c["steep"]
-        own = weight * dz[at, goal] / c["odds"][at, goal]
+        odds = c["odds"]
+        goal = np.arange(0, odds.size, odds.shape[1]) + self.of.take(targets.ravel())
+        dz = slopes(odds)
+        own = weight * dz.ravel().take(goal) / odds.ravel().take(goal)
         dz *= (weight / c["sum"])[:, None]
-        dz[at, goal] -= own
+        dz.ravel()[goal] -= own
         du = dz @ w["out"].T
-        du *= 1 - c["h"] ** 2
+        du /= c["bent"]
+        du /= c["bent"]
         du = du.reshape(n, STEP, WIDTH)
-        da = du / c["total"]
-        ds = np.matmul(da, c["value"].transpose(0, 2, 1))
-        ds -= np.einsum("nij,nij->ni", da, c["a"])[..., None]
+        da = np.empty((n, STEP, WIDTH + 1), np.float32)  # and less of the value that all positions share
+        np.divide(du, c["total"], out=da[..., :WIDTH])
+        np.negative(np.einsum("nij,nij->ni", da[..., :WIDTH], c["a"]), out=da[..., WIDTH])
+        ds = np.matmul(da, c["v"].transpose(0, 2, 1))
         ds *= c["slope"]
         ds *= self.below * np.float32(SCALE / UNIT)
-        back = np.zeros((n, WINDOW, 2 * KEY + 2 * WIDTH), np.float32)
+        back = np.empty((n, WINDOW, 2 * KEY + 2 * WIDTH), np.float32)
+        back[:, :CONTEXT, :KEY] = 0
+        back[:, :CONTEXT, -WIDTH:] = 0
         back[:, CONTEXT:, :KEY] = np.matmul(ds, c["answer"])
         back[..., KEY : 2 * KEY] = np.matmul(ds.transpose(0, 2, 1), c["ask"])
-        back[..., 2 * KEY : -WIDTH] = np.matmul(c["p"].transpose(0, 2, 1), da)
+        back[..., 2 * KEY : -WIDTH] = np.matmul(c["p"].transpose(0, 2, 1), da[..., :WIDTH])
         back[:, CONTEXT:, -WIDTH:] = du
         return {"position": back.sum(axis=0) @ w["project"].T, "project": c["x"].reshape(-1, WIDTH).T @ back.reshape(n * WINDOW, -1), "out": c["h"].T @ dz}
 
@@ -287,7 +300,7 @@ def _summed(tokens: DataFrame, size: int, of: Callable[[np.ndarray], Iterable[np
         total, held, n = np.zeros(size, np.int64), [], 0
 
         def add() -> None:
-            for x in of(np.concatenate(held)):
+            for x in of(np.concatenate(held).astype(np.int64)):
                 total[:] += np.bincount(x, minlength=size)
 
         for batch in batches:
@@ -370,13 +383,13 @@ def base_scores(docs: DataFrame, counts: DataFrame, texts: int, frequent: int =
     counts of at most ``frequent`` words, the most frequent classes, go to all tasks; the other words, none of which is hot, are joined.
     """
     counts = counts.withColumn("class", F.floor(F.log2(F.col("n").cast("double")) * 64))
-    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    tokens, distinct = (sums["n"] or 0) + texts, sums["v"] + (texts > 0)
+    each = sorted(counts.groupBy("class").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect(), reverse=True)
+    tokens, distinct = sum(r.n for r in each) + texts, sum(r.v for r in each) + (texts > 0)
     least, kept = None, 0
-    for r in sorted(counts.groupBy("class").count().collect(), reverse=True):
-        if kept + r["count"] > frequent:
+    for r in each:
+        if kept + r.v > frequent:
             break
-        least, kept = r["class"], kept + r["count"]
+        least, kept = r["class"], kept + r.v
     hot = counts.where(F.col("class") >= least).select(F.col("word").cast("binary").alias("word"), "n").toArrow() if kept else None
     logs = np.append(np.log10(hot.column("n").to_numpy() + SMOOTH), 0.0) if kept else np.zeros(1)
     shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(hot.column("word").to_pylist())} if kept else {}, logs))

@@ -33,7 +33,8 @@ def slow_log(m, window, target):
     parts = x @ w["project"]
     ask, answer, value, own = parts[-1, :KEY], parts[:, KEY : 2 * KEY], parts[:, 2 * KEY : -WIDTH], parts[-1, -WIDTH:]
     p = np.array([line_power(a @ ask / math.sqrt(KEY)) for a in answer])
-    h = np.tanh((p / p.sum()) @ value + own)
+    h = (p / p.sum()) @ value + own
+    h = h / (1 + np.abs(h))
     follow = (m.follow[m.of[window[-1]]].astype(float) - float(lm.ZERO)) / lm.UNIT
     odds = np.array([line_power(z) for z in follow + h @ w["out"]])
     of = m.of[target]
