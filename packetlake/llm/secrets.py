@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from math import log2
 
@@ -26,7 +27,7 @@ CLASSES = {
     "entropy_base64": (re.compile(r"[A-Za-z0-9+/]{20,}"), 3.9),
     "entropy_base64url": (re.compile(r"[A-Za-z0-9_-]{20,}"), 3.9),
 }
-#: Candidates that hold one of these are no secrets.
+#: Dense spans that overlap one of these are no secrets.
 ALLOWED = (
     re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"),  # UUID
     re.compile(r"example|placeholder|changeme|your[_-]?(key|token|secret)|x{6,}", re.IGNORECASE),
@@ -81,29 +82,50 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, in order and apart."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def touches(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of ``spans``, in order and apart, overlaps [start, end)."""
+    i = bisect_left(spans, (end,))
+    return i > 0 and spans[i - 1][1] > start
+
+
 def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of dense candidates that are on no allow-list and touch no base span.
+    """Spans of dense candidates that overlap neither an allow-list match nor a base span.
 
     A hexadecimal span needs a digit and a letter; the wider classes need a digit and letters of either
-    case, and give way to a span of a class listed before them.
+    case, and give way to a span of a class listed before them. Spans are looked up in order: the time grows
+    with the text and the logarithm of its spans.
     """
     out: list[tuple[str, int, int]] = []
+    known = merged([(a, b) for _, a, b in base])
     for m in CANDIDATE.finditer(text):
         whole = m.group()
-        if not any(c.isdigit() for c in whole) or any(p.search(whole) for p in ALLOWED):
+        if not any(c.isdigit() for c in whole):
             continue
+        allowed = merged([(m.start() + a.start(), m.start() + a.end()) for p in ALLOWED for a in p.finditer(whole)])
+        own: list[tuple[int, int]] = []
         for kind, (runs, least) in CLASSES.items():
             for r in runs.finditer(whole):
                 for a, b in dense_windows(r.group(), least):
                     start, end = m.start() + r.start() + a, m.start() + r.start() + b
                     found = text[start:end]
                     good = any(c.isalpha() for c in found) and any(c.isdigit() for c in found) if kind == "entropy_hex" else mixed(found)
-                    if good and not any(start < e and s < end for _, s, e in (*base, *out)):
+                    if good and not any(touches(x, start, end) for x in (known, allowed, own)):
                         out.append((kind, start, end))
+                        insort(own, (start, end))
     return out
 
 
-
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, base and added: array of (kind, start, end), by start then kind.
 
