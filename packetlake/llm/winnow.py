@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,8 +99,8 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
 class _Doc:
     """A text with what is computed from it once."""
 
-    def __init__(self, doc_id: int | None, text: str, order: int):
-        self.doc_id, self.text, self.order = doc_id, text, order
+    def __init__(self, doc_id: int | None, text: str):
+        self.doc_id, self.text = doc_id, text
         at, h = winnow(text)
         self.fingerprint, self.hashes = digest(at, h), np.unique(h)
 
@@ -112,7 +113,7 @@ class _Doc:
 
 
 _FIELDS = (("doc_id", "long"), ("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double"))
-_EDGE = (("edge", "int"), ("edge_order", "long"), ("edge_text", "string"))
+_EDGE = (("edge", "int"), ("part", "int"), ("edge_text", "string"))
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
 
 
@@ -129,7 +130,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     their texts, null ids last). Null text is empty. Repeated rows each give a row. A lone document
     follows itself. No documents, no rows.
 
-    Documents are sorted by range, and each task walks its part in order with one document in hand. Only
+    Documents are sorted by range into parts in order, and each task walks its part with one document in hand. Only
     the first and last of each part (two rows a task) are joined afterwards.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("order", F.xxhash64("text"))
@@ -137,34 +138,34 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of all but a part's last document; the first with edge 0 and the last with edge 1 for the join."""
-        held = None
+        held, part = None, TaskContext.get().partitionId()
         for batch in batches:
             rows = []
-            for doc_id, text, order in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "order")), strict=True):
-                now = _Doc(doc_id, text, order)
+            for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
+                now = _Doc(doc_id, text)
                 if held is None:
-                    rows.append((doc_id, *[None] * 6, 0, order, text))
+                    rows.append((doc_id, *[None] * 6, 0, part, text))
                 else:
                     rows.append((*held.beside(now), None, None, None))
                 held = now
             yield _batch(rows, _FIELDS + _EDGE)
         if held is not None:
-            yield _batch([(held.doc_id, *[None] * 6, 1, held.order, held.text)], _FIELDS + _EDGE)
+            yield _batch([(held.doc_id, *[None] * 6, 1, part, held.text)], _FIELDS + _EDGE)
 
     ddl = lambda fields: ", ".join(f"{n} {t}" for n, t in fields)
     walked = cut(keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(walk, ddl(_FIELDS + _EDGE)))
-    edges = walked.where("edge is not null").select("doc_id", "edge", "edge_order", "edge_text")
-    # Two rows a task: numbered in one window, without their texts.
-    order = Window.orderBy(F.col("doc_id").desc_nulls_last(), F.col("edge_order").asc(), F.col("edge").asc())
-    numbered = edges.withColumn("part", F.sum(F.when(F.col("edge") == 0, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).withColumn("parts", F.sum(F.when(F.col("edge") == 0, 1).otherwise(0)).over(Window.partitionBy()))
-    heads = numbered.where("edge = 0").select("part", F.col("edge_text").alias("next_text"))
-    tails = numbered.where("edge = 1").select(((F.col("part") + 1) % F.col("parts")).alias("part"), "doc_id", F.col("edge_text").alias("text"))
+    edges = walked.where("edge is not null").select("doc_id", "edge", "part", "edge_text")
+    # A number a task, in order: no text is in this one window.
+    parts = edges.where("edge = 0").select("part")
+    after = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.first("part").over(Window.orderBy("part"))).alias("following"))
+    heads = edges.where("edge = 0").select(F.col("part").alias("following"), F.col("edge_text").alias("next_text"))
+    tails = edges.where("edge = 1").select("part", "doc_id", F.col("edge_text").alias("text")).join(after, "part")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _batch([_Doc(d, t, 0).beside(_Doc(None, n, 0)) for d, t, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "next_text")), strict=True)], _FIELDS)
+            yield _batch([_Doc(d, t).beside(_Doc(None, n)) for d, t, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "next_text")), strict=True)], _FIELDS)
 
-    last = tails.join(heads, "part").select("doc_id", "text", "next_text").mapInArrow(pair, ddl(_FIELDS))
+    last = tails.join(heads, "following").select("doc_id", "text", "next_text").mapInArrow(pair, ddl(_FIELDS))
     return walked.where("edge is null").select(*[n for n, _ in _FIELDS]).unionByName(last)
 
 
