@@ -18,6 +18,8 @@ RATE, UNIT = 8000, 64
 FRAME, HOP = 256, 128
 #: Peaks kept of a frame; frames ahead that a peak is paired with; frames transformed at once.
 PEAKS, AHEAD, BLOCK = 3, 3, 4096
+#: Parts of a magnitude that are told apart.
+GRAIN = 64
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -43,7 +45,7 @@ def read_wav(media: bytes) -> bytes:
 
 
 def spectral_peaks(samples: bytes) -> np.ndarray:
-    """int16 [frames, PEAKS]: the strongest local maxima of each frame's spectrum, -1 where it has fewer.
+    """int16 [frames, PEAKS]: the strongest local maxima of each frame's spectrum, of equal ones the lower, -1 where it has fewer.
 
     Samples past the end count as silence, so that there is a frame at least. Frames are transformed in
     blocks: memory doesn't grow with the length.
@@ -57,8 +59,10 @@ def spectral_peaks(samples: bytes) -> np.ndarray:
         x[: len(part)] = part
         x[: len(part)] -= 128
         power = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * _WINDOW, axis=1))
+        power = np.rint(power * GRAIN).astype(np.int64)  # whole numbers: builds of the transform differ in last bits only
         inner = power[:, 1:-1]
         inner = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]), inner, 0)
+        inner = inner * FRAME + np.where(inner > 0, FRAME - 1 - np.arange(inner.shape[1]), 0)  # of equal ones the lower bin
         best = np.argpartition(inner, -PEAKS, axis=1)[:, -PEAKS:]
         strength = np.take_along_axis(inner, best, axis=1)
         best = np.where(strength > 0, best + 1, -1)
