@@ -2,16 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import clamp, rounded
 from .joins import interval_join
 
-# The lifecycle step that a signalling message stands for, and the state it leads to.
+# The step that a message stands for, by the type of its flow; other messages are the prefix and their name.
 STEPS = {
-    "InitialUEMessage": ("Initial UE Message", "attaching"), "Registration Request": ("Registration Request", "attaching"), "Authentication-Information": ("Authentication", "attaching"), "Update-Location": ("Location Update", "registered"),
-    "Create Session Request": ("PDU Session Request", "pdu_establishing"), "Session Establishment Request": ("User Plane Setup", "pdu_establishing"), "Modify Bearer Request": ("Bearer Active", "active"), "INVITE": ("Call Setup", "active"), "BYE": ("Call Release", "releasing"),
+    "NGAP": {
+        "InitialUEMessage": "UE_Registration", "InitialContextSetup": "Context_Setup", "PDUSessionResourceSetup": "PDU_Session_Setup",
+        "PDUSessionResourceRelease": "PDU_Session_Release", "UEContextRelease": "UE_Context_Release", "DownlinkNASTransport": "NAS_Downlink",
+        "UplinkNASTransport": "NAS_Uplink", "NGSetup": "NG_Setup", "HandoverPreparation": "Handover_Prep", "HandoverNotification": "Handover_Complete",
+    },
+    "GTP": {
+        "Create Session Request": "PDU_Session_Establish_Req", "Create Session Response": "PDU_Session_Establish_Resp",
+        "Delete Session Request": "PDU_Session_Release_Req", "Delete Session Response": "PDU_Session_Release_Resp",
+        "Modify Bearer Request": "Bearer_Modify_Req", "Modify Bearer Response": "Bearer_Modify_Resp",
+    },
+    "PFCP": {
+        "Session Establishment Request": "PFCP_Establish_Req", "Session Establishment Response": "PFCP_Establish_Resp",
+        "Session Modification Request": "PFCP_Modify_Req", "Session Modification Response": "PFCP_Modify_Resp",
+        "Session Deletion Request": "PFCP_Delete_Req", "Session Deletion Response": "PFCP_Delete_Resp",
+    },
+    "SIP": {"REGISTER": "IMS_Register", "INVITE": "IMS_Call_Setup", "200": "IMS_Call_Connected", "BYE": "IMS_Call_Teardown", "CANCEL": "IMS_Call_Cancel", "": "IMS_Signal"},
+    "Diameter": {
+        "Update-Location": "HSS_Location_Update", "Authentication": "HSS_Authenticate", "Authentication-Information": "HSS_Authenticate",
+        "Cancel-Location": "HSS_Cancel_Location", "Insert-Subscriber": "HSS_Subscribe", "Credit-Control": "PCRF_Credit_Control",
+    },
+}
+PREFIXES = {"NGAP": "NGAP_", "GTP": "GTP-C_", "PFCP": "PFCP_", "SIP": "IMS_", "Diameter": "Diameter_"}
+SINGLE = {"GTPU": "Data_Tunnel", "RTP": "RTP_Media"}
+# The milestones of a session's life, and the state each leads to.
+MILESTONES = {
+    "UE_Registration": "attaching", "NAS_Uplink": "attaching", "Context_Setup": "registered", "HSS_Authenticate": "registered",
+    "HSS_Location_Update": "registered", "PDU_Session_Setup": "pdu_establishing", "PDU_Session_Establish_Req": "pdu_establishing",
+    "PDU_Session_Establish_Resp": "active", "PFCP_Establish_Req": "pdu_establishing", "PFCP_Establish_Resp": "active", "Data_Tunnel": "active",
+    "IMS_Register": "active", "IMS_Call_Setup": "active", "IMS_Call_Connected": "active", "RTP_Media": "active",
+    "IMS_Call_Teardown": "releasing", "PDU_Session_Release_Req": "releasing", "UE_Context_Release": "releasing",
 }
 
 
@@ -55,12 +83,22 @@ def lookup_index(profiles: DataFrame) -> DataFrame:
     return profiles.select("imsi", F.explode(F.concat(ids, teids)).alias("e")).where("e.id is not null").select("e.kind", "e.id", "imsi")
 
 
+def media_members(claimed: DataFrame, flows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, flow_id, type, ...): RTP flows with a media endpoint of the SIP flows of (key, media_ip, media_port) at either end."""
+    ends = F.explode(F.array_distinct(F.array(F.struct(F.col("src_ip").alias("media_ip"), F.col("src_port").alias("media_port")), F.struct(F.col("dst_ip").alias("media_ip"), F.col("dst_port").alias("media_port")))))
+    rtp = flows.where("type = 'RTP'").select("flow_id", "type", *columns, ends.alias("e")).select("flow_id", "type", *columns, "e.*")
+    wanted = claimed.where("media_ip <> '' and media_port is not null").select(key, "media_ip", "media_port").distinct()
+    return wanted.join(rtp, ["media_ip", "media_port"]).select(key, "flow_id", "type", *columns).distinct()
+
+
 def sessions(flows: DataFrame, pad_seconds: float = 30.0) -> DataFrame:
     """(imsi, flow_id, type, via): the flows of each subscriber's session.
 
-    A session's bounds are those of the flows that carry its IMSI. GTP-U joins it by tunnel, user-plane and
-    SIP or RTP flows by the subscriber's address, in each case within ``pad_seconds`` of its bounds; an OR of
-    rules becomes a union of equi-joins, and a flow that several rules give counts once.
+    A session's bounds are those of the flows that carry its IMSI. GTP-U joins it by tunnel and user-plane
+    flows by the subscriber's address, within ``pad_seconds`` of its bounds; SIP by the subscriber's address
+    at either end, RTP by a media endpoint of its SIP flows. An OR of rules becomes a union of
+    equi-joins, and a flow that several rules give counts once. Being near in time alone is no rule here: it
+    would give each flow to all subscribers of its half minute.
     """
     profile = subscribers(flows)
     own = flows.where("imsi is not null").select("imsi", "flow_id", "type", F.lit("imsi").alias("via"))
@@ -70,29 +108,67 @@ def sessions(flows: DataFrame, pad_seconds: float = 30.0) -> DataFrame:
     by_teid = rest.where("type = 'GTPU'").join(tunnels, "teid").where(near).select("imsi", "flow_id", "type", F.lit("teid").alias("via"))
     address = profile.where("ue_ip is not null").select("imsi", "first_seen", "last_seen", "ue_ip")
     by_ip = rest.where("type in ('PFCP', 'GTP')").join(address, "ue_ip").where(near).select("imsi", "flow_id", "type", F.lit("ue_ip").alias("via"))
-    every = own.unionByName(by_teid).unionByName(by_ip)
+    ends = F.explode(F.array_distinct(F.array("src_ip", "dst_ip"))).alias("ue_ip")
+    calls = rest.where("type = 'SIP'").select("flow_id", "type", "media_ip", "media_port", ends).join(address.select("imsi", "ue_ip"), "ue_ip")
+    by_end = calls.select("imsi", "flow_id", "type", F.lit("end").alias("via"))
+    by_media = media_members(calls, rest, "imsi").withColumn("via", F.lit("media"))
+    every = own.unionByName(by_teid).unionByName(by_ip).unionByName(by_end).unionByName(by_media)
     return every.groupBy("imsi", "flow_id", "type").agg(F.min("via").alias("via"))
 
 
+def stream_mos() -> Column:
+    """The opinion score of an RTP flow by its losses and jitter; null for others."""
+    return F.when(F.col("type") == "RTP", F.greatest(4.5 - 0.05 * clamp(F.col("packet_loss_pct"), 0, 100) - 0.01 * F.col("jitter_ms"), F.lit(1.0)))
+
+
+def stream_quality(mos: str = "mos") -> Column:
+    return F.when(F.col(mos).isNull(), None).when(F.col(mos) >= 4, "good").when(F.col(mos) >= 3, "fair").otherwise("poor")
+
+
 def session_summary(flows: DataFrame, members: DataFrame) -> DataFrame:
     """A row per session: bounds, layers, worst MOS, quality, and whether all layers are there."""
     joined = members.join(flows.select("flow_id", "type", "start_time", "end_time", "packet_loss_pct", "jitter_ms"), ["flow_id", "type"])
-    mos = F.when(F.col("type") == "RTP", F.greatest(4.5 - 0.05 * clamp(F.col("packet_loss_pct"), 0, 100) - 0.01 * F.col("jitter_ms"), F.lit(1.0)))
-    each = joined.groupBy("imsi").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.array_sort(F.collect_set("type")).alias("layers"), F.count("*").alias("flows"), rounded(F.min(mos)).alias("mos"))
+    each = joined.groupBy("imsi").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.array_sort(F.collect_set("type")).alias("layers"), F.count("*").alias("flows"), rounded(F.min(stream_mos())).alias("mos"))
     there = lambda t: F.array_contains("layers", t)
-    quality = F.when(F.col("mos").isNull(), None).when(F.col("mos") >= 4, "good").when(F.col("mos") >= 3, "fair").otherwise("poor")
-    return each.select("imsi", "start_time", "end_time", "layers", "flows", "mos", quality.alias("quality"), (there("NGAP") & there("GTP") & there("SIP") & there("RTP")).alias("complete"))
+    return each.select("imsi", "start_time", "end_time", "layers", "flows", "mos", stream_quality().alias("quality"), (there("NGAP") & there("GTP") & there("SIP") & there("RTP")).alias("complete"))
+
+
+def ims_sessions(flows: DataFrame, members: DataFrame) -> DataFrame:
+    """A row per SIP flow that no subscriber's session has: bounds, its RTP flows by media endpoint, worst MOS, quality."""
+    lone = flows.where("type = 'SIP'").join(members.where("type = 'SIP'").select("flow_id").distinct(), "flow_id", "left_anti")
+    columns = ["start_time", "end_time", "packet_loss_pct", "jitter_ms"]
+    media = media_members(lone.withColumnRenamed("flow_id", "call_id"), flows, "call_id", *columns)
+    own = lone.select(F.col("flow_id").alias("call_id"), "type", *columns)
+    each = own.unionByName(media.select("call_id", "type", *columns)).groupBy("call_id")
+    out = each.agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.sum(F.when(F.col("type") == "RTP", 1).otherwise(0)).alias("streams"), rounded(F.min(stream_mos())).alias("mos"))
+    return out.select(F.concat(F.lit("ims-"), "call_id").alias("session_id"), "call_id", "start_time", "end_time", "streams", "mos", stream_quality().alias("quality"))
+
+
+def step() -> Column:
+    """The step that a flow's message stands for; null for types without steps."""
+    name = F.coalesce(F.when(F.col("type") == "SIP", F.col("method")).when(F.col("type") == "Diameter", F.col("command")).otherwise(F.col("message_type")), F.lit(""))
+    out = F.lit(None).cast("string")
+    for kind, names in STEPS.items():
+        table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+        out = F.when(F.col("type") == kind, F.coalesce(F.try_element_at(table, name), F.concat(F.lit(PREFIXES[kind]), name))).otherwise(out)
+    for kind, only in SINGLE.items():
+        out = F.when(F.col("type") == kind, F.lit(only)).otherwise(out)
+    return out
+
+
+def session_steps(flows: DataFrame, members: DataFrame) -> DataFrame:
+    """(imsi, flow_id, step, at): what happens in each session."""
+    return members.join(flows.select("flow_id", "type", F.col("start_time").alias("at"), step().alias("step")), ["flow_id", "type"]).where("step is not null").select("imsi", "flow_id", "step", "at")
 
 
 def lifecycle(flows: DataFrame, members: DataFrame) -> DataFrame:
-    """(imsi, step, at, delta_ms, state): the first time of each milestone of a session, from its start."""
-    name = F.coalesce("message_type", "command", "method")
-    table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.struct(F.lit(x[0]).alias("step"), F.lit(x[1]).alias("state")) for kv in STEPS.items() for x in kv])
-    steps = members.join(flows.select("flow_id", "type", "start_time", table[name].alias("m")), ["flow_id", "type"])
-    own = Window.partitionBy("imsi")
-    first = steps.where("m is not null").groupBy("imsi", F.col("m.step").alias("step"), F.col("m.state").alias("state")).agg(F.min("start_time").alias("at"))
-    start = F.min("at").over(own)
-    return first.select("imsi", "step", "at", ((F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000).alias("delta_ms"), "state")
+    """(imsi, step, at, delta_ms, state): the first time of each milestone of a session, from its first step of any kind."""
+    steps = session_steps(flows, members)
+    state = F.create_map(*[F.lit(x) for kv in MILESTONES.items() for x in kv])
+    start = steps.groupBy("imsi").agg(F.min("at").alias("start"))
+    first = steps.withColumn("state", F.try_element_at(state, F.col("step"))).where("state is not null").groupBy("imsi", "step", "state").agg(F.min("at").alias("at"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return first.join(start, "imsi").select("imsi", "step", "at", ((micros("at") - micros("start")) / 1000).alias("delta_ms"), "state")
 
 
 def final_state(steps: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ SELECT flow_id, job_id, type, src_ip, src_port, dst_ip, dst_port, start_time, st
   CASE WHEN type IN ('GTP', 'Diameter', 'NGAP') AND b % 5 <> 0 THEN '00101' || CAST(1000000000 + c % 40 AS STRING) END AS imsi,
   CASE WHEN type IN ('GTP', 'Diameter') AND a % 3 = 0 THEN '4477' || CAST(10000000 + c % 40 AS STRING) END AS msisdn,
   CASE WHEN type = 'GTP' AND a % 2 = 0 THEN CASE c % 2 WHEN 0 THEN 'internet' ELSE 'ims' END END AS apn,
-  CASE WHEN type IN ('GTP', 'PFCP') THEN '172.16.0.' || CAST(c % 40 AS STRING) END AS ue_ip,
+  CASE WHEN type IN ('GTP', 'PFCP') AND c % 40 < 30 THEN '172.16.0.' || CAST(c % 40 AS STRING) END AS ue_ip,
   CASE WHEN type IN ('GTP', 'GTPU') THEN '0x' || substr(md5(CAST(c % 40 AS STRING)), 1, 8) END AS teid,
   CASE WHEN type = 'SIP' AND b % 3 <> 0 THEN '10.0.0.' || CAST(a % 25 AS STRING) END AS media_ip,
   CASE WHEN type = 'SIP' AND b % 3 <> 0 THEN CAST(49152 + 2 * (c % 20) AS INT) END AS media_port,
@@ -81,7 +81,7 @@ SELECT flow_id, job_id, type, src_ip, src_port, dst_ip, dst_port, start_time, st
   CASE WHEN type = 'SBI' THEN CASE a % 2 WHEN 0 THEN 'NRF' ELSE 'AMF' END END AS nf_type,
   CASE WHEN type = 'SBI' THEN CASE a % 2 WHEN 0 THEN 'nnrf-nfm' ELSE 'namf-comm' END END AS service_name
 FROM (
-  SELECT *, '10.0.0.' || CAST(s % 25 AS STRING) AS src_ip, '10.1.' || CAST(a % 3 AS STRING) || '.' || CAST(b % 40 AS STRING) AS dst_ip,
+  SELECT *, CASE WHEN type = 'SIP' AND b % 3 = 1 THEN '172.16.0.' || CAST(c % 40 AS STRING) ELSE '10.0.0.' || CAST(s % 25 AS STRING) END AS src_ip, '10.1.' || CAST(a % 3 AS STRING) || '.' || CAST(b % 40 AS STRING) AS dst_ip,
     CAST(CASE WHEN type = 'SIP' AND a % 3 = 0 THEN 5060 WHEN type = 'RTP' THEN 49152 + 2 * (c % 20) ELSE 10000 + b % 500 END AS INT) AS src_port,
     CAST(CASE type WHEN 'SIP' THEN CASE a % 4 WHEN 0 THEN 5070 ELSE 5060 END WHEN 'DNS' THEN 53 WHEN 'Diameter' THEN 3868 WHEN 'GTP' THEN 2123 WHEN 'GTPU' THEN 2152 WHEN 'PFCP' THEN 8805
       WHEN 'TLS' THEN 443 WHEN 'HTTP' THEN 80 WHEN 'RTP' THEN 40000 + a % 50 WHEN 'ICMP' THEN 0 ELSE 8000 + a % 20 END AS INT) AS dst_port

@@ -19,20 +19,36 @@ PROFILE = """profile AS (SELECT imsi, first(msisdn ORDER BY k, start_time, flow_
 named("subscriber_profiles", f"WITH {PROFILE} SELECT * FROM profile", c.subscribers, "flows")
 named("subscriber_lookup", f"WITH {PROFILE} SELECT 'imsi' AS kind, imsi AS id, imsi FROM profile UNION ALL SELECT 'msisdn', msisdn, imsi FROM profile WHERE msisdn IS NOT NULL UNION ALL SELECT 'ue_ip', ue_ip, imsi FROM profile WHERE ue_ip IS NOT NULL UNION ALL SELECT 'teid', unnest(teids), imsi FROM profile",
       lambda f: c.lookup_index(c.subscribers(f)), "flows")
-MEMBERS = f"""{PROFILE}, members AS (SELECT imsi, flow_id, type, min(via) AS via FROM (
+MEMBERS = f"""{PROFILE}, calls AS (SELECT p.imsi, f.flow_id, f.type, f.media_ip, f.media_port FROM v_flows f JOIN profile p ON p.ue_ip = f.src_ip OR p.ue_ip = f.dst_ip WHERE f.imsi IS NULL AND f.type = 'SIP'),
+members AS (SELECT imsi, flow_id, type, min(via) AS via FROM (
   SELECT imsi, flow_id, type, 'imsi' AS via FROM v_flows WHERE imsi IS NOT NULL UNION ALL
   SELECT p.imsi, f.flow_id, f.type, 'teid' FROM v_flows f JOIN profile p ON list_contains(p.teids, f.teid) WHERE f.imsi IS NULL AND f.type = 'GTPU' AND start_time < last_seen + INTERVAL 30 SECOND AND end_time > first_seen - INTERVAL 30 SECOND UNION ALL
-  SELECT p.imsi, f.flow_id, f.type, 'ue_ip' FROM v_flows f JOIN profile p ON p.ue_ip = f.ue_ip WHERE f.imsi IS NULL AND f.type IN ('PFCP', 'GTP') AND start_time < last_seen + INTERVAL 30 SECOND AND end_time > first_seen - INTERVAL 30 SECOND) GROUP BY 1, 2, 3)"""
+  SELECT p.imsi, f.flow_id, f.type, 'ue_ip' FROM v_flows f JOIN profile p ON p.ue_ip = f.ue_ip WHERE f.imsi IS NULL AND f.type IN ('PFCP', 'GTP') AND start_time < last_seen + INTERVAL 30 SECOND AND end_time > first_seen - INTERVAL 30 SECOND UNION ALL
+  SELECT imsi, flow_id, type, 'end' FROM calls UNION ALL
+  SELECT c.imsi, r.flow_id, r.type, 'media' FROM calls c JOIN v_flows r ON r.src_ip = c.media_ip AND r.src_port = c.media_port WHERE r.type = 'RTP' AND r.imsi IS NULL UNION ALL
+  SELECT c.imsi, r.flow_id, r.type, 'media' FROM calls c JOIN v_flows r ON r.dst_ip = c.media_ip AND r.dst_port = c.media_port WHERE r.type = 'RTP' AND r.imsi IS NULL) GROUP BY 1, 2, 3)"""
 named("sessions_imsi", f"WITH {MEMBERS} SELECT * FROM members", c.sessions, "flows")
+SCORE = "round(min(CASE WHEN type = 'RTP' THEN greatest(4.5 - 0.05 * least(packet_loss_pct, 100) - 0.01 * jitter_ms, 1.0) END) * 100) / 100 AS mos"
+QUALITY = "CASE WHEN mos IS NULL THEN NULL WHEN mos >= 4 THEN 'good' WHEN mos >= 3 THEN 'fair' ELSE 'poor' END AS quality"
 named("session_summary", f"""
-WITH {MEMBERS}, e AS (SELECT m.imsi, min(start_time) AS start_time, max(end_time) AS end_time, list_sort(list(DISTINCT f.type)) AS layers, count(*) AS flows, round(min(CASE WHEN f.type = 'RTP' THEN greatest(4.5 - 0.05 * least(packet_loss_pct, 100) - 0.01 * jitter_ms, 1.0) END) * 100) / 100 AS mos
-  FROM members m JOIN v_flows f ON m.flow_id = f.flow_id AND m.type = f.type GROUP BY 1)
-SELECT *, CASE WHEN mos IS NULL THEN NULL WHEN mos >= 4 THEN 'good' WHEN mos >= 3 THEN 'fair' ELSE 'poor' END AS quality, list_has_all(layers, ['NGAP', 'GTP', 'SIP', 'RTP']) AS complete FROM e
+WITH {MEMBERS}, e AS (SELECT imsi, min(start_time) AS start_time, max(end_time) AS end_time, list_sort(list(DISTINCT type)) AS layers, count(*) AS flows, {SCORE}
+  FROM (SELECT m.imsi, f.* EXCLUDE (imsi) FROM members m JOIN v_flows f ON m.flow_id = f.flow_id AND m.type = f.type) GROUP BY 1)
+SELECT *, {QUALITY}, list_has_all(layers, ['NGAP', 'GTP', 'SIP', 'RTP']) AS complete FROM e
 """, lambda f: c.session_summary(f, c.sessions(f)), "flows")
-STEP = "CASE m " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, (s, _) in c.STEPS.items()) + " END"
-STATE = "CASE m " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, (_, s) in c.STEPS.items()) + " END"
-LIFE = f"""{MEMBERS}, life AS (SELECT imsi, step, tick, (epoch_us(tick) - min(epoch_us(tick)) OVER (PARTITION BY imsi)) / 1000 AS delta_ms, state FROM (
-  SELECT m.imsi, {STEP} AS step, {STATE} AS state, min(start_time) AS tick FROM members m JOIN (SELECT *, coalesce(message_type, command, method) AS m FROM v_flows) f ON m.flow_id = f.flow_id AND m.type = f.type WHERE {STEP} IS NOT NULL GROUP BY 1, 2, 3))"""
+named("ims_sessions", f"""
+WITH {MEMBERS}, lone AS (SELECT * FROM v_flows WHERE type = 'SIP' AND flow_id NOT IN (SELECT flow_id FROM members WHERE type = 'SIP')),
+own AS (SELECT flow_id AS call_id, type, start_time, end_time, packet_loss_pct, jitter_ms FROM lone UNION ALL
+  SELECT call_id, type, start_time, end_time, packet_loss_pct, jitter_ms FROM (SELECT DISTINCT s.flow_id AS call_id, r.flow_id, r.type, r.start_time, r.end_time, r.packet_loss_pct, r.jitter_ms FROM lone s JOIN v_flows r ON r.type = 'RTP' AND s.media_ip = r.src_ip AND s.media_port = r.src_port)),
+e AS (SELECT 'ims-' || call_id AS session_id, call_id, min(start_time) AS start_time, max(end_time) AS end_time, count(*) FILTER (type = 'RTP') AS streams, {SCORE} FROM own GROUP BY call_id)
+SELECT *, {QUALITY} FROM e
+""", lambda f: c.ims_sessions(f, c.sessions(f)), "flows")
+NAME = "coalesce(CASE type WHEN 'SIP' THEN method WHEN 'Diameter' THEN command ELSE message_type END, '')"
+STEP = "CASE type " + " ".join(f"WHEN '{k}' THEN CASE {NAME} " + " ".join(f"WHEN '{x}' THEN '{y}'" for x, y in names.items()) + f" ELSE '{c.PREFIXES[k]}' || {NAME} END" for k, names in c.STEPS.items()) + " " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in c.SINGLE.items()) + " END"
+STATE = "CASE step " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, s in c.MILESTONES.items()) + " END"
+LIFE = f"""{MEMBERS}, steps AS (SELECT m.imsi, f.flow_id, {STEP.replace(' type ', ' f.type ')} AS step, start_time AS tick FROM members m JOIN v_flows f ON m.flow_id = f.flow_id AND m.type = f.type),
+begun AS (SELECT imsi, min(tick) AS begun FROM steps WHERE step IS NOT NULL GROUP BY 1),
+life AS (SELECT imsi, step, tick, (epoch_us(tick) - epoch_us(begun)) / 1000 AS delta_ms, state FROM (SELECT imsi, step, {STATE} AS state, min(tick) AS tick FROM steps GROUP BY ALL) JOIN begun USING (imsi) WHERE state IS NOT NULL)"""
+named("session_steps", f"WITH {LIFE} SELECT imsi, flow_id, step, tick AS \"at\" FROM steps WHERE step IS NOT NULL", lambda f: c.session_steps(f, c.sessions(f)), "flows")
 named("session_lifecycle", f"WITH {LIFE} SELECT imsi, step, tick AS \"at\", delta_ms, state FROM life", lambda f: c.lifecycle(f, c.sessions(f)), "flows")
 named("session_state", f"WITH {LIFE} SELECT imsi, last(state ORDER BY tick, step) AS state FROM life GROUP BY 1", lambda f: c.final_state(c.lifecycle(f, c.sessions(f))), "flows")
 NEAR = "a.start_time - INTERVAL 2.5 SECOND < b.end_time + INTERVAL 2.5 SECOND AND b.start_time - INTERVAL 2.5 SECOND < a.end_time + INTERVAL 2.5 SECOND"

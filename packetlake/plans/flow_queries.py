@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import tracker as t
-from .catalog import named
+from .catalog import STATEMENTS, named
 
 KEY = "protocol, ip_a, port_a, ip_b, port_b"
 CANONICAL = """c AS (SELECT *, CASE WHEN rev THEN dst_ip ELSE src_ip END AS ip_a, CASE WHEN rev THEN src_ip ELSE dst_ip END AS ip_b, CAST(CASE WHEN protocol = 'ICMP' THEN 0 WHEN rev THEN dst_port ELSE src_port END AS INT) AS port_a,
@@ -54,7 +54,15 @@ WITH {CANONICAL}, e AS (SELECT {KEY}, arg_min(ttl, frame_number) FILTER (flags &
   arg_min(ttl, frame_number) FILTER (flags & 4 = 0 AND ttl > 0 AND NOT rev) AS fwd, arg_min(ttl, frame_number) FILTER (flags & 4 = 0 AND ttl > 0 AND rev) AS bwd FROM c WHERE protocol = 'TCP' GROUP BY ALL)
 SELECT {KEY}, CASE WHEN base IS NULL THEN 'unknown' WHEN abs(rst - base) >= 5 THEN 'suspicious' ELSE 'genuine' END AS rst_authenticity FROM (SELECT *, CASE WHEN way THEN bwd ELSE fwd END AS base FROM e WHERE rst > 0)
 """, t.resets, "segments")
-named("flow_tracker", None, t.track, "segments")
+PARTS = [STATEMENTS[f"flow_{n}"] for n in ("volume", "handshake", "retrans", "rtt", "rst")] + [STATEMENTS["flow_trend"].replace("2592000", "3600")]
+RTT = "CASE WHEN data_rtt_ms > 0 THEN data_rtt_ms ELSE coalesce(handshake_ms, 0.0) END"
+LOST = "CASE WHEN p <= 0 THEN 0 WHEN p <= 3 THEN CAST(trunc(p / 3 * 30) AS INT) ELSE least(30 + CAST(trunc((p - 3) / 3 * 20) AS INT), 90) END"
+SCORE = f"CAST(CASE WHEN protocol = 'TCP' THEN greatest(0, 100 - CASE WHEN rtt_ms > 0 THEN least(CAST(trunc(rtt_ms / 500 * 40) AS INT), 40) ELSE 0 END - {LOST}) ELSE 100 END AS INT)"
+named("flow_tracker", f"""
+WITH t AS (SELECT *, {RTT} AS rtt_ms, coalesce(loss_pct, 0.0) AS p FROM ({PARTS[0]}) """ + " ".join(f"LEFT JOIN ({x}) USING ({KEY})" for x in PARTS[1:]) + f"""),
+s AS (SELECT * EXCLUDE (p), {SCORE} AS sla_score FROM t)
+SELECT *, CASE WHEN sla_score >= 80 THEN 'good' WHEN sla_score >= 60 THEN 'acceptable' WHEN sla_score >= 40 THEN 'poor' ELSE 'critical' END AS sla_verdict FROM s
+""", t.track, "segments")
 STREAM = "src_ip, src_port, dst_ip, dst_port, ssrc"
 named("rtp_gap", f"""
 SELECT *, round(lost / (packets + lost) * 10000) / 100 AS loss_pct FROM (SELECT {STREAM}, count(*) AS packets, coalesce(max(gap), 0) AS max_seq_gap, CAST(coalesce(sum(gap - 1) FILTER (gap > 1), 0) AS BIGINT) AS lost

@@ -9,6 +9,11 @@ CODE = r"TRY_CAST(regexp_extract(response, '^(?:SIP/2\.0 )?(\d{3})', 1) AS INT)"
 SECONDS = "(epoch_us(end_time) - epoch_us(start_time)) / 1000000.0"
 
 
+#: SQL and thresholds of the rules, by name.
+STATEMENTS: dict[str, str] = {}
+SETTINGS: dict[str, dict] = {}
+
+
 def bands(v: str, *least: tuple[float, str], op: str = ">=") -> str:
     return "CASE " + " ".join(f"WHEN {v} {op} {b} THEN '{s}'" for b, s in sorted(least, reverse=True)) + " END"
 
@@ -16,6 +21,7 @@ def bands(v: str, *least: tuple[float, str], op: str = ">=") -> str:
 def ruled(name: str, protocol: str, severity: str, title: str, source: str, flow_id: str = "NULL", subject: str = "NULL", value: str = "NULL", **settings) -> None:
     sql = f"SELECT '{name}' AS rule, {severity} AS severity, {protocol} AS protocol, {title} AS title, CAST({flow_id} AS STRING) AS flow_id, CAST({subject} AS STRING) AS subject, CAST({value} AS DOUBLE) AS value FROM {source}"
     named(f"rule_{name}", sql, lambda f: d.RULES[name](f, **settings), "flows")
+    STATEMENTS[name], SETTINGS[name] = sql, settings
 
 
 def only(type_: str, more: str = "true", columns: str = "*") -> str:
@@ -95,4 +101,6 @@ ruled("pfcp_drop_rate", "'PFCP'", "'warning'", "'PFCP High DROP Action Rate'", "
 ruled("sbi_error_rate", "'SBI'", "'error'", "'SBI High 5xx Error Rate'", "(SELECT count(*) AS total, sum(CASE WHEN status_code >= 500 THEN 1 ELSE 0 END + error_count) AS n FROM v_flows WHERE type = 'SBI') WHERE n * 5 > total", value="n")
 ruled("gtpu_tunnel_flood", "'GTPU'", "'warning'", "'GTP-U Tunnel Flood'", "(SELECT count(DISTINCT teid) AS n FROM v_flows WHERE type = 'GTPU') WHERE n > 30", value="n", most=30)
 ruled("nf_registration_storm", "'SBI'", "'warning'", "'NF Registration Storm'", "(SELECT count(*) AS n FROM v_flows WHERE type = 'SBI' AND nf_type = 'NRF' AND service_name = 'nnrf-nfm' AND method IN ('PUT', 'POST')) WHERE n > 50", value="n")
-named("alerts_all", None, lambda f: d.run(f, list(d.RULES)), "flows")
+# Here calls are told apart by the whole flow id.
+STATEMENTS["sip_hijack"] = f"SELECT 'sip_hijack' AS rule, 'critical' AS severity, 'SIP' AS protocol, 'SIP Call Hijack: ' || method || ' from unexpected IP ' || src_ip AS title, id AS flow_id, src_ip AS subject, CAST(NULL AS DOUBLE) AS value FROM {HIJACK.replace("split_part(flow_id, '-', 1)", 'flow_id')}"
+named("alerts_all", " UNION ALL ".join(f"SELECT * FROM ({STATEMENTS[n]})" for n in d.RULES), lambda f: d.run(f, list(d.RULES), **SETTINGS), "flows")
