@@ -12,7 +12,7 @@ FLOW = """flow_id string, job_id long, type string, src_ip string, src_port int,
 method string, response string, end_type string, setup_latency_ms double, max_seq_gap long, jitter_ms double, jitter_min_ms double, jitter_max_ms double, jitter_avg_ms double, max_packet_size long, packet_loss_pct double, rtt_ms double,
 retransmissions long, throughput_bps double, query_name string, query_type string, reply_code string, answers array<string>, latency_ms double, command string, result_code long, message_type string, cause_code long,
 tls_version string, cipher_suite string, ja3_hash string, sni string, cert_self_signed boolean, tcp_flags string, rst_authenticity string, imsi string, msisdn string, apn string, ue_ip string, teid string, media_ip string, media_port int,
-auth_failures long, apply_action string, status_code int, error_count long, nf_type string, service_name string"""
+auth_failures long, apply_action string, status_code int, error_count long, nf_type string, service_name string, details map<string,string>"""
 
 
 def columns(schema: str) -> list[tuple[str, str]]:
