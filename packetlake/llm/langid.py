@@ -25,7 +25,7 @@ EVIDENCE = 12
 #: Logs are whole numbers of this part, so that sums don't depend on their order.
 GRAIN = 1 << 20
 #: Words and n-grams that every task gets, the most frequent. The others are joined: this changes no result.
-CACHED = 100_000
+CACHED = 200_000
 UNKNOWN = "und"
 
 
@@ -210,10 +210,10 @@ def backed_off(words: DataFrame, model: Model) -> DataFrame:
 
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
-    """(k1, k2, doc_id, same, lang_pred, score): for ``same`` rows of a document each."""
+    """(k2, doc_id, same, lang_pred, score): by hash of the text and id, for ``same`` rows of a document each."""
     spark = docs.sparkSession
-    k1, k2 = document_keys(F.col("doc_id"), F.col("text"))
-    keys = [k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long").alias("doc_id")]
+    _, k2 = document_keys(F.col("doc_id"), F.col("text"))
+    keys = [k2.alias("k2"), F.col("doc_id").cast("long").alias("doc_id")]
     if not model.langs:
         return docs.select(*keys, F.lit(1).cast("long").alias("same"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     own = [f"l{i}" for i in range(len(model.langs))]
@@ -245,20 +245,20 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
             number += len(lengths)
             at = pa.array(np.repeat(np.arange(len(lengths)), lengths))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k).take(at) for k in ("k1", "k2", "doc_id")], pa.array(row), pa.array(words, pa.string()), pa.array(times, pa.int64()), pa.array(is_first), *[pa.array(sums[:, j]) for j in range(len(own))]],
-                ["k1", "k2", "doc_id", "row", "word", "times", "first", *[f"s{j}" for j in range(len(own))]],
+                [*[batch.column(k).take(at) for k in ("k2", "doc_id")], pa.array(row), pa.array(words, pa.string()), pa.array(times, pa.int64()), pa.array(is_first), *[pa.array(sums[:, j]) for j in range(len(own))]],
+                ["k2", "doc_id", "row", "word", "times", "first", *[f"s{j}" for j in range(len(own))]],
             )
 
-    rows = _texts(docs, *keys).mapInArrow(run, "k1 long, k2 long, doc_id long, row long, word string, times long, first boolean, " + ", ".join(f"s{j} long" for j in range(len(own))))
+    rows = _texts(docs, *keys).mapInArrow(run, "k2 long, doc_id long, row long, word string, times long, first boolean, " + ", ".join(f"s{j} long" for j in range(len(own))))
     met = rows.join(others, "word", "left")
     add = lambda c: F.sum(F.col(f"s{c[1:]}") + F.when(F.col("first"), 0).otherwise(F.col("times") * F.coalesce(c, F.lit(0)))).alias(c)
-    each = met.groupBy("k1", "k2", "doc_id", "row").agg(F.sum(F.col("first").cast("long")).alias("same"), F.sum(F.when(F.col("first"), F.col("times")).otherwise(0)).alias("n"), *[add(c) for c in own])
+    each = met.groupBy("k2", "doc_id", "row").agg(F.sum(F.col("first").cast("long")).alias("same"), F.sum(F.when(F.col("first"), F.col("times")).otherwise(0)).alias("n"), *[add(c) for c in own])
     mean = F.array(*[F.col(c) / F.greatest("n", F.lit(1)) * F.least(F.col("n") / F.col("same"), F.lit(EVIDENCE)) / GRAIN for c in own])
     best = F.array_max("mean")
     lang = F.get(F.array(*[F.lit(lang) for lang in model.langs]), (F.array_position("mean", best) - 1).cast("int"))
     posterior = 1 / F.aggregate("mean", F.lit(0.0), lambda a, x: a + F.exp(x - best))
     none = F.col("n") == 0
-    return each.withColumn("mean", mean).select("k1", "k2", "doc_id", "same", F.when(none, UNKNOWN).otherwise(lang).alias("lang_pred"), F.when(none, 0.0).otherwise(posterior).alias("score"))
+    return each.withColumn("mean", mean).select("k2", "doc_id", "same", F.when(none, UNKNOWN).otherwise(lang).alias("lang_pred"), F.when(none, 0.0).otherwise(posterior).alias("score"))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -283,7 +283,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
     a, b = fresh(docs, "_k1", "_k2")
     k1, k2 = document_keys(docs["doc_id"], docs["text"])
     rejected = predictions(docs, model).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
-    gone = broadcast_if_small(cut(rejected.select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()))
+    gone = broadcast_if_small(cut(rejected.select(document_keys(F.col("doc_id"), F.lit(""))[0].alias(a), F.col("k2").alias(b)).distinct()))
     return docs.withColumns({a: k1, b: k2}).join(gone, [a, b], "left_anti").select(*docs.columns)
 
 
