@@ -36,7 +36,7 @@ GRAIN = 2.0**-24
 #: Ids whose windows are held at once; a multiple of STEP.
 HELD = STEP * 10_000
 #: Words whose counts every task gets, the most frequent; the others are joined.
-FREQUENT = 100_000
+FREQUENT = 200_000
 SMOOTH = 0.1
 #: A float's exponent starts at this bit, and 1.0 is that many of them.
 UNIT, ZERO = 1 << 23, np.float32(127 << 23)
@@ -133,8 +133,8 @@ class Attention:
         np.clip(s, -60 * UNIT, 60 * UNIT, out=s)
         s += ZERO
         p = power(s)
-        slope = slopes(p) if sloped else p
         p *= self.below
+        slope = slopes(p) if sloped else p
         a = np.matmul(p, v)
         total = a[..., WIDTH:]
         a = a[..., :WIDTH] / total
@@ -161,10 +161,10 @@ class Attention:
         odds = c["odds"]
         goal = np.arange(0, odds.size, odds.shape[1]) + self.of.take(targets.ravel())
         dz = slopes(odds)
-        own = weight * dz.ravel().take(goal) / odds.ravel().take(goal)
-        dz *= (weight / c["sum"])[:, None]
-        dz.ravel()[goal] -= own
+        dz.ravel()[goal] -= dz.ravel().take(goal) / odds.ravel().take(goal) * c["sum"]
+        weight = (weight / c["sum"])[:, None]
         du = dz @ w["out"].T
+        du *= weight
         du /= c["bent"]
         du /= c["bent"]
         du = du.reshape(n, STEP, WIDTH)
@@ -173,7 +173,6 @@ class Attention:
         np.negative(np.einsum("nij,nij->ni", da[..., :WIDTH], c["a"]), out=da[..., WIDTH])
         ds = np.matmul(da, c["v"].transpose(0, 2, 1))
         ds *= c["slope"]
-        ds *= self.below * np.float32(SCALE / UNIT)
         back = np.empty((n, WINDOW, 2 * KEY + 2 * WIDTH), np.float32)
         back[:, :CONTEXT, :KEY] = 0
         back[:, :CONTEXT, -WIDTH:] = 0
@@ -181,7 +180,11 @@ class Attention:
         back[..., KEY : 2 * KEY] = np.matmul(ds.transpose(0, 2, 1), c["ask"])
         back[..., 2 * KEY : -WIDTH] = np.matmul(c["p"].transpose(0, 2, 1), da[..., :WIDTH])
         back[:, CONTEXT:, -WIDTH:] = du
-        return {"position": back.sum(axis=0) @ w["project"].T, "project": c["x"].reshape(-1, WIDTH).T @ back.reshape(n * WINDOW, -1), "out": c["h"].T @ dz}
+        total = (np.ones(n, np.float32) @ back.reshape(n, -1)).reshape(WINDOW, -1)
+        project = c["x"].reshape(-1, WIDTH).T @ back.reshape(n * WINDOW, -1)
+        for x in (total, project):
+            x[:, : 2 * KEY] *= SCALE / UNIT
+        return {"position": total @ w["project"].T, "project": project, "out": (c["h"] * weight).T @ dz}
 
     def fit(self, windows: np.ndarray, targets: np.ndarray, counted: np.ndarray, past: dict[str, np.ndarray]) -> None:
         """One pass of Adagrad over the windows, in their order; ``past`` goes on from the passes before."""
