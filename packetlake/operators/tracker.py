@@ -156,16 +156,33 @@ def rtp_gaps(packets: DataFrame) -> DataFrame:
     return each.withColumn("loss_pct", F.round(F.col("lost") / (F.col("packets") + F.col("lost")) * 10000) / 100)
 
 
-def rtp_jitter(packets: DataFrame) -> DataFrame:
+#: Steps that are folded together: (15/16)**4096 is below 1e-114, so of what came before a run's predecessor nothing is left in a double.
+RUN = 4096
+
+
+def rtp_jitter(packets: DataFrame, run: int = RUN) -> DataFrame:
     """A row per RTP stream: the running interarrival jitter at its end, its extremes and its mean.
 
     J += (|arrival step in ms - timestamp step in ticks| - J) / 16, in order: a fold over the stream's
-    steps, without Python. Steps are made before they are gathered, so the fold holds a double a packet.
+    steps, without Python. A stream is folded in runs of ``run`` steps, each from where the one before it
+    ends, so an array holds one run and never a stream; the windows share one exchange and spill.
+    ``run`` should not be below 1024: a run starts from its predecessor's own fold.
     """
     order = Window.partitionBy(*STREAM).orderBy("frame_number")
     ticks = F.pmod(F.col("rtp_time") - F.lag("rtp_time").over(order), F.lit(WRAP))
     step = F.abs((micros("timestamp") - F.lag(micros("timestamp")).over(order)) / 1000.0 - ticks)
-    steps = packets.withColumn("d", F.coalesce(step, F.lit(0.0))).groupBy(*STREAM).agg(F.array_sort(F.collect_list(F.struct("frame_number", "d")))["d"].alias("d"))
+    steps = packets.withColumns({"d": F.coalesce(step, F.lit(0.0)), "run": F.floor((F.row_number().over(order) - 1) / run)})
+    gathered = F.array_sort(F.collect_list(F.struct("frame_number", "d")))["d"]
+    runs = steps.groupBy(*STREAM, "run").agg(gathered.alias("d"))
+    end = F.aggregate("d", F.lit(0.0), lambda j, d: j + (d - j) / 16)
+    before = F.lag("end", 1, 0.0).over(Window.partitionBy(*STREAM).orderBy("run"))
+    runs = runs.withColumn("end", end).withColumn("before", before)
     zero = F.lit(0.0)
-    run = F.aggregate("d", F.struct(zero.alias("j"), F.lit(None).cast("double").alias("low"), zero.alias("high"), zero.alias("sum")), lambda a, d: (lambda j: F.struct(j.alias("j"), F.least(a["low"], j).alias("low"), F.greatest(a["high"], j).alias("high"), (a["sum"] + j).alias("sum")))(a["j"] + (d - a["j"]) / 16))
-    return steps.withColumn("r", run).select(*STREAM, rounded(F.col("r.j"), 3).alias("jitter"), rounded(F.col("r.low"), 3).alias("jitter_min"), rounded(F.col("r.high"), 3).alias("jitter_max"), rounded(F.col("r.sum") / F.size("d"), 3).alias("jitter_avg"))
+    start = F.struct(F.col("before").alias("j"), F.lit(None).cast("double").alias("low"), zero.alias("high"), zero.alias("sum"))
+    add = lambda a, j: F.struct(j.alias("j"), F.least(a["low"], j).alias("low"), F.greatest(a["high"], j).alias("high"), (a["sum"] + j).alias("sum"))
+    folded = runs.withColumn("r", F.aggregate("d", start, lambda a, d: add(a, a["j"] + (d - a["j"]) / 16)))
+    each = folded.groupBy(*STREAM).agg(
+        F.max_by("r.j", "run").alias("j"), F.min("r.low").alias("low"), F.max("r.high").alias("high"), F.sum("r.sum").alias("sum"), F.sum(F.size("d")).alias("n"),
+    )
+    shown = {"jitter": F.col("j"), "jitter_min": F.col("low"), "jitter_max": F.col("high"), "jitter_avg": F.col("sum") / F.col("n")}
+    return each.select(*STREAM, *[rounded(c, 3).alias(name) for name, c in shown.items()])

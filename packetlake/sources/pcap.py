@@ -49,8 +49,10 @@ def _blocks(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             return
         if kind == 1:
             links.append((struct.unpack_from(f"{order}H", data, at + 8)[0], _resolution(data[at + 16 : at + size - 4], order)))
-        elif kind == 6 and links:
+        elif kind == 6:
             interface, high, low, kept, _ = struct.unpack_from(f"{order}5I", data, at + 8)
+            if interface >= len(links):
+                raise ValueError("packet of an interface that is not described")
             link, per_second = links[interface]
             yield (high << 32 | low) * 1_000_000 // per_second, link, data[at + 28 : at + 28 + kept]
         at += size
@@ -107,6 +109,20 @@ def parse(micros: int, link: int, frame: bytes) -> tuple | None:
     return micros, str(ipaddress.ip_address(src)), str(ipaddress.ip_address(dst)), sport, dport, name, len(frame), payload, len(payload), seq, ack, flags, ttl, ip_id, frame
 
 
+#: What a file that is no capture, or stops being one, raises.
+BROKEN = (ValueError, IndexError, struct.error)
+#: Bytes that a row can hold.
+LARGEST_FILE = (1 << 31) - 1
+
+
+def _readable(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """The frames up to where a file can't be read further; ``capture_files`` tells why."""
+    try:
+        yield from frames(data)
+    except BROKEN:
+        return
+
+
 def _parsed(files: DataFrame, job_id: int) -> DataFrame:
     """The IP packets of capture files of (path, content)."""
     names = [c.split()[0] for c in " ".join(PACKET.split()).split(", ")]
@@ -119,7 +135,7 @@ def _parsed(files: DataFrame, job_id: int) -> DataFrame:
         for b in batches:
             for file, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 rows = []
-                for number, (micros, link, frame) in enumerate(frames(data.as_py()), 1):
+                for number, (micros, link, frame) in enumerate(_readable(data.as_py()), 1):
                     if found := parse(micros, link, frame):
                         rows.append((job_id, number, *found, file))
                     if len(rows) == BATCH:
@@ -131,13 +147,44 @@ def _parsed(files: DataFrame, job_id: int) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, f"{PACKET}, file string")
 
 
+def _captures(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap*").option("recursiveFileLookup", "true").load(path)
+
+
 def read_pcap(spark: SparkSession, path: str, job_id: int = 0) -> DataFrame:
     """The IP packets of all captures under ``path``, numbered from 1 in each file.
 
     Files are read by Spark from any store it reaches and parsed in the tasks, one file at a time; a
-    capture to be read in parallel comes as many files. ``file`` names the file.
+    capture to be read in parallel comes as many files. ``file`` names the file. A file that is no
+    capture gives no packets, one that breaks off those before the break, one larger than a row can
+    hold none: ``capture_files`` lists them, and the other files' packets are whole.
     """
-    return _parsed(spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap*").option("recursiveFileLookup", "true").load(path), job_id)
+    return _parsed(_captures(spark, path).where(F.col("length") <= LARGEST_FILE), job_id)
+
+
+def capture_files(spark: SparkSession, path: str, largest: int = LARGEST_FILE) -> DataFrame:
+    """(file, length, frames, error) of each file under ``path``; null error: it was read to its end.
+
+    A file of more than ``largest`` bytes isn't opened; empty ones aren't listed, as Spark's file source passes
+    over them. An error is for the caller to act on (refuse the
+    upload, split the file); nothing is dropped in silence.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, length, data in zip(b.column("path"), b.column("length"), b.column("content"), strict=True):
+                n, error = 0, None
+                try:
+                    for _ in frames(data.as_py()):
+                        n += 1
+                except BROKEN as e:
+                    error = str(e) or type(e).__name__
+                yield pa.RecordBatch.from_arrays([pa.array([file.as_py()]), pa.array([length.as_py()]), pa.array([n]), pa.array([error], pa.string())], ["file", "length", "frames", "error"])
+
+    schema = "file string, length long, frames long, error string"
+    files = _captures(spark, path)
+    opened = files.where(F.col("length") <= largest).select("path", "length", "content").mapInArrow(run, schema)
+    return opened.unionByName(files.where(F.col("length") > largest).select(F.col("path").alias("file"), "length", F.lit(None).cast("long").alias("frames"), F.lit("larger than allowed").alias("error")))
 
 
 def stream_pcap(spark: SparkSession, path: str, job_id: int = 0, files_per_batch: int = 100) -> DataFrame:

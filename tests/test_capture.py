@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packetlake.operators import decoders, detect
 from packetlake.sources import wire
-from packetlake.sources.pcap import read_pcap
+from packetlake.sources.pcap import capture_files, read_pcap
 
 T0 = dt.datetime(2024, 1, 1, 10, tzinfo=dt.timezone.utc).timestamp()
 
@@ -157,3 +157,19 @@ def test_dns_answers_and_tls_hello(spark, tmp_path):
     d = decoders.dns(packets).first()
     assert (d.query_name, d.latency_ms, d.reply_code, d.answers, d.is_error) == ("a.b.c", 50.0, "NOERROR", ["a.example.com", "1.2.3.4"], False)
     assert packets.where(F.col("protocol") == "UDP").count() == 2
+
+
+def test_files_that_are_no_captures_are_listed_and_the_others_read(spark, tmp_path):
+    one = [(0, frame("10.0.0.1", "10.0.0.2", 1000, 2000, b"x")), (1, frame("10.0.0.1", "10.0.0.2", 1000, 2000, b"y"))]
+    (tmp_path / "good.pcap").write_bytes(pcap(one))
+    (tmp_path / "text.pcap").write_bytes(b"no capture at all, but some bytes of text")
+    (tmp_path / "empty.pcap").write_bytes(b"")
+    lost = pcapng(one)
+    at = lost.index(struct.pack("<I", 6), 28)
+    (tmp_path / "lost.pcapng").write_bytes(lost[: at + 8] + struct.pack("<I", 9) + lost[at + 12 :])
+    found = {r.file.rsplit("/", 1)[1]: r for r in capture_files(spark, str(tmp_path)).collect()}
+    assert {f: r.frames for f, r in found.items()} == {"good.pcap": 2, "text.pcap": 0, "lost.pcapng": 0}  # the file source passes over empty files
+    assert [f for f, r in found.items() if r.error is None] == ["good.pcap"]
+    assert Counter(r.file.rsplit("/", 1)[1] for r in read_pcap(spark, str(tmp_path)).collect()) == {"good.pcap": 2}
+    limited = capture_files(spark, str(tmp_path), largest=10).where("length > 10").collect()
+    assert len(limited) == 3 and all(r.error == "larger than allowed" and r.frames is None for r in limited)

@@ -102,3 +102,18 @@ def test_dispatch_by_severity(spark):
     found = spark.createDataFrame([("a", "info"), ("b", "error"), ("c", "critical")], "rule string, severity string")
     got = sorted((r.rule, r.target) for r in detect.dispatch(found, spark.createDataFrame([("all", "info"), ("few", "critical")], "name string, min_severity string")).collect())
     assert got == [("a", "all"), ("b", "all"), ("c", "all"), ("c", "few")]
+
+
+def test_jitter_in_runs_is_that_of_the_whole_stream(spark):
+    rows = [(i, i * 21 + (i * 7919) % 13, i * 160 % (1 << 32)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "frame_number long, ms long, rtp_time long").select(
+        F.lit("a").alias("src_ip"), F.lit(1).alias("src_port"), F.lit("b").alias("dst_ip"), F.lit(2).alias("dst_port"), F.lit(7).alias("ssrc"), "frame_number", "rtp_time", F.timestamp_millis("ms").alias("timestamp")
+    )
+    j, every = 0.0, []
+    for k, (_, ms, ticks) in enumerate(rows):
+        d = abs((ms - rows[k - 1][1]) - (ticks - rows[k - 1][2])) if k else 0.0
+        j += (d - j) / 16
+        every.append(j)
+    for run in (1024, 4096, 10_000):
+        r = tracker.rtp_jitter(df, run).first()
+        assert (r.jitter, r.jitter_min, r.jitter_max, r.jitter_avg) == pytest.approx((every[-1], min(every), max(every), sum(every) / len(every)), abs=1e-3)
