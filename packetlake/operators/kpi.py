@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,15 +14,26 @@ def _status(value: Column, warning: Column, critical: Column) -> Column:
     return F.when(critical, "critical").when(warning, "warning").otherwise("good")
 
 
-def share(condition: Column) -> Column:
-    """Percent of rows, null where there is none."""
-    return 100.0 * F.sum(F.when(condition, 1).otherwise(0)) / F.when(F.count("*") > 0, F.count("*"))
+def share(condition: Column, of: Column | None = None) -> Column:
+    """Percent of rows, or of those ``of`` holds for; null where there is none."""
+    own, n = (condition, F.count("*")) if of is None else (of & condition, F.count_if(of))
+    return 100.0 * F.sum(F.when(own, 1).otherwise(0)) / F.when(n > 0, n)
+
+
+#: Name, unit, aggregate, value and status where it is null, tests for a warning and for a critical status.
+Indicator = tuple[str, str, Column, float, str, Callable, Callable]
 
 
-def _row(df: DataFrame, name: str, unit: str, value: Column, empty: float, empty_status: str, warning, critical) -> DataFrame:
-    out = df.agg(value.alias("v"))
-    v = F.col("v")
-    return out.select(F.lit(name).alias("name"), rounded(F.coalesce(v, F.lit(float(empty)))).alias("value"), F.lit(unit).alias("unit"), F.when(v.isNull(), empty_status).otherwise(_status(v, warning(v), critical(v))).alias("status"))
+def rows(df: DataFrame, *indicators: Indicator) -> DataFrame:
+    """(name, value, unit, status): a row per indicator, all of one aggregate over ``df``."""
+    found = df.agg(*[i[2].cast("double").alias(f"v{k}") for k, i in enumerate(indicators)])
+    shown = []
+    for k, (name, unit, _, empty, empty_status, warning, critical) in enumerate(indicators):
+        v = F.col(f"v{k}")
+        status = F.when(v.isNull(), empty_status).otherwise(_status(v, warning(v), critical(v)))
+        value = rounded(F.coalesce(v, F.lit(float(empty))))
+        shown.append(F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(unit).alias("unit"), status.alias("status")))
+    return found.select(F.inline(F.array(*shown)))
 
 
 def low(warning: float, critical: float) -> tuple:
@@ -31,50 +44,75 @@ def high(warning: float, critical: float) -> tuple:
     return (lambda v: v > warning), (lambda v: v > critical)
 
 
+def of_calls() -> dict[str, Indicator]:
+    score = F.avg(F.when(F.col("mos") > 0, F.col("mos")))
+    return {
+        "setup": ("Call Setup Success Rate", "%", share(~F.col("quality").isin("", "Failed")), 0, "warning", *low(95, 90)),
+        "drop": ("Call Drop Rate", "%", share(F.col("end_type").isin("abnormal", "dropped")), 0, "good", *high(2, 5)),
+        "mos": ("Average MOS", "score", score, 0, "warning", *low(3.5, 3.0)),
+    }
+
+
+def accepted_share(type_: str, accepted: int) -> Indicator:
+    cause = F.coalesce(F.col("cause_code"), F.lit(accepted)).isin(0, accepted)
+    return f"{type_} Success Rate", "%", share(cause, F.col("type") == type_), 100, "good", *low(98, 95)
+
+
+def of_flows() -> dict[str, Indicator]:
+    kind = F.col("type")
+    setup = F.avg(F.when((kind == "SIP") & (F.col("setup_latency_ms") > 0), F.col("setup_latency_ms") / 1000))
+    latency = F.avg(F.when((kind == "DNS") & (F.col("latency_ms") > 0), F.col("latency_ms")))
+    judged = (kind == "Diameter") & F.col("result_code").isNotNull()
+    return {
+        "setup_time": ("Average Setup Time", "s", setup, 0, "good", *high(3, 6)),
+        "dns": ("DNS Success Rate", "%", share(F.col("reply_code").isin("NOERROR", ""), kind == "DNS"), 100, "good", *low(98, 95)),
+        "dns_latency": ("DNS Average Latency", "ms", latency, 0, "good", *high(100, 500)),
+        "diameter": ("Diameter Success Rate", "%", share(F.col("result_code").between(2001, 2002), judged), 100, "good", *low(98, 95)),
+        "gtp": accepted_share("GTP", 16),
+        "pfcp": accepted_share("PFCP", 1),
+        "protocols": ("Active Protocols", "count", F.count_distinct("type"), 0, "good", *low(-1, -1)),
+    }
+
+
 def call_setup_success(calls: DataFrame) -> DataFrame:
-    return _row(calls, "Call Setup Success Rate", "%", share(~F.col("quality").isin("", "Failed")), 0, "warning", *low(95, 90))
+    return rows(calls, of_calls()["setup"])
 
 
 def call_drop_rate(calls: DataFrame) -> DataFrame:
-    return _row(calls, "Call Drop Rate", "%", share(F.col("end_type").isin("abnormal", "dropped")), 0, "good", *high(2, 5))
+    return rows(calls, of_calls()["drop"])
 
 
 def average_mos(calls: DataFrame) -> DataFrame:
-    return _row(calls, "Average MOS", "score", F.avg(F.when(F.col("mos") > 0, F.col("mos"))), 0, "warning", *low(3.5, 3.0))
+    return rows(calls, of_calls()["mos"])
 
 
 def setup_time(flows: DataFrame) -> DataFrame:
-    own = F.when((F.col("type") == "SIP") & (F.col("setup_latency_ms") > 0), F.col("setup_latency_ms") / 1000)
-    return _row(flows, "Average Setup Time", "s", F.avg(own), 0, "good", *high(3, 6))
+    return rows(flows, of_flows()["setup_time"])
 
 
 def dns_success(flows: DataFrame) -> DataFrame:
-    return _row(flows.where("type = 'DNS'"), "DNS Success Rate", "%", share(F.col("reply_code").isin("NOERROR", "")), 100, "good", *low(98, 95))
+    return rows(flows.where("type = 'DNS'"), of_flows()["dns"])
 
 
 def dns_latency(flows: DataFrame) -> DataFrame:
-    return _row(flows.where("type = 'DNS'"), "DNS Average Latency", "ms", F.avg(F.when(F.col("latency_ms") > 0, F.col("latency_ms"))), 0, "good", *high(100, 500))
+    return rows(flows.where("type = 'DNS'"), of_flows()["dns_latency"])
 
 
 def diameter_success(flows: DataFrame) -> DataFrame:
-    return _row(flows.where("type = 'Diameter' and result_code is not null"), "Diameter Success Rate", "%", share(F.col("result_code").between(2001, 2002)), 100, "good", *low(98, 95))
+    return rows(flows.where("type = 'Diameter'"), of_flows()["diameter"])
 
 
 def cause_success(flows: DataFrame, type_: str, accepted: int) -> DataFrame:
-    return _row(flows.where(F.col("type") == type_), f"{type_} Success Rate", "%", share(F.coalesce("cause_code", F.lit(accepted)).isin(0, accepted)), 100, "good", *low(98, 95))
+    return rows(flows.where(F.col("type") == type_), accepted_share(type_, accepted))
 
 
 def active_protocols(flows: DataFrame) -> DataFrame:
-    return _row(flows, "Active Protocols", "count", F.count_distinct("type").cast("double"), 0, "good", *low(-1, -1))
+    return rows(flows, of_flows()["protocols"])
 
 
 def all_kpis(flows: DataFrame, calls: DataFrame) -> DataFrame:
-    """The ten indicators, a row each."""
-    rows = [call_setup_success(calls), call_drop_rate(calls), average_mos(calls), setup_time(flows), dns_success(flows), dns_latency(flows), diameter_success(flows), cause_success(flows, "GTP", 16), cause_success(flows, "PFCP", 1), active_protocols(flows)]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """The ten indicators, a row each: one pass over the calls and one over the flows."""
+    return rows(calls, *of_calls().values()).unionByName(rows(flows, *of_flows().values()))
 
 
 def analyse_calls(calls: DataFrame, legs: DataFrame) -> DataFrame:
