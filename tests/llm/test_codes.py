@@ -36,8 +36,8 @@ def whole(v):
 @pytest.mark.parametrize(("n", "dims"), [(300, 32), (40, 16), (90, 21), (70, 3)])
 def test_equals_plain_rounds(spark, n, dims):
     rng = random.Random(n)
-    common = [rng.choice([-1, 0, 0.5]) for _ in range(dims)]
-    rows = [(rng.randrange(500), rng.choice([1, 2, None]), common if rng.random() < 0.3 else [rng.choice([-0.5, 0, 0.25, rng.uniform(-1, 1)]) for _ in range(dims)], str(k), k) for k in range(n)] + [(None, 1, common, str(n), n)]
+    common = [rng.choice([-1.0, 0.0, 0.5]) for _ in range(dims)]
+    rows = [(rng.randrange(500), rng.choice([1, 2, None]), common if rng.random() < 0.3 else [rng.choice([-0.5, 0.0, 0.25, rng.uniform(-1, 1)]) for _ in range(dims)], str(k), k) for k in range(n)] + [(None, 1, common, str(n), n)]
     bad = [(0, 1, None, "", -1), (1, 1, [*common[:-1], None], "", -1), (2, 1, [*common[:-1], float("nan")], "", -1), (3, 1, [float("-inf"), *common[1:]], "", -1)]
     coded, books = compress(spark.createDataFrame(rows + bad, SCHEMA))
     want, want_books = plain([(r[0], whole(r[2])) for r in rows])
