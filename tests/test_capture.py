@@ -173,3 +173,67 @@ def test_files_that_are_no_captures_are_listed_and_the_others_read(spark, tmp_pa
     assert Counter(r.file.rsplit("/", 1)[1] for r in read_pcap(spark, str(tmp_path)).collect()) == {"good.pcap": 2}
     limited = capture_files(spark, str(tmp_path), largest=10).where("length > 10").collect()
     assert len(limited) == 3 and all(r.error == "larger than allowed" and r.frames is None for r in limited)
+
+
+def exchange(n=40):
+    """A connection with four requests, and other traffic: frames of one capture in order of time."""
+    a, b = ("10.0.0.1", "10.0.0.2", 4000, 80), ("10.0.0.2", "10.0.0.1", 80, 4000)
+    rows, seq, ack = [], 1, 1
+    for i in range(n):
+        asked = f"GET /{i} HTTP/1.1\r\n\r\n".encode()
+        told = f"HTTP/1.1 {(200, 404, 500, 201)[i % 4]} x\r\nContent-Length: {i}\r\n\r\n".encode() + bytes(i)
+        rows += [(i, frame(*a, asked, 6, 24, seq, ack)), (i + 0.1, bytes(12) + b"\x08\x06" + bytes(30)), (i + 0.5, frame(*b, told[:20], 6, 24, ack, seq + len(asked))), (i + 0.6, frame(*b, told[20:], 6, 24, ack + 20, seq + len(asked)))]
+        rows += [(i + 0.7, frame("10.0.0.1", "10.0.0.2", 5000, 6000, rtp_packet(i, 9)))]
+        seq, ack = seq + len(asked), ack + len(told)
+    return rows
+
+
+def shown(packets):
+    return sorted(map(str, packets.drop("file").collect()))
+
+
+@pytest.mark.parametrize("write", [pcap, pcapng])
+def test_any_part_size_gives_what_a_sequential_reader_gives(spark, tmp_path, write):
+    rows = exchange(12)
+    inner = pcap([(i / 10, frame("9.9.9.9", "8.8.8.8", 1, 2, b"inner")) for i in range(30)])  # a capture that a packet carries
+    rows = sorted([*rows, (5.05, frame("10.0.0.3", "10.0.0.4", 21, 22, inner + pcapng([(0, frame("9.9.9.9", "8.8.8.8", 1, 2, b"inner"))] * 20)))], key=lambda r: r[0])
+    data = write(rows) if write is pcap else write(rows[:20]) + write(rows[20:])  # two sections
+    (tmp_path / "x.pcap").write_bytes(data + b"\x01\x02\x03")
+    want = shown(read_pcap(spark, str(tmp_path)))
+    assert len(want) == 12 * 4 + 1
+    for size in (37, 100, 333, 1000, len(data) - 1):
+        assert shown(read_pcap(spark, str(tmp_path), part_size=size)) == want, size
+        assert [r.frames for r in capture_files(spark, str(tmp_path), part_size=size).collect()] == [len(rows)]
+
+
+@pytest.mark.parametrize("deal", [lambda i, n: i * 3 // n, lambda i, n: i % 2, lambda i, n: (i * 7919) % 3])
+def test_several_files_are_one_capture(spark, tmp_path, deal):
+    from packetlake.operators import reassembly, tracker
+
+    rows = exchange(8)
+    for folder in ("one", "more"):
+        (tmp_path / folder).mkdir()
+    (tmp_path / "one" / "x.pcap").write_bytes(pcap(rows))
+    files = {}
+    for i, r in enumerate(rows):
+        files.setdefault(deal(i, len(rows)), []).append(r)
+    for k, part in files.items():
+        (tmp_path / "more" / f"{9 - k}.pcap").write_bytes(pcap(part))
+    one, more = (read_pcap(spark, str(tmp_path / f)).cache() for f in ("one", "more"))
+    assert shown(more) == shown(one)
+    for made in (lambda p: decoders.decode(p, ["http", "rtp", "transport"]), tracker.track, reassembly.messages):
+        assert shown(made(more)) == shown(made(one))
+    latency = {r.flow_id: (r.status_code, r.latency_ms) for r in decoders.http(reassembly.with_messages(more)).collect()}
+    assert latency["http-1"] == (200, 600.0) and {x[1] for x in latency.values()} == {600.0}
+
+
+def test_files_that_only_spark_reaches_come_whole(spark, tmp_path, monkeypatch):
+    from packetlake.sources import pcap as module
+
+    rows = exchange(5)
+    for k in range(2):
+        (tmp_path / f"{k}.pcap").write_bytes(pcap(rows[k::2]))
+    want = shown(read_pcap(spark, str(tmp_path)))
+    monkeypatch.setattr(module, "can_split", lambda path: False)
+    assert shown(read_pcap(spark, str(tmp_path))) == want
+    assert {r.frames for r in capture_files(spark, str(tmp_path)).collect()} == {12, 13}
