@@ -8,12 +8,15 @@ grouping, windows and joins. Each decoder returns rows of the flow schema.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quality import rtp_score, verdict
 from ..schemas import conform
+from ..session import stored
 from ..sources import messages, names, wire
 from . import reassembly, tracker
 
@@ -28,6 +31,22 @@ S1AP_PROCEDURES = {0: "HandoverPreparation", 1: "HandoverResourceAllocation", 5:
 NGAP_PROCEDURES = {4: "DownlinkNASTransport", 14: "InitialContextSetup", 15: "InitialUEMessage", 21: "NGSetup", 24: "Paging", 29: "PDUSessionResourceSetup", 41: "UEContextRelease", 46: "UplinkNASTransport"}
 
 
+def message_id(frame: str, part: str) -> Column:
+    """The frame's number, and after a dot the message's place in it where it isn't the first."""
+    return F.concat_ws(".", F.col(frame).cast("string"), F.when(F.col(part) > 0, F.col(part).cast("string")))
+
+
+def placed(decoder: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """The decoder over packets with ``part`` (0 where they have none) and ``place``, the order of messages in a job."""
+
+    @wraps(decoder)
+    def over(packets: DataFrame) -> DataFrame:
+        out = packets if "part" in packets.columns else packets.withColumn("part", F.lit(0))
+        return decoder(out.withColumn("place", F.shiftleft("frame_number", 20) + F.col("part")))
+
+    return over
+
+
 def text(payload: str = "payload") -> Column:
     return F.decode(F.col(payload), "ISO-8859-1")
 
@@ -80,6 +99,7 @@ def parsed(packets: DataFrame, parse: Callable[[bytes], tuple | None], fields: s
     return packets.select(*kept, "payload").mapInArrow(run, schema)
 
 
+@placed
 def sip(packets: DataFrame) -> DataFrame:
     """A flow per Call-ID: first request, last status line, media endpoint, setup time. Its ports are zero."""
     t = text()
@@ -88,21 +108,21 @@ def sip(packets: DataFrame) -> DataFrame:
     own = packets.where((F.length("payload") > 12) & upper).withColumn("t", t).where(F.col("t").rlike(start))
     header = lambda name: F.trim(F.regexp_extract("t", rf"(?im)^(?:{name})\s*:\s*([^\r\n]*)", 1))
     some = lambda c: F.when(c != "", c)
-    each = own.select("job_id", "frame_number", "timestamp", "src_ip", "dst_ip", header("call-id|i").alias("call_id"), some(F.regexp_extract("t", rf"^({'|'.join(SIP_METHODS)}) ", 1)).alias("method"), some(F.regexp_extract("t", r"^(SIP/2\.0 [^\r\n]*)", 1)).alias("response"),
+    each = own.select("job_id", "place", "timestamp", "src_ip", "dst_ip", header("call-id|i").alias("call_id"), some(F.regexp_extract("t", rf"^({'|'.join(SIP_METHODS)}) ", 1)).alias("method"), some(F.regexp_extract("t", r"^(SIP/2\.0 [^\r\n]*)", 1)).alias("response"),
                       some(F.regexp_extract("t", r"(?m)^c=IN IP[46] ([^\r\n ]+)", 1)).alias("media_ip"), some(F.regexp_extract("t", r"(?m)^m=audio (\d+)", 1)).cast("int").alias("media_port"),
                       some(header("from|f")).alias("from_uri"), some(header("to|t")).alias("to_uri"), some(F.regexp_extract("t", r"(?m)^a=(sendrecv|sendonly|recvonly|inactive)", 1)).alias("direction"), F.octet_length("payload").alias("n")).where("call_id <> ''")
     # On hold: the media's direction goes from both ways to fewer.
-    told = Window.partitionBy("job_id", "call_id").orderBy("frame_number").rowsBetween(Window.unboundedPreceding, -1)
+    told = Window.partitionBy("job_id", "call_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.last("direction", ignorenulls=True).over(told), F.lit("sendrecv"))
     each = each.withColumn("held", F.coalesce((F.col("direction") != "sendrecv") & (before == "sendrecv"), F.lit(False)))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("frame_number")))
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("frame_number")))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place")))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("place")))
     invite = F.min(F.when(F.col("method") == "INVITE", F.col("timestamp")))
     answer = F.min(F.when(F.col("response").startswith("SIP/2.0 200"), F.col("timestamp")))
-    ended = F.max_by("method", F.when(F.col("method").isin("BYE", "CANCEL"), F.col("frame_number")))
+    ended = F.max_by("method", F.when(F.col("method").isin("BYE", "CANCEL"), F.col("place")))
     out = each.groupBy("job_id", "call_id").agg(
-        F.min_by("src_ip", "frame_number").alias("src_ip"), F.min_by("dst_ip", "frame_number").alias("dst_ip"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("packets"), F.sum("n").alias("bytes"), F.max("n").alias("max_packet_size"),
-        first("method").alias("method"), F.max_by("response", F.when(F.col("response").isNotNull(), F.col("frame_number"))).alias("response"), first("media_ip").alias("media_ip"), first("media_port").alias("media_port"), invite.alias("invite"), answer.alias("answer"), ended.alias("end_type"),
+        F.min_by("src_ip", "place").alias("src_ip"), F.min_by("dst_ip", "place").alias("dst_ip"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("packets"), F.sum("n").alias("bytes"), F.max("n").alias("max_packet_size"),
+        first("method").alias("method"), F.max_by("response", F.when(F.col("response").isNotNull(), F.col("place"))).alias("response"), first("media_ip").alias("media_ip"), first("media_port").alias("media_port"), invite.alias("invite"), answer.alias("answer"), ended.alias("end_type"),
         first("from_uri").alias("from_uri"), first("to_uri").alias("to_uri"), last("direction").alias("direction"), F.sum(F.col("held").cast("int")).alias("holds"),
     )
     setup = F.when(F.col("answer") > F.col("invite"), (tracker.micros("answer") - tracker.micros("invite")) / 1000)
@@ -113,12 +133,15 @@ def rtp(packets: DataFrame) -> DataFrame:
     """A flow per source, destination and SSRC of UDP payloads of version 2 that aren't control packets."""
     own = packets.where("protocol = 'UDP' and length(payload) >= 12").where((byte(0).bitwiseAND(F.lit(0xC0)) == 0x80) & ~byte(1).between(192, 223) & ~near(53, 5353, 5060, 5061, 2123, 2152, 8805, 161, 162))
     own = own.select("job_id", "frame_number", "timestamp", "src_ip", "src_port", "dst_ip", "dst_port", number(8, 4).alias("ssrc"), number(2, 2).alias("rtp_seq"), number(4, 4).alias("rtp_time"), F.octet_length("payload").alias("n"))
-    base = own.groupBy(*tracker.STREAM).agg(F.min("job_id").alias("job_id"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.sum("n").alias("bytes"), F.max("n").alias("max_packet_size"))
+    base = own.groupBy(*tracker.STREAM).agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.sum("n").alias("bytes"), F.max("n").alias("max_packet_size"))
     out = base.join(tracker.rtp_gaps(own), tracker.STREAM).join(tracker.rtp_jitter(own), tracker.STREAM)
     names = {"jitter": "jitter_ms", "jitter_min": "jitter_min_ms", "jitter_max": "jitter_max_ms", "jitter_avg": "jitter_avg_ms", "loss_pct": "packet_loss_pct"}
-    return conform(out.withColumnsRenamed(names).withColumns({"type": F.lit("RTP"), "flow_id": F.lit("")}))
+    score = rtp_score(F.col("jitter"), F.col("loss_pct"))
+    details = detailed({"sla_score": score, "sla_verdict": verdict(score), "lost_packets": F.col("lost"), "jitter_trend": F.when(F.size("jitter_trend") > 0, F.to_json("jitter_trend"))})
+    return conform(out.withColumn("details", details).withColumnsRenamed(names).withColumns({"type": F.lit("RTP"), "flow_id": F.lit("")}))
 
 
+@placed
 def dns(packets: DataFrame) -> DataFrame:
     """A flow per query: with the next response of the same id between the same ends, or TIMEOUT.
 
@@ -129,7 +152,7 @@ def dns(packets: DataFrame) -> DataFrame:
     own = parsed(packets.where(near(53, 5353) | ((F.col("protocol") == "UDP") & (F.length("payload") >= 17) & question)), wire.dns, "id int, response boolean, name string, kind string, code string, answers array<string>").where(near(53, 5353) | (F.col("m.name") != ""))
     ends = own.withColumns({"client": F.when(F.col("m.response"), F.col("dst_ip")).otherwise(F.col("src_ip")), "client_port": F.when(F.col("m.response"), F.col("dst_port")).otherwise(F.col("src_port")), "server": F.when(F.col("m.response"), F.col("src_ip")).otherwise(F.col("dst_ip")), "server_port": F.when(F.col("m.response"), F.col("src_port")).otherwise(F.col("dst_port"))})
     key = ["job_id", "m.id", "client", "client_port", "server", "server_port"]
-    order = Window.partitionBy(*key).orderBy("frame_number")
+    order = Window.partitionBy(*key).orderBy("place")
     step = ends.withColumns({"next": F.lead(F.struct("m", "timestamp")).over(order), "before": F.lag("m.response").over(order)})
     query, answered = ~F.col("m.response"), F.coalesce(F.col("next.m.response"), F.lit(False))
     lone = F.col("m.response") & F.coalesce(F.col("before"), F.lit(True))
@@ -143,13 +166,14 @@ def dns(packets: DataFrame) -> DataFrame:
     ).withColumn("max_packet_size", F.col("payload_len")))
 
 
+@placed
 def http(packets: DataFrame) -> DataFrame:
     """A flow per answered request of a connection, and per response without one. A SOAP fault is an error under any status."""
     start = rf"^(?:HTTP/1\.[01] \d{{3}}|(?:{'|'.join(HTTP_METHODS)}) \S+ HTTP/1\.[01])"
     own = packets.where((F.col("protocol") == "TCP") & (F.length("payload") >= 10) & byte(0).between(65, 90)).withColumn("t", text()).where(F.col("t").rlike(start))
     own = own.withColumns({"response": F.col("t").startswith("HTTP/"), "a": F.least(F.concat_ws(":", "src_ip", "src_port"), F.concat_ws(":", "dst_ip", "dst_port")), "b": F.greatest(F.concat_ws(":", "src_ip", "src_port"), F.concat_ws(":", "dst_ip", "dst_port"))})
-    order = Window.partitionBy("job_id", "a", "b").orderBy("frame_number")
-    request = F.lag(F.struct("t", "timestamp", "frame_number", "response")).over(order)
+    order = Window.partitionBy("job_id", "a", "b").orderBy("place")
+    request = F.lag(F.struct("t", "timestamp", "frame_number", "part", "response")).over(order)
     answers = own.withColumn("q", request).where("response").withColumn("asked", F.coalesce(~F.col("q.response"), F.lit(False)))
     status = F.regexp_extract("t", r"^HTTP/1\.[01] (\d{3})", 1).cast("int")
     fault = F.col("t").rlike(r"(?i)<(?:[a-z0-9-]+:)?fault[ >]") & F.col("t").rlike("(?i)envelope")
@@ -165,7 +189,7 @@ def http(packets: DataFrame) -> DataFrame:
         "body_preview": F.substring(F.regexp_extract("t", r"(?s)\r\n\r\n(.*)$", 1), 1, 200),
     })
     return conform(answers.withColumn("details", details).select(
-        "job_id", F.format_string("http-%s%d", F.when(F.col("asked"), "").otherwise("resp-"), F.when(F.col("asked"), F.col("q.frame_number")).otherwise(F.col("frame_number"))).alias("flow_id"), F.lit("HTTP").alias("type"), F.col("dst_ip").alias("src_ip"), F.col("dst_port").alias("src_port"), F.col("src_ip").alias("dst_ip"), F.col("src_port").alias("dst_port"),
+        "job_id", F.concat(F.when(F.col("asked"), "http-").otherwise("http-resp-"), F.when(F.col("asked"), message_id("q.frame_number", "q.part")).otherwise(message_id("frame_number", "part"))).alias("flow_id"), F.lit("HTTP").alias("type"), F.col("dst_ip").alias("src_ip"), F.col("dst_port").alias("src_port"), F.col("src_ip").alias("dst_ip"), F.col("src_port").alias("dst_port"),
         F.when(F.col("asked"), F.col("q.timestamp")).otherwise(F.col("timestamp")).alias("start_time"), F.col("timestamp").alias("end_time"), F.when(F.col("asked"), 2).otherwise(1).alias("packets"), F.when(F.col("asked"), F.regexp_extract("q.t", r"^(\S+)", 1)).alias("method"), status.alias("status_code"),
         ((status >= 400) | fault).alias("is_error"), F.when(fault, "SOAP_FAULT").when(status >= 400, status.cast("string")).alias("error_type"), F.when(F.col("asked"), (tracker.micros("timestamp") - tracker.micros("q.timestamp")) / 1000).alias("latency_ms"), "details",
     ))
@@ -177,6 +201,7 @@ def cipher_grade(cipher: Column) -> Column:
     return F.when(cipher.isNull(), None).when(some("NULL", "EXPORT", "ANON", "RC4"), "F").when(some("_DES_", "3DES"), "D").when(~some("DHE"), "C").when(some("_CBC_"), "B").otherwise("A")
 
 
+@placed
 def tls(packets: DataFrame) -> DataFrame:
     """A flow per connection: names, version, cipher, certificate and JA3 of its handshake.
 
@@ -186,15 +211,15 @@ def tls(packets: DataFrame) -> DataFrame:
     record = byte(0).between(20, 23) & (byte(1) == 3) & (byte(2) <= 4)
     own = parsed(packets.where((F.col("protocol") == "TCP") & (F.length("payload") >= 5) & record), messages.tls_records,
                  "version string, record string, sni string, cipher int, ja3 string, alpn string, issuer string, subject string, sealed boolean, handshake array<int>")
-    before = Window.partitionBy("job_id", "src_ip", "src_port", "dst_ip", "dst_port").orderBy("frame_number").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("job_id", "src_ip", "src_port", "dst_ip", "dst_port").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     opaque = F.coalesce(F.max("m.sealed").over(before), F.lit(False))
     own = own.withColumn("opaque", opaque)
     plain = lambda c: F.when(~F.col("opaque"), F.col(c))
     own = own.withColumns({"version": F.when(F.col("opaque"), F.col("m.record")).otherwise(F.col("m.version")), **{c: plain(f"m.{c}") for c in ("sni", "cipher", "ja3", "alpn", "issuer", "subject", "handshake")}})
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("frame_number")))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("frame_number")))
-    out = tracker.canonical(own).groupBy("job_id", *tracker.KEY).agg(
-        F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port"), "frame_number").alias("e"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("packets"), F.max("payload_len").alias("max_packet_size"),
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("place")))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place")))
+    out = tracker.canonical(own).groupBy(*tracker.KEY).agg(
+        F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port"), "place").alias("e"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("packets"), F.max("payload_len").alias("max_packet_size"),
         first("sni").alias("sni"), last("version").alias("tls_version"), last("cipher").alias("cipher"), first("ja3").alias("ja3_hash"), last("alpn").alias("alpn"), first("issuer").alias("issuer"), first("subject").alias("subject"), F.sum(F.size(F.coalesce("handshake", F.array().cast("array<int>")))).alias("messages"),
     ).select("*", "e.*")
     table = F.create_map(*[F.lit(x) for kv in names.TLS_CIPHERS.items() for x in kv])
@@ -208,9 +233,10 @@ def tls(packets: DataFrame) -> DataFrame:
 
 def message_flow(own: DataFrame, kind: str, **columns: Column) -> DataFrame:
     """A flow per message, with its own ends."""
-    return conform(own.withColumns({"type": F.lit(kind), "flow_id": F.format_string(f"{kind.lower()}-%d", "frame_number"), "start_time": F.col("timestamp"), "end_time": F.col("timestamp"), "packets": F.lit(1), "bytes": F.col("payload_len"), **columns}))
+    return conform(own.withColumns({"type": F.lit(kind), "flow_id": F.concat(F.lit(f"{kind.lower()}-"), message_id("frame_number", "part")), "start_time": F.col("timestamp"), "end_time": F.col("timestamp"), "packets": F.lit(1), "bytes": F.col("payload_len"), **columns}))
 
 
+@placed
 def diameter(packets: DataFrame) -> DataFrame:
     header = (byte(0) == 1) & (F.length("payload") >= 20) & (number(1, 3) % 4 == 0) & (number(1, 3) >= 20) & (byte(4).bitwiseAND(F.lit(15)) == 0)
     own = parsed(packets.where(near(3868) | ((F.col("protocol") == "TCP") & header)), wire.diameter, "command int, request boolean, application long, session string, result long, origin string, user string")
@@ -219,6 +245,7 @@ def diameter(packets: DataFrame) -> DataFrame:
                         details=detailed({"app_id": F.col("m.application"), "app_name": named(names.DIAMETER_APPLICATIONS, F.col("m.application"), "App"), "session_id": F.col("m.session"), "origin_host": F.col("m.origin"), "command_code": F.col("m.command"), "is_request": F.col("m.request")}))
 
 
+@placed
 def gtp(packets: DataFrame) -> DataFrame:
     """A flow per message: GTP on the control port, GTPU on the user port, with the packet inside."""
     own = parsed(packets.where("protocol = 'UDP'").where(near(2123, 2152)), messages.gtp, "version int, message int, teid long, cause int, imsi string, msisdn string, apn string, address string, details map<string,string>")
@@ -227,6 +254,7 @@ def gtp(packets: DataFrame) -> DataFrame:
     return out.withColumn("type", F.when(F.col("src_port").isin(2152) | F.col("dst_port").isin(2152), "GTPU").otherwise("GTP"))
 
 
+@placed
 def pfcp(packets: DataFrame) -> DataFrame:
     """A flow per message of the session protocol, with what its elements and rules say."""
     own = parsed(packets.where("protocol = 'UDP' and length(payload) >= 8").where(near(8805)), messages.pfcp, "message int, session long, cause int, address string, action string, details map<string,string>")
@@ -234,12 +262,14 @@ def pfcp(packets: DataFrame) -> DataFrame:
     return message_flow(own, "PFCP", message_type=named(PFCP_MESSAGES, F.col("m.message"), "Message"), cause_code=F.col("m.cause"), is_error=error, error_type=F.when(error, F.col("m.cause").cast("string")), ue_ip=F.col("m.address"), apply_action=F.col("m.action"), details=F.map_concat("m.details", detailed({"seid": F.col("m.session")})))
 
 
+@placed
 def s1ap(packets: DataFrame) -> DataFrame:
     own = packets.where("protocol = 'SCTP' and length(payload) >= 3").where(near(36412))
     code = F.when(byte(1) > 50, byte(2)).otherwise(byte(1))
     return message_flow(own, "S1AP", message_type=named(S1AP_PROCEDURES, code, "Procedure"))
 
 
+@placed
 def ngap(packets: DataFrame) -> DataFrame:
     """The procedure of the message in the first SCTP data chunk, and the subscriber of a registration that isn't concealed."""
     own = packets.where("protocol = 'SCTP' and length(payload) >= 3").where(near(38412))
@@ -250,6 +280,7 @@ def ngap(packets: DataFrame) -> DataFrame:
     return message_flow(own, "NGAP", message_type=named(NGAP_PROCEDURES, F.col("code"), "Procedure"), imsi=F.col("m.imsi"), details=detailed({"pdu_type": F.col("pdu"), "procedure_code": F.col("code")}))
 
 
+@placed
 def nas5g(packets: DataFrame) -> DataFrame:
     """A flow per packet with a mobile-core message; ``auth_failures`` is the count of its source end on every row."""
     own = parsed(packets.where("length(payload) >= 3").where((F.col("protocol") == "SCTP") | near(38412)), messages.nas5g, "message string, header int, session int, cause int, error boolean")
@@ -259,6 +290,7 @@ def nas5g(packets: DataFrame) -> DataFrame:
     return message_flow(out, "NAS5G", message_type=F.col("m.message"), is_error=F.col("m.error"), error_type=F.when(F.col("m.error"), F.col("m.message")), cause_code=F.col("m.cause"), auth_failures=F.col("failures"), details=detailed({"security_header": F.col("m.header"), "pdu_session_id": F.col("m.session")}))
 
 
+@placed
 def http2(packets: DataFrame) -> DataFrame:
     """A flow per packet with frames: SBI where a path names a core network's service, else HTTP2."""
     frame = (number(0, 3) < 65536) & (byte(3) <= 9) & (byte(5) < 128) & ((number(0, 3) + 9 <= F.length("payload")) | (byte(3) <= 1))
@@ -270,6 +302,7 @@ def http2(packets: DataFrame) -> DataFrame:
     return out.withColumn("type", F.when(F.col("service_name").isNotNull(), "SBI").otherwise("HTTP2"))
 
 
+@placed
 def snmp(packets: DataFrame) -> DataFrame:
     """A flow per management message."""
     own = parsed(packets.where("protocol = 'UDP' and length(payload) >= 10").where(near(161, 162)), messages.snmp, "version string, community string, pdu string, request long, status int, oids array<string>, details map<string,string>")
@@ -278,26 +311,28 @@ def snmp(packets: DataFrame) -> DataFrame:
                         details=F.map_concat(F.map_filter("m.details", lambda k, v: v.isNotNull()), detailed({"version": F.col("m.version"), "community": F.col("m.community"), "request_id": F.col("m.request"), "varbind_count": F.size("m.oids")})))
 
 
+@placed
 def ajp(packets: DataFrame) -> DataFrame:
     """A flow per ended response of a connection: the request before it and the status that its headers gave."""
     own = parsed(packets.where("protocol = 'TCP' and length(payload) >= 5").where(near(8009)), messages.ajp, "kind string, method string, uri string, status int, details map<string,string>")
-    order = Window.partitionBy("job_id", *tracker.KEY).orderBy("frame_number").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*tracker.KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     seen = lambda kind, *columns: F.last(F.when(F.col("m.kind") == kind, F.struct(*columns)), ignorenulls=True).over(order)
-    ended = tracker.canonical(own).withColumns({"q": seen("request", "m", "timestamp", "frame_number", "src_ip", "src_port", "dst_ip", "dst_port"), "r": seen("headers", "m", "frame_number")}).where("m.kind = 'end' and q is not null")
-    status = F.when(F.col("r.frame_number") > F.col("q.frame_number"), F.col("r.m.status"))
+    ended = tracker.canonical(own).withColumns({"q": seen("request", "m", "timestamp", "frame_number", "part", "place", "src_ip", "src_port", "dst_ip", "dst_port"), "r": seen("headers", "m", "place")}).where("m.kind = 'end' and q is not null")
+    status = F.when(F.col("r.place") > F.col("q.place"), F.col("r.m.status"))
     return conform(ended.select(
-        "job_id", F.format_string("ajp-%d", "q.frame_number").alias("flow_id"), F.lit("AJP13").alias("type"), "q.src_ip", "q.src_port", "q.dst_ip", "q.dst_port", F.col("q.timestamp").alias("start_time"), F.col("timestamp").alias("end_time"), F.col("q.m.method").alias("method"), status.alias("status_code"),
+        "job_id", F.concat(F.lit("ajp-"), message_id("q.frame_number", "q.part")).alias("flow_id"), F.lit("AJP13").alias("type"), "q.src_ip", "q.src_port", "q.dst_ip", "q.dst_port", F.col("q.timestamp").alias("start_time"), F.col("timestamp").alias("end_time"), F.col("q.m.method").alias("method"), status.alias("status_code"),
         F.coalesce(status >= 400, F.lit(False)).alias("is_error"), F.when(status >= 400, status.cast("string")).alias("error_type"), ((tracker.micros("timestamp") - tracker.micros("q.timestamp")) / 1000).alias("latency_ms"), F.map_concat("q.m.details", detailed({"req_uri": F.col("q.m.uri")})).alias("details"),
     ))
 
 
+@placed
 def websocket(packets: DataFrame) -> DataFrame:
     """A flow per connection that was upgraded: frames and bytes since. It has no times."""
     own = parsed(packets.where("protocol = 'TCP' and length(payload) >= 2").where(near(*HTTP_PORTS)), messages.websocket, "upgrade boolean, frames int, text long, binary long")
-    order = Window.partitionBy("job_id", *tracker.KEY).orderBy("frame_number").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*tracker.KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     seen = tracker.canonical(own).withColumn("after", F.coalesce(F.max("m.upgrade").over(order), F.lit(False)))
     n = lambda c: F.sum(F.when(F.col("after"), F.col(c)).otherwise(0))
-    out = seen.groupBy("job_id", *tracker.KEY).agg(F.max("m.upgrade").alias("upgraded"), n("m.frames").alias("packets"), n("m.text").alias("text"), n("m.binary").alias("binary"), F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port"), "frame_number").alias("e")).where("upgraded").select("*", "e.*")
+    out = seen.groupBy(*tracker.KEY).agg(F.max("m.upgrade").alias("upgraded"), n("m.frames").alias("packets"), n("m.text").alias("text"), n("m.binary").alias("binary"), F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port"), "place").alias("e")).where("upgraded").select("*", "e.*")
     return conform(out.withColumns({"type": F.lit("WebSocket"), "flow_id": F.concat_ws("-", F.lit("ws"), F.concat_ws(":", "src_ip", "src_port"), F.concat_ws(":", "dst_ip", "dst_port")), "bytes": F.col("text") + F.col("binary"), "details": detailed({"text_bytes": F.col("text"), "bin_bytes": F.col("binary"), "upgraded": F.col("upgraded")})}))
 
 
@@ -322,7 +357,7 @@ def dns_errors(flows: DataFrame, slow_ms: float = 500.0) -> DataFrame:
 def transport(packets: DataFrame) -> DataFrame:
     """The tracked flow of every pair of ends."""
     tracked = tracker.track(packets)
-    sizes = tracker.canonical(packets).groupBy(*tracker.KEY).agg(F.min("job_id").alias("job_id"), F.max("payload_len").alias("max_packet_size"))
+    sizes = tracker.canonical(packets).groupBy(*tracker.KEY).agg(F.max("payload_len").alias("max_packet_size"))
     out = tracked.join(sizes, tracker.KEY).withColumns({"type": F.col("protocol"), "packets": F.col("fwd_packets") + F.col("rev_packets"), "bytes": F.col("fwd_bytes") + F.col("rev_bytes"), "packet_loss_pct": F.col("loss_pct")})
     return conform(out.withColumnsRenamed({"ip_a": "src_ip", "port_a": "src_port", "ip_b": "dst_ip", "port_b": "dst_port"}))
 
@@ -334,9 +369,12 @@ def decode(packets: DataFrame, names: list[str] | None = None, reassemble: bool
     """The flows of all decoders, or of the named ones; more may be added to DECODERS.
 
     Streams of framed ports are reassembled first, so that messages over several segments are seen whole;
-    ``transport`` always reads the packets themselves.
+    they are written to the shared folder once, and each decoder reads from there what its ports and
+    columns need. ``transport`` always reads the packets themselves.
     """
-    whole = reassembly.with_messages(packets) if reassemble else packets
+    whole = packets.drop("raw_packet")
+    if reassemble and set(names or DECODERS) != {"transport"}:
+        whole = stored(reassembly.with_messages(whole))
     found = [DECODERS[n](packets if n == "transport" else whole) for n in names or DECODERS]
     out = found[0]
     for f in found[1:]:

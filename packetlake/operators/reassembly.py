@@ -1,4 +1,9 @@
-"""Messages of TCP streams: segments in order, overlaps trimmed, cut by the protocol's own lengths."""
+"""Messages of TCP streams: segments in order, overlaps trimmed, cut by the protocol's own lengths.
+
+A direction is walked with one message in hand. Where no head stands (a stream caught midway, bytes lost, a
+body without a length), the walk goes on at the next plausible head; what it passes over is handed on as
+it is, so that no bytes are lost and no message after them either.
+"""
 
 from __future__ import annotations
 
@@ -12,45 +17,211 @@ from pyspark.sql import functions as F
 from .tracker import unwrapped
 
 # The ports whose streams are cut into messages, by the way they are cut.
-FRAMED = {"text": [5060, 5061, 80, 8080, 8000, 8888, 3000], "tls": [443, 8443, 993, 995, 465, 636], "diameter": [3868], "ajp": [8009]}
-#: A message that isn't complete with so many bytes is handed on as it is: no task holds more of a stream.
+FRAMED = {
+    "text": [5060, 5061, 80, 8080, 8000, 8888, 3000],
+    "tls": [443, 8443, 993, 995, 465, 636],
+    "diameter": [3868],
+    "ajp": [8009],
+}
+#: Bytes of a message that are kept: of a longer one the first so many, with its whole length in payload_len.
 LARGEST = 1 << 20
-_LENGTH = re.compile(rb"(?im)^(?:content-length|l)[ \t]*:[ \t]*(\d+)")
-_START = re.compile(rb"(?:HTTP/\d|SIP/2|[A-Z]{3,12} )")
+#: Bytes of a first line at most; a line that isn't ended by then starts no message.
+LINE = 8192
+#: Bytes of a record of TLS at most: a ciphertext and what may be added to it.
+RECORD = 16384 + 2048
 _DIRECTION = ["job_id", "src_ip", "src_port", "dst_ip", "dst_port"]
+_METHOD = rb"(?:GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH|TRACE|CONNECT|INVITE|ACK|BYE|CANCEL|REGISTER|PRACK|SUBSCRIBE|NOTIFY|PUBLISH|INFO|REFER|MESSAGE|UPDATE)"
+_HEAD = re.compile(rb"(?:HTTP/1\.[01]|SIP/2\.0) \d{3}[ \r]|" + _METHOD + rb" [^\s]+ (?:HTTP/1\.[01]|SIP/2\.0)\r?\n")
+_BEGUN = re.compile(rb"(?:[A-Z]{1,12}|" + _METHOD + rb" [^\s]*(?: [A-Z/0-9.]{0,8})?|(?:HTTP|SIP)(?:/[0-9.]{0,3}(?: \d{0,3})?)?)\r?\Z")
+_LENGTH = re.compile(rb"(?im)^(?:content-length|l)[ \t]*:[ \t]*(\d+)")
+_CHUNKED = re.compile(rb"(?im)^transfer-encoding[ \t]*:[^\r\n]*chunked")
+_UPGRADE = re.compile(rb"(?im)^upgrade[ \t]*:[ \t]*websocket")
+
+#: What stands at the start of some bytes: ("skip", n) bytes that start no message, ("message", n), or ("wait", None).
+Found = tuple[str, int | None]
+
+
+def _chunks(data: bytes, at: int) -> int | None:
+    """Where a chunked body that starts at ``at`` ends; None if it goes on, -1 if it isn't one."""
+    while True:
+        line = data.find(b"\r\n", at, at + 64)
+        if line < 0:
+            return None if len(data) - at < 64 else -1
+        try:
+            size = int(data[at:line].split(b";")[0].strip(), 16)
+        except ValueError:
+            return -1
+        at = line + 2
+        if size == 0:  # trailers, up to an empty line
+            while True:
+                line = data.find(b"\r\n", at)
+                if line < 0:
+                    return None
+                if line == at:
+                    return at + 2
+                at = line + 2
+        at += size + 2
+        if at > len(data):
+            return None
 
 
-def text_size(data: bytes) -> int | None:
-    """Bytes of the message at the start: head, blank line and the length that the head says; all if it starts none; None if it goes on."""
-    if not _START.match(data):
-        return len(data)
+def text(data: bytes) -> Found:
+    """A message of a text protocol: its head, and the body by length or by chunks."""
+    head = _HEAD.search(data)
+    if head is None:
+        begun = _BEGUN.search(data, max(len(data) - LINE, 0))  # a first line that isn't whole yet
+        if begun is None:
+            return "skip", len(data)
+        return ("skip", begun.start()) if begun.start() else ("wait", None)
+    if head.start():
+        return "skip", head.start()
     end = data.find(b"\r\n\r\n")
     if end < 0:
-        return None
+        return "wait", None
+    if _CHUNKED.search(data, 0, end + 2):
+        stop = _chunks(data, end + 4)
+        return ("message", end + 4) if stop == -1 else ("wait", None) if stop is None else ("message", stop)
     found = _LENGTH.search(data, 0, end + 2)
-    size = end + 4 + (int(found.group(1)) if found else 0)
-    return size if size <= len(data) else None
+    return "message", end + 4 + (int(found.group(1)) if found else 0)
 
 
-def _counted(head: int, size: Callable[[bytes], int], starts: Callable[[bytes], bool]) -> Callable[[bytes], int | None]:
-    def of(data: bytes) -> int | None:
-        if len(data) < head:
+def websocket(data: bytes) -> Found:
+    """A frame: two bytes, a longer length and a mask where they say so, and the payload."""
+    if len(data) < 2:
+        return "wait", None
+    size, at = data[1] & 127, 2
+    if size > 125:
+        more = 2 if size == 126 else 8
+        if len(data) < 2 + more:
+            return "wait", None
+        size, at = int.from_bytes(data[2 : 2 + more], "big"), 2 + more
+    return "message", at + (4 if data[1] & 128 else 0) + size
+
+
+def _binary(head: int, size: Callable[[bytes], int | None], mark: bytes) -> Callable[[bytes], Found]:
+    """Messages with a head of ``head`` bytes, of which ``size`` gives the whole length, or None where none stands."""
+    search = re.compile(mark, re.DOTALL)
+
+    def stands(data: bytes, at: int) -> bool | None:
+        """Whether a message stands there whole, with another or nothing behind it; None if it may go on."""
+        n = size(data[at : at + head])
+        if n is None or n < head:
+            return False
+        if at + n > len(data):
             return None
-        if not starts(data) or (n := size(data)) < head:
-            return len(data)
-        return n if n <= len(data) else None
+        after = data[at + n : at + n + head]
+        return len(after) < head or size(after) is not None
+
+    def of(data: bytes) -> Found:
+        if len(data) < head:
+            return "wait", None
+        n = size(data[:head])
+        if n is not None and n >= head:
+            return "message", n
+        maybe = len(data)
+        for m in search.finditer(data, 1):
+            found = None if m.start() + head > len(data) else stands(data, m.start())
+            if found:
+                return "skip", m.start()
+            if found is None:
+                maybe = min(maybe, m.start())
+        return "skip", maybe
 
     return of
 
 
-SIZES: dict[str, Callable[[bytes], int | None]] = {
-    "text": text_size,
-    "tls": _counted(5, lambda d: 5 + int.from_bytes(d[3:5], "big"), lambda d: d[0] in (20, 21, 22, 23) and d[1] == 3),
-    "diameter": _counted(20, lambda d: int.from_bytes(d[1:4], "big"), lambda d: d[0] == 1),
-    "ajp": _counted(4, lambda d: 4 + int.from_bytes(d[2:4], "big"), lambda d: d[:2] in (b"\x12\x34", b"AB")),
+def _tls(d: bytes) -> int | None:
+    n = 5 + int.from_bytes(d[3:5], "big")
+    return n if d[0] in (20, 21, 22, 23) and d[1] == 3 and d[2] <= 4 and n <= 5 + RECORD else None
+
+
+def _diameter(d: bytes) -> int | None:
+    n = int.from_bytes(d[1:4], "big")
+    return n if d[0] == 1 and n % 4 == 0 and n >= 20 and d[4] & 15 == 0 else None
+
+
+def _ajp(d: bytes) -> int | None:
+    return 4 + int.from_bytes(d[2:4], "big") if d[:2] in (b"\x12\x34", b"AB") else None
+
+
+FRAMERS: dict[str, Callable[[bytes], Found]] = {
+    "text": text,
+    "tls": _binary(5, _tls, rb"[\x14-\x17]\x03"),
+    "diameter": _binary(20, _diameter, rb"\x01"),
+    "ajp": _binary(4, _ajp, rb"\x12\x34|AB"),
+    "websocket": websocket,
 }
 
 
+class Stream:
+    """One direction of a connection. ``add`` and ``end`` give (bytes, whole length, what the first and last piece carried)."""
+
+    def __init__(self, framer: str, largest: int = LARGEST) -> None:
+        self.framer, self.largest = framer, largest
+        self.held, self.size, self.owed, self.asked = bytearray(), None, 0, False
+        self.pieces: list[tuple[int, object]] = []  # bytes of each piece that are still held, and what came with it
+        self.at = 0
+
+    def add(self, data: bytes, carried: object) -> Iterator[tuple[bytes, int, object, object]]:
+        if self.owed:  # the rest of a message of which enough is kept
+            gone = min(self.owed, len(data))
+            self.owed -= gone
+            data = data[gone:]
+        if not data:
+            return
+        self.held += data
+        self.pieces.append((len(data), carried))
+        while self.held:
+            if self.size is None:
+                kind, n = self._next()
+                if kind == "wait":
+                    if len(self.held) <= self.largest:
+                        return
+                    kind, n = "skip", len(self.held)  # a body in chunks, or a head, that doesn't end: the next head is searched
+                if kind == "skip":
+                    yield self._take(n, n)
+                    continue
+                self.size = n
+            if len(self.held) < min(self.size, self.largest + 1):
+                return
+            kept = min(len(self.held), self.size)
+            self.owed = self.size - kept
+            if self.size > self.largest:
+                yield self._take(kept, self.size, self.largest)
+            else:
+                yield self._take(kept, self.size)
+
+    def _next(self) -> Found:
+        data = bytes(self.held)
+        if self.framer == "text" and self.asked and not 65 <= data[0] <= 90:  # no letter: the upgrade was taken
+            self.framer = "websocket"
+        return FRAMERS[self.framer](data)
+
+    def _take(self, n: int, size: int, most: int | None = None) -> tuple[bytes, int, object, object]:
+        out, self.size = bytes(self.held[:n]), None
+        del self.held[:n]
+        first = last = self.pieces[0][1]
+        while n:
+            there, carried = self.pieces[0]
+            last = carried
+            taken = min(there, n)
+            n -= taken
+            if taken == there:
+                self.pieces.pop(0)
+            else:
+                self.pieces[0] = (there - taken, carried)
+        if self.framer == "text" and _HEAD.match(out):
+            self.asked = bool(_UPGRADE.search(out, 0, max(out.find(b"\r\n\r\n"), 0) + 2))
+        return out[:most], size, first, last
+
+    def end(self) -> Iterator[tuple[bytes, int, object, object]]:
+        """What is left at a gap or at the end."""
+        if self.held:
+            n = len(self.held)
+            yield self._take(n, n, self.largest)
+        self.owed, self.size = 0, None
+
+
 def in_order(packets: DataFrame) -> DataFrame:
     """TCP packets with payload of framed ports: place in their direction, what is new of them, and whether bytes before are missing."""
     near = lambda ports: F.col("src_port").isin(ports) | F.col("dst_port").isin(ports)
@@ -61,64 +232,65 @@ def in_order(packets: DataFrame) -> DataFrame:
     way = Window.partitionBy(*_DIRECTION)
     first = F.min_by("seq", "frame_number").over(way)
     placed = own.withColumn("pos", unwrapped(F.col("seq"), first))
-    before = F.max(F.col("pos") + F.col("payload_len")).over(way.orderBy("pos", "frame_number").rowsBetween(Window.unboundedPreceding, -1))
-    met = placed.withColumn("before", before).withColumn("skip", F.greatest(F.lit(0), F.coalesce(F.col("before") - F.col("pos"), F.lit(0))).cast("int"))
+    ends = way.orderBy("pos", "frame_number").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max(F.col("pos") + F.col("payload_len")).over(ends)
+    skip = F.greatest(F.lit(0), F.coalesce(F.col("before") - F.col("pos"), F.lit(0)))
+    met = placed.withColumn("before", before).withColumn("skip", skip.cast("int"))
     fresh = met.where(F.col("skip") < F.col("payload_len"))
-    return fresh.withColumns({"payload": F.expr("substring(payload, skip + 1)"), "gap": F.coalesce(F.col("pos") > F.col("before"), F.lit(False))}).drop("before", "skip")
+    gap = F.coalesce(F.col("pos") > F.col("before"), F.lit(False))
+    return fresh.withColumns({"payload": F.expr("substring(payload, skip + 1)"), "gap": gap}).drop("before", "skip")
 
 
-def messages(packets: DataFrame) -> DataFrame:
-    """Rows like ``packets``, one per message: the fields of the packet that it starts in, with its whole payload.
+def messages(packets: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """Rows like ``packets`` and ``part``, one per message: the fields of the packet that it starts in, with its whole payload.
 
-    A message has the time of the packet that completes it. Bytes after a gap start anew, and what was
-    before the gap, or is left at the end, is handed on incomplete. A stream is walked in order with one
-    message in hand, in the task that has its direction.
+    A message has the time of the packet that completes it; ``part`` counts the messages that start in the
+    same packet, from 0. Bytes after a gap start anew, and what was before the gap, or is left at the end,
+    is handed on incomplete, as are bytes between two messages. Of a message of more than ``largest`` bytes the first
+    so many are kept, and payload_len is the length that its head says; the messages after it are whole. A
+    stream is walked in order with one message in hand, in the task that has its direction.
     """
-    columns = [c for c in packets.columns]
+    columns = list(packets.columns)
+    kinds = dict(packets.dtypes)
     ordered = in_order(packets).repartition(*_DIRECTION).sortWithinPartitions(*_DIRECTION, "pos", "frame_number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, first, last = None, b"", None, None
+        key, stream, schema, frame, part = None, None, None, None, 0
+
+        def row(found: tuple[bytes, int, object, object]) -> dict:
+            nonlocal frame, part
+            data, size, first, last = found
+            part = part + 1 if first["frame_number"] == frame else 0
+            frame = first["frame_number"]
+            return first | {"payload": data, "payload_len": size, "timestamp": last["timestamp"], "part": part}
 
-        def out(rows: list[tuple[dict, dict, bytes]]) -> pa.RecordBatch:
-            made = [first | {"payload": data, "payload_len": len(data), "timestamp": last["timestamp"]} for first, last, data in rows]
-            return pa.RecordBatch.from_pylist([{c: r[c] for c in columns} for r in made], pa.schema([schema.field(c) for c in columns]))
+        def out(rows: list[dict]) -> pa.RecordBatch:
+            fields = [schema.field(c) for c in columns] + [pa.field("part", pa.int32())]
+            return pa.RecordBatch.from_pylist([{f.name: r[f.name] for f in fields} for r in rows], pa.schema(fields))
 
-        schema = None
         for batch in batches:
             schema = batch.schema
-            rows: list[tuple[dict, dict, bytes]] = []
-            for row in batch.to_pylist():
-                now = tuple(row[c] for c in _DIRECTION)
-                if now != key or row["gap"]:
-                    if held:
-                        rows.append((first, last, held))
-                    key, held = now, b""
-                if not held:
-                    first = row
-                held, last = held + row["payload"], row
-                size_of = SIZES[row["framer"]]
-                while held:
-                    size = size_of(held)
-                    if size is None and len(held) > LARGEST:
-                        size = len(held)
-                    if size is None:
-                        break
-                    rows.append((first, last, held[:size]))
-                    held, first = held[size:], row
+            rows: list[dict] = []
+            for r in batch.to_pylist():
+                now = tuple(r[c] for c in _DIRECTION)
+                if now != key:
+                    rows += map(row, stream.end()) if stream else ()
+                    key, stream, frame = now, Stream(r["framer"], largest), None
+                elif r["gap"]:
+                    rows += map(row, stream.end())
+                rows += map(row, stream.add(r["payload"], r))
             if rows:
                 yield out(rows)
-        if held:
-            yield out([(first, last, held)])
+        if stream and (rows := [*map(row, stream.end())]):
+            yield out(rows)
 
-    kinds = dict(packets.dtypes)
-    return ordered.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
+    return ordered.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", part int")
 
 
 def with_messages(packets: DataFrame) -> DataFrame:
-    """``packets`` with those of framed streams replaced by the streams' messages."""
+    """``packets`` with those of framed streams replaced by the streams' messages; ``part`` is 0 for the others."""
     near = F.lit(False)
     for ports in FRAMED.values():
         near = near | F.col("src_port").isin(ports) | F.col("dst_port").isin(ports)
     framed = (F.col("protocol") == "TCP") & (F.col("payload_len") > 0) & near
-    return packets.where(~framed).unionByName(messages(packets))
+    return packets.where(~framed).withColumn("part", F.lit(0)).unionByName(messages(packets))

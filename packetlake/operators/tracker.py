@@ -1,6 +1,6 @@
 """Flows from packets: volumes, trends, timing, losses, resets; RTP streams.
 
-Packets need frame_number, timestamp, src_ip, dst_ip, src_port, dst_port, protocol, payload_len, and for TCP
+Packets need job_id, frame_number, timestamp, src_ip, dst_ip, src_port, dst_port, protocol, payload_len, and for TCP
 seq, ack, flags, ttl and ip_id. Sums and extremes combine in the tasks before the shuffle, so a flow of any
 size is one row per task. What needs order (retransmissions, round trips) runs in windows that spill, over
 the packets that matter only. Flags: FIN 1, SYN 2, RST 4, PSH 8, ACK 16, URG 32.
@@ -15,17 +15,22 @@ from pyspark.sql import functions as F
 
 from ..functions.quality import rounded, tcp_score, verdict
 
-KEY = ["protocol", "ip_a", "port_a", "ip_b", "port_b"]
+KEY = ["job_id", "protocol", "ip_a", "port_a", "ip_b", "port_b"]
 WRAP = 1 << 32
 
 
+def with_job(packets: DataFrame) -> DataFrame:
+    """``packets``, of job 0 where they are of none."""
+    return packets if "job_id" in packets.columns else packets.withColumn("job_id", F.lit(0).cast("long"))
+
+
 def canonical(packets: DataFrame) -> DataFrame:
     """Adds both ends in order of address, as text, then port, and whether the packet runs from the second to the first."""
     icmp = F.col("protocol").isin("ICMP", "ICMPv6")
     swap = F.when(icmp, F.col("src_ip") > F.col("dst_ip")).otherwise((F.col("src_ip") > F.col("dst_ip")) | ((F.col("src_ip") == F.col("dst_ip")) & (F.col("src_port") > F.col("dst_port"))))
     port = lambda p: F.when(icmp, 0).otherwise(p)
     pick = lambda a, b: F.when(swap, a).otherwise(b)
-    return packets.withColumns({"ip_a": pick(F.col("dst_ip"), F.col("src_ip")), "port_a": port(pick(F.col("dst_port"), F.col("src_port"))), "ip_b": pick(F.col("src_ip"), F.col("dst_ip")), "port_b": port(pick(F.col("src_port"), F.col("dst_port"))), "reversed": swap})
+    return with_job(packets).withColumns({"ip_a": pick(F.col("dst_ip"), F.col("src_ip")), "port_a": port(pick(F.col("dst_port"), F.col("src_port"))), "ip_b": pick(F.col("src_ip"), F.col("dst_ip")), "port_b": port(pick(F.col("src_port"), F.col("dst_port"))), "reversed": swap})
 
 
 def flow_id() -> Column:
@@ -146,13 +151,13 @@ def track(packets: DataFrame) -> DataFrame:
     return out.withColumns({"rtt_ms": rtt, "sla_score": score}).withColumn("sla_verdict", verdict(F.col("sla_score")))
 
 
-STREAM = ["src_ip", "src_port", "dst_ip", "dst_port", "ssrc"]
+STREAM = ["job_id", "src_ip", "src_port", "dst_ip", "dst_port", "ssrc"]
 
 
 def rtp_gaps(packets: DataFrame) -> DataFrame:
     """A row per RTP stream: packets, the largest step of the sequence number (1 for a perfect stream), lost ones."""
     last = F.lag("rtp_seq").over(Window.partitionBy(*STREAM).orderBy("frame_number"))
-    each = packets.withColumn("gap", F.pmod(F.col("rtp_seq") - last, F.lit(65536))).groupBy(*STREAM).agg(F.count("*").alias("packets"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_seq_gap"), F.sum(F.when(F.col("gap") > 1, F.col("gap") - 1).otherwise(0)).alias("lost"))
+    each = with_job(packets).withColumn("gap", F.pmod(F.col("rtp_seq") - last, F.lit(65536))).groupBy(*STREAM).agg(F.count("*").alias("packets"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_seq_gap"), F.sum(F.when(F.col("gap") > 1, F.col("gap") - 1).otherwise(0)).alias("lost"))
     return each.withColumn("loss_pct", F.round(F.col("lost") / (F.col("packets") + F.col("lost")) * 10000) / 100)
 
 
@@ -160,29 +165,45 @@ def rtp_gaps(packets: DataFrame) -> DataFrame:
 RUN = 4096
 
 
+#: Samples of the jitter that a trend is made of, and points that it has at most.
+SAMPLES, POINTS = 300, 60
+
+
 def rtp_jitter(packets: DataFrame, run: int = RUN) -> DataFrame:
-    """A row per RTP stream: the running interarrival jitter at its end, its extremes and its mean.
+    """A row per RTP stream: the running interarrival jitter at its end, its extremes, its mean and its trend.
+
+    J += (|arrival step in whole ms - timestamp step in ticks| - J) / 16, in order: a fold over the stream's
+    steps, without Python. The first packet makes no step; a stream of one packet has zeros. A stream is folded in
+    runs of ``run`` steps, each from where the one before it ends, so an array holds one run and never a
+    stream; the windows share one exchange and spill. ``run`` should not be below 1024: a run starts from its
+    predecessor's own fold.
 
-    J += (|arrival step in ms - timestamp step in ticks| - J) / 16, in order: a fold over the stream's
-    steps, without Python. A stream is folded in runs of ``run`` steps, each from where the one before it
-    ends, so an array holds one run and never a stream; the windows share one exchange and spill.
-    ``run`` should not be below 1024: a run starts from its predecessor's own fold.
+    ``jitter_trend`` has the values after the first 300 steps at most, thinned to at most 60 of (i, ms).
     """
     order = Window.partitionBy(*STREAM).orderBy("frame_number")
     ticks = F.pmod(F.col("rtp_time") - F.lag("rtp_time").over(order), F.lit(WRAP))
-    step = F.abs((micros("timestamp") - F.lag(micros("timestamp")).over(order)) / 1000.0 - ticks)
-    steps = packets.withColumns({"d": F.coalesce(step, F.lit(0.0)), "run": F.floor((F.row_number().over(order) - 1) / run)})
-    gathered = F.array_sort(F.collect_list(F.struct("frame_number", "d")))["d"]
+    waited = ((micros("timestamp") - F.lag(micros("timestamp")).over(order)) / 1000.0).cast("long")
+    steps = with_job(packets).withColumns({"d": F.abs(waited - ticks).cast("double"), "run": F.floor((F.row_number().over(order) - 1) / run)})
+    gathered = F.filter(F.array_sort(F.collect_list(F.struct("frame_number", "d")))["d"], lambda d: d.isNotNull())
     runs = steps.groupBy(*STREAM, "run").agg(gathered.alias("d"))
     end = F.aggregate("d", F.lit(0.0), lambda j, d: j + (d - j) / 16)
     before = F.lag("end", 1, 0.0).over(Window.partitionBy(*STREAM).orderBy("run"))
     runs = runs.withColumn("end", end).withColumn("before", before)
-    zero = F.lit(0.0)
-    start = F.struct(F.col("before").alias("j"), F.lit(None).cast("double").alias("low"), zero.alias("high"), zero.alias("sum"))
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    start = F.struct(F.col("before").alias("j"), none.alias("low"), zero.alias("high"), zero.alias("sum"))
     add = lambda a, j: F.struct(j.alias("j"), F.least(a["low"], j).alias("low"), F.greatest(a["high"], j).alias("high"), (a["sum"] + j).alias("sum"))
     folded = runs.withColumn("r", F.aggregate("d", start, lambda a, d: add(a, a["j"] + (d - a["j"]) / 16)))
-    each = folded.groupBy(*STREAM).agg(
+    # The trend is of the first run: it is longer than the samples.
+    began = F.struct(zero.alias("j"), F.array().cast("array<double>").alias("all"))
+    following = lambda a, j: F.struct(j.alias("j"), F.concat(a["all"], F.array(F.round(j * 100) / 100)).alias("all"))
+    samples = F.aggregate(F.slice("d", 1, SAMPLES), began, lambda a, d: following(a, a["j"] + (d - a["j"]) / 16), lambda a: a["all"])
+    each = folded.withColumn("samples", F.when(F.col("run") == 0, samples)).groupBy(*STREAM).agg(
         F.max_by("r.j", "run").alias("j"), F.min("r.low").alias("low"), F.max("r.high").alias("high"), F.sum("r.sum").alias("sum"), F.sum(F.size("d")).alias("n"),
+        F.max("samples").alias("samples"),
     )
-    shown = {"jitter": F.col("j"), "jitter_min": F.col("low"), "jitter_max": F.col("high"), "jitter_avg": F.col("sum") / F.col("n")}
-    return each.select(*STREAM, *[rounded(c, 3).alias(name) for name, c in shown.items()])
+    thin = F.when(F.size("samples") > POINTS, F.ceil(F.size("samples") / POINTS)).otherwise(1).cast("int")
+    point = lambda i: F.struct(i.alias("i"), F.get("samples", i).alias("ms"))
+    trend = F.when(F.size("samples") > 0, F.transform(F.sequence(F.lit(0), F.size("samples") - 1, thin), point)).otherwise(F.array().cast("array<struct<i: int, ms: double>>"))
+    mean = F.when(F.col("n") > 0, F.col("sum") / F.col("n")).otherwise(0.0)
+    shown = {"jitter": F.col("j"), "jitter_min": F.coalesce("low", zero), "jitter_max": F.col("high"), "jitter_avg": mean}
+    return each.select(*STREAM, *[rounded(c, 3).alias(name) for name, c in shown.items()], trend.alias("jitter_trend"))

@@ -124,7 +124,7 @@ FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_re
 
 #: Transport headers of packets in order of frame_number, and RTP headers of others.
 SEGMENTS = """
-SELECT event_id AS frame_number, ts AS timestamp, CASE WHEN rev THEN b ELSE a END AS src_ip, CASE WHEN rev THEN a ELSE b END AS dst_ip,
+SELECT event_id AS frame_number, CAST(event_id % 2 AS BIGINT) AS job_id, ts AS timestamp, CASE WHEN rev THEN b ELSE a END AS src_ip, CASE WHEN rev THEN a ELSE b END AS dst_ip,
   CAST(CASE WHEN rev THEN 443 ELSE 1000 + user_id % 20 END AS INT) AS src_port, CAST(CASE WHEN rev THEN 1000 + user_id % 20 ELSE 443 END AS INT) AS dst_port,
   CASE user_id % 4 WHEN 0 THEN 'UDP' WHEN 3 THEN 'ICMP' ELSE 'TCP' END AS protocol, CAST(floor(value) AS BIGINT) % 400 AS payload_len,
   (event_id * 53) % 4000 + 4294966000 AS seq, (event_id * 61) % 4400 + 4294966000 AS ack,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import tracker as t
 from .catalog import STATEMENTS, named
 
-KEY = "protocol, ip_a, port_a, ip_b, port_b"
+KEY = "job_id, protocol, ip_a, port_a, ip_b, port_b"
 CANONICAL = """c AS (SELECT *, CASE WHEN rev THEN dst_ip ELSE src_ip END AS ip_a, CASE WHEN rev THEN src_ip ELSE dst_ip END AS ip_b, CAST(CASE WHEN protocol = 'ICMP' THEN 0 WHEN rev THEN dst_port ELSE src_port END AS INT) AS port_a,
   CAST(CASE WHEN protocol = 'ICMP' THEN 0 WHEN rev THEN src_port ELSE dst_port END AS INT) AS port_b FROM (SELECT *, src_ip > dst_ip OR (src_ip = dst_ip AND protocol <> 'ICMP' AND src_port > dst_port) AS rev FROM v_segments))"""
 NAMES = "concat_ws(' ', CASE WHEN f & 2 <> 0 THEN 'SYN' END, CASE WHEN f & 16 <> 0 THEN 'ACK' END, CASE WHEN f & 8 <> 0 THEN 'PSH' END, CASE WHEN f & 1 <> 0 THEN 'FIN' END, CASE WHEN f & 4 <> 0 THEN 'RST' END, CASE WHEN f & 32 <> 0 THEN 'URG' END)"
@@ -25,8 +27,8 @@ named("flow_trend", f"""
 WITH {CANONICAL}, s AS (SELECT *, (epoch_us(timestamp) - min(epoch_us(timestamp)) OVER (PARTITION BY {KEY})) // 1000000 AS s FROM c WHERE payload_len > 0),
 b AS (SELECT {KEY}, s, sum(payload_len) AS bytes FROM s WHERE s < 2592000 GROUP BY ALL), n AS (SELECT {KEY}, max(s) + 1 AS n, greatest(1, CAST(ceil((max(s) + 1) / 60) AS BIGINT)) AS step FROM b GROUP BY ALL),
 d AS (SELECT *, unnest(generate_series(0, CAST(ceil(n / step) AS BIGINT) - 1)) AS i FROM n)
-SELECT d.protocol, d.ip_a, d.port_a, d.ip_b, d.port_b, list(coalesce(x.bps, 0.0) ORDER BY d.i) AS trend FROM d LEFT JOIN (SELECT {KEY}, s // step AS i, round(sum(bytes) * 8 / any_value(step)) AS bps FROM b JOIN n USING ({KEY}) GROUP BY ALL) x
-  ON d.protocol = x.protocol AND d.ip_a = x.ip_a AND d.port_a = x.port_a AND d.ip_b = x.ip_b AND d.port_b = x.port_b AND d.i = x.i GROUP BY 1, 2, 3, 4, 5
+SELECT d.job_id, d.protocol, d.ip_a, d.port_a, d.ip_b, d.port_b, list(coalesce(x.bps, 0.0) ORDER BY d.i) AS trend FROM d LEFT JOIN (SELECT {KEY}, s // step AS i, round(sum(bytes) * 8 / any_value(step)) AS bps FROM b JOIN n USING ({KEY}) GROUP BY ALL) x
+  ON d.job_id = x.job_id AND d.protocol = x.protocol AND d.ip_a = x.ip_a AND d.port_a = x.port_a AND d.ip_b = x.ip_b AND d.port_b = x.port_b AND d.i = x.i GROUP BY 1, 2, 3, 4, 5, 6
 """, lambda p: t.trend(p, seconds=2_592_000), "segments")
 named("flow_handshake", f"""
 WITH {CANONICAL}, s AS (SELECT *, min(CASE WHEN NOT rev AND flags & 16 = 0 THEN timestamp END) OVER (PARTITION BY {KEY} ORDER BY frame_number ROWS UNBOUNDED PRECEDING) AS syn FROM c WHERE protocol = 'TCP' AND flags & 2 <> 0)
@@ -46,7 +48,7 @@ WITH {CANONICAL}, f AS (SELECT {KEY}, rev, arg_min(seq, frame_number) AS first_s
 d AS (SELECT {KEY}, rev AS way, {POS.format(v='seq')} + payload_len AS pos, timestamp FROM c JOIN f USING ({KEY}, rev) WHERE payload_len > 0 AND flags & 8 <> 0),
 a AS (SELECT x.*, {POS.format(v='ack')} AS pos FROM (SELECT {KEY}, NOT rev AS rev, frame_number, timestamp, ack FROM c WHERE protocol = 'TCP' AND flags & 16 <> 0) x JOIN f USING ({KEY}, rev)),
 r AS (SELECT * FROM (SELECT *, max(pos) OVER (PARTITION BY {KEY}, rev ORDER BY frame_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM a) WHERE highest IS NULL OR pos > highest),
-m AS (SELECT d.*, (SELECT arg_min(r.timestamp, r.pos) FROM r WHERE r.protocol = d.protocol AND r.ip_a = d.ip_a AND r.port_a = d.port_a AND r.ip_b = d.ip_b AND r.port_b = d.port_b AND r.rev = d.way AND r.pos >= d.pos) AS covered FROM d)
+m AS (SELECT d.*, (SELECT arg_min(r.timestamp, r.pos) FROM r WHERE r.job_id = d.job_id AND r.protocol = d.protocol AND r.ip_a = d.ip_a AND r.port_a = d.port_a AND r.ip_b = d.ip_b AND r.port_b = d.port_b AND r.rev = d.way AND r.pos >= d.pos) AS covered FROM d)
 SELECT {KEY}, count(*) AS samples, round(avg((epoch_us(covered) - epoch_us(timestamp)) / 1000) * 100) / 100 AS data_rtt_ms FROM m WHERE covered > timestamp GROUP BY ALL
 """, t.round_trips, "segments")
 named("flow_rst", f"""
@@ -63,14 +65,28 @@ WITH t AS (SELECT *, {RTT} AS rtt_ms, coalesce(loss_pct, 0.0) AS p FROM ({PARTS[
 s AS (SELECT * EXCLUDE (p), {SCORE} AS sla_score FROM t)
 SELECT *, CASE WHEN sla_score >= 80 THEN 'good' WHEN sla_score >= 60 THEN 'acceptable' WHEN sla_score >= 40 THEN 'poor' ELSE 'critical' END AS sla_verdict FROM s
 """, t.track, "segments")
-STREAM = "src_ip, src_port, dst_ip, dst_port, ssrc"
+STREAM = "job_id, src_ip, src_port, dst_ip, dst_port, ssrc"
 named("rtp_gap", f"""
 SELECT *, round(lost / (packets + lost) * 10000) / 100 AS loss_pct FROM (SELECT {STREAM}, count(*) AS packets, coalesce(max(gap), 0) AS max_seq_gap, CAST(coalesce(sum(gap - 1) FILTER (gap > 1), 0) AS BIGINT) AS lost
 FROM (SELECT *, (rtp_seq - lag(rtp_seq) OVER (PARTITION BY {STREAM} ORDER BY frame_number) + 65536) % 65536 AS gap FROM v_segments) GROUP BY ALL)
 """, t.rtp_gaps, "segments")
+STEPS = f"""
+s AS (SELECT {STREAM}, frame_number, abs(CAST(trunc((epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER w) / 1000.0) AS BIGINT) - (rtp_time - lag(rtp_time) OVER w + 4294967296) % 4294967296) AS d
+  FROM v_segments WINDOW w AS (PARTITION BY {STREAM} ORDER BY frame_number)),
+n AS (SELECT *, row_number() OVER (PARTITION BY {STREAM} ORDER BY frame_number) - 1 AS i FROM s WHERE d IS NOT NULL),
+j AS (SELECT a.*, (SELECT sum(b.d / 16 * pow(15.0 / 16, a.i - b.i)) FROM n b
+  WHERE b.job_id = a.job_id AND b.src_ip = a.src_ip AND b.src_port = a.src_port AND b.dst_ip = a.dst_ip AND b.dst_port = a.dst_port AND b.ssrc = a.ssrc AND b.i <= a.i) AS j FROM n a)"""
 named("rtp_jitter", f"""
-WITH d AS (SELECT {STREAM}, frame_number, coalesce(abs((epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER w) / 1000.0 - (rtp_time - lag(rtp_time) OVER w + 4294967296) % 4294967296), 0.0) AS d FROM v_segments WINDOW w AS (PARTITION BY {STREAM} ORDER BY frame_number)),
-n AS (SELECT *, row_number() OVER (PARTITION BY {STREAM} ORDER BY frame_number) AS i FROM d),
-j AS (SELECT a.*, (SELECT sum(b.d / 16 * pow(15.0 / 16, a.i - b.i)) FROM n b WHERE b.src_ip = a.src_ip AND b.src_port = a.src_port AND b.dst_ip = a.dst_ip AND b.dst_port = a.dst_port AND b.ssrc = a.ssrc AND b.i <= a.i) AS j FROM n a)
-SELECT {STREAM}, round(arg_max(j, i) * 1000) / 1000 AS jitter, round(min(j) * 1000) / 1000 AS jitter_min, round(max(j) * 1000) / 1000 AS jitter_max, round(avg(j) * 1000) / 1000 AS jitter_avg FROM j GROUP BY ALL
-""", t.rtp_jitter, "segments")
+WITH {STEPS}, k AS (SELECT DISTINCT {STREAM} FROM v_segments), m AS (SELECT {STREAM}, arg_max(j, i) AS e, min(j) AS low, max(j) AS high, avg(j) AS mean FROM j GROUP BY ALL)
+SELECT {STREAM}, round(coalesce(e, 0.0) * 1000) / 1000 AS jitter, round(coalesce(low, 0.0) * 1000) / 1000 AS jitter_min, round(coalesce(high, 0.0) * 1000) / 1000 AS jitter_max,
+  round(coalesce(mean, 0.0) * 1000) / 1000 AS jitter_avg FROM k LEFT JOIN m USING ({STREAM})
+""", lambda p: t.rtp_jitter(p).drop("jitter_trend"), "segments")
+# Streams by job and media port alone, so that they have more steps than a trend has points.
+named("rtp_jitter_trend", """
+WITH s AS (SELECT job_id, frame_number, abs(CAST(trunc((epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER w) / 1000.0) AS BIGINT) - (rtp_time - lag(rtp_time) OVER w + 4294967296) % 4294967296) AS d
+  FROM v_segments WINDOW w AS (PARTITION BY job_id ORDER BY frame_number)),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY frame_number) - 1 AS i FROM s WHERE d IS NOT NULL) WHERE i < 300),
+j AS (SELECT a.job_id, a.i, (SELECT sum(b.d / 16 * pow(15.0 / 16, a.i - b.i)) FROM n b WHERE b.job_id = a.job_id AND b.i <= a.i) AS j FROM n a),
+c AS (SELECT job_id, CASE WHEN count(*) > 60 THEN CAST(ceil(count(*) / 60) AS BIGINT) ELSE 1 END AS step FROM j GROUP BY ALL)
+SELECT job_id, CAST(i AS INT) AS i, round(j * 100) / 100 AS ms FROM j JOIN c USING (job_id) WHERE i % step = 0
+""", lambda p: t.rtp_jitter(p.withColumns({"src_ip": F.lit("a"), "dst_ip": F.lit("b"), "src_port": F.lit(1), "dst_port": F.lit(2), "ssrc": F.lit(3)})).select("job_id", F.explode("jitter_trend").alias("p")).select("job_id", "p.*"), "segments")

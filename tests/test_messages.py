@@ -13,12 +13,75 @@ from tests.test_capture import frame, load, sip_message
 SF = "/root/testdata/sf0.001"
 
 
-def test_text_messages_are_cut_by_their_length():
+def test_what_stands_at_the_start():
     whole = b"POST / HTTP/1.1\r\nContent-Length: 4\r\n\r\nabcd"
-    assert reassembly.text_size(whole + b"GET") == len(whole) and reassembly.text_size(whole[:-1]) is None and reassembly.text_size(whole[:20]) is None
-    assert reassembly.text_size(b"\x81\x05hello") == 7
-    assert reassembly.SIZES["tls"](b"\x16\x03\x03\x00\x02ab\x17") == 7 and reassembly.SIZES["tls"](b"\x16\x03\x03\x00\x09ab") is None
-    assert reassembly.SIZES["diameter"](b"\x01\x00\x00\x14" + bytes(20)) == 20 and reassembly.SIZES["ajp"](b"AB\x00\x02\x05\x01zz") == 6
+    text, tls, diameter, ajp = (reassembly.FRAMERS[k] for k in ("text", "tls", "diameter", "ajp"))
+    assert text(whole + b"GET") == text(whole[:-1]) == ("message", len(whole)) and text(whole[:20]) == text(b"POS") == text(b"HTTP/1.1 2") == ("wait", None)
+    assert text(b"\x81\x05hello") == ("skip", 7) and text(b"tail\r\n" + whole) == ("skip", 6) and text(b"tail" + whole) == ("skip", 4) and text(b"tail\nGET /a") == ("skip", 5)
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: gzip, chunked\r\n\r\n3;x\r\nabc\r\n0\r\nA: b\r\n\r\n"
+    assert text(chunked + b"HTTP/1.1 404 No\r\n\r\n") == ("message", len(chunked)) and all(text(chunked[:k]) == ("wait", None) for k in range(1, len(chunked)))
+    record = b"\x16\x03\x03\x00\x02ab"
+    assert tls(record + b"\x17") == ("message", 7) and tls(b"\x16\x03\x03\x00\x09ab") == ("message", 14) and tls(b"lost \x16\x03 bytes" + record + record) == ("skip", 13)
+    assert tls(b"nothing at all") == ("skip", 14) and tls(b"\x16\x03\x03") == ("wait", None)
+    assert diameter(b"\x01\x00\x00\x14" + bytes(20)) == ("message", 20) and diameter(b"\x01" * 9 + b"\x01\x00\x00\x14" + bytes(16)) == ("skip", 9)
+    assert ajp(b"AB\x00\x02\x05\x01zz") == ("message", 6)
+
+
+def pieces(framer, data, size, largest=reassembly.LARGEST):
+    stream, out = reassembly.Stream(framer, largest), []
+    for k in range(0, len(data), size):
+        out += stream.add(data[k : k + size], k)
+    return [(d, n) for d, n, _, _ in [*out, *stream.end()]]
+
+
+REQUESTS = [b"GET /%d HTTP/1.1\r\nContent-Length: %d\r\n\r\n" % (i, i) + b"x" * i for i in range(5)]
+CHUNKS = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nGET \r\n0\r\n\r\n"
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 33, 10_000])
+def test_streams_caught_midway_lose_no_message(size):
+    for before in (b"", b"rest of a body that started before\r\n", b"\x00\x01 binary GET rest"):
+        found = [d for d, _ in pieces("text", before + REQUESTS[0] + CHUNKS + b"".join(REQUESTS[1:]), size)]
+        assert [d for d in found if d.startswith((b"GET /", b"HTTP"))] == [REQUESTS[0], CHUNKS, *REQUESTS[1:]] and b"".join(found) == before + REQUESTS[0] + CHUNKS + b"".join(REQUESTS[1:])
+    records = [b"\x17\x03\x03" + struct.pack(">H", n) + bytes(n) for n in (3, 300, 0, 40)]
+    assert [d for d, _ in pieces("tls", b"end of a record" + b"".join(records), size)][-4:] == records
+    commands = [b"\x01" + (20 + 4 * n).to_bytes(3, "big") + bytes(16 + 4 * n) for n in range(4)]
+    assert [d for d, _ in pieces("diameter", b"\x02" * 23 + b"".join(commands), size)][-4:] == commands
+
+
+@pytest.mark.parametrize("size", [1, 5, 1000])
+def test_frames_after_an_upgrade(size):
+    asked = b"GET /ws HTTP/1.1\r\nUpgrade: websocket\r\n\r\n"
+    frames = [b"\x81\x85\1\2\3\4hello", b"\x82\x7e\x01\x00" + bytes(256), b"\x88\x00"]
+    assert [d for d, _ in pieces("text", asked + b"".join(frames), size)] == [asked, *frames]
+    assert [d for d, _ in pieces("text", asked + REQUESTS[2] + REQUESTS[3], size)] == [asked, REQUESTS[2], REQUESTS[3]]  # refused
+
+
+@pytest.mark.parametrize("size", [9, 64, 5000])
+def test_long_messages_keep_their_first_bytes_and_those_after_them_are_whole(size):
+    long = b"POST /l HTTP/1.1\r\nContent-Length: 1900\r\n\r\n" + b"GET /0 HTTP/1.1\r\n\r\n" * 100
+    endless = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"64\r\n" + b"y" * 100 + b"\r\n"
+    found = pieces("text", REQUESTS[1] + long + REQUESTS[2], size, 128)
+    assert found == [(REQUESTS[1], len(REQUESTS[1])), (long[:128], len(long)), (REQUESTS[2], len(REQUESTS[2]))]
+    assert (REQUESTS[3], len(REQUESTS[3])) in pieces("text", endless * 3 + REQUESTS[3], size, 128)
+
+
+def test_messages_of_a_segment_have_ids_of_their_own(spark, tmp_path):
+    command = lambda n: b"\x01" + (20).to_bytes(3, "big") + b"\x80" + (316).to_bytes(3, "big") + struct.pack(">III", 16777251, n, n)
+    packets = load(spark, tmp_path, [(0, frame("10.0.0.1", "10.0.0.2", 5000, 3868, b"rest" + command(1) + command(2) + command(3)[:9], 6, 24, 1)), (1, frame("10.0.0.1", "10.0.0.2", 5000, 3868, command(3)[9:], 6, 24, 1 + 4 + 40 + 9))])
+    assert sorted(r.flow_id for r in decoders.decode(packets, ["diameter"]).collect()) == ["diameter-1.1", "diameter-1.2", "diameter-1.3"]
+
+
+def test_jobs_are_apart(spark, tmp_path):
+    from packetlake.operators import tracker
+
+    ask, told = b"GET / HTTP/1.1\r\n\r\n", b"HTTP/1.1 200 OK\r\n\r\n"
+    one = load(spark, tmp_path, [(i / 10, frame("10.0.0.1", "10.0.0.2", 5000, 80, ask, 6, 24, 1 + len(ask) * (i // 2)) if i % 2 == 0 else frame("10.0.0.2", "10.0.0.1", 80, 5000, told, 6, 24, 1 + len(told) * (i // 2))) for i in range(6)])
+    both = one.unionByName(one.withColumn("job_id", one.job_id + 1))
+    for made in (tracker.track, lambda p: decoders.decode(p, ["http", "transport"])):
+        alone = sorted(map(str, made(one).drop("job_id").collect()))
+        for job in (0, 1):
+            assert sorted(map(str, made(both).where(f"job_id = {job}").drop("job_id").collect())) == alone
 
 
 @pytest.mark.parametrize("name", ["decode_segments", "decode_tls", "decode_http2", "decode_nas5g", "decode_gtp", "decode_pfcp", "decode_ngap", "decode_snmp", "decode_ajp", "decode_websocket", "decode_http", "decode_sip", "decode_dns"])
