@@ -51,69 +51,89 @@ def first_of(value: str | Column, *order: str | Column) -> Column:
 
 
 def calls_from_flows(flows: DataFrame) -> DataFrame:
-    """A row per call with media: its SIP flow (the first of its id) and the RTP flows at its media endpoint.
+    """A row per call with media: its SIP flow (the first of its id) and the RTP flows of its job at its media endpoint.
 
     An RTP flow belongs to a call if one of its addresses is the call's media address and one of its
     ports the media port, also of different ends. Each flow is exploded to its four candidates, so that
     the join is an equi-join; a flow counts once per call. Calls without media flows stay.
     """
-    sip = flows.where("type = 'SIP' and media_ip is not null and media_port is not null").groupBy("flow_id").agg(F.min_by(F.struct("start_time", "end_time", "src_ip", "dst_ip", "media_ip", "media_port"), F.struct("start_time", "src_ip", "media_ip")).alias("s")).select("flow_id", "s.*")
-    ends = F.explode(F.array_distinct(F.flatten(F.transform(F.array("src_ip", "dst_ip"), lambda i: F.transform(F.array("src_port", "dst_port"), lambda p: F.struct(i.alias("media_ip"), p.alias("media_port")))))))
-    rtp = flows.where("type = 'RTP'").select(F.col("flow_id").alias("rtp_id"), "packets", "jitter_ms", "max_seq_gap", ends.alias("e")).select("rtp_id", "packets", "jitter_ms", "max_seq_gap", "e.*")
-    each = sip.join(rtp, ["media_ip", "media_port"]).groupBy("flow_id").agg(F.count("*").alias("legs"), F.sum("packets").alias("packets"), F.max("jitter_ms").alias("jitter_ms"), F.max("max_seq_gap").alias("max_seq_gap"))
-    out = sip.join(each, "flow_id", "left")
-    return out.select(F.col("flow_id").alias("call_id"), "start_time", "end_time", "media_ip", "media_port", F.coalesce("legs", F.lit(0)).alias("legs"), F.coalesce("packets", F.lit(0)).alias("packets"), "jitter_ms", "max_seq_gap")
+    told = F.struct("start_time", "end_time", "src_ip", "dst_ip", "media_ip", "media_port")
+    sip = flows.where("type = 'SIP' and media_ip is not null and media_port is not null").groupBy("job_id", "flow_id")
+    sip = sip.agg(F.min_by(told, F.struct("start_time", "src_ip", "media_ip")).alias("s")).select("job_id", "flow_id", "s.*")
+    end = lambda i, p: F.struct(i.alias("media_ip"), p.alias("media_port"))
+    ends = F.flatten(F.transform(F.array("src_ip", "dst_ip"), lambda i: F.transform(F.array("src_port", "dst_port"), lambda p: end(i, p))))
+    columns = ["job_id", "packets", "jitter_ms", "max_seq_gap"]
+    rtp = flows.where("type = 'RTP'").select(*columns, F.explode(F.array_distinct(ends)).alias("e")).select(*columns, "e.*")
+    each = sip.join(rtp, ["job_id", "media_ip", "media_port"]).groupBy("job_id", "flow_id").agg(
+        F.count("*").alias("legs"), F.sum("packets").alias("packets"), F.max("jitter_ms").alias("jitter_ms"), F.max("max_seq_gap").alias("max_seq_gap")
+    )
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = sip.join(each, ["job_id", "flow_id"], "left")
+    return out.select("job_id", F.col("flow_id").alias("call_id"), "start_time", "end_time", "media_ip", "media_port", count("legs"), count("packets"), "jitter_ms", "max_seq_gap")
 
 
 def subscribers(flows: DataFrame) -> DataFrame:
-    """A profile per IMSI: first number, access point and address by protocol order, then time; times and tunnels seen."""
+    """A profile per job and IMSI: first number, access point and address by protocol order, then time; times and tunnels seen."""
     rank = F.when(F.col("type") == "NGAP", 0).when(F.col("type") == "GTP", 1).otherwise(2)
     own = flows.where("imsi is not null").withColumn("rank", rank)
     order = ("rank", "start_time", "flow_id")
-    return own.groupBy("imsi").agg(
-        first_of("msisdn", *order).alias("msisdn"), first_of("apn", *order).alias("apn"), first_of("ue_ip", *order).alias("ue_ip"), F.min("start_time").alias("first_seen"), F.max("end_time").alias("last_seen"),
-        F.array_sort(F.collect_set("teid")).alias("teids"), F.count("*").alias("flows"),
+    return own.groupBy("job_id", "imsi").agg(
+        first_of("msisdn", *order).alias("msisdn"), first_of("apn", *order).alias("apn"), first_of("ue_ip", *order).alias("ue_ip"),
+        F.min("start_time").alias("first_seen"), F.max("end_time").alias("last_seen"), F.array_sort(F.collect_set("teid")).alias("teids"), F.count("*").alias("flows"),
     )
 
 
 def lookup_index(profiles: DataFrame) -> DataFrame:
-    """(kind, id, imsi): every id a subscriber may be looked up by."""
-    ids = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("id")) for k, c in (("imsi", "imsi"), ("msisdn", "msisdn"), ("ue_ip", "ue_ip"))])
+    """(job_id, kind, id, imsi): every id a subscriber may be looked up by."""
+    ids = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("id")) for k in ("imsi", "msisdn", "ue_ip")])
     teids = F.transform(F.coalesce("teids", F.array().cast("array<string>")), lambda t: F.struct(F.lit("teid").alias("kind"), t.alias("id")))
-    return profiles.select("imsi", F.explode(F.concat(ids, teids)).alias("e")).where("e.id is not null").select("e.kind", "e.id", "imsi")
+    return profiles.select("job_id", "imsi", F.explode(F.concat(ids, teids)).alias("e")).where("e.id is not null").select("job_id", "e.kind", "e.id", "imsi")
 
 
 def media_members(claimed: DataFrame, flows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(key, flow_id, type, ...): RTP flows with a media endpoint of the SIP flows of (key, media_ip, media_port) at either end."""
-    ends = F.explode(F.array_distinct(F.array(F.struct(F.col("src_ip").alias("media_ip"), F.col("src_port").alias("media_port")), F.struct(F.col("dst_ip").alias("media_ip"), F.col("dst_port").alias("media_port")))))
-    rtp = flows.where("type = 'RTP'").select("flow_id", "type", *columns, ends.alias("e")).select("flow_id", "type", *columns, "e.*")
-    wanted = claimed.where("media_ip <> '' and media_port is not null").select(key, "media_ip", "media_port").distinct()
-    return wanted.join(rtp, ["media_ip", "media_port"]).select(key, "flow_id", "type", *columns).distinct()
-
-
-def sessions(flows: DataFrame, pad_seconds: float = 30.0) -> DataFrame:
-    """(imsi, flow_id, type, via): the flows of each subscriber's session.
-
-    A session's bounds are those of the flows that carry its IMSI. GTP-U joins it by tunnel and user-plane
-    flows by the subscriber's address, within ``pad_seconds`` of its bounds; SIP by the subscriber's address
-    at either end, RTP by a media endpoint of its SIP flows. An OR of rules becomes a union of
-    equi-joins, and a flow that several rules give counts once. Being near in time alone is no rule here: it
-    would give each flow to all subscribers of its half minute.
+    """(job_id, key, flow_id, type, ...): RTP flows with a media endpoint of the SIP flows of (job_id, key, media_ip, media_port) at either end."""
+    end = lambda side: F.struct(F.col(f"{side}_ip").alias("media_ip"), F.col(f"{side}_port").alias("media_port"))
+    kept = ["job_id", "flow_id", "type", *columns]
+    rtp = flows.where("type = 'RTP'").select(*kept, F.explode(F.array_distinct(F.array(end("src"), end("dst")))).alias("e")).select(*kept, "e.*")
+    wanted = claimed.where("media_ip <> '' and media_port is not null").select("job_id", key, "media_ip", "media_port").distinct()
+    return wanted.join(rtp, ["job_id", "media_ip", "media_port"]).select("job_id", key, "flow_id", "type", *columns).distinct()
+
+
+def sessions(flows: DataFrame, pad_seconds: float = 30.0, near_types: tuple[str, ...] = ()) -> DataFrame:
+    """(job_id, imsi, flow_id, type, via): the flows of each subscriber's session, within a job.
+
+    A session's bounds are those of the flows that carry its IMSI; other flows join it within
+    ``pad_seconds`` of them: GTP-U by tunnel, user-plane flows by the subscriber's address, SIP by that
+    address at either end, and RTP by a media endpoint of its SIP flows, at any time. All ids a flow may be known by are
+    exploded, so that the rules are one equi-join, and a flow that several rules give counts once. Being
+    near in time alone counts for ``near_types`` only (such as NGAP, Diameter and RTP): it gives a flow to all
+    subscribers of its half minute.
     """
     profile = subscribers(flows)
-    own = flows.where("imsi is not null").select("imsi", "flow_id", "type", F.lit("imsi").alias("via"))
-    near = (F.col("start_time") < F.col("last_seen") + F.expr(f"INTERVAL '{pad_seconds}' SECOND")) & (F.col("end_time") > F.col("first_seen") - F.expr(f"INTERVAL '{pad_seconds}' SECOND"))
+    own = flows.where("imsi is not null").select("job_id", "imsi", "flow_id", "type", F.lit("imsi").alias("via"))
     rest = flows.where("imsi is null").drop("imsi")
-    tunnels = profile.select("imsi", "first_seen", "last_seen", F.explode("teids").alias("teid"))
-    by_teid = rest.where("type = 'GTPU'").join(tunnels, "teid").where(near).select("imsi", "flow_id", "type", F.lit("teid").alias("via"))
-    address = profile.where("ue_ip is not null").select("imsi", "first_seen", "last_seen", "ue_ip")
-    by_ip = rest.where("type in ('PFCP', 'GTP')").join(address, "ue_ip").where(near).select("imsi", "flow_id", "type", F.lit("ue_ip").alias("via"))
-    ends = F.explode(F.array_distinct(F.array("src_ip", "dst_ip"))).alias("ue_ip")
-    calls = rest.where("type = 'SIP'").select("flow_id", "type", "media_ip", "media_port", ends).join(address.select("imsi", "ue_ip"), "ue_ip")
-    by_end = calls.select("imsi", "flow_id", "type", F.lit("end").alias("via"))
-    by_media = media_members(calls, rest, "imsi").withColumn("via", F.lit("media"))
-    every = own.unionByName(by_teid).unionByName(by_ip).unionByName(by_end).unionByName(by_media)
-    return every.groupBy("imsi", "flow_id", "type").agg(F.min("via").alias("via"))
+    known = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("id"))
+    address = F.when(F.col("ue_ip").isNotNull(), F.array(known("ue_ip", F.col("ue_ip")), known("end", F.col("ue_ip")))).otherwise(F.array().cast("array<struct<kind: string, id: string>>"))
+    ids = profile.select("job_id", "imsi", "first_seen", "last_seen", F.explode(F.concat(F.transform("teids", lambda t: known("teid", t)), address)).alias("e"))
+    ids = ids.select("job_id", "imsi", "first_seen", "last_seen", "e.*")
+    carried = (
+        F.when(F.col("type") == "GTPU", F.array(known("teid", F.col("teid"))))
+        .when(F.col("type").isin("PFCP", "GTP"), F.array(known("ue_ip", F.col("ue_ip"))))
+        .when(F.col("type") == "SIP", F.transform(F.array_distinct(F.array("src_ip", "dst_ip")), lambda i: known("end", i)))
+    )
+    shown = rest.select("job_id", "flow_id", "type", "start_time", "end_time", "media_ip", "media_port", F.explode(carried).alias("e")).select("*", "e.*").drop("e")
+    pad = F.expr(f"INTERVAL '{pad_seconds}' SECOND")
+    near = (F.col("start_time") < F.col("last_seen") + pad) & (F.col("end_time") > F.col("first_seen") - pad)
+    met = shown.join(ids, ["job_id", "kind", "id"]).where(near)
+    members = ["job_id", "imsi", "flow_id", "type", "via"]
+    every = own.unionByName(met.withColumn("via", F.col("kind")).select(*members))
+    every = every.unionByName(media_members(met.where("kind = 'end'"), rest, "imsi").withColumn("via", F.lit("media")).select(*members))
+    if near_types:
+        spans = profile.select("job_id", "imsi", F.col("first_seen").alias("start_time"), F.col("last_seen").alias("end_time"))
+        others = rest.where(F.col("type").isin(*near_types)).select("job_id", "flow_id", "type", "start_time", "end_time")
+        by_time = interval_join(spans, others, 2 * pad_seconds, 60, ["job_id"])
+        every = every.unionByName(by_time.select(F.col("l_job_id").alias("job_id"), F.col("l_imsi").alias("imsi"), F.col("r_flow_id").alias("flow_id"), F.col("r_type").alias("type"), F.lit("time").alias("via")))
+    return every.groupBy("job_id", "imsi", "flow_id", "type").agg(F.min("via").alias("via"))
 
 
 def stream_mos() -> Column:
@@ -127,69 +147,110 @@ def stream_quality(mos: str = "mos") -> Column:
 
 def session_summary(flows: DataFrame, members: DataFrame) -> DataFrame:
     """A row per session: bounds, layers, worst MOS, quality, and whether all layers are there."""
-    joined = members.join(flows.select("flow_id", "type", "start_time", "end_time", "packet_loss_pct", "jitter_ms"), ["flow_id", "type"])
-    each = joined.groupBy("imsi").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.array_sort(F.collect_set("type")).alias("layers"), F.count("*").alias("flows"), rounded(F.min(stream_mos())).alias("mos"))
+    joined = members.join(flows.select("job_id", "flow_id", "type", "start_time", "end_time", "packet_loss_pct", "jitter_ms"), ["job_id", "flow_id", "type"])
+    each = joined.groupBy("job_id", "imsi").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.array_sort(F.collect_set("type")).alias("layers"), F.count("*").alias("flows"), rounded(F.min(stream_mos())).alias("mos"))
     there = lambda t: F.array_contains("layers", t)
-    return each.select("imsi", "start_time", "end_time", "layers", "flows", "mos", stream_quality().alias("quality"), (there("NGAP") & there("GTP") & there("SIP") & there("RTP")).alias("complete"))
+    return each.select("job_id", "imsi", "start_time", "end_time", "layers", "flows", "mos", stream_quality().alias("quality"), (there("NGAP") & there("GTP") & there("SIP") & there("RTP")).alias("complete"))
 
 
 def ims_sessions(flows: DataFrame, members: DataFrame) -> DataFrame:
     """A row per SIP flow that no subscriber's session has: bounds, its RTP flows by media endpoint, worst MOS, quality."""
-    lone = flows.where("type = 'SIP'").join(members.where("type = 'SIP'").select("flow_id").distinct(), "flow_id", "left_anti")
+    lone = flows.where("type = 'SIP'").join(members.where("type = 'SIP'").select("job_id", "flow_id").distinct(), ["job_id", "flow_id"], "left_anti")
     columns = ["start_time", "end_time", "packet_loss_pct", "jitter_ms"]
     media = media_members(lone.withColumnRenamed("flow_id", "call_id"), flows, "call_id", *columns)
-    own = lone.select(F.col("flow_id").alias("call_id"), "type", *columns)
-    each = own.unionByName(media.select("call_id", "type", *columns)).groupBy("call_id")
+    own = lone.select("job_id", F.col("flow_id").alias("call_id"), "type", *columns)
+    each = own.unionByName(media.select("job_id", "call_id", "type", *columns)).groupBy("job_id", "call_id")
     out = each.agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.sum(F.when(F.col("type") == "RTP", 1).otherwise(0)).alias("streams"), rounded(F.min(stream_mos())).alias("mos"))
-    return out.select(F.concat(F.lit("ims-"), "call_id").alias("session_id"), "call_id", "start_time", "end_time", "streams", "mos", stream_quality().alias("quality"))
+    return out.select("job_id", F.concat(F.lit("ims-"), "call_id").alias("session_id"), "call_id", "start_time", "end_time", "streams", "mos", stream_quality().alias("quality"))
 
 
 def step() -> Column:
     """The step that a flow's message stands for; null for types without steps."""
     name = F.coalesce(F.when(F.col("type") == "SIP", F.col("method")).when(F.col("type") == "Diameter", F.col("command")).otherwise(F.col("message_type")), F.lit(""))
-    out = F.lit(None).cast("string")
-    for kind, names in STEPS.items():
-        table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-        out = F.when(F.col("type") == kind, F.coalesce(F.try_element_at(table, name), F.concat(F.lit(PREFIXES[kind]), name))).otherwise(out)
-    for kind, only in SINGLE.items():
-        out = F.when(F.col("type") == kind, F.lit(only)).otherwise(out)
-    return out
+    table = lambda rows: F.create_map(*[F.lit(x) for kv in rows.items() for x in kv])
+    known = table({f"{kind}|{k}": v for kind, steps in STEPS.items() for k, v in steps.items()})
+    other = F.concat(F.try_element_at(table(PREFIXES), F.col("type")), name)
+    return F.coalesce(F.try_element_at(table(SINGLE), F.col("type")), F.try_element_at(known, F.concat(F.col("type"), F.lit("|"), name)), other)
 
 
 def session_steps(flows: DataFrame, members: DataFrame) -> DataFrame:
-    """(imsi, flow_id, step, at): what happens in each session."""
-    return members.join(flows.select("flow_id", "type", F.col("start_time").alias("at"), step().alias("step")), ["flow_id", "type"]).where("step is not null").select("imsi", "flow_id", "step", "at")
+    """(job_id, imsi, flow_id, step, at): what happens in each session."""
+    steps = flows.select("job_id", "flow_id", "type", F.col("start_time").alias("at"), step().alias("step")).where("step is not null")
+    return members.join(steps, ["job_id", "flow_id", "type"]).select("job_id", "imsi", "flow_id", "step", "at")
 
 
 def lifecycle(flows: DataFrame, members: DataFrame) -> DataFrame:
-    """(imsi, step, at, delta_ms, state): the first time of each milestone of a session, from its first step of any kind."""
+    """(job_id, imsi, step, at, delta_ms, state): the first time of each milestone of a session, from its first step of any kind."""
     steps = session_steps(flows, members)
     state = F.create_map(*[F.lit(x) for kv in MILESTONES.items() for x in kv])
-    start = steps.groupBy("imsi").agg(F.min("at").alias("start"))
-    first = steps.withColumn("state", F.try_element_at(state, F.col("step"))).where("state is not null").groupBy("imsi", "step", "state").agg(F.min("at").alias("at"))
+    start = steps.groupBy("job_id", "imsi").agg(F.min("at").alias("start"))
+    first = steps.withColumn("state", F.try_element_at(state, F.col("step"))).where("state is not null").groupBy("job_id", "imsi", "step", "state").agg(F.min("at").alias("at"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return first.join(start, "imsi").select("imsi", "step", "at", ((micros("at") - micros("start")) / 1000).alias("delta_ms"), "state")
+    return first.join(start, ["job_id", "imsi"]).select("job_id", "imsi", "step", "at", ((micros("at") - micros("start")) / 1000).alias("delta_ms"), "state")
 
 
 def final_state(steps: DataFrame) -> DataFrame:
-    return steps.groupBy("imsi").agg(F.max_by("state", F.struct("at", "step")).alias("state"))
+    return steps.groupBy("job_id", "imsi").agg(F.max_by("state", F.struct("at", "step")).alias("state"))
+
+
+#: The types that may join a session around a call, in the order in which they are looked through; those that need a common address.
+AROUND, BY_ADDRESS = ("Diameter", "GTP", "PFCP", "RTP", "S1AP", "NGAP"), ("Diameter", "RTP")
+_SPAN = ["job_id", "flow_id", "type", "src_ip", "dst_ip", "start_time", "end_time"]
+
+
+def _around_calls(flows: DataFrame, pad_seconds: float, *more: str) -> DataFrame:
+    common = F.lit(False)
+    for a in ("l_src_ip", "l_dst_ip"):
+        for b in ("r_src_ip", "r_dst_ip"):
+            common = common | (F.col(a) == F.col(b))
+    sip, others = flows.where("type = 'SIP'").select(*_SPAN), flows.where(F.col("type").isin(*AROUND)).select(*_SPAN, *more)
+    return interval_join(sip, others, pad_seconds, int(2 * pad_seconds) or 1, ["job_id"]).where(~F.col("r_type").isin(*BY_ADDRESS) | common)
 
 
 def cross_protocol(flows: DataFrame, pad_seconds: float = 5.0) -> DataFrame:
     """(anchor, flow_id, type): flows near each SIP flow in time, Diameter and RTP only with a common address."""
-    columns = ["job_id", "flow_id", "type", "src_ip", "dst_ip", "start_time", "end_time"]
-    sip = flows.where("type = 'SIP'").select(*columns)
-    others = flows.where(F.col("type").isin("Diameter", "RTP", "GTP", "PFCP", "S1AP", "NGAP")).select(*columns)
-    common = (F.col("l_src_ip") == F.col("r_src_ip")) | (F.col("l_src_ip") == F.col("r_dst_ip")) | (F.col("l_dst_ip") == F.col("r_src_ip")) | (F.col("l_dst_ip") == F.col("r_dst_ip"))
-    met = interval_join(sip, others, pad_seconds, 600, ["job_id"]).where(~F.col("r_type").isin("Diameter", "RTP") | common)
-    return met.select(F.col("l_flow_id").alias("anchor"), F.col("r_flow_id").alias("flow_id"), F.col("r_type").alias("type"))
+    return _around_calls(flows, pad_seconds).select(F.col("l_flow_id").alias("anchor"), F.col("r_flow_id").alias("flow_id"), F.col("r_type").alias("type"))
+
+
+def _gtp_with_pfcp(flows: DataFrame, pad_seconds: float, *more: str) -> DataFrame:
+    gtp, pfcp = flows.where("type = 'GTP'").select(*_SPAN), flows.where("type = 'PFCP'").select(*_SPAN, *more)
+    return interval_join(gtp, pfcp, pad_seconds, int(2 * pad_seconds) or 1, ["job_id"])
 
 
 def gtp_pfcp(flows: DataFrame, pad_seconds: float = 5.0) -> DataFrame:
     """Pairs of GTP and PFCP flows near each other in time."""
-    columns = ["job_id", "flow_id", "start_time", "end_time"]
-    met = interval_join(flows.where("type = 'GTP'").select(*columns), flows.where("type = 'PFCP'").select(*columns), pad_seconds, 600, ["job_id"])
-    return met.select(F.col("l_flow_id").alias("gtp"), F.col("r_flow_id").alias("pfcp"))
+    return _gtp_with_pfcp(flows, pad_seconds).select(F.col("l_flow_id").alias("gtp"), F.col("r_flow_id").alias("pfcp"))
+
+
+def cross_sessions(flows: DataFrame, pad_seconds: float = 5.0) -> DataFrame:
+    """A row per session around a SIP flow, and around a GTP flow with PFCP flows near it.
+
+    ``protocols`` are those of its flows, the anchor's first. The end is the latest of the flows around a
+    call, that of the flow itself around GTP. diameter_session, teid and seid are those of the last such flow; IMSI and number
+    are the first that is told, by the order of protocols, then time. A flow without times is near to none.
+    """
+    there = "details" in flows.columns
+    detail = lambda k: F.try_element_at("details", F.lit(k)) if there else F.lit(None).cast("string")
+    names = ["imsi", "msisdn", "teid", "diameter_session", "seid"]
+    own = flows.withColumns({"diameter_session": detail("session_id"), "seid": detail("seid")})
+    ends, fields = ["flow_id", "type", "start_time", "end_time"], ["flow_id", "type", "start_time", "end_time", *names]
+    pick = lambda prefix, some: F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in some])
+    pairs = _around_calls(own, pad_seconds, *names).unionByName(_gtp_with_pfcp(own, pad_seconds, *names))
+    met = pairs.select(F.col("l_job_id").alias("job_id"), pick("l_", ends).alias("anchor"), pick("r_", fields).alias("f"))
+    alone = own.where("type in ('SIP', 'GTP')").select("job_id", pick("", ends).alias("anchor"), pick("", fields).alias("f"))
+    every = met.unionByName(alone).select("job_id", "anchor", "f.*")
+    rank = F.when(F.col("type") == F.col("anchor.type"), -1).otherwise(F.array_position(F.array(*map(F.lit, AROUND)), F.col("type"))).cast("int")
+    last = lambda kind, c: F.max_by(c, F.when(F.col("type") == kind, F.struct("start_time", "flow_id"))).alias(c)
+    order = ("rank", "start_time", "flow_id")
+    out = every.withColumn("rank", rank).groupBy("job_id", "anchor").agg(
+        F.transform(F.array_sort(F.collect_set(F.struct("rank", "type"))), lambda x: x["type"]).alias("protocols"), F.count("*").alias("flows"), F.max("end_time").alias("latest"),
+        last("Diameter", "diameter_session"), last("GTP", "teid"), last("PFCP", "seid"), first_of("imsi", *order).alias("imsi"), first_of("msisdn", *order).alias("msisdn"),
+    )
+    call = F.col("anchor.type") == "SIP"
+    return out.where(call | (F.size("protocols") > 1)).select(
+        "job_id", F.concat(F.when(call, "session-").otherwise("session-gtp-"), "anchor.flow_id").alias("session_id"), F.when(call, F.col("anchor.flow_id")).alias("call_id"), "anchor.start_time",
+        F.when(call, F.greatest("latest", "anchor.end_time")).otherwise(F.col("anchor.end_time")).alias("end_time"), "protocols", "flows", *names,
+    )
 
 
 def normal_teid(teid: Column) -> Column:
@@ -198,8 +259,7 @@ def normal_teid(teid: Column) -> Column:
 
 
 def media_lookup(reports: DataFrame, legs: DataFrame) -> DataFrame:
-    """Receiver reports (ip, port, ...) with the call of the leg that has the endpoint at either end."""
-    ends = legs.select("call_id", F.explode(F.array(F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")), F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port")))).alias("e")).select("call_id", "e.*")
-    return reports.join(ends.groupBy("ip", "port").agg(F.min("call_id").alias("call_id")), ["ip", "port"], "left")
-
-
+    """Receiver reports (job_id, ip, port, ...) with the call of their job's leg that has the endpoint at either end."""
+    end = lambda side: F.struct(F.col(f"{side}_ip").alias("ip"), F.col(f"{side}_port").alias("port"))
+    ends = legs.select("job_id", "call_id", F.explode(F.array(end("src"), end("dst"))).alias("e")).select("job_id", "call_id", "e.*")
+    return reports.join(ends.groupBy("job_id", "ip", "port").agg(F.min("call_id").alias("call_id")), ["job_id", "ip", "port"], "left")

@@ -23,6 +23,8 @@ def test_interval_join_against_all_pairs(spark):
     pad = dt.timedelta(seconds=4)
     want = sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] < y[3] + pad and y[2] < x[3] + pad)
     assert sorted(pairs) == want and want
+    for limit in (1, 7):  # all buckets, or some, are split
+        assert sorted((r.l_id, r.r_id) for r in interval_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 4, 5, ["job"], pairs=limit).collect()) == want
 
 
 def test_private_addresses(spark):
