@@ -359,6 +359,8 @@ def transport(packets: DataFrame) -> DataFrame:
     tracked = tracker.track(packets)
     sizes = tracker.canonical(packets).groupBy(*tracker.KEY).agg(F.max("payload_len").alias("max_packet_size"))
     out = tracked.join(sizes, tracker.KEY).withColumns({"type": F.col("protocol"), "packets": F.col("fwd_packets") + F.col("rev_packets"), "bytes": F.col("fwd_bytes") + F.col("rev_bytes"), "packet_loss_pct": F.col("loss_pct")})
+    told = {"close_reason": F.col("close_reason"), "sla_score": F.col("sla_score"), "sla_verdict": F.col("sla_verdict"), "handshake_ms": F.col("handshake_ms"), "rst_delta": F.col("rst_delta"), "rst_reason": F.col("rst_reason")}
+    out = out.withColumn("details", detailed(told))
     return conform(out.withColumnsRenamed({"ip_a": "src_ip", "port_a": "src_port", "ip_b": "dst_ip", "port_b": "dst_port"}))
 
 

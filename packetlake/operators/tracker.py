@@ -60,12 +60,18 @@ def volumes(packets: DataFrame) -> DataFrame:
         n(~rev).alias("fwd_packets"), n(rev).alias("rev_packets"), n(~rev, F.col("payload_len")).alias("fwd_bytes"), n(rev, F.col("payload_len")).alias("rev_bytes"),
         F.min_by("timestamp", "frame_number").alias("start_time"), F.max("timestamp").alias("end_time"), F.bit_or(flags.cast("int")).alias("flags"),
     )
+    return described(each)
+
+
+def described(each: DataFrame) -> DataFrame:
+    """Flows from their sums (packets and bytes either way, start_time, end_time, flags): id, names of flags, how it closed, rates."""
     seconds = (micros("end_time") - micros("start_time")) / 1e6
     rate = lambda b: F.when(seconds > 0, F.round(b * 8 / seconds)).otherwise(0.0)
     close = F.when(F.col("protocol") != "TCP", None).when(has(4), "RST").when(has(1), "FIN").otherwise("timeout")
     return each.select(
         flow_id().alias("flow_id"), *KEY, "fwd_packets", "rev_packets", "fwd_bytes", "rev_bytes", "start_time", "end_time", F.when(F.col("protocol") == "TCP", flag_names(F.col("flags"))).alias("tcp_flags"), close.alias("close_reason"),
         rate(F.col("fwd_bytes") + F.col("rev_bytes")).alias("throughput_bps"), rate(F.col("fwd_bytes")).alias("fwd_bps"), rate(F.col("rev_bytes")).alias("rev_bps"),
+        *[c for c in each.columns if c not in (*KEY, "fwd_packets", "rev_packets", "fwd_bytes", "rev_bytes", "start_time", "end_time", "flags")],
     )
 
 
@@ -132,20 +138,38 @@ def round_trips(packets: DataFrame) -> DataFrame:
     return met.groupBy(*KEY).agg(F.count("*").alias("samples"), rounded(F.avg((micros("covered") - micros("timestamp")) / 1000)).alias("data_rtt_ms"))
 
 
+def reset_verdict(rst: str, fwd: str, rev: str, delta: int) -> tuple[Column, Column, Column]:
+    """(rst_authenticity, rst_delta, rst_reason) of the first reset (ttl, ip_id, reversed) and the first hop limits of both directions."""
+    base = F.when(F.col(f"{rst}.reversed"), F.col(rev)).otherwise(F.col(fwd))
+    away = F.abs(F.col(f"{rst}.ttl") - base)
+    verdict_ = F.when(base.isNull(), "unknown").when(away >= delta, "suspicious").otherwise("genuine")
+    told = F.format_string("hop limit %d of the reset is %d away from %d, which its direction began with", F.col(f"{rst}.ttl"), away, base)
+    weak = F.when(F.col(f"{rst}.ip_id") == 0, F.lit("; its IP-ID is 0, as of packets made by simple tools")).otherwise(F.lit(""))
+    return verdict_, away, F.when(verdict_ == "suspicious", F.concat(told, weak))
+
+
 def resets(packets: DataFrame, delta: int = 5) -> DataFrame:
-    """(flow key, rst_authenticity): whether the first reset's hop limit fits the packets of its direction before any reset."""
+    """(flow key, rst_authenticity, rst_delta, rst_reason): whether the first reset's hop limit fits the packets of its direction before any reset.
+
+    An identification of zero is told as a weak sign besides; it never changes the verdict.
+    """
     own = canonical(packets).where("protocol = 'TCP'")
     pick = lambda way: F.min_by(F.when(~has(4) & (F.col("ttl") > 0) & (F.col("reversed") == way), F.col("ttl")), F.when(~has(4) & (F.col("ttl") > 0) & (F.col("reversed") == way), F.col("frame_number")))
-    each = own.groupBy(*KEY).agg(F.min_by(F.when(has(4), F.struct("ttl", "reversed")), F.when(has(4), F.col("frame_number"))).alias("rst"), pick(False).alias("fwd"), pick(True).alias("rev"))
-    base = F.when(F.col("rst.reversed"), F.col("rev")).otherwise(F.col("fwd"))
-    verdict_ = F.when(base.isNull(), "unknown").when(F.abs(F.col("rst.ttl") - base) >= delta, "suspicious").otherwise("genuine")
-    return each.where("rst is not null and rst.ttl > 0").select(*KEY, verdict_.alias("rst_authenticity"))
+    first = F.min_by(F.when(has(4), F.struct("ttl", "ip_id", "reversed")), F.when(has(4), F.col("frame_number")))
+    each = own.groupBy(*KEY).agg(first.alias("rst"), pick(False).alias("fwd"), pick(True).alias("rev"))
+    found = reset_verdict("rst", "fwd", "rev", delta)
+    return each.where("rst is not null and rst.ttl > 0").select(*KEY, *[c.alias(n) for c, n in zip(found, ("rst_authenticity", "rst_delta", "rst_reason"), strict=True)])
 
 
 def track(packets: DataFrame) -> DataFrame:
     """Flows with all measures; every part is aggregated by the flow key before it is joined."""
     parts = [handshakes(packets), retransmissions(packets), round_trips(packets), resets(packets), trend(packets)]
     out = reduce(lambda a, b: a.join(b, KEY, "left"), parts, volumes(packets))
+    return scored(out)
+
+
+def scored(out: DataFrame) -> DataFrame:
+    """Adds the round-trip time that counts, and the score and verdict of the service level."""
     rtt = F.coalesce(F.when(F.col("data_rtt_ms") > 0, F.col("data_rtt_ms")), "handshake_ms", F.lit(0.0))
     score = F.when(F.col("protocol") == "TCP", tcp_score(rtt, F.coalesce("loss_pct", F.lit(0.0)))).otherwise(100)
     return out.withColumns({"rtt_ms": rtt, "sla_score": score}).withColumn("sla_verdict", verdict(F.col("sla_score")))

@@ -52,9 +52,11 @@ m AS (SELECT d.*, (SELECT arg_min(r.timestamp, r.pos) FROM r WHERE r.job_id = d.
 SELECT {KEY}, count(*) AS samples, round(avg((epoch_us(covered) - epoch_us(timestamp)) / 1000) * 100) / 100 AS data_rtt_ms FROM m WHERE covered > timestamp GROUP BY ALL
 """, t.round_trips, "segments")
 named("flow_rst", f"""
-WITH {CANONICAL}, e AS (SELECT {KEY}, arg_min(ttl, frame_number) FILTER (flags & 4 <> 0) AS rst, arg_min(rev, frame_number) FILTER (flags & 4 <> 0) AS way,
-  arg_min(ttl, frame_number) FILTER (flags & 4 = 0 AND ttl > 0 AND NOT rev) AS fwd, arg_min(ttl, frame_number) FILTER (flags & 4 = 0 AND ttl > 0 AND rev) AS bwd FROM c WHERE protocol = 'TCP' GROUP BY ALL)
-SELECT {KEY}, CASE WHEN base IS NULL THEN 'unknown' WHEN abs(rst - base) >= 5 THEN 'suspicious' ELSE 'genuine' END AS rst_authenticity FROM (SELECT *, CASE WHEN way THEN bwd ELSE fwd END AS base FROM e WHERE rst > 0)
+WITH {CANONICAL}, e AS (SELECT {KEY}, arg_min(ttl, frame_number) FILTER (flags & 4 <> 0) AS rst, arg_min(ip_id, frame_number) FILTER (flags & 4 <> 0) AS ip_id, arg_min(rev, frame_number) FILTER (flags & 4 <> 0) AS way,
+  arg_min(ttl, frame_number) FILTER (flags & 4 = 0 AND ttl > 0 AND NOT rev) AS fwd, arg_min(ttl, frame_number) FILTER (flags & 4 = 0 AND ttl > 0 AND rev) AS bwd FROM c WHERE protocol = 'TCP' GROUP BY ALL),
+b AS (SELECT *, CASE WHEN way THEN bwd ELSE fwd END AS base FROM e WHERE rst > 0), k AS (SELECT *, CAST(abs(rst - base) AS INT) AS rst_delta FROM b)
+SELECT {KEY}, CASE WHEN base IS NULL THEN 'unknown' WHEN rst_delta >= 5 THEN 'suspicious' ELSE 'genuine' END AS rst_authenticity, rst_delta,
+  CASE WHEN rst_delta >= 5 THEN 'hop limit ' || rst || ' of the reset is ' || rst_delta || ' away from ' || base || ', which its direction began with' || CASE WHEN ip_id = 0 THEN '; its IP-ID is 0, as of packets made by simple tools' ELSE '' END END AS rst_reason FROM k
 """, t.resets, "segments")
 PARTS = [STATEMENTS[f"flow_{n}"] for n in ("volume", "handshake", "retrans", "rtt", "rst")] + [STATEMENTS["flow_trend"].replace("2592000", "3600")]
 RTT = "CASE WHEN data_rtt_ms > 0 THEN data_rtt_ms ELSE coalesce(handshake_ms, 0.0) END"
