@@ -1,9 +1,10 @@
 """Detection rules over flows.
 
-A rule is a function of a flow DataFrame that returns alerts: rule, severity, protocol, title, flow_id, subject
-(an address, domain or key) and value (what was measured). Rules on groups aggregate before anything is
-compared, and what is joined to flows is a row per group or a constant of one row. ``run`` unions all rules
-over flows that the caller may persist.
+A rule is a function that returns columns: alerts of a flow, of a group of flows, or of a flow that meets its
+group. Alerts have rule, severity, protocol, title, flow_id, subject (an address, domain or key) and value
+(what was measured). ``run`` evaluates all rules in three passes over the flows: one counts the groups, all kinds of
+them at once, one looks at each flow, and one joins flows to groups. Counts are written to the shared folder,
+as several passes read them. Each rule also runs by itself, from ``RULES``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import clamp, entropy, mos_of_r
+from ..schemas import FLOW, columns
+from ..session import stored
 from .reports import sip_status
 
 # Fixed values.
@@ -37,26 +40,32 @@ MALICIOUS_JA3 = {
 
 RULES: dict[str, Callable[..., DataFrame]] = {}
 CORE: list[str] = []
+#: By rule: what it looks at ("flow", "group" or "met"), and its columns.
+COLUMNS: dict[str, tuple[str, Callable[..., list[Column]]]] = {}
 
 
-def rule(name: str, core: bool = True) -> Callable:
-    """Registers a rule; ``core`` ones run by default."""
+def rule(name: str, over: str = "flow", core: bool = True) -> Callable:
+    """Registers a rule over flows, over groups, or over flows that meet groups; ``core`` ones run by default."""
 
-    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        RULES[name] = f
+    def add(f: Callable[..., list[Column]]) -> Callable[..., DataFrame]:
+        COLUMNS[name] = over, f
+        RULES[name] = lambda flows, **settings: run(flows, [name], **{name: settings})
         if core:
             CORE.append(name)
-        return f
+        return RULES[name]
 
     return add
 
 
-def alerts(df: DataFrame, name: str, protocol: str | Column, severity: str | Column, title: Column, flow_id: str | None = None, subject: Column | None = None, value: Column | None = None) -> DataFrame:
+def alert(name: str, where: Column, protocol: str | Column, severity: str | Column, title: Column, subject: Column | None = None, value: Column | None = None, flow: bool | Column = True) -> Column:
+    """An alert where a condition holds and the severity isn't null, else null."""
     text = lambda x: F.lit(x) if isinstance(x, str) else x
-    return df.select(
-        F.lit(name).alias("rule"), text(severity).alias("severity"), text(protocol).alias("protocol"), title.alias("title"), (F.col(flow_id) if flow_id else F.lit(None)).cast("string").alias("flow_id"),
-        (F.lit(None) if subject is None else subject).cast("string").alias("subject"), (F.lit(None) if value is None else value).cast("double").alias("value"),
-    )
+    none = F.lit(None)
+    fields = {
+        "rule": F.lit(name), "severity": text(severity), "protocol": text(protocol), "title": title, "flow_id": (F.col("flow_id") if flow is True else none if flow is False else flow).cast("string"),
+        "subject": (none if subject is None else subject).cast("string"), "value": (none if value is None else value).cast("double"),
+    }
+    return F.when(where & text(severity).isNotNull(), F.struct(*[c.alias(k) for k, c in fields.items()]))
 
 
 def fmt(pattern: str, *columns: str | Column) -> Column:
@@ -76,345 +85,448 @@ def bands(value: Column, *least: tuple[float, str], strict: bool = True) -> Colu
     return out.otherwise(F.lit(None))
 
 
-def of(flows: DataFrame, *types: str) -> DataFrame:
-    return flows.where(F.col("type").isin(*types))
+def levels(value: str, warning: int, error: int, critical: int | None = None) -> Column:
+    return bands(F.col(value), (warning, "warning"), (error, "error"), *([] if critical is None else [(critical, "critical")]), strict=False)
+
+
+def of(*types: str) -> Column:
+    return F.col("type").isin(*types)
 
 
 def lookup(table: dict, key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
 
 
-def per_source(flows: DataFrame, condition: Column, name: str = "n") -> DataFrame:
-    return flows.where(condition).groupBy("src_ip").agg(F.count("*").alias(name))
+def seconds() -> Column:
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return (micros("end_time") - micros("start_time")) / 1e6
 
 
-def failing(flows: DataFrame, name: str, type_: str, title: Column) -> DataFrame:
-    return alerts(of(flows, type_).where("is_error"), name, type_, "error", title, "flow_id", F.col("src_ip"))
+def base_domain(name: Column) -> Column:
+    """The last two labels; null with fewer."""
+    return F.when(name.contains("."), F.substring_index(name, ".", -2))
+
+
+def usual(ports: dict[str, list[int]]) -> Column:
+    return reduce(lambda a, b: a | b, [of(t) & (F.col("src_port").isin(p) | F.col("dst_port").isin(p)) for t, p in ports.items()])
+
+
+#: Packets above which a stream counts as an answer to one the other way.
+HEARD = 10
+
+# Groups.
+
+
+def _groups(width: str = "second") -> dict[str, Column]:
+    """By kind: the groups that a flow counts to, as an array of (key, sub); null or empty for none. Distinct subs of a group are counted."""
+    name, base = F.col("query_name"), base_domain(F.col("query_name"))
+    end = lambda key, sub=None: F.array(F.struct(key.cast("string").alias("key"), (F.lit(None) if sub is None else sub).cast("string").alias("sub")))
+    only = lambda where, *x: F.when(where, end(*x))
+    answers = F.transform("answers", lambda x: F.struct(base.alias("key"), x.alias("sub")))
+    port = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("type", "src_ip", "src_port", "dst_ip", "dst_port")])
+    established = (F.col("method") == "INVITE") & ((sip_status(F.col("response")) == 200) | (F.coalesce("response", F.lit("")) == ""))
+    return {
+        "all": end(F.lit("")), "type": end(F.col("type")), "source": only(F.col("src_ip").isNotNull(), F.col("src_ip"), F.col("dst_ip")), "destination": only(F.col("dst_ip").isNotNull(), F.col("dst_ip")),
+        "failure": only(F.col("is_error"), F.concat_ws(":", "type", F.coalesce("error_type", F.lit("")))), "sip_method": only(of("SIP") & F.col("method").isNotNull(), F.col("method")),
+        "sip_response": only(of("SIP") & F.col("response").isNotNull(), sip_status(F.col("response"))), "diameter_command": only(of("Diameter") & F.col("command").isNotNull(), F.col("command")),
+        "query": only(of("DNS") & name.isNotNull(), name), "domain": only(of("DNS") & base.isNotNull(), base, F.substring_index(name, ".", 1)), "flux": F.when(of("DNS") & base.isNotNull(), answers),
+        "second": only(F.col("start_time").isNotNull(), F.date_trunc(width, "start_time")), "port": only(of(*STANDARD_PORTS) & ~usual(STANDARD_PORTS), port, F.col("flow_id")),
+        "nas": only(of("NAS5G"), F.col("src_ip")), "tunnel": only(of("GTPU") & F.col("teid").isNotNull(), F.lit(""), F.col("teid")),
+        "media": only(of("RTP"), F.concat_ws("|", "dst_ip", "src_ip")), "call": only(of("SIP") & established, F.col("flow_id"), F.concat_ws("\x01", "src_ip", "dst_ip")),
+    }
+
+
+def _sums() -> dict[str, Column]:
+    """What is summed over the flows of a group, by name; each flow gives a whole number."""
+    sip, name = of("SIP"), F.col("query_name")
+    one = lambda where: F.when(where, 1).otherwise(0)
+    icmp = F.col("flow_id").endswith("-ICMP") | F.col("flow_id").endswith("-ICMPv6")
+    storm = of("SBI") & (F.col("nf_type") == "NRF") & (F.col("service_name") == "nnrf-nfm") & F.col("method").isin("PUT", "POST")
+    refused = one(F.col("message_type").isin("Authentication Failure", "Authentication Reject"))
+    return {
+        "packets": F.coalesce("packets", F.lit(0)), "syn": one(F.col("tcp_flags").contains("SYN") & ~F.col("tcp_flags").contains("ACK")), "icmp": one(icmp), "refused": one(sip & (sip_status(F.col("response")) == 401)),
+        "registers": one(sip & (F.col("method") == "REGISTER")), "invites": one(sip & (F.col("method") == "INVITE")), "options": one(sip & (F.col("method") == "OPTIONS")),
+        "long": one(F.length(name) > 52), "txt": one(F.col("query_type").isin("TXT", "NULL")), "nx": one(F.col("reply_code") == "NXDOMAIN"), "heard": one(F.col("packets") > HEARD),
+        "auth": F.coalesce("auth_failures", F.lit(0)) + refused, "establish": one(of("NAS5G") & (F.col("message_type") == "PDU Session Establishment Request")),
+        "dropped": one(F.col("apply_action").contains("DROP")), "failed": one(F.col("status_code") >= 500) + F.coalesce("error_count", F.lit(0)), "registrations": one(storm),
+    }
+
+
+#: The kinds of groups that each rule reads; "all" and "second" for the totals.
+READS = {
+    "volume_spike": ["all"], "packet_flood": ["all", "source"], "syn_flood": ["source"], "icmp_flood": ["source"], "unusual_port": ["port"], "source_fan_out": ["source"], "traffic_concentration": ["all", "source", "destination"],
+    "repeated_failures": ["failure"], "register_flood": ["type"], "dns_query_flood": ["query"], "traffic_burst": ["second"], "sip_brute_force": ["source"], "dns_tunneling": ["domain"], "sip_options_scan": ["source"], "sip_invite_flood": ["source"],
+    "dns_fast_flux": ["flux"], "nas_auth_failures": ["nas"], "pdu_session_flood": ["type"], "pfcp_drop_rate": ["type"], "sbi_error_rate": ["type"], "gtpu_tunnel_flood": ["tunnel"], "nf_registration_storm": ["type"],
+    "one_way_audio": ["media"], "sip_hijack": ["call"], "dns_dga": ["query"],
+}
+
+
+def _complete(flows: DataFrame) -> DataFrame:
+    """``flows`` with nulls for the columns of the flow schema that they haven't, so that rules can name them."""
+    have = set(flows.columns)
+    return flows.withColumns({n: F.lit(None).cast(t) for n, t in columns(FLOW) if n not in have})
+
+
+def counted(flows: DataFrame, kinds: list[str] | None = None, width: str = "second") -> DataFrame:
+    """A row per kind and key of group: n flows, distinct subs, sums, and the first and last sub by time.
+
+    One pass: a flow is exploded to its groups, and groups are summed in the tasks before they are exchanged, first
+    by (kind, key, sub), in whole numbers, then by (kind, key). A hot group is one row a task.
+    """
+    groups, sums = _groups(width), _sums()
+
+    def of_kind(kind: str) -> Column:
+        return F.transform(groups[kind], lambda g: F.struct(F.lit(kind).alias("kind"), g["key"].alias("key"), g["sub"].alias("sub")))
+
+    every = F.flatten(F.array_compact(F.array(*map(of_kind, kinds or groups))))
+    each = _complete(flows).select(*[c.cast("long").alias(k) for k, c in sums.items()], F.unix_micros(F.col("start_time").cast("timestamp")).alias("at"), F.explode(every).alias("g")).select("g.*", "at", *sums)
+    total = {k: F.sum(k) for k in sums}
+    subs = each.groupBy("kind", "key", "sub").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"), *[c.alias(k) for k, c in total.items()])
+    there = F.col("sub").isNotNull()
+    return subs.groupBy("kind", "key").agg(
+        F.sum("n").alias("n"), F.count("sub").alias("subs"), *[c.alias(k) for k, c in total.items()],
+        F.min_by("sub", F.when(there, F.struct("low", "sub"))).alias("first_sub"), F.max_by("sub", F.when(there, F.struct("high", "sub"))).alias("last_sub"),
+    )
+
+
+def _totals(groups: DataFrame) -> DataFrame:
+    """One row: flows and packets of all, seconds with flows and their flows."""
+    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    of_seconds = F.when(F.col("kind") == "second", F.col("n"))
+    return groups.agg(F.coalesce(pick("all", "n"), F.lit(0)).alias("all_n"), F.coalesce(pick("all", "packets"), F.lit(0)).alias("all_packets"), F.avg(of_seconds).alias("mean_second"), F.coalesce(F.sum(of_seconds), F.lit(0)).alias("all_seconds"))
+
+
+def figures_by_key(flows: DataFrame) -> DataFrame:
+    """(kind, key, n, packets): flows and packets by type, SIP method, SIP status, Diameter command and failure."""
+    return counted(flows, ["type", "sip_method", "sip_response", "diameter_command", "failure"]).select("kind", "key", "n", "packets")
+
+
+def run(flows: DataFrame, names: list[str] | None = None, **settings: dict) -> DataFrame:
+    """The alerts of all core rules, or of the named ones; ``settings`` by rule."""
+    names = list(names or CORE)
+    made = {over: [c for n in names if COLUMNS[n][0] == over for c in COLUMNS[n][1](**settings.get(n, {}))] for over in ("flow", "group", "met")}
+    shown = lambda df, entries: df.select(F.explode(F.array_compact(F.array(*entries))).alias("a")).select("a.*")
+    kinds = sorted({k for n in names for k in READS.get(n, [])})
+    flows = _complete(flows)
+    out = []
+    groups = counted(flows, kinds, settings.get("traffic_burst", {}).get("width", "second")) if kinds else None
+    if len(names) > 1 and groups is not None:
+        groups = stored(groups)
+    totals = F.broadcast(_totals(groups)) if groups is not None and any(k in kinds for k in ("all", "second")) else None  # one row
+    if made["flow"]:
+        out.append(shown(flows.crossJoin(totals) if totals is not None and "volume_spike" in names else flows, made["flow"]))
+    if made["group"]:
+        out.append(shown(groups.crossJoin(totals) if totals is not None else groups, made["group"]))
+    if made["met"]:
+        kind = F.when(of("DNS") & F.lit("dns_dga" in names), "query").when(of("RTP") & F.lit("one_way_audio" in names), "media").when(of("SIP") & F.col("method").isin("BYE", "CANCEL") & F.lit("sip_hijack" in names), "call")
+        key = F.when(of("DNS"), F.col("query_name")).when(of("RTP"), F.concat_ws("|", "src_ip", "dst_ip")).otherwise(F.col("flow_id"))
+        own = flows.withColumns({"kind": kind, "key": key}).where("kind is not null")
+        sides = groups.where(F.col("kind").isin("query", "media", "call")).select("kind", "key", F.col("n").alias("group_n"), F.col("heard").alias("group_heard"), F.col("last_sub").alias("group_sub"))
+        out.append(shown(own.join(sides, ["kind", "key"], "left"), made["met"]))
+    return reduce(DataFrame.unionByName, out)
+
+
+# Rules over flows.
 
 
 @rule("sip_errors")
-def sip_errors(flows: DataFrame) -> DataFrame:
+def sip_errors() -> list[Column]:
     code = sip_status(F.col("response"))
-    return alerts(of(flows, "SIP").where(code.between(400, 699)), "sip_errors", "SIP", F.when(code >= 500, "error").otherwise("warning"), fmt("SIP Error: %s", "response"), "flow_id", F.col("src_ip"), code)
+    return [alert("sip_errors", of("SIP") & code.between(400, 699), "SIP", F.when(code >= 500, "error").otherwise("warning"), fmt("SIP Error: %s", "response"), F.col("src_ip"), code)]
 
 
 @rule("rtp_loss")
-def rtp_loss(flows: DataFrame, warning: float = 5, error: float = 15) -> DataFrame:
-    loss = 100.0 * F.col("max_seq_gap") / F.col("packets")
-    own = of(flows, "RTP").where("packets > 0").withColumns({"v": loss}).withColumn("s", bands(F.col("v"), (warning, "warning"), (error, "error")))
-    return alerts(own.where("s is not null"), "rtp_loss", "RTP", F.col("s"), fmt("High Packet Loss (%.1f%%)", tenth(F.col("v"))), "flow_id", F.col("src_ip"), F.col("v"))
+def rtp_loss(warning: float = 5, error: float = 15) -> list[Column]:
+    loss = F.when(F.col("packets") > 0, 100.0 * F.col("max_seq_gap") / F.col("packets"))
+    return [alert("rtp_loss", of("RTP"), "RTP", bands(loss, (warning, "warning"), (error, "error")), fmt("High Packet Loss (%.1f%%)", tenth(loss)), F.col("src_ip"), loss)]
 
 
 @rule("rtp_jitter")
-def rtp_jitter(flows: DataFrame, warning: float = 30, error: float = 100) -> DataFrame:
-    own = of(flows, "RTP").withColumn("s", bands(F.col("jitter_ms"), (warning, "warning"), (error, "error"))).where("s is not null")
-    return alerts(own, "rtp_jitter", "RTP", F.col("s"), fmt("High Jitter (%.1fms)", tenth(F.col("jitter_ms"))), "flow_id", F.col("src_ip"), F.col("jitter_ms"))
+def rtp_jitter(warning: float = 30, error: float = 100) -> list[Column]:
+    v = F.col("jitter_ms")
+    return [alert("rtp_jitter", of("RTP"), "RTP", bands(v, (warning, "warning"), (error, "error")), fmt("High Jitter (%.1fms)", tenth(v)), F.col("src_ip"), v)]
 
 
 @rule("dns_errors")
-def dns_errors(flows: DataFrame) -> DataFrame:
-    own = of(flows, "DNS").where("is_error")
-    return alerts(own, "dns_errors", "DNS", F.when(F.col("error_type") == "SERVFAIL", "error").otherwise("warning"), fmt("DNS %s: %s", "error_type", "query_name"), "flow_id", F.col("query_name"))
+def dns_errors() -> list[Column]:
+    severity = F.when(F.col("error_type") == "SERVFAIL", "error").otherwise("warning")
+    return [alert("dns_errors", of("DNS") & F.col("is_error"), "DNS", severity, fmt("DNS %s: %s", "error_type", "query_name"), F.col("query_name"))]
+
+
+def failing(name: str, type_: str, title: Column) -> list[Column]:
+    return [alert(name, of(type_) & F.col("is_error"), type_, "error", title, F.col("src_ip"))]
 
 
 @rule("diameter_failures")
-def diameter_failures(flows: DataFrame) -> DataFrame:
-    return failing(flows, "diameter_failures", "Diameter", fmt("Diameter %s Failed (RC=%d)", "command", "result_code"))
+def diameter_failures() -> list[Column]:
+    return failing("diameter_failures", "Diameter", fmt("Diameter %s Failed (RC=%d)", "command", "result_code"))
 
 
 @rule("gtp_failures")
-def gtp_failures(flows: DataFrame) -> DataFrame:
-    return failing(flows, "gtp_failures", "GTP", fmt("GTP %s Failed (Cause=%d)", "message_type", "cause_code"))
+def gtp_failures() -> list[Column]:
+    return failing("gtp_failures", "GTP", fmt("GTP %s Failed (Cause=%d)", "message_type", "cause_code"))
 
 
 @rule("pfcp_failures")
-def pfcp_failures(flows: DataFrame) -> DataFrame:
-    return failing(flows, "pfcp_failures", "PFCP", fmt("PFCP %s Failed (Cause=%d)", "message_type", "cause_code"))
-
-
-@rule("one_way_audio")
-def one_way_audio(flows: DataFrame, least: int = 50, back: int = 10) -> DataFrame:
-    """Streams without one the other way; an anti-join on the pair of addresses, of which each is kept once."""
-    own = of(flows, "RTP").where("src_ip <> dst_ip")
-    reverse = own.where(F.col("packets") > back).select(F.col("dst_ip").alias("src_ip"), F.col("src_ip").alias("dst_ip")).distinct()
-    return alerts(own.where(F.col("packets") > least).join(reverse, ["src_ip", "dst_ip"], "left_anti"), "one_way_audio", "RTP", "warning", F.lit("Possible One-Way Audio"), "flow_id", F.col("src_ip"), F.col("packets"))
+def pfcp_failures() -> list[Column]:
+    return failing("pfcp_failures", "PFCP", fmt("PFCP %s Failed (Cause=%d)", "message_type", "cause_code"))
 
 
 @rule("volume_spike")
-def volume_spike(flows: DataFrame, least: int = 500, times: float = 10) -> DataFrame:
-    mean = flows.agg((F.sum(F.coalesce("packets", F.lit(0))) / F.count("*")).alias("mean"))
-    own = flows.where(F.col("packets") >= least).crossJoin(F.broadcast(mean)).where((F.col("mean") > 0) & (F.col("packets") > F.col("mean") * times))  # one row
-    return alerts(own, "volume_spike", F.col("type"), "warning", fmt("Packet Volume Spike (%d pkts)", "packets"), "flow_id", F.col("src_ip"), F.col("packets"))
+def volume_spike(least: int = 500, times: float = 10) -> list[Column]:
+    mean = F.col("all_packets") / F.col("all_n")
+    where = (F.col("packets") >= least) & (mean > 0) & (F.col("packets") > mean * times)
+    return [alert("volume_spike", where, F.col("type"), "warning", fmt("Packet Volume Spike (%d pkts)", "packets"), F.col("src_ip"), F.col("packets"))]
 
 
 @rule("oversized_packets")
-def oversized_packets(flows: DataFrame, limits: dict[str, int] = LARGEST_PACKET) -> DataFrame:
-    own = flows.where(F.col("max_packet_size") > lookup(limits, F.col("type")))
-    return alerts(own, "oversized_packets", F.col("type"), "warning", fmt("Oversized %s Packet (%d bytes)", "type", "max_packet_size"), "flow_id", F.col("src_ip"), F.col("max_packet_size"))
+def oversized_packets(limits: dict[str, int] = LARGEST_PACKET) -> list[Column]:
+    size = F.col("max_packet_size")
+    return [alert("oversized_packets", size > lookup(limits, F.col("type")), F.col("type"), "warning", fmt("Oversized %s Packet (%d bytes)", "type", size), F.col("src_ip"), size)]
 
 
-@rule("packet_flood")
-def packet_flood(flows: DataFrame, least: int = 1000, share: float = 0.8) -> DataFrame:
-    each = flows.groupBy("src_ip").agg(F.sum("packets").alias("n"))
-    total = flows.agg(F.sum("packets").alias("total"))
-    own = each.crossJoin(F.broadcast(total)).where((F.col("total") >= least) & (F.col("n") >= least) & (F.col("n") > F.col("total") * share))  # one row
-    return alerts(own, "packet_flood", "*", "error", fmt("Packet Flood from %s", "src_ip"), None, F.col("src_ip"), F.col("n"))
+@rule("protocol_mismatch")
+def protocol_mismatch(ports: dict[str, list[int]] = STANDARD_PORTS) -> list[Column]:
+    """Each side whose port belongs to another type."""
+    owner = {p: t for t, ps in ports.items() for p in ps}
+    side = lambda c: alert("protocol_mismatch", lookup(owner, F.col(c)) != F.col("type"), F.col("type"), "error", fmt("Protocol Mismatch (port %d)", c), F.col("src_ip"), F.col(c))
+    return [side("src_port"), side("dst_port")]
 
 
-@rule("syn_flood")
-def syn_flood(flows: DataFrame, warning: int = 20, error: int = 50, critical: int = 100) -> DataFrame:
-    own = per_source(flows, F.col("tcp_flags").contains("SYN") & ~F.col("tcp_flags").contains("ACK")).withColumn("s", bands(F.col("n"), (warning, "warning"), (error, "error"), (critical, "critical"), strict=False)).where("s is not null")
-    return alerts(own, "syn_flood", "TCP", F.col("s"), fmt("TCP SYN Flood: %s (%d half-open connections)", "src_ip", "n"), None, F.col("src_ip"), F.col("n"))
+@rule("long_duration")
+def long_duration(limits: dict[str, int] = LONGEST_SECONDS) -> list[Column]:
+    v = seconds()
+    return [alert("long_duration", v > lookup(limits, F.col("type")), F.col("type"), "warning", fmt("Long Duration %s Flow (%.0fs)", "type", F.round(v)), F.col("src_ip"), v)]
 
 
-@rule("icmp_flood")
-def icmp_flood(flows: DataFrame, warning: int = 50, error: int = 200, critical: int = 500) -> DataFrame:
-    own = per_source(flows, F.col("flow_id").endswith("-ICMP") | F.col("flow_id").endswith("-ICMPv6")).withColumn("s", bands(F.col("n"), (warning, "warning"), (error, "error"), (critical, "critical"), strict=False)).where("s is not null")
-    return alerts(own, "icmp_flood", "ICMP", F.col("s"), fmt("ICMP Flood: %s (%d ICMP flows)", "src_ip", "n"), None, F.col("src_ip"), F.col("n"))
+@rule("jitter_variance")
+def jitter_variance(warning: float = 50, error: float = 200) -> list[Column]:
+    v = F.col("jitter_max_ms") - F.col("jitter_min_ms")
+    where = of("RTP") & (F.col("jitter_avg_ms") > 0) & (v > F.col("jitter_avg_ms") * 3)
+    return [alert("jitter_variance", where, "RTP", bands(v, (warning, "warning"), (error, "error")), fmt("High Jitter Variance (%.1fms spread)", tenth(v)), F.col("src_ip"), v)]
 
 
-@rule("unusual_port")
-def unusual_port(flows: DataFrame, ports: dict[str, list[int]] = STANDARD_PORTS) -> DataFrame:
-    """One alert for each type and pair of endpoints, with the number of flows and the first one's id."""
-    usual = reduce(lambda a, b: a | b, [(F.col("type") == t) & (F.col("src_port").isin(p) | F.col("dst_port").isin(p)) for t, p in ports.items()])
-    own = of(flows, *ports).where(~usual).groupBy("type", "src_ip", "src_port", "dst_ip", "dst_port").agg(F.count("*").alias("n"), F.min_by("flow_id", F.struct("start_time", "flow_id")).alias("flow_id"))
-    return alerts(own, "unusual_port", F.col("type"), "warning", fmt("Unusual %s Port (%d -> %d)", "type", "src_port", "dst_port"), "flow_id", F.col("src_ip"), F.col("n"))
+@rule("dns_slow")
+def dns_slow(warning: float = 500, error: float = 2000) -> list[Column]:
+    v = F.col("latency_ms")
+    return [alert("dns_slow", of("DNS"), "DNS", bands(v, (warning, "warning"), (error, "error")), fmt("Slow DNS Response (%.0fms)", F.round(v)), F.col("query_name"), v)]
 
 
-@rule("protocol_mismatch")
-def protocol_mismatch(flows: DataFrame, ports: dict[str, list[int]] = STANDARD_PORTS) -> DataFrame:
-    """Each side whose port belongs to another type."""
-    owner = {p: t for t, ps in ports.items() for p in ps}
-    sides = flows.select("type", "flow_id", "src_ip", F.explode(F.array("src_port", "dst_port")).alias("port")).where(lookup(owner, F.col("port")) != F.col("type"))
-    return alerts(sides, "protocol_mismatch", F.col("type"), "error", fmt("Protocol Mismatch (port %d)", "port"), "flow_id", F.col("src_ip"), F.col("port"))
+@rule("sip_slow_setup")
+def sip_slow_setup(warning: float = 3000, error: float = 10000) -> list[Column]:
+    v = F.col("setup_latency_ms")
+    return [alert("sip_slow_setup", of("SIP"), "SIP", bands(v, (warning, "warning"), (error, "error")), fmt("Slow SIP Setup (%.1fs)", tenth(v / 1000)), F.col("src_ip"), v)]
 
 
-@rule("source_fan_out")
-def source_fan_out(flows: DataFrame, warning: int = 20, error: int = 50) -> DataFrame:
-    own = flows.groupBy("src_ip").agg(F.count_distinct("dst_ip").alias("n")).withColumn("s", bands(F.col("n"), (warning, "warning"), (error, "error"), strict=False)).where("s is not null")
-    return alerts(own, "source_fan_out", "*", F.col("s"), fmt("Source Fan-Out: %s (%d destinations)", "src_ip", "n"), None, F.col("src_ip"), F.col("n"))
+@rule("qos_degradation")
+def qos_degradation(warning: float = 3.6, error: float = 2.6) -> list[Column]:
+    r = clamp(94.2 - 2.5 * (100.0 * F.col("max_seq_gap") / F.when(F.col("packets") > 0, F.col("packets"))) - 0.1 * F.col("jitter_ms"), 0, 100)
+    v = clamp(mos_of_r(r), 1, 4.5)
+    where = of("RTP") & (F.col("packets") > 0) & (v < warning)
+    return [alert("qos_degradation", where, "RTP", F.when(v < error, "error").otherwise("warning"), fmt("QoS Degradation (est. MOS %.1f)", tenth(v)), F.col("src_ip"), v)]
 
 
-@rule("traffic_concentration")
-def traffic_concentration(flows: DataFrame, least: int = 10, share: float = 0.5) -> DataFrame:
-    total = flows.agg(F.count("*").alias("total"))
-    side = lambda ip, name: flows.groupBy(F.col(ip).alias("ip")).agg(F.count("*").alias("n")).withColumn("side", F.lit(name))
-    own = side("src_ip", "source").unionByName(side("dst_ip", "destination")).crossJoin(F.broadcast(total)).where((F.col("total") >= least) & (F.col("n") > F.col("total") * share))  # one row
-    return alerts(own, "traffic_concentration", "*", "warning", fmt("Traffic Concentration: %s (%s)", "ip", "side"), None, F.col("ip"), F.col("n"))
+@rule("call_drop")
+def call_drop(short: float = 30) -> list[Column]:
+    v, code = seconds(), sip_status(F.col("response"))
+    reason = lookup(DROP_REASONS, code)
+    ended = of("SIP") & F.col("end_type").isin("BYE", "CANCEL") & (v > 0) & (v < short)
+    return [
+        alert("call_drop", ended, "SIP", "warning", fmt("VoIP Call Drop (%.1fs)", tenth(v)), F.col("src_ip"), v),
+        alert("call_drop", of("SIP") & reason.isNotNull(), "SIP", "warning", fmt("VoIP Call Drop: %s (%d)", reason, code), F.col("src_ip"), code),
+    ]
 
 
-@rule("repeated_failures")
-def repeated_failures(flows: DataFrame, warning: int = 5, error: int = 20) -> DataFrame:
-    key = F.concat_ws(":", "type", F.coalesce("error_type", F.lit("")))
-    own = flows.where("is_error").groupBy(key.alias("key")).agg(F.count("*").alias("n")).withColumn("s", bands(F.col("n"), (warning, "warning"), (error, "error"), strict=False)).where("s is not null")
-    return alerts(own, "repeated_failures", F.split("key", ":")[0], F.col("s"), fmt("Repeated Failures: %s (%d times)", "key", "n"), None, F.col("key"), F.col("n"))
+@rule("tls_downgrade")
+def tls_downgrade() -> list[Column]:
+    version = F.replace(F.replace(F.col("tls_version"), F.lit("SSL 3.0"), F.lit("SSLv3")), F.lit("TLS 1."), F.lit("TLSv1."))
+    why = lookup(WEAK_TLS, version)
+    severity = F.when(version == "SSLv3", "critical").when(version == "TLSv1.0", "error").otherwise("warning")
+    return [alert("tls_downgrade", of("TLS") & why.isNotNull(), "TLS", severity, fmt("TLS Downgrade: %s (%s)", version, why), F.col("sni"))]
 
 
-@rule("register_flood")
-def register_flood(flows: DataFrame, warning: int = 20, error: int = 50) -> DataFrame:
-    own = of(flows, "SIP").where("method = 'REGISTER'").agg(F.count("*").alias("n")).withColumn("s", bands(F.col("n"), (warning, "warning"), (error, "error"), strict=False)).where("s is not null")
-    return alerts(own, "register_flood", "SIP", F.col("s"), fmt("SIP REGISTER Flood (%d requests)", "n"), None, None, F.col("n"))
+@rule("tls_weak_cipher")
+def tls_weak_cipher() -> list[Column]:
+    upper = F.upper("cipher_suite")
+    broken = F.size(F.filter(F.array(*[F.lit(x) for x in BROKEN_CIPHERS]), lambda x: F.contains(upper, x)))
+    where = of("TLS") & (F.col("cipher_suite") != "") & ((broken > 0) | ~upper.contains("DHE"))
+    title = F.when(broken > 0, fmt("Broken Cipher: %s", "cipher_suite")).otherwise(fmt("No Forward Secrecy: %s", "cipher_suite"))
+    return [alert("tls_weak_cipher", where, "TLS", F.when(broken > 0, "critical").otherwise("warning"), title, F.col("sni"), broken)]
 
 
-@rule("dns_query_flood")
-def dns_query_flood(flows: DataFrame, warning: int = 20, error: int = 50) -> DataFrame:
-    own = of(flows, "DNS").groupBy("query_name").agg(F.count("*").alias("n")).withColumn("s", bands(F.col("n"), (warning, "warning"), (error, "error"), strict=False)).where("s is not null")
-    return alerts(own, "dns_query_flood", "DNS", F.col("s"), fmt("DNS Query Flood: %s (%d queries)", "query_name", "n"), None, F.col("query_name"), F.col("n"))
+@rule("tls_ja3")
+def tls_ja3(malicious: dict[str, str] = MALICIOUS_JA3) -> list[Column]:
+    name = lookup(malicious, F.col("ja3_hash"))
+    return [alert("tls_ja3", of("TLS") & name.isNotNull(), "TLS", "critical", fmt("Malicious JA3: %s (%s)", F.substring("ja3_hash", 1, 8), name), F.col("ja3_hash"))]
 
 
-@rule("long_duration")
-def long_duration(flows: DataFrame, limits: dict[str, int] = LONGEST_SECONDS) -> DataFrame:
-    own = flows.withColumn("v", (F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))) / 1e6).where(F.col("v") > lookup(limits, F.col("type")))
-    return alerts(own, "long_duration", F.col("type"), "warning", fmt("Long Duration %s Flow (%.0fs)", "type", F.round("v")), "flow_id", F.col("src_ip"), F.col("v"))
+@rule("tls_self_signed")
+def tls_self_signed() -> list[Column]:
+    where = of("TLS") & F.col("cert_self_signed") & ~F.coalesce(F.col("sni").rlike(r"\.(local|internal|lan)$"), F.lit(False))
+    return [alert("tls_self_signed", where, "TLS", F.when(F.col("dst_port").isin(443, 8443), "error").otherwise("warning"), fmt("Self-Signed Cert: %s (%s)", "sni", "dst_ip"), F.col("sni"))]
 
 
-@rule("traffic_burst")
-def traffic_burst(flows: DataFrame, least: int = 10, times: float = 5, width: str = "second") -> DataFrame:
-    """Seconds with far more new flows than the mean of those that have any."""
-    counts = flows.where("start_time is not null").groupBy(F.date_trunc(width, "start_time").alias("at")).agg(F.count("*").alias("n"))
-    means = counts.agg(F.avg("n").alias("mean"), F.sum("n").alias("total"))
-    own = counts.crossJoin(F.broadcast(means)).where((F.col("total") >= least) & (F.col("n") > F.col("mean") * times))  # one row
-    return alerts(own, "traffic_burst", "*", "warning", fmt("Traffic Burst (%d flows/sec)", "n"), None, F.date_format("at", "yyyy-MM-dd HH:mm:ss"), F.col("n"))
+@rule("suspicious_rst")
+def suspicious_rst() -> list[Column]:
+    return [alert("suspicious_rst", F.col("rst_authenticity") == "suspicious", "TCP", "warning", fmt("Suspicious RST: %s:%d -> %s:%d", "src_ip", "src_port", "dst_ip", "dst_port"), F.col("src_ip"))]
 
 
-@rule("jitter_variance")
-def jitter_variance(flows: DataFrame, warning: float = 50, error: float = 200) -> DataFrame:
-    own = of(flows, "RTP").withColumn("v", F.col("jitter_max_ms") - F.col("jitter_min_ms")).where("jitter_avg_ms > 0 and v > jitter_avg_ms * 3").withColumn("s", bands(F.col("v"), (warning, "warning"), (error, "error"))).where("s is not null")
-    return alerts(own, "jitter_variance", "RTP", F.col("s"), fmt("High Jitter Variance (%.1fms spread)", tenth(F.col("v"))), "flow_id", F.col("src_ip"), F.col("v"))
+# Rules over groups.
 
 
-@rule("dns_slow")
-def dns_slow(flows: DataFrame, warning: float = 500, error: float = 2000) -> DataFrame:
-    own = of(flows, "DNS").withColumn("s", bands(F.col("latency_ms"), (warning, "warning"), (error, "error"))).where("s is not null")
-    return alerts(own, "dns_slow", "DNS", F.col("s"), fmt("Slow DNS Response (%.0fms)", F.round("latency_ms")), "flow_id", F.col("query_name"), F.col("latency_ms"))
+def grouped(name: str, kind: str, protocol: str, severity: str | Column, title: Column, n: str | Column = "n", subject: bool = True, where: Column | None = None) -> list[Column]:
+    own = F.col("kind") == kind if where is None else (F.col("kind") == kind) & where
+    return [alert(name, own, protocol, severity, title, F.col("key") if subject else None, F.col(n) if isinstance(n, str) else n, False)]
 
 
-@rule("sip_slow_setup")
-def sip_slow_setup(flows: DataFrame, warning: float = 3000, error: float = 10000) -> DataFrame:
-    own = of(flows, "SIP").withColumn("s", bands(F.col("setup_latency_ms"), (warning, "warning"), (error, "error"))).where("s is not null")
-    return alerts(own, "sip_slow_setup", "SIP", F.col("s"), fmt("Slow SIP Setup (%.1fs)", tenth(F.col("setup_latency_ms") / 1000)), "flow_id", F.col("src_ip"), F.col("setup_latency_ms"))
+@rule("packet_flood", "group")
+def packet_flood(least: int = 1000, share: float = 0.8) -> list[Column]:
+    where = (F.col("all_packets") >= least) & (F.col("packets") >= least) & (F.col("packets") > F.col("all_packets") * share)
+    return grouped("packet_flood", "source", "*", "error", fmt("Packet Flood from %s", "key"), "packets", where=where)
 
 
-@rule("qos_degradation")
-def qos_degradation(flows: DataFrame, warning: float = 3.6, error: float = 2.6) -> DataFrame:
-    r = clamp(94.2 - 2.5 * (100.0 * F.col("max_seq_gap") / F.col("packets")) - 0.1 * F.col("jitter_ms"), 0, 100)
-    own = of(flows, "RTP").where("packets > 0").withColumn("v", clamp(mos_of_r(r), 1, 4.5)).where(F.col("v") < warning)
-    return alerts(own, "qos_degradation", "RTP", F.when(F.col("v") < error, "error").otherwise("warning"), fmt("QoS Degradation (est. MOS %.1f)", tenth(F.col("v"))), "flow_id", F.col("src_ip"), F.col("v"))
+@rule("syn_flood", "group")
+def syn_flood(warning: int = 20, error: int = 50, critical: int = 100) -> list[Column]:
+    return grouped("syn_flood", "source", "TCP", levels("syn", warning, error, critical), fmt("TCP SYN Flood: %s (%d half-open connections)", "key", "syn"), "syn")
 
 
-@rule("sip_brute_force")
-def sip_brute_force(flows: DataFrame, warning: int = 5, error: int = 10, critical: int = 20) -> DataFrame:
-    own = per_source(of(flows, "SIP"), sip_status(F.col("response")) == 401).withColumn("s", bands(F.col("n"), (warning, "warning"), (error, "error"), (critical, "critical"), strict=False)).where("s is not null")
-    return alerts(own, "sip_brute_force", "SIP", F.col("s"), fmt("SIP Brute Force: %s (%d × 401)", "src_ip", "n"), None, F.col("src_ip"), F.col("n"))
+@rule("icmp_flood", "group")
+def icmp_flood(warning: int = 50, error: int = 200, critical: int = 500) -> list[Column]:
+    return grouped("icmp_flood", "source", "ICMP", levels("icmp", warning, error, critical), fmt("ICMP Flood: %s (%d ICMP flows)", "key", "icmp"), "icmp")
 
 
-def base_domain(name: Column) -> Column:
-    """The last two labels; null with fewer."""
-    return F.when(name.contains("."), F.substring_index(name, ".", -2))
+@rule("unusual_port", "group")
+def unusual_port() -> list[Column]:
+    """One alert for each type and pair of endpoints, with the number of flows and the first one's id."""
+    part = lambda i: F.split("key", r"\|")[i]
+    title = fmt("Unusual %s Port (%s -> %s)", part(0), part(2), part(4))
+    return [alert("unusual_port", F.col("kind") == "port", part(0), "warning", title, F.when(part(1) != "null", part(1)), F.col("n"), F.col("first_sub"))]
 
 
-@rule("dns_tunneling")
-def dns_tunneling(flows: DataFrame, least: int = 5) -> DataFrame:
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    each = of(flows, "DNS").withColumn("base", base_domain(F.col("query_name"))).where("base is not null").groupBy("base").agg(
-        F.count("*").alias("total"), n(F.length("query_name") > 52).alias("long"), n(F.col("query_type").isin("TXT", "NULL")).alias("txt"), n(F.col("reply_code") == "NXDOMAIN").alias("nx"), F.count_distinct(F.substring_index("query_name", ".", 1)).alias("labels"),
-    ).where(F.col("total") >= least)
-    part = lambda c, x: F.when(c, x).otherwise(0)
-    score = part(F.col("long") > 3, 3) + part(F.col("txt") > 2, 2) + part((F.col("labels") / F.col("total") > 0.8) & (F.col("total") >= 10), 3) + part(F.col("nx") > 5, 2)
-    own = each.withColumn("score", score).where("score >= 3")
-    return alerts(own, "dns_tunneling", "DNS", bands(F.col("score"), (3, "warning"), (4, "error"), (6, "critical"), strict=False), fmt("DNS Tunneling: %s (score=%d)", "base", "score"), None, F.col("base"), F.col("score"))
+@rule("source_fan_out", "group")
+def source_fan_out(warning: int = 20, error: int = 50) -> list[Column]:
+    return grouped("source_fan_out", "source", "*", levels("subs", warning, error), fmt("Source Fan-Out: %s (%d destinations)", "key", "subs"), "subs")
 
 
-@rule("call_drop")
-def call_drop(flows: DataFrame, short: float = 30) -> DataFrame:
-    sip = of(flows, "SIP").withColumns({"v": (F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))) / 1e6, "code": sip_status(F.col("response"))})
-    ended = alerts(sip.where(F.col("end_type").isin("BYE", "CANCEL") & (F.col("v") > 0) & (F.col("v") < short)), "call_drop", "SIP", "warning", fmt("VoIP Call Drop (%.1fs)", tenth(F.col("v"))), "flow_id", F.col("src_ip"), F.col("v"))
-    refused = sip.withColumn("reason", lookup(DROP_REASONS, F.col("code"))).where("reason is not null")
-    return ended.unionByName(alerts(refused, "call_drop", "SIP", "warning", fmt("VoIP Call Drop: %s (%d)", "reason", "code"), "flow_id", F.col("src_ip"), F.col("code")))
+@rule("traffic_concentration", "group")
+def traffic_concentration(least: int = 10, share: float = 0.5) -> list[Column]:
+    where = (F.col("all_n") >= least) & (F.col("n") > F.col("all_n") * share)
+    return [c for side in ("source", "destination") for c in grouped("traffic_concentration", side, "*", "warning", fmt(f"Traffic Concentration: %s ({side})", "key"), where=where)]
 
 
-@rule("tls_downgrade")
-def tls_downgrade(flows: DataFrame) -> DataFrame:
-    version = F.replace(F.replace(F.col("tls_version"), F.lit("SSL 3.0"), F.lit("SSLv3")), F.lit("TLS 1."), F.lit("TLSv1."))
-    own = of(flows, "TLS").withColumn("version", version).withColumn("why", lookup(WEAK_TLS, F.col("version"))).where("why is not null")
-    return alerts(own, "tls_downgrade", "TLS", F.when(F.col("version") == "SSLv3", "critical").when(F.col("version") == "TLSv1.0", "error").otherwise("warning"), fmt("TLS Downgrade: %s (%s)", "version", "why"), "flow_id", F.col("sni"))
+@rule("repeated_failures", "group")
+def repeated_failures(warning: int = 5, error: int = 20) -> list[Column]:
+    return grouped("repeated_failures", "failure", F.split("key", ":")[0], levels("n", warning, error), fmt("Repeated Failures: %s (%d times)", "key", "n"))
 
 
-def methods_per_source(flows: DataFrame, method: str) -> DataFrame:
-    """(src_ip, n, dst): SIP flows of a method, and the source's distinct destinations over all flows."""
-    wide = flows.groupBy("src_ip").agg(F.count_distinct("dst_ip").alias("dst"), F.sum(F.when((F.col("type") == "SIP") & (F.col("method") == method), 1).otherwise(0)).alias("n"))
-    return wide.where("n > 0")
+@rule("register_flood", "group")
+def register_flood(warning: int = 20, error: int = 50) -> list[Column]:
+    return grouped("register_flood", "type", "SIP", levels("registers", warning, error), fmt("SIP REGISTER Flood (%d requests)", "registers"), "registers", False, F.col("key") == "SIP")
 
 
-@rule("sip_options_scan")
-def sip_options_scan(flows: DataFrame, least: int = 10, destinations: int = 5, error: int = 50, error_destinations: int = 20) -> DataFrame:
-    own = methods_per_source(flows, "OPTIONS").where((F.col("n") >= least) & (F.col("dst") >= destinations))
-    return alerts(own, "sip_options_scan", "SIP", F.when((F.col("n") >= error) | (F.col("dst") >= error_destinations), "error").otherwise("warning"), fmt("SIP Endpoint Scanning: %s (%d OPTIONS)", "src_ip", "n"), None, F.col("src_ip"), F.col("n"))
+@rule("dns_query_flood", "group")
+def dns_query_flood(warning: int = 20, error: int = 50) -> list[Column]:
+    return grouped("dns_query_flood", "query", "DNS", levels("n", warning, error), fmt("DNS Query Flood: %s (%d queries)", "key", "n"))
 
 
-@rule("sip_invite_flood")
-def sip_invite_flood(flows: DataFrame, least: int = 15, destinations: int = 10, error: int = 50) -> DataFrame:
-    own = methods_per_source(flows, "INVITE").where(F.col("n") >= least)
-    return alerts(own, "sip_invite_flood", "SIP", F.when(F.col("dst") >= destinations, "critical").when(F.col("n") >= error, "error").otherwise("warning"), fmt("SIP INVITE Flood: %s (%d INVITEs)", "src_ip", "n"), None, F.col("src_ip"), F.col("n"))
+@rule("traffic_burst", "group")
+def traffic_burst(least: int = 10, times: float = 5, width: str = "second") -> list[Column]:
+    """Seconds, or what else ``width`` names, with far more new flows than the mean of those that have any."""
+    return grouped("traffic_burst", "second", "*", "warning", fmt("Traffic Burst (%d flows/sec)", "n"), where=(F.col("all_seconds") >= least) & (F.col("n") > F.col("mean_second") * times))
 
 
-@rule("sip_hijack")
-def sip_hijack(flows: DataFrame) -> DataFrame:
-    """An end of call from neither party of the last established INVITE of the same id."""
-    sip = of(flows, "SIP")
-    code = sip_status(F.col("response"))
-    last = sip.where((F.col("method") == "INVITE") & ((code == 200) | (F.coalesce("response", F.lit("")) == ""))).groupBy("flow_id").agg(F.max_by(F.struct("src_ip", "dst_ip"), F.struct("start_time", "src_ip", "dst_ip")).alias("party"))
-    ends = sip.where(F.col("method").isin("BYE", "CANCEL")).join(last, "flow_id").where((F.col("src_ip") != F.col("party.src_ip")) & (F.col("src_ip") != F.col("party.dst_ip")))
-    return alerts(ends, "sip_hijack", "SIP", "critical", fmt("SIP Call Hijack: %s from unexpected IP %s", "method", "src_ip"), "flow_id", F.col("src_ip"))
+@rule("sip_brute_force", "group")
+def sip_brute_force(warning: int = 5, error: int = 10, critical: int = 20) -> list[Column]:
+    return grouped("sip_brute_force", "source", "SIP", levels("refused", warning, error, critical), fmt("SIP Brute Force: %s (%d × 401)", "key", "refused"), "refused")
 
 
-@rule("dns_dga")
-def dns_dga(flows: DataFrame) -> DataFrame:
-    """Each name is scored once, with its number of queries, and its flows are told by a join on the name."""
-    dns = of(flows, "DNS").where(F.length("query_name") >= 8)
-    names = dns.groupBy("query_name").agg(F.count("*").alias("queries")).where(F.col("query_name").contains("."))
-    label = F.substring_index("query_name", ".", 1)
+@rule("dns_tunneling", "group")
+def dns_tunneling(least: int = 5) -> list[Column]:
     part = lambda c, x: F.when(c, x).otherwise(0)
-    score = part(entropy(label) >= 3.5, 3) + part(F.lower(F.substring_index("query_name", ".", -1)).isin(SUSPICIOUS_TLDS), 2) + part(F.length(label) >= 16, 1) + part(F.col("queries") <= 2, 1)
-    own = dns.join(names.withColumn("score", score).where("score >= 3"), "query_name")
-    return alerts(own, "dns_dga", "DNS", bands(F.col("score"), (3, "warning"), (4, "error"), (5, "critical"), strict=False), fmt("Suspected DGA/C2 Domain: %s", "query_name"), "flow_id", F.col("query_name"), F.col("score"))
+    score = part(F.col("long") > 3, 3) + part(F.col("txt") > 2, 2) + part((F.col("subs") / F.col("n") > 0.8) & (F.col("n") >= 10), 3) + part(F.col("nx") > 5, 2)
+    severity = bands(score, (3, "warning"), (4, "error"), (6, "critical"), strict=False)
+    return grouped("dns_tunneling", "domain", "DNS", severity, fmt("DNS Tunneling: %s (score=%d)", "key", score), score, where=F.col("n") >= least)
 
 
-@rule("dns_fast_flux")
-def dns_fast_flux(flows: DataFrame, warning: int = 5, error: int = 8, critical: int = 15) -> DataFrame:
-    each = of(flows, "DNS").select(base_domain(F.col("query_name")).alias("base"), F.explode("answers").alias("answer")).where("base is not null").groupBy("base").agg(F.count_distinct("answer").alias("n"))
-    own = each.withColumn("s", bands(F.col("n"), (warning, "warning"), (error, "error"), (critical, "critical"), strict=False)).where("s is not null")
-    return alerts(own, "dns_fast_flux", "DNS", F.col("s"), fmt("DNS Fast-Flux: %s (%d IPs)", "base", "n"), None, F.col("base"), F.col("n"))
+@rule("sip_options_scan", "group")
+def sip_options_scan(least: int = 10, destinations: int = 5, error: int = 50, error_destinations: int = 20) -> list[Column]:
+    severity = F.when((F.col("options") >= error) | (F.col("subs") >= error_destinations), "error").otherwise("warning")
+    where = (F.col("options") > 0) & (F.col("options") >= least) & (F.col("subs") >= destinations)
+    return grouped("sip_options_scan", "source", "SIP", severity, fmt("SIP Endpoint Scanning: %s (%d OPTIONS)", "key", "options"), "options", where=where)
 
 
-@rule("tls_weak_cipher")
-def tls_weak_cipher(flows: DataFrame) -> DataFrame:
-    upper = F.upper("cipher_suite")
-    broken = F.filter(F.array(*[F.lit(x) for x in BROKEN_CIPHERS]), lambda x: F.contains(upper, x))
-    own = of(flows, "TLS").where("cipher_suite <> ''").withColumns({"broken": F.size(broken), "secret": upper.contains("DHE")}).where("broken > 0 or not secret")
-    title = F.when(F.col("broken") > 0, fmt("Broken Cipher: %s", "cipher_suite")).otherwise(fmt("No Forward Secrecy: %s", "cipher_suite"))
-    return alerts(own, "tls_weak_cipher", "TLS", F.when(F.col("broken") > 0, "critical").otherwise("warning"), title, "flow_id", F.col("sni"), F.col("broken"))
+@rule("sip_invite_flood", "group")
+def sip_invite_flood(least: int = 15, destinations: int = 10, error: int = 50) -> list[Column]:
+    severity = F.when(F.col("subs") >= destinations, "critical").when(F.col("invites") >= error, "error").otherwise("warning")
+    return grouped("sip_invite_flood", "source", "SIP", severity, fmt("SIP INVITE Flood: %s (%d INVITEs)", "key", "invites"), "invites", where=(F.col("invites") > 0) & (F.col("invites") >= least))
 
 
-@rule("tls_ja3")
-def tls_ja3(flows: DataFrame, malicious: dict[str, str] = MALICIOUS_JA3) -> DataFrame:
-    own = of(flows, "TLS").withColumn("name", lookup(malicious, F.col("ja3_hash"))).where("name is not null")
-    return alerts(own, "tls_ja3", "TLS", "critical", fmt("Malicious JA3: %s (%s)", F.substring("ja3_hash", 1, 8), "name"), "flow_id", F.col("ja3_hash"))
+@rule("dns_fast_flux", "group")
+def dns_fast_flux(warning: int = 5, error: int = 8, critical: int = 15) -> list[Column]:
+    return grouped("dns_fast_flux", "flux", "DNS", levels("subs", warning, error, critical), fmt("DNS Fast-Flux: %s (%d IPs)", "key", "subs"), "subs")
 
 
-@rule("tls_self_signed")
-def tls_self_signed(flows: DataFrame) -> DataFrame:
-    own = of(flows, "TLS").where(F.col("cert_self_signed") & ~F.coalesce(F.col("sni").rlike(r"\.(local|internal|lan)$"), F.lit(False)))
-    return alerts(own, "tls_self_signed", "TLS", F.when(F.col("dst_port").isin(443, 8443), "error").otherwise("warning"), fmt("Self-Signed Cert: %s (%s)", "sni", "dst_ip"), "flow_id", F.col("sni"))
+@rule("nas_auth_failures", "group", core=False)
+def nas_auth_failures(most: int = 10) -> list[Column]:
+    return grouped("nas_auth_failures", "nas", "NAS5G", "critical", F.lit("NAS Authentication Failure Storm"), "auth", where=F.col("auth") > most)
 
 
-@rule("suspicious_rst")
-def suspicious_rst(flows: DataFrame) -> DataFrame:
-    own = flows.where("rst_authenticity = 'suspicious'")
-    return alerts(own, "suspicious_rst", "TCP", "warning", fmt("Suspicious RST: %s:%d -> %s:%d", "src_ip", "src_port", "dst_ip", "dst_port"), "flow_id", F.col("src_ip"))
+@rule("pdu_session_flood", "group", core=False)
+def pdu_session_flood(most: int = 100) -> list[Column]:
+    where = (F.col("key") == "NAS5G") & (F.col("establish") > most)
+    return grouped("pdu_session_flood", "type", "NAS5G", "warning", F.lit("PDU Session Establishment Flood"), "establish", False, where)
 
 
-@rule("nas_auth_failures", core=False)
-def nas_auth_failures(flows: DataFrame, most: int = 10) -> DataFrame:
-    n = F.sum(F.coalesce("auth_failures", F.lit(0)) + F.when(F.col("message_type").isin("Authentication Failure", "Authentication Reject"), 1).otherwise(0))
-    own = of(flows, "NAS5G").groupBy("src_ip").agg(n.alias("n")).where(F.col("n") > most)
-    return alerts(own, "nas_auth_failures", "NAS5G", "critical", F.lit("NAS Authentication Failure Storm"), None, F.col("src_ip"), F.col("n"))
+@rule("pfcp_drop_rate", "group", core=False)
+def pfcp_drop_rate() -> list[Column]:
+    where = (F.col("key") == "PFCP") & (F.col("dropped") * 2 > F.col("n"))
+    return grouped("pfcp_drop_rate", "type", "PFCP", "warning", F.lit("PFCP High DROP Action Rate"), F.floor(F.col("dropped") * 100 / F.col("n")), False, where)
 
 
-@rule("pdu_session_flood", core=False)
-def pdu_session_flood(flows: DataFrame, most: int = 100) -> DataFrame:
-    own = of(flows, "NAS5G").where("message_type = 'PDU Session Establishment Request'").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    return alerts(own, "pdu_session_flood", "NAS5G", "warning", F.lit("PDU Session Establishment Flood"), None, None, F.col("n"))
+@rule("sbi_error_rate", "group", core=False)
+def sbi_error_rate() -> list[Column]:
+    where = (F.col("key") == "SBI") & (F.col("failed") * 5 > F.col("n"))
+    return grouped("sbi_error_rate", "type", "SBI", "error", F.lit("SBI High 5xx Error Rate"), "failed", False, where)
 
 
-@rule("pfcp_drop_rate", core=False)
-def pfcp_drop_rate(flows: DataFrame) -> DataFrame:
-    own = of(flows, "PFCP").agg(F.count("*").alias("total"), F.sum(F.when(F.col("apply_action").contains("DROP"), 1).otherwise(0)).alias("n")).where("n * 2 > total")
-    return alerts(own, "pfcp_drop_rate", "PFCP", "warning", F.lit("PFCP High DROP Action Rate"), None, None, F.floor(F.col("n") * 100 / F.col("total")))
+@rule("gtpu_tunnel_flood", "group", core=False)
+def gtpu_tunnel_flood(most: int = 10_000) -> list[Column]:
+    return grouped("gtpu_tunnel_flood", "tunnel", "GTPU", "warning", F.lit("GTP-U Tunnel Flood"), "subs", False, F.col("subs") > most)
 
 
-@rule("sbi_error_rate", core=False)
-def sbi_error_rate(flows: DataFrame) -> DataFrame:
-    n = F.sum(F.when(F.col("status_code") >= 500, 1).otherwise(0) + F.coalesce("error_count", F.lit(0)))
-    own = of(flows, "SBI").agg(F.count("*").alias("total"), n.alias("n")).where("n * 5 > total")
-    return alerts(own, "sbi_error_rate", "SBI", "error", F.lit("SBI High 5xx Error Rate"), None, None, F.col("n"))
+@rule("nf_registration_storm", "group", core=False)
+def nf_registration_storm(most: int = 50) -> list[Column]:
+    where = (F.col("key") == "SBI") & (F.col("registrations") > most)
+    return grouped("nf_registration_storm", "type", "SBI", "warning", F.lit("NF Registration Storm"), "registrations", False, where)
 
 
-@rule("gtpu_tunnel_flood", core=False)
-def gtpu_tunnel_flood(flows: DataFrame, most: int = 10_000) -> DataFrame:
-    own = of(flows, "GTPU").agg(F.count_distinct("teid").alias("n")).where(F.col("n") > most)
-    return alerts(own, "gtpu_tunnel_flood", "GTPU", "warning", F.lit("GTP-U Tunnel Flood"), None, None, F.col("n"))
+# Rules over flows that meet a group.
 
 
-@rule("nf_registration_storm", core=False)
-def nf_registration_storm(flows: DataFrame, most: int = 50) -> DataFrame:
-    own = of(flows, "SBI").where("nf_type = 'NRF' and service_name = 'nnrf-nfm' and method in ('PUT', 'POST')").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    return alerts(own, "nf_registration_storm", "SBI", "warning", F.lit("NF Registration Storm"), None, None, F.col("n"))
+@rule("one_way_audio", "met")
+def one_way_audio(least: int = 50) -> list[Column]:
+    """Streams without another one of more than 10 packets the other way; between equal addresses that is any other."""
+    own = F.when((F.col("src_ip") == F.col("dst_ip")) & (F.col("packets") > HEARD), 1).otherwise(0)
+    where = (F.col("kind") == "media") & (F.col("packets") > least) & (F.coalesce("group_heard", F.lit(0)) <= own)
+    return [alert("one_way_audio", where, "RTP", "warning", F.lit("Possible One-Way Audio"), F.col("src_ip"), F.col("packets"))]
 
 
-def run(flows: DataFrame, names: list[str] | None = None, **settings: dict) -> DataFrame:
-    """The alerts of all core rules, or of the named ones; ``settings`` by rule."""
-    return reduce(DataFrame.unionByName, [RULES[n](flows, **settings.get(n, {})) for n in names or CORE])
+@rule("sip_hijack", "met")
+def sip_hijack() -> list[Column]:
+    """An end of call from neither party of the last established INVITE of the same id."""
+    party = lambda i: F.split("group_sub", "\x01")[i]
+    where = (F.col("kind") == "call") & (F.col("src_ip") != party(0)) & (F.col("src_ip") != party(1))
+    return [alert("sip_hijack", where, "SIP", "critical", fmt("SIP Call Hijack: %s from unexpected IP %s", "method", "src_ip"), F.col("src_ip"))]
+
+
+@rule("dns_dga", "met")
+def dns_dga() -> list[Column]:
+    name = F.col("query_name")
+    label = F.substring_index(name, ".", 1)
+    part = lambda c, x: F.when(c, x).otherwise(0)
+    score = part(entropy(label) >= 3.5, 3) + part(F.lower(F.substring_index(name, ".", -1)).isin(SUSPICIOUS_TLDS), 2) + part(F.length(label) >= 16, 1) + part(F.col("group_n") <= 2, 1)
+    where = (F.col("kind") == "query") & (F.length(name) >= 8) & name.contains(".")
+    return [alert("dns_dga", where, "DNS", bands(score, (3, "warning"), (4, "error"), (5, "critical"), strict=False), fmt("Suspected DGA/C2 Domain: %s", name), name, score)]
 
 
 def dispatch(found: DataFrame, targets: DataFrame) -> DataFrame:

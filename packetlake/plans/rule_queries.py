@@ -40,7 +40,7 @@ ruled("dns_errors", "'DNS'", "CASE WHEN error_type = 'SERVFAIL' THEN 'error' ELS
 ruled("diameter_failures", "'Diameter'", "'error'", "'Diameter ' || command || ' Failed (RC=' || result_code || ')'", only("Diameter", "is_error"), "flow_id", "src_ip")
 ruled("gtp_failures", "'GTP'", "'error'", "'GTP ' || message_type || ' Failed (Cause=' || cause_code || ')'", only("GTP", "is_error"), "flow_id", "src_ip")
 ruled("pfcp_failures", "'PFCP'", "'error'", "'PFCP ' || message_type || ' Failed (Cause=' || cause_code || ')'", only("PFCP", "is_error"), "flow_id", "src_ip")
-ruled("one_way_audio", "'RTP'", "'warning'", "'Possible One-Way Audio'", "v_flows a WHERE type = 'RTP' AND packets > 40 AND src_ip <> dst_ip AND NOT EXISTS (SELECT 1 FROM v_flows b WHERE b.type = 'RTP' AND b.src_ip = a.dst_ip AND b.dst_ip = a.src_ip AND b.packets > 10)", "flow_id", "src_ip", "packets", least=40)
+ruled("one_way_audio", "'RTP'", "'warning'", "'Possible One-Way Audio'", "v_flows a WHERE type = 'RTP' AND packets > 40 AND NOT EXISTS (SELECT 1 FROM v_flows b WHERE b.type = 'RTP' AND b.src_ip = a.dst_ip AND b.dst_ip = a.src_ip AND b.packets > 10)", "flow_id", "src_ip", "packets", least=40)
 ruled("volume_spike", "type", "'warning'", "'Packet Volume Spike (' || packets || ' pkts)'", "v_flows WHERE packets >= 45 AND packets > 1.8 * (SELECT avg(packets) FROM v_flows)", "flow_id", "src_ip", "packets", least=45, times=1.8)
 ruled("oversized_packets", "type", "'warning'", "'Oversized ' || type || ' Packet (' || max_packet_size || ' bytes)'", "v_flows WHERE max_packet_size > CASE type WHEN 'RTP' THEN 400 WHEN 'DNS' THEN 512 WHEN 'SIP' THEN 4000 END", "flow_id", "src_ip", "max_packet_size")
 ruled("packet_flood", "'*'", "'error'", "'Packet Flood from ' || src_ip", grouped("src_ip", "true", "sum(packets)", "n >= 1000 AND n > 0.04 * (SELECT sum(packets) FROM v_flows)"), "NULL", "src_ip", "n", share=0.04)
@@ -104,3 +104,11 @@ ruled("nf_registration_storm", "'SBI'", "'warning'", "'NF Registration Storm'",
 # Here calls are told apart by the whole flow id.
 STATEMENTS["sip_hijack"] = f"SELECT 'sip_hijack' AS rule, 'critical' AS severity, 'SIP' AS protocol, 'SIP Call Hijack: ' || method || ' from unexpected IP ' || src_ip AS title, id AS flow_id, src_ip AS subject, CAST(NULL AS DOUBLE) AS value FROM {HIJACK.replace("split_part(flow_id, '-', 1)", 'flow_id')}"
 named("alerts_all", " UNION ALL ".join(f"SELECT * FROM ({STATEMENTS[n]})" for n in d.RULES), lambda f: d.run(f, list(d.RULES), **SETTINGS), "flows")
+named("flow_figures", f"""
+SELECT 'type' AS kind, type AS key, count(*) AS n, CAST(sum(packets) AS BIGINT) AS packets FROM v_flows GROUP BY ALL UNION ALL
+SELECT 'sip_method', method, count(*), CAST(sum(packets) AS BIGINT) FROM v_flows WHERE type = 'SIP' GROUP BY ALL UNION ALL
+SELECT 'sip_response', CAST({CODE} AS STRING), count(*), CAST(sum(packets) AS BIGINT) FROM v_flows WHERE type = 'SIP' GROUP BY ALL UNION ALL
+SELECT 'diameter_command', command, count(*), CAST(sum(packets) AS BIGINT) FROM v_flows WHERE type = 'Diameter' GROUP BY ALL UNION ALL
+SELECT 'failure', type || ':' || error_type, count(*), CAST(sum(packets) AS BIGINT) FROM v_flows WHERE is_error GROUP BY ALL
+""", d.figures_by_key, "flows")
+named("alerts_default", " UNION ALL ".join(f"SELECT * FROM ({STATEMENTS[n]})" for n in d.CORE if not SETTINGS.get(n)), lambda f: d.run(f, [n for n in d.CORE if not SETTINGS.get(n)]), "flows")

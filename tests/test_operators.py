@@ -89,6 +89,23 @@ def test_unusual_ports_count_repeats(spark):
     assert sorted((r.title, r.value) for r in detect.unusual_port(df).collect()) == [("Unusual SIP Port (1 -> 2)", 500.0), ("Unusual SIP Port (1 -> 3)", 1.0)]
 
 
+def test_streams_without_another_one_back(spark):
+    rows = [("r1", "a", "b", 60), ("r2", "b", "a", 10), ("r3", "c", "d", 60), ("r4", "d", "c", 11), ("r5", "e", "e", 60), ("r6", "f", "f", 60), ("r7", "f", "f", 11), ("r8", "g", "g", 60), ("r9", "g", "g", 9), ("s1", "b", None, 99)]
+    df = spark.createDataFrame([(i, "RTP" if i[0] == "r" else "SIP", a, b, n) for i, a, b, n in rows], "flow_id string, type string, src_ip string, dst_ip string, packets long")
+    assert sorted(r.flow_id for r in detect.one_way_audio(df).collect()) == ["r1", "r5", "r8"]
+
+
+def test_all_rules_read_the_flows_three_times(spark, tmp_path):
+    rows = [(f"f{i}", ("SIP", "DNS", "RTP", "TCP")[i % 4], f"10.0.0.{i % 5}", f"10.0.1.{i % 60}", 60 + i, f"x{i % 3}.evil.top" if i % 4 == 1 else None, "BYE" if i % 8 == 0 else "INVITE", T0 + dt.timedelta(seconds=i)) for i in range(400)]
+    spark.createDataFrame(rows, "flow_id string, type string, src_ip string, dst_ip string, packets long, query_name string, method string, start_time timestamp_ntz").write.parquet(f"{tmp_path}/flows")
+    flows = spark.read.parquet(f"{tmp_path}/flows")
+    found = detect.run(flows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/flows") <= 2  # and once for the counts, which are written before
+    each = [r for n in detect.CORE for r in detect.RULES[n](flows).collect()]
+    assert sorted(map(str, found.collect())) == sorted(map(str, each)) and len({r.rule for r in each}) >= 3
+
+
 def test_user_rules_skip_what_they_do_not_know():
     for bad in ("{", "[]", '{"conditions": []}', '{"match": "any"}'):
         with pytest.raises(ValueError):
