@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -112,6 +113,17 @@ def header(role: str) -> str:
 
 
 FOOTER = "<|im_end|>\n"
+_MARK = re.compile(r"<(\\*)\|")
+
+
+def escaped(text: str) -> str:
+    """A text in which no mark of the rendering stands: a backslash is put into ``<|``, one more where some are there already."""
+    return _MARK.sub(r"<\1\\|", text)
+
+
+def unescaped(text: str) -> str:
+    """What ``escaped`` was given."""
+    return re.sub(r"<(\\*)\\\|", r"<\1|", text)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str], n: int) -> Iterator[list[tuple]]:
@@ -162,7 +174,7 @@ _CONV = ["none", "c"]
 _KEY = {"none": pa.bool_(), "c": pa.int64(), "part": pa.int64()}
 _MATRIX = _KEY | {"m": pa.list_(pa.float64())}
 _STATES = _KEY | {"enter": pa.int32(), "leave": pa.int32(), "first": pa.bool_(), "final": pa.bool_()}
-_SEGMENT = {"conv_id": pa.int64(), "turn": pa.int64(), "seq": pa.int32(), "action": pa.string(), "role": pa.string(), "old_role": pa.string(), "cost": pa.float64(), "text": pa.string(), "segment": pa.string()}
+_SEGMENT = {"conv_id": pa.int64(), "turn": pa.int64(), "seq": pa.int64(), "action": pa.string(), "role": pa.string(), "old_role": pa.string(), "cost": pa.float64(), "text": pa.string(), "segment": pa.string()}
 _DDL = {pa.bool_(): "boolean", pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.list_(pa.float64()): "array<double>"}
 
 
@@ -218,13 +230,57 @@ def _levels(matrices: DataFrame, chunk: int) -> DataFrame:
     return states
 
 
+#: Segments that one turn makes at most, those that end the conversation included.
+_EACH = 8
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Adds ``rank``: the row's place in its conversation, from 0.
+
+    Rows are dealt to ranges of their order, so that a conversation of any length spreads over tasks, also if
+    its turns have one number or none. A range holds the end of one conversation and the start of another; how
+    many rows of its first conversation stand in the ranges before it is counted from a row for each range.
+    """
+    order = [*_CONV, "t", "old_role", "text", "id"]
+    kinds = dict(rows.dtypes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, n = None, 0
+        for batch in batches:
+            ranks = []
+            for now in zip(*(batch.column(c).to_pylist() for c in _CONV), strict=True):
+                conv, n = now, n + 1 if now == conv else 0
+                ranks.append(n)
+            yield batch.append_column("rank", pa.array(ranks, pa.int64()))
+
+    dealt = rows.withColumn("id", F.monotonically_increasing_id())  # tells equal rows apart, in whichever order
+    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).drop("id").withColumn("dealt", F.spark_partition_id())
+    # Written: the bounds of the ranges are drawn from samples, and a task that runs again must not meet others.
+    local = cut(dealt.mapInArrow(count, ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", dealt int, rank long"))
+    runs = local.groupBy("dealt", *_CONV).agg(F.count("*").alias("n"))
+    conv, run = F.struct(*_CONV), F.struct(*_CONV, "n")
+    ends = runs.groupBy("dealt").agg(F.min_by(run, conv).alias("first"), F.max_by(run, conv).alias("last")).orderBy("dealt").collect()
+    before, last, held = [], None, 0
+    for r in ends:
+        first = (r["first"]["none"], r["first"]["c"])
+        here = held if first == last else 0
+        before.append((r["dealt"], *first, here))
+        end = (r["last"]["none"], r["last"]["c"])
+        held, last = (here if end == first else 0) + r["last"]["n"], end
+    places = F.broadcast(rows.sparkSession.createDataFrame(before, "dealt int, first_none boolean, first_c long, before long"))  # a row for each range
+    goes_on = (F.col("none") == F.col("first_none")) & (F.col("c") == F.col("first_c"))
+    found = local.join(places, "dealt").withColumn("rank", F.col("rank") + F.when(goes_on, F.col("before")).otherwise(0))
+    return found.drop("dealt", "first_none", "first_c", "before")
+
+
 def repair(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Segments of all conversations, repaired at the least cost and rendered.
 
     ``turns`` has conv_id, turn, role and text; other columns are ignored. A row per segment:
     conv_id, turn, seq, action (keep, relabel, merge, insert), role (the new one), old_role, cost, text and
-    segment. A conversation's segments joined by (turn, seq) are its rendering: each message has a
-    header, its text and a footer, and a merged turn continues the message before it after a line break.
+    segment. A conversation's segments joined by ``seq`` are its rendering: each message has a
+    header, its text and a footer, and a merged turn continues the message before it after a line break. In
+    segments the marks of headers and footers that stand in a text are escaped (``unescaped`` takes that back).
 
     Roles are compared trimmed and lower-cased, usual aliases included; any other and null are unknown
     and cheap to relabel. Null text is empty. Turns go by number (null last), equal ones by role and text;
@@ -233,48 +289,47 @@ def repair(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     The cost of taking a chunk of turns between any two states is a matrix, and the least cost of chunks
     in a row is their product of minima and sums: chunks are solved apart, then the states between them,
-    then the moves within each. No task holds a long conversation, only the turns of ``chunk`` numbers.
+    then the moves within each. Chunks are made of ``chunk`` turns by their rank in the conversation: no task holds
+    more of it, whatever its turns' numbers are.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("old_role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     after_all = (rows.agg(F.max("turn")).first()[0] or 0) + 1
-    keyed = rows.withColumns({"none": F.col("conv_id").isNull(), "c": F.coalesce("conv_id", F.lit(0)), "no_turn": F.col("turn").isNull(), "t": F.coalesce("turn", F.lit(after_all))})
-    keyed = keyed.withColumn("part", _part("t", chunk))
+    keyed = rows.select(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).alias("c"), F.col("turn").isNull().alias("no_turn"), F.coalesce("turn", F.lit(after_all)).alias("t"), "old_role", "text")
+    ranked = _ranked(keyed).withColumn("part", _part("rank", chunk))
     keys = [*_CONV, "part"]
-    order = [*keys, "t", "old_role", "text"]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _written(((*g[0][:3], costs([canonical(r[3]) for r in g]).ravel().tolist()) for g in _runs(batches, [*keys, "old_role"], 3)), _MATRIX)
 
-    dealt = keyed.select(*order).repartition(*keys).sortWithinPartitions(*order).select(*keys, "old_role")
+    dealt = ranked.select(*keys, "rank", "old_role").repartition(*keys).sortWithinPartitions(*keys, "rank").select(*keys, "old_role")
     states = _levels(cut(dealt.mapInArrow(solve, _ddl(_MATRIX))), chunk)
+    wanted = [*keys, "t", "no_turn", "old_role", "text", "enter", "leave", "first", "final", "rank"]
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for g in _runs(batches, [*keys, "t", "no_turn", "old_role", "text", "enter", "leave", "first", "final"], 3):
+            for g in _runs(batches, wanted, 3):
                 yield from segments(g)
 
         return _written(rows(), _SEGMENT)
 
-    wanted = [*keys, "t", "no_turn", "old_role", "text", "enter", "leave", "first", "final"]
-    joined = keyed.join(states, keys).select(*wanted)
-    return joined.repartition(*keys).sortWithinPartitions(*order).mapInArrow(render, _ddl(_SEGMENT))
+    joined = ranked.join(states, keys).select(*wanted)
+    return joined.repartition(*keys).sortWithinPartitions(*keys, "rank").mapInArrow(render, _ddl(_SEGMENT))
 
 
 def segments(group: list[tuple]) -> list[tuple]:
-    """The segments of a chunk's turns (none, c, part, t, no_turn, old_role, text, enter, leave, first, final)."""
-    none, conv, _, _, _, _, _, enter, leave, first, final = group[0]
+    """The segments of a chunk's turns (none, c, part, t, no_turn, old_role, text, enter, leave, first, final, rank)."""
+    none, conv, _, _, _, _, _, enter, leave, first, final, _ = group[0]
     conv_id = None if none else conv
     out: list[tuple] = []
-    opened, previous, seq, turn = not first, None, 0, None
+    opened, seq, turn = not first, 0, None
     path = best_path([canonical(r[5]) for r in group], enter, leave)
-    for (_, _, _, t, no_turn, old, text, *_), (cost, _, action, role, inserted) in zip(group, path, strict=True):
-        seq = seq + 1 if t == previous else 0
-        previous, turn = t, None if no_turn else t
+    for (_, _, _, t, no_turn, old, text, *_, rank), (cost, _, action, role, inserted) in zip(group, path, strict=True):
+        seq, turn = _EACH * rank, None if no_turn else t
         for extra in inserted:
             out.append((conv_id, turn, seq, "insert", extra, None, INSERT, "", (FOOTER if opened else "") + header(extra)))
             opened, seq = True, seq + 1
         start = "\n" if action == "merge" else (FOOTER if opened else "") + header(role)
-        out.append((conv_id, turn, seq, action, role, old, cost - INSERT * len(inserted), text, start + text))
+        out.append((conv_id, turn, seq, action, role, old, cost - INSERT * len(inserted), text, start + escaped(text)))
         opened = True
     if final:
         for extra in END_ROLES[leave]:
@@ -286,7 +341,7 @@ def segments(group: list[tuple]) -> list[tuple]:
 
 def conversations(segments: DataFrame) -> DataFrame:
     """(conv_id, rendered, cost): the segments of each conversation joined, for conversations that fit a row."""
-    parts = F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(2**63 - 1)).alias("turn"), "seq", "segment")))
+    parts = F.array_sort(F.collect_list(F.struct("seq", "segment")))
     return segments.groupBy("conv_id").agg(F.array_join(parts["segment"], "").alias("rendered"), F.sum("cost").alias("cost"))
 
 
