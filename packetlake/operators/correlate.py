@@ -263,3 +263,12 @@ def media_lookup(reports: DataFrame, legs: DataFrame) -> DataFrame:
     end = lambda side: F.struct(F.col(f"{side}_ip").alias("ip"), F.col(f"{side}_port").alias("port"))
     ends = legs.select("job_id", "call_id", F.explode(F.array(end("src"), end("dst"))).alias("e")).select("job_id", "call_id", "e.*")
     return reports.join(ends.groupBy("job_id", "ip", "port").agg(F.min("call_id").alias("call_id")), ["job_id", "ip", "port"], "left")
+
+
+def telecom_sessions(flows: DataFrame, members: DataFrame) -> DataFrame:
+    """A row per subscriber's session, as it is stored: its ids, bounds, quality, and which layers it has."""
+    profile = subscribers(flows).select("job_id", "imsi", "msisdn", "apn", "ue_ip", "teids")
+    own = session_summary(flows, members).join(profile, ["job_id", "imsi"])
+    there = {"NGAP": "has_ngap", "GTP": "has_gtpc", "PFCP": "has_pfcp", "GTPU": "has_gtpu", "SIP": "has_sip", "RTP": "has_rtp", "Diameter": "has_diameter"}
+    has = [F.array_contains("layers", t).alias(c) for t, c in there.items()]
+    return own.select("job_id", F.concat(F.lit("imsi-"), "imsi").alias("session_id"), "imsi", "msisdn", "apn", "ue_ip", "start_time", "end_time", "mos", "quality", *has, F.col("complete").alias("is_complete"), "layers", "teids")

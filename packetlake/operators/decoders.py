@@ -248,7 +248,9 @@ def diameter(packets: DataFrame) -> DataFrame:
 @placed
 def gtp(packets: DataFrame) -> DataFrame:
     """A flow per message: GTP on the control port, GTPU on the user port, with the packet inside."""
-    own = parsed(packets.where("protocol = 'UDP'").where(near(2123, 2152)), messages.gtp, "version int, message int, teid long, cause int, imsi string, msisdn string, apn string, address string, details map<string,string>")
+    # Off its ports, control messages are known by their version, kind and length.
+    shaped = (byte(0).bitwiseAND(F.lit(0xE0)) == 0x40) & byte(1).isin(*[k for k in GTP_MESSAGES if k < 255]) & (number(2, 2) + 4 == F.length("payload")) & (F.length("payload") >= 8)
+    own = parsed(packets.where("protocol = 'UDP'").where(near(2123, 2152) | (shaped & ~near(53, 5353, 5060, 5061, 8805, 161, 162))), messages.gtp, "version int, message int, teid long, cause int, imsi string, msisdn string, apn string, address string, details map<string,string>")
     error = F.coalesce(~F.col("m.cause").isin(0, 16), F.lit(False))
     out = message_flow(own, "GTP", message_type=named(GTP_MESSAGES, F.col("m.message"), "Message"), cause_code=F.col("m.cause"), is_error=error, error_type=F.when(error, F.col("m.cause").cast("string")), imsi=F.col("m.imsi"), msisdn=F.col("m.msisdn"), apn=F.col("m.apn"), ue_ip=F.col("m.address"), teid=F.format_string("0x%08x", "m.teid"), details=F.col("m.details"))
     return out.withColumn("type", F.when(F.col("src_port").isin(2152) | F.col("dst_port").isin(2152), "GTPU").otherwise("GTP"))
@@ -342,6 +344,38 @@ def rtcp_reports(packets: DataFrame) -> DataFrame:
     return own.select("job_id", "frame_number", "timestamp", F.col("src_ip").alias("ip"), F.col("src_port").alias("port"), "m.*")
 
 
+#: Parsers by the ports on which a payload must be theirs.
+CHECKED: dict[str, tuple[list[int], Callable[[bytes], tuple | None]]] = {
+    "DNS": ([53, 5353], wire.dns), "Diameter": ([3868], wire.diameter), "GTP": ([2123], messages.gtp), "PFCP": ([8805], messages.pfcp), "SNMP": ([161, 162], messages.snmp),
+}
+
+
+def with_errors(packets: DataFrame) -> DataFrame:
+    """Adds ``errors`` (array of texts, as ``live.packet_events`` takes them): what can't be decoded on a protocol's own port.
+
+    Datagrams and whole messages of streams are looked at; ``packets`` may be those of ``reassembly.with_messages``.
+    """
+    kinds = dict(packets.dtypes)
+    names_ = packets.columns
+    by_port = {p: (name, parse) for name, (ports, parse) in CHECKED.items() for p in ports}
+
+    def judged(source: int, target: int, data: bytes | None) -> list[str]:
+        name, parse = by_port.get(target) or by_port.get(source) or (None, None)
+        if not data or parse is None:
+            return []
+        try:
+            return [] if parse(data) is not None else [f"{name} message can't be decoded"]
+        except (IndexError, ValueError, UnicodeError, wire.struct.error) as e:
+            return [f"{name} message can't be decoded: {e}" if str(e) else f"{name} message can't be decoded"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [judged(*x) for x in zip(*(b.column(c).to_pylist() for c in ("src_port", "dst_port", "payload")), strict=True)]
+            yield b.append_column("errors", pa.array(found, pa.list_(pa.string())))
+
+    return packets.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names_) + ", errors array<string>")
+
+
 def dns_errors(flows: DataFrame, slow_ms: float = 500.0) -> DataFrame:
     """(flow_id, code, severity, title) of what went wrong with DNS flows: no answer, a bad code, a slow one."""
     table = {"NXDOMAIN": ("warning", "Domain Not Found"), "SERVFAIL": ("error", "DNS Server Failure"), "REFUSED": ("error", "DNS Query Refused"), "FORMERR": ("error", "DNS Format Error")}

@@ -135,6 +135,33 @@ def service_report(flows: DataFrame, services: list[tuple] = SERVICES) -> DataFr
     return means.select("service", "direction", "flows", "delay", "jitter", "loss", F.array_join(over, ",").alias("violations"), F.when(F.size(far) > 0, "FAIL").when(F.size(over) > 0, "WARN").otherwise("PASS").alias("verdict"))
 
 
+def overall_verdict(report: DataFrame) -> DataFrame:
+    """One row: FAIL if any service fails over both directions together, else PASS; without a service PASS."""
+    failed = F.count_if((F.col("direction") == "ALL") & (F.col("verdict") == "FAIL"))
+    return report.agg(F.count_if(F.col("direction") == "ALL").alias("services"), F.when(failed > 0, "FAIL").otherwise("PASS").alias("overall"))
+
+
+def call_table(calls: DataFrame, legs: DataFrame) -> DataFrame:
+    """The 14 columns of the call export, as text in the formats of the export. Losses and confidences that calls haven't are zero."""
+    have = set(calls.columns)
+    number = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double") if c in have else F.lit(0.0)
+    jitter = F.avg(F.when(F.col("jitter_ms") > 0, F.col("jitter_ms")))
+    each = legs.groupBy("job_id", "call_id").agg(jitter.alias("jitter"), F.max("max_seq_gap").alias("gap"))
+    own = calls.join(each, ["job_id", "call_id"], "left")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+    digits = lambda n, v, name: F.format_string(f"%.{n}f", v).alias(name)
+    return own.select(
+        "job_id", "call_id", "from_uri", "to_uri", time("start_time"), time("end_time"), digits(2, F.greatest(F.lit(0.0), (micros("end_time") - micros("start_time")) / 1e6), "duration_sec"), digits(3, number("mos"), "mos"), "quality",
+        digits(2, F.round(F.coalesce("jitter", F.lit(0.0)), 2), "jitter_ms"), F.greatest(F.coalesce("gap", F.lit(0)), F.lit(0)).cast("string").alias("max_seq_gap"), digits(2, number("packet_loss_pct"), "packet_loss_pct"), "end_type", "root_cause", digits(4, number("confidence"), "confidence"),
+    )
+
+
+def write_calls_csv(calls: DataFrame, legs: DataFrame, path: str) -> None:
+    """The call export: a folder of CSV files with a header for each job."""
+    call_table(calls, legs).write.mode("overwrite").partitionBy("job_id").csv(path, header=True)
+
+
 def call_records(calls: DataFrame, legs: DataFrame) -> DataFrame:
     """A record per call for export: durations, mean jitter over legs that have some, largest gap, packets."""
     each = legs.groupBy("job_id", "call_id").agg(F.count("*").alias("legs"), F.sum("packet_count").alias("packets"), rounded(F.avg(F.when(F.col("jitter_ms") > 0, F.col("jitter_ms")))).alias("jitter_ms"), F.max("max_seq_gap").alias("max_gap"))

@@ -161,14 +161,16 @@ def enrich(flows: DataFrame, enrichment: DataFrame) -> DataFrame:
 
 
 def is_private(ip: Column) -> Column:
-    """Loopback, private, link-local and carrier-grade ranges of IPv4 and IPv6; what is no address counts as private."""
+    """Loopback, private, link-local (also multicast) and carrier-grade ranges of IPv4 and IPv6; what is no address counts as private."""
+    ip = F.regexp_replace(ip, r"^([^:]*):[^:]*$", "$1")  # a port behind an IPv4 address
     part = lambda i: F.try_element_at(F.split(ip, r"\."), F.lit(i)).try_cast("int")
     a, b = part(1), part(2)
     v4 = ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (F.greatest(a, b, part(3), part(4)) <= 255)
-    inside = (a == 10) | (a == 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
+    local = ((a == 169) & (b == 254)) | ((a == 224) & (b == 0) & (part(3) == 0))
+    inside = local | (a == 10) | (a == 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
     v6 = ip.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*$")
     low = F.lower(ip)
-    inside6 = (low == "::1") | low.rlike(r"^f[cd][0-9a-f]{2}:") | low.rlike(r"^fe[89ab][0-9a-f]:")
+    inside6 = (low == "::1") | low.rlike(r"^f[cd][0-9a-f]{2}:") | low.rlike(r"^fe[89ab][0-9a-f]:") | low.rlike(r"^ff[0-9a-f]2:")
     return F.when(v4, inside).when(v6, inside6).otherwise(F.lit(True))
 
 
@@ -207,3 +209,67 @@ def port_filter(packets: DataFrame, ports: str) -> DataFrame:
     """Packets to or from one of the ports in a list such as ``5060,5061``; an empty list keeps all."""
     wanted = [int(p) for p in ports.replace(" ", "").split(",") if p]
     return packets.where(any_of("src_port", wanted) | any_of("dst_port", wanted)) if wanted else packets
+
+
+# Names of layers by protocol, their colours, and which fields come first.
+TRANSPORTS = {"UDP": "User Datagram Protocol", "SCTP": "Stream Control Transmission Protocol"}
+FULL_NAMES = {
+    "SIP": "Session Initiation Protocol", "RTP": "Real-time Transport Protocol", "HTTP": "Hypertext Transfer Protocol", "DNS": "Domain Name System",
+    "TLS": "Transport Layer Security", "Diameter": "Diameter Protocol", "GTP": "GPRS Tunnelling Protocol", "GTP-C": "GTP Control Plane", "GTP-U": "GTP User Plane",
+    "PFCP": "Packet Forwarding Control Protocol", "S1AP": "S1 Application Protocol (LTE)", "NGAP": "NG Application Protocol (5G)", "WebSocket": "WebSocket Protocol",
+}
+COLOURS = {
+    "SIP": "#34d399", "RTP": "#22d3ee", "HTTP": "#f59e0b", "DNS": "#818cf8", "TLS": "#84cc16", "Diameter": "#f472b6", "GTP": "#fb923c", "GTP-C": "#fb923c", "GTP-U": "#fbbf24",
+    "PFCP": "#a78bfa", "S1AP": "#38bdf8", "NGAP": "#4ade80", "WebSocket": "#a3e635",
+}
+FIRST_FIELDS = {
+    "SIP": ["method", "uri", "status_code", "status_text", "from", "to", "call_id", "via", "contact", "content_type", "content_length"],
+    "DNS": ["query_name", "query_type", "reply_code", "answers"],
+    "HTTP": ["method", "uri", "status_code", "host", "user_agent", "content_type", "content_length"],
+    "Diameter": ["command_code", "command", "app_id", "is_request", "origin_host", "result_code"],
+    "GTP": ["message_type", "teid", "imsi", "apn", "rat_type"],
+    "NGAP": ["procedure_name", "pdu_type", "cause"],
+}
+GREY, INDIGO, SKY = "#94a3b8", "#818cf8", "#38bdf8"
+
+
+def layer_tree(packets: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """(frame_number, job_id, layers): what a viewer shows of each packet, from the frame to the application.
+
+    A layer has a name, a colour and fields of a name and a value. The application's fields are the entries of
+    the map ``metadata``: those that its protocol puts first, then the others by name, cut after 200 characters.
+    Packets without an application protocol of their own have no such layer.
+    """
+    table = lambda rows, key: F.try_element_at(F.create_map(*[F.lit(x) for kv in rows.items() for x in kv]), key)
+    field = lambda name, value: F.struct(F.lit(name).alias("name"), F.coalesce(value.cast("string"), F.lit("")).alias("value"))
+    layer = lambda name, colour, fields: F.struct(name.alias("name"), colour.alias("color"), fields.alias("fields"))
+    protocol, app, meta = F.col("protocol"), F.col("app_protocol"), F.coalesce(metadata, F.create_map().cast("map<string,string>"))
+    chain = F.concat_ws(":", F.lit("eth:ip"), F.when(protocol.isin("TCP", "UDP", "SCTP"), F.lower(protocol)), F.when(app != "", app))
+    frame = [field("Arrival Time", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")), field("Frame Number", F.col("frame_number")), field("Frame Length", F.concat(F.col("length").cast("string"), F.lit(" bytes"))), field("Protocols in Frame", chain)]
+    ip = F.array(field("Source Address", F.col("src_ip")), field("Destination Address", F.col("dst_ip")), field("Protocol", F.when(protocol != "", protocol).otherwise("Unknown")))
+    ttl = F.when(F.try_element_at(meta, F.lit("ttl")).isNotNull(), F.array(field("Time to Live", F.try_element_at(meta, F.lit("ttl"))))).otherwise(F.filter(ip, lambda x: F.lit(False)))
+    ports = F.array(field("Source Port", F.col("src_port")), field("Destination Port", F.col("dst_port")))
+    title = lambda k: F.array_join(F.transform(F.split(k, "[_-]"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " ")
+    first = F.coalesce(table({k: ",".join(v) for k, v in FIRST_FIELDS.items()}, app), F.lit(""))
+    ahead = F.filter(F.split(first, ","), lambda k: F.map_contains_key(meta, k))
+    rest = F.array_sort(F.filter(F.map_keys(meta), lambda k: ~F.array_contains(ahead, k)))
+    short = lambda v: F.when(F.length(v) > 200, F.concat(F.substring(v, 1, 200), F.lit("…"))).otherwise(v)
+    shown = lambda keys, cut: F.transform(keys, lambda k: F.struct(title(k).alias("name"), F.coalesce(cut(F.element_at(meta, k)), F.lit("")).alias("value")))
+    fields = F.concat(shown(ahead, lambda v: v), shown(rest, short))
+    layers = F.array(
+        layer(F.format_string("Frame %d", "frame_number"), F.lit(GREY), F.array(*frame)),
+        layer(F.lit("Internet Protocol Version 4"), F.lit(INDIGO), F.concat(ip, ttl)),
+        layer(F.coalesce(table(TRANSPORTS, protocol), F.lit("Transmission Control Protocol")), F.lit(SKY), ports),
+        F.when((app != "") & (app != protocol), layer(F.coalesce(table(FULL_NAMES, app), app), F.coalesce(table(COLOURS, app), F.lit(GREY)), fields)),
+    )
+    return packets.select("job_id", "frame_number", F.array_compact(layers).alias("layers"))
+
+
+def telecom_list(sessions: DataFrame, job_id: int | None = None, limit: int = 500) -> DataFrame:
+    """The first sessions of a job by start, or of all jobs, the latest job first; without their steps."""
+    own = sessions if job_id is None else sessions.where(F.col("job_id") == job_id)
+    return page(own, F.desc("job_id"), F.col("start_time"), F.col("session_id"), limit=limit)
+
+
+def telecom_session(sessions: DataFrame, job_id: int, session_id: str) -> DataFrame:
+    return sessions.where((F.col("job_id") == job_id) & (F.col("session_id") == session_id)).limit(1)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import correlate as c
+from ..operators import store
 from ..operators import user_rules as u
-from .catalog import named
+from .catalog import STATEMENTS, named
 
 named("calls_sip_rtp", """
 WITH s AS (SELECT job_id, flow_id, first({'a': start_time, 'b': end_time, 'm': media_ip, 'p': media_port} ORDER BY start_time, src_ip, media_ip) AS s FROM v_flows WHERE type = 'SIP' AND media_ip IS NOT NULL GROUP BY 1, 2),
@@ -43,6 +44,12 @@ WITH {MEMBERS}, e AS (SELECT job_id, imsi, min(start_time) AS start_time, max(en
   FROM (SELECT m.imsi, f.* EXCLUDE (imsi) FROM members m JOIN v_flows f ON m.job_id = f.job_id AND m.flow_id = f.flow_id AND m.type = f.type) GROUP BY 1, 2)
 SELECT *, {QUALITY}, list_has_all(layers, ['NGAP', 'GTP', 'SIP', 'RTP']) AS complete FROM e
 """, lambda f: c.session_summary(f, c.sessions(f)), "flows")
+TELECOM = f"""
+SELECT e.job_id, 'imsi-' || e.imsi AS session_id, e.imsi, p.msisdn, p.apn, p.ue_ip, e.start_time, e.end_time, mos, quality, list_contains(layers, 'NGAP') AS has_ngap, list_contains(layers, 'GTP') AS has_gtpc, list_contains(layers, 'PFCP') AS has_pfcp,
+  list_contains(layers, 'GTPU') AS has_gtpu, list_contains(layers, 'SIP') AS has_sip, list_contains(layers, 'RTP') AS has_rtp, list_contains(layers, 'Diameter') AS has_diameter, complete AS is_complete, layers, p.teids
+FROM ({STATEMENTS['session_summary']}) e JOIN (WITH {PROFILE} SELECT * FROM profile) p ON e.job_id = p.job_id AND e.imsi = p.imsi"""
+named("telecom_list_all", f"SELECT * FROM ({TELECOM}) ORDER BY job_id DESC, start_time, session_id LIMIT 100", lambda f: store.telecom_list(c.telecom_sessions(f, c.sessions(f)), limit=100), "flows")
+named("telecom_list_job", f"SELECT * FROM ({TELECOM}) WHERE job_id = 1 ORDER BY start_time, session_id LIMIT 500", lambda f: store.telecom_list(c.telecom_sessions(f, c.sessions(f)), 1), "flows")
 named("ims_sessions", f"""
 WITH {MEMBERS}, lone AS (SELECT * FROM v_flows WHERE type = 'SIP' AND (job_id, flow_id) NOT IN (SELECT (job_id, flow_id) FROM members WHERE type = 'SIP')),
 own AS (SELECT job_id, flow_id AS call_id, type, start_time, end_time, packet_loss_pct, jitter_ms FROM lone UNION ALL

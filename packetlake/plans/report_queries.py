@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import quality as q
 from ..operators import kpi as k
 from ..operators import reports as r
-from .catalog import named
+from .catalog import STATEMENTS, named
 
 
 def status(low: str, critical: str, empty: str) -> str:
@@ -97,6 +97,12 @@ SELECT service, direction, flows, delay, jitter, loss,
   concat_ws(',', CASE WHEN md > 0 AND delay > md THEN 'delay' END, CASE WHEN mj > 0 AND jitter > mj THEN 'jitter' END, CASE WHEN loss > ml THEN 'loss' END) AS violations,
   CASE WHEN coalesce(md > 0 AND delay > md * 1.2, false) OR coalesce(mj > 0 AND jitter > mj * 1.2, false) OR loss > ml * 1.2 THEN 'FAIL' WHEN coalesce(md > 0 AND delay > md, false) OR coalesce(mj > 0 AND jitter > mj, false) OR loss > ml THEN 'WARN' ELSE 'PASS' END AS verdict FROM means
 """, r.service_report, "flows")
+named("y1564_overall", f"SELECT count(*) AS services, CASE WHEN count(*) FILTER (verdict = 'FAIL') > 0 THEN 'FAIL' ELSE 'PASS' END AS overall FROM ({STATEMENTS['y1564_services']}) WHERE direction = 'ALL'", lambda f: r.overall_verdict(r.service_report(f)), "flows")
+named("cdr_table", """
+SELECT c.job_id, c.call_id, from_uri, to_uri, strftime(start_time, '%Y-%m-%dT%H:%M:%SZ') AS start_time, strftime(end_time, '%Y-%m-%dT%H:%M:%SZ') AS end_time, printf('%.2f', greatest(0.0, (epoch_us(end_time) - epoch_us(start_time)) / 1000000.0)) AS duration_sec,
+  printf('%.3f', mos) AS mos, quality, printf('%.2f', round(coalesce(jitter, 0.0), 2)) AS jitter_ms, CAST(coalesce(gap, 0) AS STRING) AS max_seq_gap, '0.00' AS packet_loss_pct, end_type, root_cause, '0.0000' AS confidence
+FROM v_calls c LEFT JOIN (SELECT job_id, call_id, avg(jitter_ms) FILTER (jitter_ms > 0) AS jitter, max(max_seq_gap) AS gap FROM v_legs GROUP BY 1, 2) l ON c.job_id = l.job_id AND c.call_id = l.call_id
+""", r.call_table, "calls", "legs")
 named("cdr", """
 SELECT c.job_id, c.call_id, from_uri, to_uri, start_time, end_time, greatest(date_sub('second', start_time, end_time), 0) AS seconds, mos, quality, end_type, root_cause, coalesce(legs, 0) AS legs, coalesce(packets, 0) AS packets, coalesce(jitter_ms, 0.0) AS jitter_ms, coalesce(max_gap, 0) AS max_gap
 FROM v_calls c LEFT JOIN (SELECT job_id, call_id, count(*) AS legs, CAST(sum(packet_count) AS BIGINT) AS packets, round(avg(jitter_ms) FILTER (jitter_ms > 0) * 100) / 100 AS jitter_ms, max(max_seq_gap) AS max_gap FROM v_legs GROUP BY 1, 2) l ON c.job_id = l.job_id AND c.call_id = l.call_id

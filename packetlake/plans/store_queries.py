@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import store as s
@@ -62,13 +63,38 @@ named("flows_by_country", """
 SELECT country AS src_country, count(*) AS flows, CAST(sum(bytes) AS BIGINT) AS bytes FROM v_flows LEFT JOIN (
   SELECT ip, country, row_number() OVER (PARTITION BY ip ORDER BY last_checked DESC, source_id DESC) AS r FROM v_enrichment) ON ip = src_ip AND r = 1 GROUP BY 1
 """, lambda f, e: s.enrich(f, e).groupBy("src_country").agg(F.count("*").alias("flows"), F.sum("bytes").alias("bytes")), "flows", "enrichment")
-named("private_ips", """
-SELECT dst_ip AS ip, true AS private, count(*) AS flows FROM v_flows GROUP BY 1 UNION ALL
-SELECT ip, false, count(*) FROM (SELECT unnest(string_split(answer_list, ',')) AS ip FROM v_flows) WHERE ip IS NOT NULL GROUP BY 1
-""", lambda f: f.select(F.explode(F.concat(F.array("dst_ip"), F.coalesce("answers", F.array().cast("array<string>")))).alias("ip")).groupBy("ip", s.is_private(F.col("ip")).alias("private")).agg(F.count("*").alias("flows")), "flows")
-named("ips_to_enrich", """
-SELECT DISTINCT ip FROM (SELECT unnest(string_split(answer_list, ',')) AS ip FROM v_flows) WHERE ip IS NOT NULL
-""", lambda f, e: s.to_enrich(f.where("answers is not null").select(F.explode("answers").alias("src_ip")).withColumn("dst_ip", F.lit("10.0.0.1")), s.fresh_enrichment(e, "2024-01-31 00:00:00")), "flows", "enrichment")
+# Addresses of private and public ranges, made of the flows' numbers.
+BYTES = "SELECT [10, 127, 172, 192, 100, 169, 224, 8, 203][CAST(packets % 9 + 1 AS INT)] AS a, CAST(CASE packets % 9 WHEN 3 THEN 168 WHEN 5 THEN 254 WHEN 6 THEN 0 WHEN 2 THEN 10 + src_port % 30 WHEN 4 THEN 50 + src_port % 90 ELSE src_port % 200 END AS INT) AS b, CAST(src_port % 2 AS INT) AS c, CAST(dst_port % 4 AS INT) AS d FROM v_flows"
+MADE = f"SELECT a, b, c, a || '.' || b || '.' || c || '.' || d AS ip FROM ({BYTES})"
+PRIVATE = "a IN (10, 127) OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND b = 168 OR a = 100 AND b BETWEEN 64 AND 127 OR a = 169 AND b = 254 OR a = 224 AND b = 0 AND c = 0"
+
+
+def made_ips(flows: DataFrame) -> DataFrame:
+    n = lambda c, m: F.col(c) % m
+    a = F.element_at(F.array(*map(F.lit, (10, 127, 172, 192, 100, 169, 224, 8, 203))), (n("packets", 9) + 1).cast("int"))
+    kind = n("packets", 9)
+    b = F.when(kind == 3, 168).when(kind == 5, 254).when(kind == 6, 0).when(kind == 2, 10 + n("src_port", 30)).when(kind == 4, 50 + n("src_port", 90)).otherwise(n("src_port", 200))
+    return flows.select(F.concat_ws(".", a.cast("string"), b.cast("string"), n("src_port", 2).cast("string"), n("dst_port", 4).cast("string")).alias("ip"))
+
+
+named("private_ips", f"SELECT ip, {PRIVATE} AS private, count(*) AS flows FROM ({MADE}) GROUP BY ALL", lambda f: made_ips(f).groupBy("ip", s.is_private(F.col("ip")).alias("private")).agg(F.count("*").alias("flows")), "flows")
+named("ips_to_enrich", f"""
+SELECT DISTINCT ip FROM (SELECT a, b, c, ip FROM ({MADE}) UNION ALL SELECT 8, 8, 8, replace(src_ip, '10.0.0.', '8.8.8.') FROM v_flows WHERE src_ip LIKE '10.0.0.%') WHERE NOT ({PRIVATE})
+  AND ip NOT IN (SELECT replace(ip, '10.0.0.', '8.8.8.') FROM v_enrichment WHERE last_checked >= TIMESTAMP '2024-01-30 00:00:00')
+""", lambda f, e: s.to_enrich(
+    made_ips(f).withColumnRenamed("ip", "src_ip").withColumn("dst_ip", F.lit("10.0.0.1")).unionByName(f.where("src_ip like '10.0.0.%'").select(F.replace("src_ip", F.lit("10.0.0."), F.lit("8.8.8.")).alias("src_ip"), F.lit("127.0.0.1").alias("dst_ip"))),
+    s.fresh_enrichment(e, "2024-01-31 00:00:00", 1).withColumn("ip", F.replace("ip", F.lit("10.0.0."), F.lit("8.8.8."))),
+), "flows", "enrichment")
+CASES = lambda rows, key, other: f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rows.items()) + f" ELSE {other} END"
+named("layer_tree", f"""
+WITH l AS (SELECT frame_number, unnest([
+  {{'i': 0, 'name': 'Frame ' || frame_number, 'color': '{s.GREY}', 'f': [['Arrival Time', strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f')], ['Frame Number', frame_number::varchar], ['Frame Length', length || ' bytes'],
+    ['Protocols in Frame', concat_ws(':', 'eth:ip', lower(protocol), CASE WHEN app_protocol <> '' THEN app_protocol END)]]}},
+  {{'i': 1, 'name': 'Internet Protocol Version 4', 'color': '{s.INDIGO}', 'f': [['Source Address', src_ip], ['Destination Address', dst_ip], ['Protocol', protocol]]}},
+  {{'i': 2, 'name': CASE protocol WHEN 'UDP' THEN 'User Datagram Protocol' ELSE 'Transmission Control Protocol' END, 'color': '{s.SKY}', 'f': [['Source Port', src_port::varchar], ['Destination Port', dst_port::varchar]]}},
+  {{'i': CASE WHEN app_protocol <> '' THEN 3 END, 'name': {CASES(s.FULL_NAMES, 'app_protocol', 'app_protocol')}, 'color': {CASES(s.COLOURS, 'app_protocol', "'" + s.GREY + "'")}, 'f': [['K', json_extract_string(metadata, '$.k')]]}}]) AS x FROM v_packets)
+SELECT frame_number, x.i::int AS layer, x.name, x.color, f[1] AS field, f[2] AS value FROM (SELECT frame_number, x, unnest(x.f) AS f FROM l WHERE x.i IS NOT NULL)
+""", lambda p: s.layer_tree(p.withColumn("metadata", F.from_json("metadata", "map<string,string>"))).select("frame_number", F.posexplode("layers").alias("layer", "l")).select("frame_number", "layer", "l.name", "l.color", F.explode("l.fields").alias("f")).select("frame_number", "layer", "name", "color", F.col("f.name").alias("field"), "f.value"), "packets")
 named("conversation_matrix", """
 SELECT least(src_ip, dst_ip) AS a, greatest(src_ip, dst_ip) AS b, app_protocol, count(*) FILTER (src_ip <= dst_ip) AS fwd_packets, count(*) FILTER (src_ip > dst_ip) AS rev_packets,
   CAST(coalesce(sum(length) FILTER (src_ip <= dst_ip), 0) AS BIGINT) AS fwd_bytes, CAST(coalesce(sum(length) FILTER (src_ip > dst_ip), 0) AS BIGINT) AS rev_bytes,

@@ -132,6 +132,20 @@ SELECT 'ws-' || {host} || ':' || CAST(20000 + event_id % 40000 AS STRING) || '-{
     "rtp": """
 SELECT {host} AS src_ip, CAST(20000 + event_id % 40000 AS INT) AS src_port, CAST(3 AS BIGINT) AS packets, CAST(5 AS BIGINT) AS max_seq_gap, round(4 / 7.0 * 10000) / 100 AS packet_loss_pct, CAST(36 AS BIGINT) AS bytes FROM {e}
 """,
+    "dns_records": """
+SELECT 'dns-' || CAST(event_id % 65536 AS STRING) || '-' || {host} || ':' || CAST(20000 + event_id % 40000 AS STRING) AS flow_id, CASE WHEN event_id % 2 = 0 THEN 'SOA' ELSE 'NAPTR' END AS query_type,
+  CASE WHEN event_id % 2 = 0 THEN ['ns.host' || CAST(event_id % 70 AS STRING) || '.example.com admin.host' || CAST(event_id % 70 AS STRING) || '.example.com ' || CAST(event_id AS STRING) || ' 7200 600 86400 60']
+    ELSE ['100 ' || CAST(event_id % 50 AS STRING) || ' "S" "SIP+D2U" "" _sip.host' || CAST(event_id % 70 AS STRING) || '.example.com'] END AS answers FROM {e}
+""",
+    "diameter_pairs": """
+SELECT event_id % 5 + 5 * j AS job_id, 'diameter-' || CAST(event_id * 8 AS STRING) || CASE k WHEN 0 THEN '' ELSE '.' || CAST(k AS STRING) END AS flow_id, '00101' || lpad(CAST(event_id % 1000 + k AS STRING), 10, '0') AS imsi
+FROM {e}, (SELECT unnest([0, 1, 2]) AS k), (SELECT unnest([0, 1]) AS j)
+""",
+    "midway": """
+SELECT 'http-' || CAST(event_id * 8 AS STRING) || '.1' AS flow_id, CAST(200 AS INT) AS status_code, '/m/' || CAST(event_id AS STRING) AS uri, CAST(30 AS DOUBLE) AS latency_ms, 'hello' AS body FROM {e} UNION ALL
+SELECT 'http-resp-' || CAST(event_id * 8 + 1 AS STRING) || '.2', 404, NULL, NULL, NULL FROM {e}
+""",
+    "gtp_off_port": "SELECT 'gtp-' || CAST(event_id * 8 AS STRING) AS flow_id, 'Echo Request' AS message_type FROM {e} WHERE event_id % 2 = 0",
     "segments": """
 SELECT event_id * 8 + CASE k WHEN 0 THEN 0 ELSE 1 END AS frame_number, CASE k WHEN 0 THEN 'POST /f/' || CAST(event_id AS STRING) || ' HTTP/1.1' || chr(13) || chr(10) || 'Content-Length: 20' || chr(13) || chr(10) || chr(13) || chr(10) || 'abcdefghijklmnopqrst'
   ELSE 'GET /g/' || CAST(event_id AS STRING) || ' HTTP/1.1' || chr(13) || chr(10) || chr(13) || chr(10) END AS message FROM {e}, (SELECT unnest([0, 1]) AS k)
@@ -233,6 +247,25 @@ def exchanges() -> dict[str, tuple]:
             d.rtcp_reports, "frame_number", "ip", "reporter", "source", F.col("fraction_lost").cast("double").alias("fraction_lost"), "jitter")
     decoded("rtp", lambda e: packets(e, "UDP", 40000, *[(False, 20 * i, F.concat(raw("8000"), number(s, 2), number(160 * i, 4), number(E, 4)), None) for i, s in enumerate((1, 2, 7))]), d.rtp, "src_ip", "src_port", "packets", "max_seq_gap", "packet_loss_pct", "bytes")
 
+    SUFFIX = lambda label: F.concat(counted(bytes_of(label), 1), raw("c00c"))
+    SOA = counted(F.concat(SUFFIX("ns"), SUFFIX("admin"), number(E, 4), raw("00001c20 00000258 00015180 0000003c")), 2)
+    NAPTR = counted(F.concat(raw("0064"), number(E % 50, 2), raw("01 53 07"), bytes_of("SIP+D2U"), raw("00"), SUFFIX("_sip")), 2)
+    RECORD = F.concat(raw("c00c"), F.when(E % 2 == 0, raw("0006 0001 0000003c")).otherwise(raw("0023 0001 0000003c")), F.when(E % 2 == 0, SOA).otherwise(NAPTR))
+    KIND = F.when(E % 2 == 0, raw("0006 0001")).otherwise(raw("0023 0001"))
+    decoded("dns_records", lambda e: packets(e, "UDP", 53,
+        (False, 0, F.concat(number(E % 65536, 2), raw("0100 0001 0000 0000 0000"), QUESTION, KIND), None), (True, 40, F.concat(number(E % 65536, 2), raw("8180 0001 0001 0000 0000"), QUESTION, KIND, RECORD), None)),
+        d.dns, "flow_id", "query_type", "answers")
+    # Three messages in one segment, in two jobs with the same packets.
+    USER = lambda k: MESSAGE("c0", AVP(1, bytes_of(F.concat(F.lit("00101"), F.lpad((E % 1000 + k).cast("string"), 10, "0")))))
+    decoded("diameter_pairs", lambda e: (lambda p: p.unionByName(p.withColumn("job_id", F.col("job_id") + 5)))(packets(e, "TCP", 3868, (False, 0, F.concat(USER(0), USER(1), USER(2)), None))),
+        lambda p: d.decode(p, ["diameter"]), "job_id", "flow_id", "imsi")
+    # A connection caught in the middle of two bodies, with an answer in chunks and another one behind it.
+    decoded("midway", lambda e: packets(e, "TCP", 80,
+        (False, 0, TEXT("rest of a body ", E, "GET /m/", E, " HTTP/1.1\r\n\r\n"), None),
+        (True, 30, TEXT("tail of a page\r\nHTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\nHTTP/1.1 404 Not Found\r\n\r\n"), None)),
+        lambda p: d.decode(p, ["http"]), "flow_id", "status_code", detail("uri"), "latency_ms", F.nullif(F.regexp_extract(F.try_element_at("details", F.lit("body_preview")), "(hello)", 1), F.lit("")).alias("body"))
+    decoded("gtp_off_port", lambda e: packets(e, "UDP", 7000, (False, 0, F.when(E % 2 == 0, raw("40 01 0004 00000100")).otherwise(raw("40 01 0009 00000100")), None)), d.gtp, "flow_id", "message_type")
+
     # A message in three segments, the last one before the second, and the first sent twice with more: trimmed, ordered and cut.
     WHOLE = TEXT("POST /f/", E, " HTTP/1.1\r\nContent-Length: 20\r\n\r\nabcdefghijklmnopqrst", "GET /g/", E, " HTTP/1.1\r\n\r\n")
     PART = lambda a, n: F.substring(WHOLE, a, n)

@@ -51,6 +51,13 @@ def agent_totals(batches: DataFrame) -> DataFrame:
     return batches.groupBy("agent_id").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.sum("dropped").alias("dropped"), F.max("timestamp").alias("last_seen"))
 
 
+def drop_rates(batches: DataFrame, width: str = "1 minute", lateness: str = LATENESS) -> DataFrame:
+    """(agent_id, timestamp, packets, dropped, drop_pct) of each window: the share of what agents saw that they dropped."""
+    out = timed(batches.where("timestamp is not null"), lateness).groupBy("agent_id", F.window("timestamp", width).alias("w")).agg(F.sum("packets").alias("packets"), F.sum("dropped").alias("dropped"))
+    seen = F.col("packets") + F.col("dropped")
+    return out.select("agent_id", F.col("w.start").alias("timestamp"), "packets", "dropped", F.when(seen > 0, F.round(100.0 * F.col("dropped") / seen * 100) / 100).otherwise(0.0).alias("drop_pct"))
+
+
 def with_staleness(agents: DataFrame, now: str, seconds: int = STALE_SECONDS) -> DataFrame:
     """Adds ``is_stale``: nothing was seen in the ``seconds`` before ``now``."""
     return agents.withColumn("is_stale", F.col("last_seen").cast("timestamp") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(seconds)} SECONDS"))
