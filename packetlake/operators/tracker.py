@@ -79,12 +79,18 @@ def trend(packets: DataFrame, points: int = 60, seconds: int = 3600) -> DataFram
     """(flow key, trend): bits per second in at most ``points`` equal steps from the first packet with payload."""
     own = canonical(packets).where("payload_len > 0")
     start = own.groupBy(*KEY).agg(F.min(micros("timestamp")).alias("t0"))
-    buckets = own.groupBy(*KEY, micros("timestamp").alias("t")).agg(F.sum("payload_len").alias("bytes")).join(start, KEY).withColumn("s", F.floor((F.col("t") - F.col("t0")) / 1_000_000).cast("long")).where(F.col("s") < seconds).groupBy(*KEY, "s").agg(F.sum("bytes").alias("bytes"))
-    sizes = buckets.groupBy(*KEY).agg((F.max("s") + 1).alias("n")).withColumn("step", F.greatest(F.lit(1), F.ceil(F.col("n") / points)).cast("long"))
-    steps = buckets.join(sizes, KEY).groupBy(*KEY, "n", "step", F.expr("s div step").alias("i")).agg(F.sum("bytes").alias("bytes"))
+    return _steps(own.join(start, KEY).withColumn("s", F.floor((micros("timestamp") - F.col("t0")) / 1_000_000).cast("long")), points, seconds)
+
+
+def _steps(timed: DataFrame, points: int = 60, seconds: int = 3600) -> DataFrame:
+    """(flow key, trend) of packets with payload and ``s``, the seconds since the flow's first."""
+    buckets = timed.where(F.col("s") < seconds).groupBy(*KEY, "s").agg(F.sum("payload_len").alias("bytes"))
+    sized = buckets.withColumn("n", F.max("s").over(Window.partitionBy(*KEY)) + 1)
+    sized = sized.withColumn("step", F.greatest(F.lit(1), F.ceil(F.col("n") / points)).cast("long")).withColumn("i", F.expr("s div step"))
+    steps = sized.groupBy(*KEY, "i").agg(F.sum("bytes").alias("bytes"), F.max("n").alias("n"), F.max("step").alias("step"))
     value = F.struct("i", F.round(F.col("bytes") * 8 / F.col("step")).alias("bps"))
-    found = steps.groupBy(*KEY, "n", "step").agg(F.map_from_entries(F.collect_list(value)).alias("by"))  # at most `points` entries
-    dense = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("step")).cast("int") - 1), lambda i: F.coalesce(F.try_element_at("by", i.cast("long")), F.lit(0.0)))
+    found = steps.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(value)).alias("by"), F.max(F.ceil(F.col("n") / F.col("step"))).cast("int").alias("count"))  # at most ``points`` entries
+    dense = F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.coalesce(F.try_element_at("by", i.cast("long")), F.lit(0.0)))
     return found.select(*KEY, dense.alias("trend"))
 
 
@@ -162,10 +168,56 @@ def resets(packets: DataFrame, delta: int = 5) -> DataFrame:
 
 
 def track(packets: DataFrame) -> DataFrame:
-    """Flows with all measures; every part is aggregated by the flow key before it is joined."""
-    parts = [handshakes(packets), retransmissions(packets), round_trips(packets), resets(packets), trend(packets)]
-    out = reduce(lambda a, b: a.join(b, KEY, "left"), parts, volumes(packets))
-    return scored(out)
+    """Flows with all measures.
+
+    The headers of packets are exchanged once, by flow; all windows and sums then run on that exchange: the
+    first numbers of both directions, what was sent and acknowledged before each packet, the acknowledgement
+    that covers each pushed segment, and the seconds of the trend. Payloads don't travel.
+    """
+    needed = [c for c in ("job_id", "protocol", "src_ip", "src_port", "dst_ip", "dst_port", "frame_number", "timestamp", "payload_len", "seq", "ack", "flags", "ttl", "ip_id") if c in packets.columns or c == "job_id"]
+    own = canonical(with_job(packets).select(*needed)).select(*KEY, "reversed", *[c for c in needed if c not in KEY and not c.startswith(("src_", "dst_"))]).repartition(*KEY)
+    tcp, rev, frame = F.col("protocol") == "TCP", F.col("reversed"), F.col("frame_number")
+    data, acks = tcp & (F.col("payload_len") > 0), tcp & has(16)
+    flow, order = Window.partitionBy(*KEY), Window.partitionBy(*KEY).orderBy("frame_number")
+    way = Window.partitionBy(*KEY, "reversed").orderBy("frame_number").rowsBetween(Window.unboundedPreceding, -1)
+    first = lambda back: F.min_by(F.when(data & (rev == back), F.col("seq")), F.when(data & (rev == back), frame)).over(flow)
+    t = F.when(F.col("payload_len") > 0, micros("timestamp"))
+    seen = own.withColumns({"first_fwd": first(False), "first_rev": first(True), "t0": F.min(t).over(flow), "syn": F.min(F.when(tcp & has(2) & ~rev & ~has(16), F.col("timestamp"))).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    at = F.when(data, unwrapped(F.col("seq"), F.when(rev, F.col("first_rev")).otherwise(F.col("first_fwd"))))
+    upto = F.when(acks, unwrapped(F.col("ack"), F.when(rev, F.col("first_fwd")).otherwise(F.col("first_rev"))))
+    placed = seen.withColumns({"at": at, "upto": upto})
+    met = placed.withColumns({"again": F.coalesce(F.col("at") < F.max(F.col("at") + F.col("payload_len")).over(way), F.lit(False)), "highest": F.max("upto").over(way)})
+    raises = F.col("upto").isNotNull() & (F.col("highest").isNull() | (F.col("upto") > F.col("highest")))
+    # A packet itself (2), the pushed segment that it is (1), the acknowledgement that it is to the other direction (0).
+    roles = F.array_compact(F.array(
+        F.struct(F.lit(2).alias("kind"), rev.alias("way"), F.lit(None).cast("long").alias("pos")),
+        F.when(data & has(8), F.struct(F.lit(1).alias("kind"), rev.alias("way"), (F.col("at") + F.col("payload_len")).alias("pos"))),
+        F.when(raises, F.struct(F.lit(0).alias("kind"), (~rev).alias("way"), F.col("upto").alias("pos"))),
+    ))
+    every = met.withColumn("role", F.explode(roles)).select("*", "role.*")
+    down = Window.partitionBy(*KEY, "way").orderBy(F.desc_nulls_last("pos"), F.asc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    covered = every.withColumn("covered", F.last(F.when(F.col("kind") == 0, F.col("timestamp")), ignorenulls=True).over(down))
+    one, sampled = F.col("kind") == 2, (F.col("kind") == 1) & (F.col("covered") > F.col("timestamp"))
+    n = lambda where, x=1: F.sum(F.when(one & where, x).otherwise(0))
+    back = one & tcp & rev & has(2) & has(16) & F.col("syn").isNotNull()
+    reset, base = one & tcp & has(4), lambda r: one & tcp & ~has(4) & (F.col("ttl") > 0) & (rev == r)
+    hop = lambda r: F.min_by(F.when(base(r), F.col("ttl")), F.when(base(r), frame))
+    each = covered.groupBy(*KEY).agg(
+        n(~rev).alias("fwd_packets"), n(rev).alias("rev_packets"), n(~rev, F.col("payload_len")).alias("fwd_bytes"), n(rev, F.col("payload_len")).alias("rev_bytes"),
+        F.min_by("timestamp", "frame_number").alias("start_time"), F.max("timestamp").alias("end_time"), F.bit_or(F.when(tcp, F.col("flags")).otherwise(0).cast("int")).alias("flags"),
+        F.min_by(F.struct("timestamp", "syn"), F.when(back, frame)).alias("shake"), n(F.col("again")).alias("again"),
+        F.count(F.when(sampled, 1)).alias("samples"), F.avg(F.when(sampled, (micros("covered") - micros("timestamp")) / 1000)).alias("rtt"),
+        F.min_by(F.when(reset, F.struct("ttl", "ip_id", "reversed")), F.when(reset, frame)).alias("rst"), hop(False).alias("fwd_ttl"), hop(True).alias("rev_ttl"),
+    )
+    total = F.col("fwd_packets") + F.col("rev_packets")
+    told = F.col("rst").isNotNull() & (F.col("rst.ttl") > 0)
+    judged = {k: F.when(told, c) for k, c in zip(("rst_authenticity", "rst_delta", "rst_reason"), reset_verdict("rst", "fwd_ttl", "rev_ttl", 5), strict=True)}
+    measures = {
+        "handshake_ms": rounded((micros(F.col("shake.timestamp")) - micros(F.col("shake.syn"))) / 1000 * 2), "retransmissions": F.when(tcp, F.col("again")), "loss_pct": F.when(tcp, rounded(100.0 * F.col("again") / total)),
+        "samples": F.when(F.col("samples") > 0, F.col("samples")), "data_rtt_ms": rounded(F.col("rtt")), **judged,
+    }
+    out = described(each.withColumns(measures).drop("shake", "again", "rtt", "rst", "fwd_ttl", "rev_ttl"))
+    return scored(out.join(_steps(seen.where(t.isNotNull()).withColumn("s", F.floor((t - F.col("t0")) / 1_000_000).cast("long"))), KEY, "left"))
 
 
 def scored(out: DataFrame) -> DataFrame:
