@@ -161,19 +161,27 @@ READS = {
 }
 
 
+#: The sums that rules over groups read; no others are made for them.
+USES = {
+    "volume_spike": ["packets"], "packet_flood": ["packets"], "traffic_concentration": ["packets"], "syn_flood": ["syn"], "icmp_flood": ["icmp"], "register_flood": ["registers"], "sip_brute_force": ["refused"],
+    "dns_tunneling": ["long", "txt", "nx"], "sip_options_scan": ["options"], "sip_invite_flood": ["invites"], "nas_auth_failures": ["auth"], "pdu_session_flood": ["establish"], "pfcp_drop_rate": ["dropped"],
+    "sbi_error_rate": ["failed"], "nf_registration_storm": ["registrations"], "one_way_audio": ["heard"], "traffic_burst": ["packets"],
+}
+
+
 def _complete(flows: DataFrame) -> DataFrame:
     """``flows`` with nulls for the columns of the flow schema that they haven't, so that rules can name them."""
     have = set(flows.columns)
     return flows.withColumns({n: F.lit(None).cast(t) for n, t in columns(FLOW) if n not in have})
 
 
-def counted(flows: DataFrame, kinds: list[str] | None = None, width: str = "second") -> DataFrame:
+def counted(flows: DataFrame, kinds: list[str] | None = None, width: str = "second", only: list[str] | None = None) -> DataFrame:
     """A row per kind and key of group: n flows, distinct subs, sums, and the first and last sub by time.
 
     One pass: a flow is exploded to its groups, and groups are summed in the tasks before they are exchanged, first
     by (kind, key, sub), in whole numbers, then by (kind, key). A hot group is one row a task.
     """
-    groups, sums = _groups(width), _sums()
+    groups, sums = _groups(width), {k: c for k, c in _sums().items() if only is None or k in only}
 
     def of_kind(kind: str) -> Column:
         return F.transform(groups[kind], lambda g: F.struct(F.lit(kind).alias("kind"), g["key"].alias("key"), g["sub"].alias("sub")))
@@ -190,7 +198,7 @@ def counted(flows: DataFrame, kinds: list[str] | None = None, width: str = "seco
 
 
 def _totals(groups: DataFrame) -> DataFrame:
-    """One row: flows and packets of all, seconds with flows and their flows."""
+    """One row: flows and packets of all (rules that read them use packets), seconds with flows and their flows."""
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     of_seconds = F.when(F.col("kind") == "second", F.col("n"))
     return groups.agg(F.coalesce(pick("all", "n"), F.lit(0)).alias("all_n"), F.coalesce(pick("all", "packets"), F.lit(0)).alias("all_packets"), F.avg(of_seconds).alias("mean_second"), F.coalesce(F.sum(of_seconds), F.lit(0)).alias("all_seconds"))
@@ -198,7 +206,7 @@ def _totals(groups: DataFrame) -> DataFrame:
 
 def figures_by_key(flows: DataFrame) -> DataFrame:
     """(kind, key, n, packets): flows and packets by type, SIP method, SIP status, Diameter command and failure."""
-    return counted(flows, ["type", "sip_method", "sip_response", "diameter_command", "failure"]).select("kind", "key", "n", "packets")
+    return counted(flows, ["type", "sip_method", "sip_response", "diameter_command", "failure"], only=["packets"]).select("kind", "key", "n", "packets")
 
 
 def run(flows: DataFrame, names: list[str] | None = None, **settings: dict) -> DataFrame:
@@ -209,7 +217,8 @@ def run(flows: DataFrame, names: list[str] | None = None, **settings: dict) -> D
     kinds = sorted({k for n in names for k in READS.get(n, [])})
     flows = _complete(flows)
     out = []
-    groups = counted(flows, kinds, settings.get("traffic_burst", {}).get("width", "second")) if kinds else None
+    only = sorted({k for n in names for k in USES.get(n, [])})
+    groups = counted(flows, kinds, settings.get("traffic_burst", {}).get("width", "second"), only) if kinds else None
     if len(names) > 1 and groups is not None:
         groups = stored(groups)
     totals = F.broadcast(_totals(groups)) if groups is not None and any(k in kinds for k in ("all", "second")) else None  # one row
@@ -221,8 +230,11 @@ def run(flows: DataFrame, names: list[str] | None = None, **settings: dict) -> D
         kind = F.when(of("DNS") & F.lit("dns_dga" in names), "query").when(of("RTP") & F.lit("one_way_audio" in names), "media").when(of("SIP") & F.col("method").isin("BYE", "CANCEL") & F.lit("sip_hijack" in names), "call")
         key = F.when(of("DNS"), F.col("query_name")).when(of("RTP"), F.concat_ws("|", "src_ip", "dst_ip")).otherwise(F.col("flow_id"))
         own = flows.withColumns({"kind": kind, "key": key}).where("kind is not null")
-        sides = groups.where(F.col("kind").isin("query", "media", "call")).select("kind", "key", F.col("n").alias("group_n"), F.col("heard").alias("group_heard"), F.col("last_sub").alias("group_sub"))
-        out.append(shown(own.join(sides, ["kind", "key"], "left"), made["met"]))
+        sides = groups.where(F.col("kind").isin("query", "media", "call")).select("kind", "key", F.col("n").alias("group_n"), (F.col("heard") if "heard" in only else F.lit(0)).alias("group_heard"), F.col("last_sub").alias("group_sub"))
+        met = own.join(sides, ["kind", "key"], "left")
+        if "dns_dga" in names:  # dear, so made once a flow
+            met = met.withColumn("entropy", F.when((F.col("kind") == "query") & (F.length("query_name") >= 8), entropy(F.substring_index("query_name", ".", 1))))
+        out.append(shown(met, made["met"]))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -524,7 +536,7 @@ def dns_dga() -> list[Column]:
     name = F.col("query_name")
     label = F.substring_index(name, ".", 1)
     part = lambda c, x: F.when(c, x).otherwise(0)
-    score = part(entropy(label) >= 3.5, 3) + part(F.lower(F.substring_index(name, ".", -1)).isin(SUSPICIOUS_TLDS), 2) + part(F.length(label) >= 16, 1) + part(F.col("group_n") <= 2, 1)
+    score = part(F.col("entropy") >= 3.5, 3) + part(F.lower(F.substring_index(name, ".", -1)).isin(SUSPICIOUS_TLDS), 2) + part(F.length(label) >= 16, 1) + part(F.col("group_n") <= 2, 1)
     where = (F.col("kind") == "query") & (F.length(name) >= 8) & name.contains(".")
     return [alert("dns_dga", where, "DNS", bands(score, (3, "warning"), (4, "error"), (5, "critical"), strict=False), fmt("Suspected DGA/C2 Domain: %s", name), name, score)]
 
