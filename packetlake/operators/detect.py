@@ -1,8 +1,8 @@
 """Detection rules over flows.
 
 A rule is a function that returns columns: alerts of a flow, of a group of flows, or of a flow that meets its
-group. Alerts have rule, severity, protocol, title, flow_id, subject (an address, domain or key) and value
-(what was measured). ``run`` evaluates all rules in three passes over the flows: one counts the groups, all kinds of
+group. Alerts have rule, severity, protocol, title, description, flow_id, subject (an address, domain or key), value
+(what was measured) and metadata (a map of texts). ``run`` evaluates all rules in three passes over the flows: one counts the groups, all kinds of
 them at once, one looks at each flow, and one joins flows to groups. Counts are written to the shared folder,
 as several passes read them. Each rule also runs by itself, from ``RULES``.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.quality import clamp, entropy, mos_of_r
 from ..schemas import FLOW, columns
 from ..session import stored
+from .alert_texts import with_texts
 from .reports import sip_status
 
 # Fixed values.
@@ -57,13 +58,17 @@ def rule(name: str, over: str = "flow", core: bool = True) -> Callable:
     return add
 
 
-def alert(name: str, where: Column, protocol: str | Column, severity: str | Column, title: Column, subject: Column | None = None, value: Column | None = None, flow: bool | Column = True) -> Column:
-    """An alert where a condition holds and the severity isn't null, else null."""
+def alert(name: str, where: Column, protocol: str | Column, severity: str | Column, title: Column, subject: Column | None = None, value: Column | None = None, flow: bool | Column = True, said: str | Column | None = None, **facts: str | Column) -> Column:
+    """An alert where a condition holds and the severity isn't null, else null.
+
+    ``facts`` (names of columns, or columns) are what its texts tell; ``said`` names the texts, those of the rule by default.
+    """
     text = lambda x: F.lit(x) if isinstance(x, str) else x
     none = F.lit(None)
     fields = {
         "rule": F.lit(name), "severity": text(severity), "protocol": text(protocol), "title": title, "flow_id": (F.col("flow_id") if flow is True else none if flow is False else flow).cast("string"),
-        "subject": (none if subject is None else subject).cast("string"), "value": (none if value is None else value).cast("double"),
+        "subject": (none if subject is None else subject).cast("string"), "value": (none if value is None else value).cast("double"), "said": text(name if said is None else said),
+        "facts": F.create_map(*[c for k, v in facts.items() for c in (F.lit(k), (F.col(v) if isinstance(v, str) else v).cast("string"))]).cast("map<string,string>"),
     }
     return F.when(where & text(severity).isNotNull(), F.struct(*[c.alias(k) for k, c in fields.items()]))
 
@@ -77,6 +82,25 @@ def tenth(x: Column) -> Column:
     return F.round(x * 10) / 10
 
 
+def digits(n: int, x: Column | str) -> Column:
+    """A number with n decimals, halves away from zero."""
+    return F.format_string(f"%.{n}f", (F.round((F.col(x) if isinstance(x, str) else x) * 10**n) / 10**n).cast("double"))
+
+
+def told(*names: str) -> dict[str, Column]:
+    """Facts that are columns of the flow."""
+    return {n: F.col(n) for n in names}
+
+
+def reasons(*given: tuple[Column, Column]) -> Column:
+    """What holds of (condition, text), parted by semicolons."""
+    return F.array_join(F.array_compact(F.array(*[F.when(where, text) for where, text in given])), "; ")
+
+
+def percent(part: str | Column, whole: str) -> Column:
+    return digits(0, 100 * (F.col(part) if isinstance(part, str) else part) / F.col(whole))
+
+
 def bands(value: Column, *least: tuple[float, str], strict: bool = True) -> Column:
     """The severity of the highest bound passed, null below the lowest."""
     out = F
@@ -102,6 +126,10 @@ def seconds() -> Column:
     return (micros("end_time") - micros("start_time")) / 1e6
 
 
+def detail(name: str) -> Column:
+    return F.try_element_at("details", F.lit(name))
+
+
 def base_domain(name: Column) -> Column:
     """The last two labels; null with fewer."""
     return F.when(name.contains("."), F.substring_index(name, ".", -2))
@@ -163,7 +191,7 @@ READS = {
 
 #: The sums that rules over groups read; no others are made for them.
 USES = {
-    "volume_spike": ["packets"], "packet_flood": ["packets"], "traffic_concentration": ["packets"], "syn_flood": ["syn"], "icmp_flood": ["icmp"], "register_flood": ["registers"], "sip_brute_force": ["refused"],
+    "volume_spike": ["packets"], "packet_flood": ["packets"], "traffic_concentration": ["packets"], "syn_flood": ["syn"], "icmp_flood": ["icmp"], "register_flood": ["registers"], "sip_brute_force": ["refused", "registers"],
     "dns_tunneling": ["long", "txt", "nx"], "sip_options_scan": ["options"], "sip_invite_flood": ["invites"], "nas_auth_failures": ["auth"], "pdu_session_flood": ["establish"], "pfcp_drop_rate": ["dropped"],
     "sbi_error_rate": ["failed"], "nf_registration_storm": ["registrations"], "one_way_audio": ["heard"], "traffic_burst": ["packets"],
 }
@@ -235,7 +263,8 @@ def run(flows: DataFrame, names: list[str] | None = None, **settings: dict) -> D
         if "dns_dga" in names:  # dear, so made once a flow
             met = met.withColumn("entropy", F.when((F.col("kind") == "query") & (F.length("query_name") >= 8), entropy(F.substring_index("query_name", ".", 1))))
         out.append(shown(met, made["met"]))
-    return reduce(DataFrame.unionByName, out)
+    found = with_texts(reduce(DataFrame.unionByName, out))
+    return found.select("rule", "severity", "protocol", "title", "description", "flow_id", "subject", "value", "metadata")
 
 
 # Rules over flows.
@@ -244,98 +273,99 @@ def run(flows: DataFrame, names: list[str] | None = None, **settings: dict) -> D
 @rule("sip_errors")
 def sip_errors() -> list[Column]:
     code = sip_status(F.col("response"))
-    return [alert("sip_errors", of("SIP") & code.between(400, 699), "SIP", F.when(code >= 500, "error").otherwise("warning"), fmt("SIP Error: %s", "response"), F.col("src_ip"), code)]
+    return [alert("sip_errors", of("SIP") & code.between(400, 699), "SIP", F.when(code >= 500, "error").otherwise("warning"), fmt("SIP Error: %s", "response"), F.col("src_ip"), code, response="response")]
 
 
 @rule("rtp_loss")
 def rtp_loss(warning: float = 5, error: float = 15) -> list[Column]:
     loss = F.when(F.col("packets") > 0, 100.0 * F.col("max_seq_gap") / F.col("packets"))
-    return [alert("rtp_loss", of("RTP"), "RTP", bands(loss, (warning, "warning"), (error, "error")), fmt("High Packet Loss (%.1f%%)", tenth(loss)), F.col("src_ip"), loss)]
+    return [alert("rtp_loss", of("RTP"), "RTP", bands(loss, (warning, "warning"), (error, "error")), fmt("High Packet Loss (%.1f%%)", tenth(loss)), F.col("src_ip"), loss, loss=digits(1, loss), gap="max_seq_gap", packets="packets")]
 
 
 @rule("rtp_jitter")
 def rtp_jitter(warning: float = 30, error: float = 100) -> list[Column]:
     v = F.col("jitter_ms")
-    return [alert("rtp_jitter", of("RTP"), "RTP", bands(v, (warning, "warning"), (error, "error")), fmt("High Jitter (%.1fms)", tenth(v)), F.col("src_ip"), v)]
+    return [alert("rtp_jitter", of("RTP"), "RTP", bands(v, (warning, "warning"), (error, "error")), fmt("High Jitter (%.1fms)", tenth(v)), F.col("src_ip"), v, jitter=digits(1, v))]
 
 
 @rule("dns_errors")
 def dns_errors() -> list[Column]:
     severity = F.when(F.col("error_type") == "SERVFAIL", "error").otherwise("warning")
-    return [alert("dns_errors", of("DNS") & F.col("is_error"), "DNS", severity, fmt("DNS %s: %s", "error_type", "query_name"), F.col("query_name"))]
+    return [alert("dns_errors", of("DNS") & F.col("is_error"), "DNS", severity, fmt("DNS %s: %s", "error_type", "query_name"), F.col("query_name"), error="error_type")]
 
 
-def failing(name: str, type_: str, title: Column) -> list[Column]:
-    return [alert(name, of(type_) & F.col("is_error"), type_, "error", title, F.col("src_ip"))]
+def failing(name: str, type_: str, what: str, code: str, label: str) -> list[Column]:
+    return [alert(name, of(type_) & F.col("is_error"), type_, "error", fmt(f"{type_} %s Failed ({label}=%d)", what, code), F.col("src_ip"), what=what, code=code)]
 
 
 @rule("diameter_failures")
 def diameter_failures() -> list[Column]:
-    return failing("diameter_failures", "Diameter", fmt("Diameter %s Failed (RC=%d)", "command", "result_code"))
+    return failing("diameter_failures", "Diameter", "command", "result_code", "RC")
 
 
 @rule("gtp_failures")
 def gtp_failures() -> list[Column]:
-    return failing("gtp_failures", "GTP", fmt("GTP %s Failed (Cause=%d)", "message_type", "cause_code"))
+    return failing("gtp_failures", "GTP", "message_type", "cause_code", "Cause")
 
 
 @rule("pfcp_failures")
 def pfcp_failures() -> list[Column]:
-    return failing("pfcp_failures", "PFCP", fmt("PFCP %s Failed (Cause=%d)", "message_type", "cause_code"))
+    return failing("pfcp_failures", "PFCP", "message_type", "cause_code", "Cause")
 
 
 @rule("volume_spike")
 def volume_spike(least: int = 500, times: float = 10) -> list[Column]:
     mean = F.col("all_packets") / F.col("all_n")
     where = (F.col("packets") >= least) & (mean > 0) & (F.col("packets") > mean * times)
-    return [alert("volume_spike", where, F.col("type"), "warning", fmt("Packet Volume Spike (%d pkts)", "packets"), F.col("src_ip"), F.col("packets"))]
+    return [alert("volume_spike", where, F.col("type"), "warning", fmt("Packet Volume Spike (%d pkts)", "packets"), F.col("src_ip"), F.col("packets"), packets="packets", mean=digits(0, mean), times=F.lit(f"{times:g}"))]
 
 
 @rule("oversized_packets")
 def oversized_packets(limits: dict[str, int] = LARGEST_PACKET) -> list[Column]:
     size = F.col("max_packet_size")
-    return [alert("oversized_packets", size > lookup(limits, F.col("type")), F.col("type"), "warning", fmt("Oversized %s Packet (%d bytes)", "type", size), F.col("src_ip"), size)]
+    return [alert("oversized_packets", size > lookup(limits, F.col("type")), F.col("type"), "warning", fmt("Oversized %s Packet (%d bytes)", "type", size), F.col("src_ip"), size, size=size, limit=lookup(limits, F.col("type")))]
 
 
 @rule("protocol_mismatch")
 def protocol_mismatch(ports: dict[str, list[int]] = STANDARD_PORTS) -> list[Column]:
     """Each side whose port belongs to another type."""
     owner = {p: t for t, ps in ports.items() for p in ps}
-    side = lambda c: alert("protocol_mismatch", lookup(owner, F.col(c)) != F.col("type"), F.col("type"), "error", fmt("Protocol Mismatch (port %d)", c), F.col("src_ip"), F.col(c))
+    side = lambda c: alert("protocol_mismatch", lookup(owner, F.col(c)) != F.col("type"), F.col("type"), "error", fmt("Protocol Mismatch (port %d)", c), F.col("src_ip"), F.col(c), port=c, expected=lookup(owner, F.col(c)))
     return [side("src_port"), side("dst_port")]
 
 
 @rule("long_duration")
 def long_duration(limits: dict[str, int] = LONGEST_SECONDS) -> list[Column]:
     v = seconds()
-    return [alert("long_duration", v > lookup(limits, F.col("type")), F.col("type"), "warning", fmt("Long Duration %s Flow (%.0fs)", "type", F.round(v)), F.col("src_ip"), v)]
+    return [alert("long_duration", v > lookup(limits, F.col("type")), F.col("type"), "warning", fmt("Long Duration %s Flow (%.0fs)", "type", F.round(v)), F.col("src_ip"), v, seconds=digits(0, v), limit=lookup(limits, F.col("type")))]
 
 
 @rule("jitter_variance")
 def jitter_variance(warning: float = 50, error: float = 200) -> list[Column]:
     v = F.col("jitter_max_ms") - F.col("jitter_min_ms")
     where = of("RTP") & (F.col("jitter_avg_ms") > 0) & (v > F.col("jitter_avg_ms") * 3)
-    return [alert("jitter_variance", where, "RTP", bands(v, (warning, "warning"), (error, "error")), fmt("High Jitter Variance (%.1fms spread)", tenth(v)), F.col("src_ip"), v)]
+    return [alert("jitter_variance", where, "RTP", bands(v, (warning, "warning"), (error, "error")), fmt("High Jitter Variance (%.1fms spread)", tenth(v)), F.col("src_ip"), v, spread=digits(1, v), **{k: digits(1, f"jitter_{k}_ms") for k in ("min", "max", "avg")})]
 
 
 @rule("dns_slow")
 def dns_slow(warning: float = 500, error: float = 2000) -> list[Column]:
     v = F.col("latency_ms")
-    return [alert("dns_slow", of("DNS"), "DNS", bands(v, (warning, "warning"), (error, "error")), fmt("Slow DNS Response (%.0fms)", F.round(v)), F.col("query_name"), v)]
+    return [alert("dns_slow", of("DNS"), "DNS", bands(v, (warning, "warning"), (error, "error")), fmt("Slow DNS Response (%.0fms)", F.round(v)), F.col("query_name"), v, latency=digits(0, v))]
 
 
 @rule("sip_slow_setup")
 def sip_slow_setup(warning: float = 3000, error: float = 10000) -> list[Column]:
     v = F.col("setup_latency_ms")
-    return [alert("sip_slow_setup", of("SIP"), "SIP", bands(v, (warning, "warning"), (error, "error")), fmt("Slow SIP Setup (%.1fs)", tenth(v / 1000)), F.col("src_ip"), v)]
+    return [alert("sip_slow_setup", of("SIP"), "SIP", bands(v, (warning, "warning"), (error, "error")), fmt("Slow SIP Setup (%.1fs)", tenth(v / 1000)), F.col("src_ip"), v, seconds=digits(1, v / 1000))]
 
 
 @rule("qos_degradation")
 def qos_degradation(warning: float = 3.6, error: float = 2.6) -> list[Column]:
-    r = clamp(94.2 - 2.5 * (100.0 * F.col("max_seq_gap") / F.when(F.col("packets") > 0, F.col("packets"))) - 0.1 * F.col("jitter_ms"), 0, 100)
+    loss = 100.0 * F.col("max_seq_gap") / F.when(F.col("packets") > 0, F.col("packets"))
+    r = clamp(94.2 - 2.5 * loss - 0.1 * F.col("jitter_ms"), 0, 100)
     v = clamp(mos_of_r(r), 1, 4.5)
     where = of("RTP") & (F.col("packets") > 0) & (v < warning)
-    return [alert("qos_degradation", where, "RTP", F.when(v < error, "error").otherwise("warning"), fmt("QoS Degradation (est. MOS %.1f)", tenth(v)), F.col("src_ip"), v)]
+    return [alert("qos_degradation", where, "RTP", F.when(v < error, "error").otherwise("warning"), fmt("QoS Degradation (est. MOS %.1f)", tenth(v)), F.col("src_ip"), v, mos=digits(2, v), loss=digits(1, loss), jitter=digits(1, "jitter_ms"))]
 
 
 @rule("call_drop")
@@ -344,8 +374,8 @@ def call_drop(short: float = 30) -> list[Column]:
     reason = lookup(DROP_REASONS, code)
     ended = of("SIP") & F.col("end_type").isin("BYE", "CANCEL") & (v > 0) & (v < short)
     return [
-        alert("call_drop", ended, "SIP", "warning", fmt("VoIP Call Drop (%.1fs)", tenth(v)), F.col("src_ip"), v),
-        alert("call_drop", of("SIP") & reason.isNotNull(), "SIP", "warning", fmt("VoIP Call Drop: %s (%d)", reason, code), F.col("src_ip"), code),
+        alert("call_drop", ended, "SIP", "warning", fmt("VoIP Call Drop (%.1fs)", tenth(v)), F.col("src_ip"), v, end_type="end_type", seconds=digits(1, v), millis=F.floor(v * 1000)),
+        alert("call_drop", of("SIP") & reason.isNotNull(), "SIP", "warning", fmt("VoIP Call Drop: %s (%d)", reason, code), F.col("src_ip"), code, said="call_refused", response="response", reason=reason),
     ]
 
 
@@ -354,47 +384,49 @@ def tls_downgrade() -> list[Column]:
     version = F.replace(F.replace(F.col("tls_version"), F.lit("SSL 3.0"), F.lit("SSLv3")), F.lit("TLS 1."), F.lit("TLSv1."))
     why = lookup(WEAK_TLS, version)
     severity = F.when(version == "SSLv3", "critical").when(version == "TLSv1.0", "error").otherwise("warning")
-    return [alert("tls_downgrade", of("TLS") & why.isNotNull(), "TLS", severity, fmt("TLS Downgrade: %s (%s)", version, why), F.col("sni"))]
+    return [alert("tls_downgrade", of("TLS") & why.isNotNull(), "TLS", severity, fmt("TLS Downgrade: %s (%s)", version, why), F.col("sni"), version=version, attack=why, **told("src_ip", "src_port", "dst_ip", "dst_port"))]
 
 
 @rule("tls_weak_cipher")
 def tls_weak_cipher() -> list[Column]:
     upper = F.upper("cipher_suite")
-    broken = F.size(F.filter(F.array(*[F.lit(x) for x in BROKEN_CIPHERS]), lambda x: F.contains(upper, x)))
+    found = F.filter(F.array(*[F.lit(x) for x in BROKEN_CIPHERS]), lambda x: F.contains(upper, x))
+    broken = F.size(found)
     where = of("TLS") & (F.col("cipher_suite") != "") & ((broken > 0) | ~upper.contains("DHE"))
     title = F.when(broken > 0, fmt("Broken Cipher: %s", "cipher_suite")).otherwise(fmt("No Forward Secrecy: %s", "cipher_suite"))
-    return [alert("tls_weak_cipher", where, "TLS", F.when(broken > 0, "critical").otherwise("warning"), title, F.col("sni"), broken)]
+    return [alert("tls_weak_cipher", where, "TLS", F.when(broken > 0, "critical").otherwise("warning"), title, F.col("sni"), broken, said=F.when(broken > 0, "broken_cipher").otherwise("tls_weak_cipher"), cipher="cipher_suite", broken=F.array_join(found, ", "), forward=upper.contains("DHE"), **told("src_ip", "src_port", "dst_ip", "dst_port"))]
 
 
 @rule("tls_ja3")
 def tls_ja3(malicious: dict[str, str] = MALICIOUS_JA3) -> list[Column]:
     name = lookup(malicious, F.col("ja3_hash"))
-    return [alert("tls_ja3", of("TLS") & name.isNotNull(), "TLS", "critical", fmt("Malicious JA3: %s (%s)", F.substring("ja3_hash", 1, 8), name), F.col("ja3_hash"))]
+    return [alert("tls_ja3", of("TLS") & name.isNotNull(), "TLS", "critical", fmt("Malicious JA3: %s (%s)", F.substring("ja3_hash", 1, 8), name), F.col("ja3_hash"), malware=name, sni="sni", ja3_string=detail("ja3_string"), **told("src_ip", "dst_ip"))]
 
 
 @rule("tls_self_signed")
 def tls_self_signed() -> list[Column]:
     where = of("TLS") & F.col("cert_self_signed") & ~F.coalesce(F.col("sni").rlike(r"\.(local|internal|lan)$"), F.lit(False))
-    return [alert("tls_self_signed", where, "TLS", F.when(F.col("dst_port").isin(443, 8443), "error").otherwise("warning"), fmt("Self-Signed Cert: %s (%s)", "sni", "dst_ip"), F.col("sni"))]
+    return [alert("tls_self_signed", where, "TLS", F.when(F.col("dst_port").isin(443, 8443), "error").otherwise("warning"), fmt("Self-Signed Cert: %s (%s)", "sni", "dst_ip"), F.col("sni"), cert_subject=detail("cert_subject"), cert_issuer=detail("cert_issuer"), **told("dst_ip", "dst_port"))]
 
 
 @rule("suspicious_rst")
 def suspicious_rst() -> list[Column]:
-    return [alert("suspicious_rst", F.col("rst_authenticity") == "suspicious", "TCP", "warning", fmt("Suspicious RST: %s:%d -> %s:%d", "src_ip", "src_port", "dst_ip", "dst_port"), F.col("src_ip"))]
+    return [alert("suspicious_rst", F.col("rst_authenticity") == "suspicious", "TCP", "warning", fmt("Suspicious RST: %s:%d -> %s:%d", "src_ip", "src_port", "dst_ip", "dst_port"), F.col("src_ip"), reason=detail("rst_reason"), ttl=detail("rst_ttl"), baseline=detail("rst_ttl_baseline"), delta=detail("rst_delta"), **told("src_ip", "src_port", "dst_ip", "dst_port"))]
 
 
 # Rules over groups.
 
 
-def grouped(name: str, kind: str, protocol: str, severity: str | Column, title: Column, n: str | Column = "n", subject: bool = True, where: Column | None = None) -> list[Column]:
+def grouped(name: str, kind: str, protocol: str, severity: str | Column, title: Column, n: str | Column = "n", subject: bool = True, where: Column | None = None, **facts: str | Column) -> list[Column]:
+    """Alerts of groups of a kind; n of their texts is what was measured."""
     own = F.col("kind") == kind if where is None else (F.col("kind") == kind) & where
-    return [alert(name, own, protocol, severity, title, F.col("key") if subject else None, F.col(n) if isinstance(n, str) else n, False)]
+    return [alert(name, own, protocol, severity, title, F.col("key") if subject else None, F.col(n) if isinstance(n, str) else n, False, **{"n": n, **facts})]
 
 
 @rule("packet_flood", "group")
 def packet_flood(least: int = 1000, share: float = 0.8) -> list[Column]:
     where = (F.col("all_packets") >= least) & (F.col("packets") >= least) & (F.col("packets") > F.col("all_packets") * share)
-    return grouped("packet_flood", "source", "*", "error", fmt("Packet Flood from %s", "key"), "packets", where=where)
+    return grouped("packet_flood", "source", "*", "error", fmt("Packet Flood from %s", "key"), "packets", where=where, packets="packets", total="all_packets", share=percent("packets", "all_packets"))
 
 
 @rule("syn_flood", "group")
@@ -412,7 +444,9 @@ def unusual_port() -> list[Column]:
     """One alert for each type and pair of endpoints, with the number of flows and the first one's id."""
     part = lambda i: F.split("key", r"\|")[i]
     title = fmt("Unusual %s Port (%s -> %s)", part(0), part(2), part(4))
-    return [alert("unusual_port", F.col("kind") == "port", part(0), "warning", title, F.when(part(1) != "null", part(1)), F.col("n"), F.col("first_sub"))]
+    return [alert("unusual_port", F.col("kind") == "port", part(0), "warning", title, F.when(part(1) != "null", part(1)), F.col("n"), F.col("first_sub"),
+                  n="n", src_port=part(2), dst_ip=part(3), dst_port=part(4), seen=F.when(F.col("n") > 1, fmt(" — seen across %d messages/flows in this capture", "n")),
+                  ports=lookup({k: " ".join(map(str, v)) for k, v in STANDARD_PORTS.items()}, part(0)))]
 
 
 @rule("source_fan_out", "group")
@@ -423,7 +457,7 @@ def source_fan_out(warning: int = 20, error: int = 50) -> list[Column]:
 @rule("traffic_concentration", "group")
 def traffic_concentration(least: int = 10, share: float = 0.5) -> list[Column]:
     where = (F.col("all_n") >= least) & (F.col("n") > F.col("all_n") * share)
-    return [c for side in ("source", "destination") for c in grouped("traffic_concentration", side, "*", "warning", fmt(f"Traffic Concentration: %s ({side})", "key"), where=where)]
+    return [c for side in ("source", "destination") for c in grouped("traffic_concentration", side, "*", "warning", fmt(f"Traffic Concentration: %s ({side})", "key"), where=where, side=F.lit(side.capitalize()), total="all_n", share=percent("n", "all_n"))]
 
 
 @rule("repeated_failures", "group")
@@ -444,12 +478,12 @@ def dns_query_flood(warning: int = 20, error: int = 50) -> list[Column]:
 @rule("traffic_burst", "group")
 def traffic_burst(least: int = 10, times: float = 5, width: str = "second") -> list[Column]:
     """Seconds, or what else ``width`` names, with far more new flows than the mean of those that have any."""
-    return grouped("traffic_burst", "second", "*", "warning", fmt("Traffic Burst (%d flows/sec)", "n"), where=(F.col("all_seconds") >= least) & (F.col("n") > F.col("mean_second") * times))
+    return grouped("traffic_burst", "second", "*", "warning", fmt("Traffic Burst (%d flows/sec)", "n"), where=(F.col("all_seconds") >= least) & (F.col("n") > F.col("mean_second") * times), at=F.concat(F.replace("key", F.lit(" "), F.lit("T")), F.lit("Z")), mean=digits(1, "mean_second"), times=F.lit(f"{times:g}"))
 
 
 @rule("sip_brute_force", "group")
 def sip_brute_force(warning: int = 5, error: int = 10, critical: int = 20) -> list[Column]:
-    return grouped("sip_brute_force", "source", "SIP", levels("refused", warning, error, critical), fmt("SIP Brute Force: %s (%d × 401)", "key", "refused"), "refused")
+    return grouped("sip_brute_force", "source", "SIP", levels("refused", warning, error, critical), fmt("SIP Brute Force: %s (%d × 401)", "key", "refused"), "refused", registers="registers")
 
 
 @rule("dns_tunneling", "group")
@@ -457,59 +491,63 @@ def dns_tunneling(least: int = 5) -> list[Column]:
     part = lambda c, x: F.when(c, x).otherwise(0)
     score = part(F.col("long") > 3, 3) + part(F.col("txt") > 2, 2) + part((F.col("subs") / F.col("n") > 0.8) & (F.col("n") >= 10), 3) + part(F.col("nx") > 5, 2)
     severity = bands(score, (3, "warning"), (4, "error"), (6, "critical"), strict=False)
-    return grouped("dns_tunneling", "domain", "DNS", severity, fmt("DNS Tunneling: %s (score=%d)", "key", score), score, where=F.col("n") >= least)
+    why = reasons((F.col("long") > 3, fmt("%d long subdomains (>52 chars)", "long")), (F.col("txt") > 2, fmt("%d TXT/NULL queries", "txt")), ((F.col("subs") / F.col("n") > 0.8) & (F.col("n") >= 10), F.concat(percent("subs", "n"), F.lit("% unique subdomains (high entropy)"))), (F.col("nx") > 5, fmt("%d NXDOMAIN responses", "nx")))
+    return grouped("dns_tunneling", "domain", "DNS", severity, fmt("DNS Tunneling: %s (score=%d)", "key", score), score, where=F.col("n") >= least, total="n", long="long", txt="txt", nx="nx", subs="subs", score=score, reasons=why)
 
 
 @rule("sip_options_scan", "group")
 def sip_options_scan(least: int = 10, destinations: int = 5, error: int = 50, error_destinations: int = 20) -> list[Column]:
     severity = F.when((F.col("options") >= error) | (F.col("subs") >= error_destinations), "error").otherwise("warning")
     where = (F.col("options") > 0) & (F.col("options") >= least) & (F.col("subs") >= destinations)
-    return grouped("sip_options_scan", "source", "SIP", severity, fmt("SIP Endpoint Scanning: %s (%d OPTIONS)", "key", "options"), "options", where=where)
+    return grouped("sip_options_scan", "source", "SIP", severity, fmt("SIP Endpoint Scanning: %s (%d OPTIONS)", "key", "options"), "options", where=where, subs="subs")
 
 
 @rule("sip_invite_flood", "group")
 def sip_invite_flood(least: int = 15, destinations: int = 10, error: int = 50) -> list[Column]:
-    severity = F.when(F.col("subs") >= destinations, "critical").when(F.col("invites") >= error, "error").otherwise("warning")
-    return grouped("sip_invite_flood", "source", "SIP", severity, fmt("SIP INVITE Flood: %s (%d INVITEs)", "key", "invites"), "invites", where=(F.col("invites") > 0) & (F.col("invites") >= least))
+    many = F.col("subs") >= destinations
+    severity = F.when(many, "critical").when(F.col("invites") >= error, "error").otherwise("warning")
+    more = F.when(many, " — suspected toll fraud (mass outbound calling)").when(F.col("invites") >= error, " — possible SIP DoS / call flood")
+    return grouped("sip_invite_flood", "source", "SIP", severity, fmt("SIP INVITE Flood: %s (%d INVITEs)", "key", "invites"), "invites", where=(F.col("invites") > 0) & (F.col("invites") >= least), subs="subs", attack=F.when(many, "toll_fraud").otherwise("sip_invite_flood"), suspicion=more)
 
 
 @rule("dns_fast_flux", "group")
 def dns_fast_flux(warning: int = 5, error: int = 8, critical: int = 15) -> list[Column]:
-    return grouped("dns_fast_flux", "flux", "DNS", levels("subs", warning, error, critical), fmt("DNS Fast-Flux: %s (%d IPs)", "key", "subs"), "subs")
+    """The sample in the texts is the first and the last address by time."""
+    return grouped("dns_fast_flux", "flux", "DNS", levels("subs", warning, error, critical), fmt("DNS Fast-Flux: %s (%d IPs)", "key", "subs"), "subs", sample=F.array_join(F.array_distinct(F.array("first_sub", "last_sub")), ", "))
 
 
 @rule("nas_auth_failures", "group", core=False)
 def nas_auth_failures(most: int = 10) -> list[Column]:
-    return grouped("nas_auth_failures", "nas", "NAS5G", "critical", F.lit("NAS Authentication Failure Storm"), "auth", where=F.col("auth") > most)
+    return grouped("nas_auth_failures", "nas", "NAS5G", "critical", F.lit("NAS Authentication Failure Storm"), "auth", where=F.col("auth") > most, threshold=F.lit(most))
 
 
 @rule("pdu_session_flood", "group", core=False)
 def pdu_session_flood(most: int = 100) -> list[Column]:
     where = (F.col("key") == "NAS5G") & (F.col("establish") > most)
-    return grouped("pdu_session_flood", "type", "NAS5G", "warning", F.lit("PDU Session Establishment Flood"), "establish", False, where)
+    return grouped("pdu_session_flood", "type", "NAS5G", "warning", F.lit("PDU Session Establishment Flood"), "establish", False, where, threshold=F.lit(most))
 
 
 @rule("pfcp_drop_rate", "group", core=False)
 def pfcp_drop_rate() -> list[Column]:
     where = (F.col("key") == "PFCP") & (F.col("dropped") * 2 > F.col("n"))
-    return grouped("pfcp_drop_rate", "type", "PFCP", "warning", F.lit("PFCP High DROP Action Rate"), F.floor(F.col("dropped") * 100 / F.col("n")), False, where)
+    return grouped("pfcp_drop_rate", "type", "PFCP", "warning", F.lit("PFCP High DROP Action Rate"), F.floor(F.col("dropped") * 100 / F.col("n")), False, where, dropped="dropped", total="n", share=F.floor(F.col("dropped") * 100 / F.col("n")))
 
 
 @rule("sbi_error_rate", "group", core=False)
 def sbi_error_rate() -> list[Column]:
     where = (F.col("key") == "SBI") & (F.col("failed") * 5 > F.col("n"))
-    return grouped("sbi_error_rate", "type", "SBI", "error", F.lit("SBI High 5xx Error Rate"), "failed", False, where)
+    return grouped("sbi_error_rate", "type", "SBI", "error", F.lit("SBI High 5xx Error Rate"), "failed", False, where, total="n", share=F.floor(F.col("failed") * 100 / F.col("n")))
 
 
 @rule("gtpu_tunnel_flood", "group", core=False)
 def gtpu_tunnel_flood(most: int = 10_000) -> list[Column]:
-    return grouped("gtpu_tunnel_flood", "tunnel", "GTPU", "warning", F.lit("GTP-U Tunnel Flood"), "subs", False, F.col("subs") > most)
+    return grouped("gtpu_tunnel_flood", "tunnel", "GTPU", "warning", F.lit("GTP-U Tunnel Flood"), "subs", False, F.col("subs") > most, threshold=F.lit(most))
 
 
 @rule("nf_registration_storm", "group", core=False)
 def nf_registration_storm(most: int = 50) -> list[Column]:
     where = (F.col("key") == "SBI") & (F.col("registrations") > most)
-    return grouped("nf_registration_storm", "type", "SBI", "warning", F.lit("NF Registration Storm"), "registrations", False, where)
+    return grouped("nf_registration_storm", "type", "SBI", "warning", F.lit("NF Registration Storm"), "registrations", False, where, threshold=F.lit(most))
 
 
 # Rules over flows that meet a group.
@@ -520,7 +558,7 @@ def one_way_audio(least: int = 50) -> list[Column]:
     """Streams without another one of more than 10 packets the other way; between equal addresses that is any other."""
     own = F.when((F.col("src_ip") == F.col("dst_ip")) & (F.col("packets") > HEARD), 1).otherwise(0)
     where = (F.col("kind") == "media") & (F.col("packets") > least) & (F.coalesce("group_heard", F.lit(0)) <= own)
-    return [alert("one_way_audio", where, "RTP", "warning", F.lit("Possible One-Way Audio"), F.col("src_ip"), F.col("packets"))]
+    return [alert("one_way_audio", where, "RTP", "warning", F.lit("Possible One-Way Audio"), F.col("src_ip"), F.col("packets"), dst_ip="dst_ip", packets="packets")]
 
 
 @rule("sip_hijack", "met")
@@ -528,7 +566,7 @@ def sip_hijack() -> list[Column]:
     """An end of call from neither party of the last established INVITE of the same id."""
     party = lambda i: F.split("group_sub", "\x01")[i]
     where = (F.col("kind") == "call") & (F.col("src_ip") != party(0)) & (F.col("src_ip") != party(1))
-    return [alert("sip_hijack", where, "SIP", "critical", fmt("SIP Call Hijack: %s from unexpected IP %s", "method", "src_ip"), F.col("src_ip"))]
+    return [alert("sip_hijack", where, "SIP", "critical", fmt("SIP Call Hijack: %s from unexpected IP %s", "method", "src_ip"), F.col("src_ip"), method="method", src=party(0), dst=party(1))]
 
 
 @rule("dns_dga", "met")
@@ -538,7 +576,9 @@ def dns_dga() -> list[Column]:
     part = lambda c, x: F.when(c, x).otherwise(0)
     score = part(F.col("entropy") >= 3.5, 3) + part(F.lower(F.substring_index(name, ".", -1)).isin(SUSPICIOUS_TLDS), 2) + part(F.length(label) >= 16, 1) + part(F.col("group_n") <= 2, 1)
     where = (F.col("kind") == "query") & (F.length(name) >= 8) & name.contains(".")
-    return [alert("dns_dga", where, "DNS", bands(score, (3, "warning"), (4, "error"), (5, "critical"), strict=False), fmt("Suspected DGA/C2 Domain: %s", name), name, score)]
+    tld = F.substring_index(name, ".", -1)
+    why = reasons((F.col("entropy") >= 3.5, F.concat(F.lit("high entropy label ("), digits(2, "entropy"), F.lit(" bits)"))), (F.lower(tld).isin(SUSPICIOUS_TLDS), fmt("suspicious TLD (.%s)", tld)), (F.length(label) >= 16, fmt("long label (%d chars)", F.length(label))), (F.col("group_n") <= 2, F.lit("queried only once (DGA pattern)")))
+    return [alert("dns_dga", where, "DNS", bands(score, (3, "warning"), (4, "error"), (5, "critical"), strict=False), fmt("Suspected DGA/C2 Domain: %s", name), name, score, score=score, reasons=why, label=label, tld=tld, entropy="entropy", n="group_n")]
 
 
 def dispatch(found: DataFrame, targets: DataFrame) -> DataFrame:

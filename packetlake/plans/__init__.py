@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("store_queries", "report_queries", "rule_queries", "flow_queries", "correlation_queries", "stream_queries", "wire_queries")
+MODULES = ("store_queries", "report_queries", "rule_queries", "alert_queries", "flow_queries", "correlation_queries", "stream_queries", "wire_queries")
 
 
 def all_queries() -> tuple[dict, dict]:

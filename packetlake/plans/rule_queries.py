@@ -12,6 +12,10 @@ SECONDS = "(epoch_us(end_time) - epoch_us(start_time)) / 1000000.0"
 #: SQL and thresholds of the rules, by name.
 STATEMENTS: dict[str, str] = {}
 SETTINGS: dict[str, dict] = {}
+#: What the SQL of a rule reads.
+SOURCES: dict[str, str] = {}
+#: The columns that each rule's query gives; ``alert_texts`` has the others.
+SHOWN = ["rule", "severity", "protocol", "title", "flow_id", "subject", "value"]
 
 
 def bands(v: str, *least: tuple[float, str], op: str = ">=") -> str:
@@ -20,8 +24,8 @@ def bands(v: str, *least: tuple[float, str], op: str = ">=") -> str:
 
 def ruled(name: str, protocol: str, severity: str, title: str, source: str, flow_id: str = "NULL", subject: str = "NULL", value: str = "NULL", **settings) -> None:
     sql = f"SELECT '{name}' AS rule, {severity} AS severity, {protocol} AS protocol, {title} AS title, CAST({flow_id} AS STRING) AS flow_id, CAST({subject} AS STRING) AS subject, CAST({value} AS DOUBLE) AS value FROM {source}"
-    named(f"rule_{name}", sql, lambda f: d.RULES[name](f, **settings), "flows")
-    STATEMENTS[name], SETTINGS[name] = sql, settings
+    named(f"rule_{name}", sql, lambda f: d.RULES[name](f, **settings).select(*SHOWN), "flows")
+    STATEMENTS[name], SETTINGS[name], SOURCES[name] = sql, settings, source
 
 
 def only(type_: str, more: str = "true", columns: str = "*") -> str:
@@ -80,7 +84,7 @@ HIJACK = f"""(WITH s AS (SELECT split_part(flow_id, '-', 1) AS id, method, src_i
   last AS (SELECT id, last({{'s': src_ip, 'd': dst_ip}} ORDER BY start_time, src_ip, dst_ip) AS p FROM s WHERE method = 'INVITE' AND (c = 200 OR response = '') GROUP BY 1)
   SELECT s.id, method, src_ip FROM s JOIN last ON s.id = last.id WHERE method IN ('BYE', 'CANCEL') AND src_ip <> p.s AND src_ip <> p.d)"""
 named("rule_sip_hijack", f"SELECT 'sip_hijack' AS rule, 'critical' AS severity, 'SIP' AS protocol, 'SIP Call Hijack: ' || method || ' from unexpected IP ' || src_ip AS title, id AS flow_id, src_ip AS subject, CAST(NULL AS DOUBLE) AS value FROM {HIJACK}",
-      lambda f: d.sip_hijack(f.withColumn("flow_id", d.F.split("flow_id", "-")[0])), "flows")
+      lambda f: d.sip_hijack(f.withColumn("flow_id", d.F.split("flow_id", "-")[0])).select(*SHOWN), "flows")
 ENTROPY = "(SELECT sum(-p * log2(p)) FROM (SELECT count(*) / CAST(length({0}) AS DOUBLE) AS p FROM (SELECT unnest(string_split({0}, '')) AS c) GROUP BY c))"
 DGA = f"""(SELECT f.flow_id, f.query_name, score FROM v_flows f JOIN (
   SELECT query_name, CASE WHEN e >= 3.5 THEN 3 ELSE 0 END + CASE WHEN lower(list_extract(string_split(query_name, '.'), -1)) IN ('xyz', 'top', 'club', 'gq', 'cf', 'ga', 'ml', 'tk', 'pw', 'work', 'click', 'download', 'stream', 'zip', 'mov') THEN 2 ELSE 0 END
@@ -103,7 +107,7 @@ ruled("gtpu_tunnel_flood", "'GTPU'", "'warning'", "'GTP-U Tunnel Flood'", "(SELE
 ruled("nf_registration_storm", "'SBI'", "'warning'", "'NF Registration Storm'", "(SELECT count(*) AS n FROM v_flows WHERE type = 'SBI' AND nf_type = 'NRF' AND service_name = 'nnrf-nfm' AND method IN ('PUT', 'POST')) WHERE n > 50", value="n")
 # Here calls are told apart by the whole flow id.
 STATEMENTS["sip_hijack"] = f"SELECT 'sip_hijack' AS rule, 'critical' AS severity, 'SIP' AS protocol, 'SIP Call Hijack: ' || method || ' from unexpected IP ' || src_ip AS title, id AS flow_id, src_ip AS subject, CAST(NULL AS DOUBLE) AS value FROM {HIJACK.replace("split_part(flow_id, '-', 1)", 'flow_id')}"
-named("alerts_all", " UNION ALL ".join(f"SELECT * FROM ({STATEMENTS[n]})" for n in d.RULES), lambda f: d.run(f, list(d.RULES), **SETTINGS), "flows")
+named("alerts_all", " UNION ALL ".join(f"SELECT * FROM ({STATEMENTS[n]})" for n in d.RULES), lambda f: d.run(f, list(d.RULES), **SETTINGS).select(*SHOWN), "flows")
 named("flow_figures", f"""
 SELECT 'type' AS kind, type AS key, count(*) AS n, CAST(sum(packets) AS BIGINT) AS packets FROM v_flows GROUP BY ALL UNION ALL
 SELECT 'sip_method', method, count(*), CAST(sum(packets) AS BIGINT) FROM v_flows WHERE type = 'SIP' GROUP BY ALL UNION ALL
@@ -111,4 +115,4 @@ SELECT 'sip_response', CAST({CODE} AS STRING), count(*), CAST(sum(packets) AS BI
 SELECT 'diameter_command', command, count(*), CAST(sum(packets) AS BIGINT) FROM v_flows WHERE type = 'Diameter' GROUP BY ALL UNION ALL
 SELECT 'failure', type || ':' || error_type, count(*), CAST(sum(packets) AS BIGINT) FROM v_flows WHERE is_error GROUP BY ALL
 """, d.figures_by_key, "flows")
-named("alerts_default", " UNION ALL ".join(f"SELECT * FROM ({STATEMENTS[n]})" for n in d.CORE if not SETTINGS.get(n)), lambda f: d.run(f, [n for n in d.CORE if not SETTINGS.get(n)]), "flows")
+named("alerts_default", " UNION ALL ".join(f"SELECT * FROM ({STATEMENTS[n]})" for n in d.CORE if not SETTINGS.get(n)), lambda f: d.run(f, [n for n in d.CORE if not SETTINGS.get(n)]).select(*SHOWN), "flows")
