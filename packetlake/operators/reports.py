@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import rounded
+from .kpi import all_kpis
 
 
 def call_summary(calls: DataFrame) -> DataFrame:
@@ -41,6 +43,30 @@ def report_span(flows: DataFrame) -> DataFrame:
     return flows.agg(F.min("start_time").alias("first"), F.max("end_time").alias("last"), F.count("*").alias("flows")).select("first", "last", "flows", F.timestamp_diff("SECOND", F.col("first"), F.col("last")).alias("seconds"))
 
 
+def report(flows: DataFrame, calls: DataFrame) -> DataFrame:
+    """(section, name, value, note): the whole report as rows.
+
+    "totals" are flows, calls and the seconds from the first start to the last end; "kpi" are the indicators with
+    their status as a note; "calls" the call figures and the share without failed ones; "protocol" flows, errors and
+    success by type (the type is the name, the figure the note); "cause" calls by root cause.
+    """
+    row = lambda section, name, value, note=F.lit(""): F.struct(F.lit(section).alias("section"), (F.lit(name) if isinstance(name, str) else name).alias("name"), value.cast("double").alias("value"), note.alias("note"))
+    each = lambda df, *rows: df.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    span = flows.agg(F.count("*").alias("flows"), ((micros(F.max("end_time")) - micros(F.min("start_time"))) / 1e6).alias("seconds"))
+    summary = call_summary(calls).withColumn("success", F.coalesce(rounded(100.0 * F.col("successful") / F.when(F.col("total") > 0, F.col("total"))), F.lit(0.0)))
+    names = ["success", "avg_mos", "avg_duration", "dropped", "good", "fair", "poor", "failed"]
+    success = rounded(100.0 * (F.col("flows") - F.col("errors")) / F.col("flows"))
+    parts = [
+        each(span, row("totals", "flows", F.col("flows")), row("totals", "seconds", F.coalesce("seconds", F.lit(0.0)))),
+        each(summary, row("totals", "calls", F.col("total")), *[row("calls", n, F.coalesce(F.col(n), F.lit(0))) for n in names]),
+        each(all_kpis(flows, calls), row("kpi", F.col("name"), F.col("value"), F.col("status"))),
+        each(protocol_stats(flows), *[row("protocol", F.col("type"), v, F.lit(n)) for n, v in (("flows", F.col("flows")), ("errors", F.col("errors")), ("success", success))]),
+        each(root_causes(calls), row("cause", F.col("root_cause"), F.col("calls"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _zero(name: str) -> Column:
     return F.coalesce(name, F.lit(0.0))
 

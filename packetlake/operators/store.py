@@ -93,6 +93,25 @@ def call_by_id(calls: DataFrame, call_id: str) -> DataFrame:
     return page(calls.where(F.col("call_id") == call_id), F.col("job_id"), limit=1)
 
 
+def legs_of_call(legs: DataFrame, call_id: str) -> DataFrame:
+    """The media streams of a call, of any job, by job and place."""
+    return page(legs.where(F.col("call_id") == call_id).select("job_id", "leg", "src_ip", "src_port", "dst_ip", "dst_port", "ssrc", "packet_count", "jitter_ms", "max_seq_gap", "start_time", "end_time"), F.col("job_id"), F.col("leg"))
+
+
+def sip_flow_of_call(flows: DataFrame, call_id: str) -> DataFrame:
+    """The call's flow with all its figures; of several jobs' the first job's."""
+    return page(flows.where((F.col("flow_id") == call_id) & (F.col("type") == "SIP")), F.col("job_id"), F.col("start_time"), limit=1)
+
+
+#: How the small tables are listed.
+ORDERS = {"capture_sessions": ["-started_at", "id"], "rules": ["id"], "targets": ["id"], "chats": ["-updated_at", "id"], "messages": ["created_at", "id"]}
+
+
+def listed(df: DataFrame, kind: str, limit: int | None = None, **wanted: Any) -> DataFrame:
+    """Rows of a small table that equal the given values, in its order."""
+    return page(equal_to(df, **wanted), *[F.desc(c[1:]) if c.startswith("-") else F.col(c) for c in ORDERS[kind]], limit=limit)
+
+
 def metrics_of_calls(calls: DataFrame, legs: DataFrame) -> DataFrame:
     """A long table of points: each leg's jitter and packets at its start, each call's MOS at its end."""
     points = legs.select("call_id", F.col("start_time").alias("timestamp"), F.stack(F.lit(2), F.lit("jitter_ms"), F.col("jitter_ms"), F.lit("packets"), F.col("packet_count").cast("double")).alias("metric", "value"))

@@ -133,7 +133,10 @@ SELECT event_id AS frame_number, CAST(event_id % 2 AS BIGINT) AS job_id, ts AS t
 FROM (SELECT *, event_id % 3 = 0 AS rev, '10.0.0.' || CAST(user_id % 20 AS STRING) AS a, '10.2.0.' || CAST(user_id % 7 AS STRING) AS b FROM {events}) AS ends
 """
 
-VIEWS = {"segments": SEGMENTS, "packets": PACKETS, "events": EVENTS, "flows": FLOWS, "calls": CALLS, "legs": LEGS, "enrichment": ENRICHMENT}
+#: Messages of chats; a message's turn stands for its time.
+CHAT = "SELECT turn AS id, conv_id AS conversation_id, role, text AS content, turn AS created_at FROM {conversations}"
+
+VIEWS = {"segments": SEGMENTS, "packets": PACKETS, "events": EVENTS, "flows": FLOWS, "calls": CALLS, "legs": LEGS, "enrichment": ENRICHMENT, "chat": CHAT}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import quality as q
+from ..operators import context
 from ..operators import kpi as k
 from ..operators import reports as r
 from .catalog import STATEMENTS, named
@@ -112,3 +113,52 @@ SELECT job_id, 'protocols' AS section, type || ': ' || count(*) || ' flows, ' ||
 SELECT job_id, 'calls', CASE WHEN quality = '' THEN 'unknown' ELSE lower(quality) END || ': ' || count(*) || ' calls' FROM v_calls GROUP BY job_id, CASE WHEN quality = '' THEN 'unknown' ELSE lower(quality) END UNION ALL
 SELECT job_id, 'events', severity || ': ' || title || ' (' || count(*) || ' times)' FROM v_events WHERE severity IN ('error', 'critical') GROUP BY job_id, severity, title
 """, r.job_context, "flows", "calls", "events")
+named("report", f"""
+WITH c AS (SELECT count(*) AS total, count(*) FILTER (q IN ('good', 'excellent')) AS good, count(*) FILTER (q = 'fair') AS fair, count(*) FILTER (q IN ('poor', 'bad')) AS poor, count(*) FILTER (q NOT IN ('good', 'excellent', 'fair', 'poor', 'bad')) AS failed,
+  count(*) FILTER (end_type IN ('dropped', 'abnormal')) AS dropped, round(avg(mos) FILTER (mos > 0) * 100) / 100 AS avg_mos, round(avg(duration_sec) FILTER (duration_sec > 0) * 100) / 100 AS avg_duration FROM (SELECT *, lower(quality) AS q FROM v_calls)),
+k AS ({" UNION ALL ".join(f"({s})" for s in KPIS)}),
+p AS (SELECT type, count(*) AS flows, count(*) FILTER ({ERROR}) AS errors FROM v_flows GROUP BY 1)
+SELECT 'totals' AS section, 'flows' AS name, CAST(count(*) AS DOUBLE) AS value, '' AS note FROM v_flows UNION ALL
+SELECT 'totals', 'seconds', (epoch_us(max(end_time)) - epoch_us(min(start_time))) / 1000000.0, '' FROM v_flows UNION ALL
+SELECT 'totals', 'calls', total, '' FROM c UNION ALL
+SELECT 'calls', 'success', round(100.0 * (total - failed) / total * 100) / 100, '' FROM c UNION ALL
+{" UNION ALL ".join(f"SELECT 'calls', '{n}', {n}, '' FROM c" for n in ("avg_mos", "avg_duration", "dropped", "good", "fair", "poor", "failed"))} UNION ALL
+SELECT 'kpi', name, value, status FROM k UNION ALL
+SELECT 'protocol', type, flows, 'flows' FROM p UNION ALL SELECT 'protocol', type, errors, 'errors' FROM p UNION ALL SELECT 'protocol', type, round(100.0 * (flows - errors) / flows * 100) / 100, 'success' FROM p UNION ALL
+SELECT 'cause', CASE WHEN root_cause = '' THEN 'unknown' ELSE root_cause END, count(*), '' FROM v_calls GROUP BY 1, 2
+""", r.report, "flows", "calls")
+
+
+def told(label: str, value: str, unit: str = "") -> str:
+    return f"'{label}: ' || NULLIF(CAST({value} AS STRING), '') || '{unit}'"
+
+
+LINES = {
+    "SIP": ["SIP Flows", told("Method", "method"), told("Response", "response"), told("MediaIP", "media_ip"), told("MediaPort", "media_port")],
+    "RTP": ["RTP Flows", told("PacketCount", "packets"), told("Jitter", "regexp_replace(CAST(jitter_ms AS STRING), '\\.0$', '')", "ms"), told("MaxSeqGap", "max_seq_gap")],
+    "DNS": ["DNS Flows", told("Query", "query_name"), told("Type", "query_type"), told("ReplyCode", "reply_code"), told("Answers", "replace(answer_list, ',', ' ')"), told("Latency", "regexp_replace(CAST(latency_ms AS STRING), '\\.0$', '')", "ms"), "CASE WHEN is_error THEN 'ERROR: ' || NULLIF(error_type, '') END"],
+    "HTTP": ["HTTP Flows", told("Method", "method"), told("Status", "status_code"), "CASE WHEN is_error THEN 'ERROR' END"],
+    "TLS": ["TLS/HTTPS Flows", told("SNI", "sni"), told("Version", "tls_version"), told("Cipher", "cipher_suite")],
+    "Diameter": ["Diameter Flows", told("Command", "command"), told("ResultCode", "result_code"), told("IMSI", "imsi"), told("MSISDN", "msisdn"), "CASE WHEN is_error THEN 'ERROR' END"],
+    "GTP": ["GTP Flows", told("MessageType", "message_type"), told("TEID", "teid"), told("CauseCode", "cause_code"), told("IMSI", "imsi"), told("MSISDN", "msisdn"), told("APN", "apn"), "CASE WHEN is_error THEN 'ERROR' END"],
+    "PFCP": ["PFCP Flows", told("MessageType", "message_type"), told("CauseCode", "cause_code"), "CASE WHEN is_error THEN 'ERROR' END"],
+    "AJP": ["AJP Flows", told("Method", "method"), told("Status", "status_code"), "CASE WHEN is_error THEN 'ERROR' END"],
+    "SNMP": ["SNMP Flows"],
+    "S1AP": ["S1AP Flows"],
+    "NGAP": ["NGAP Flows", told("Procedure", "message_type"), told("IMSI", "imsi")],
+    "SCTP": ["SCTP Flows"],
+}
+FLOW_LINES = " UNION ALL ".join(
+    f"SELECT job_id, {i} AS place, '{section}' AS section, concat_ws(' | ', '- Flow ' || flow_id, src_ip || ' -> ' || dst_ip{''.join(', ' + f for f in fields)}) AS line FROM v_flows WHERE type = '{kind}'" for i, (kind, (section, *fields)) in enumerate(LINES.items())
+)
+named("job_lines", f"""
+WITH e AS (SELECT * FROM v_events QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY timestamp DESC, event_id DESC) <= 200),
+p AS (SELECT *, CASE WHEN app_protocol <> '' THEN app_protocol ELSE protocol END AS kind FROM v_packets QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY frame_number) <= 500)
+{FLOW_LINES} UNION ALL
+SELECT job_id, 13, 'Calls', '- Call ' || call_id || ' | From: ' || from_uri || ' | To: ' || to_uri || ' | MOS: ' || printf('%.3f', round(mos * 1000) / 1000) || ' | Quality: ' || quality || ' | EndType: ' || end_type || ' | RootCause: ' || root_cause FROM v_calls UNION ALL
+SELECT job_id, 14, 'Events/Alerts', '- [' || severity || '] ' || protocol || ': ' || title || ' - ' || description FROM e UNION ALL
+SELECT job_id, 15, kind || ' Packets (' || count(*) OVER (PARTITION BY job_id, kind) || ' total)', '- Frame #' || frame_number || ' [' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || '] ' || src_ip || ':' || src_port || ' -> ' || dst_ip || ':' || dst_port || ' | ' || kind FROM p UNION ALL
+SELECT job_id, 16, 'Summary', '- Total ' || k || ': ' || coalesce(n, 0) FROM (SELECT DISTINCT job_id FROM (SELECT job_id FROM v_flows UNION ALL SELECT job_id FROM v_calls UNION ALL SELECT job_id FROM e UNION ALL SELECT job_id FROM p)) j
+  CROSS JOIN (SELECT unnest(['Flows', 'Calls', 'Events', 'Packets']) AS k) t
+  LEFT JOIN (SELECT job_id, 'Flows' AS k, count(*) AS n FROM v_flows GROUP BY ALL UNION ALL SELECT job_id, 'Calls', count(*) FROM v_calls GROUP BY ALL UNION ALL SELECT job_id, 'Events', count(*) FROM e GROUP BY ALL UNION ALL SELECT job_id, 'Packets', count(*) FROM p GROUP BY ALL) c USING (job_id, k)
+""", context.job_lines, "flows", "calls", "events", "packets")

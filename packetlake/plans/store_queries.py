@@ -108,3 +108,9 @@ SELECT frame_number, o * 16 AS "offset", rtrim(regexp_replace(hex(CAST(substr(me
 FROM (SELECT frame_number, metadata, unnest(generate_series(0, (length(metadata) - 1) // 16)) AS o FROM v_packets)
 """, lambda p: s.hex_rows(p.withColumn("raw_packet", F.col("metadata").cast("binary"))), "packets")
 named("bpf_ports", "SELECT frame_number, src_port, dst_port FROM v_packets WHERE src_port IN (5060, 1030) OR dst_port IN (5060, 1030)", lambda p: s.port_filter(p, "5060, 1030").select("frame_number", "src_port", "dst_port"), "packets")
+named("legs_of_call", "SELECT job_id, leg, src_ip, src_port, dst_ip, dst_port, ssrc, packet_count, jitter_ms, max_seq_gap, start_time, end_time FROM v_legs WHERE call_id = '7'", lambda x: s.legs_of_call(x, "7"), "legs")
+named("sip_flow_of_call", "SELECT flow_id, method, response, src_ip, dst_ip, start_time, setup_latency_ms FROM v_flows WHERE flow_id = '1036-4' AND type = 'SIP' ORDER BY job_id, start_time LIMIT 1",
+      lambda f: s.sip_flow_of_call(f, "1036-4").select("flow_id", "method", "response", "src_ip", "dst_ip", "start_time", "setup_latency_ms"), "flows")
+named("chat_messages", "SELECT * FROM v_chat WHERE conversation_id = 1 ORDER BY created_at, id", lambda m: s.listed(m, "messages", conversation_id=1), "chat")
+named("chat_list", "SELECT conversation_id AS id, min(created_at) AS created_at, max(created_at) AS updated_at, count(*) AS messages FROM v_chat GROUP BY 1 ORDER BY updated_at DESC, id LIMIT 50",
+      lambda m: s.listed(m.groupBy(F.col("conversation_id").alias("id")).agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"), F.count("*").alias("messages")), "chats", limit=50), "chat")
