@@ -48,17 +48,22 @@ def host() -> Column:
 
 HOST = "'10.3.' || CAST(event_id % 50 AS STRING) || '.' || CAST(event_id % 200 AS STRING)"
 PEER = "10.4.0.1"
+#: Events after which the ends of ``packets`` come again.
+ENDS = 40_000
 
 
 def packets(events: DataFrame, protocol: str, port: int, *payloads: tuple[bool, int, Column, Column | None]) -> DataFrame:
-    """Packets between a host and a peer: (from the peer, milliseconds after the event, payload, only where)."""
+    """Packets between a host and a peer: (from the peer, milliseconds after the event, payload, only where).
+
+    Each event is a connection of its own: events that share their ends are in different jobs.
+    """
     E = F.col("event_id")
     each = [F.struct(F.lit(n).alias("n"), F.lit(back).alias("back"), F.lit(ms).alias("ms"), F.when(F.lit(True) if where is None else where, payload).alias("payload")) for n, (back, ms, payload, where) in enumerate(payloads)]
     rows = events.select("event_id", "ts", F.explode(F.array(*each)).alias("p")).where("p.payload is not null")
-    port_of = F.lit(20000) + E % 40000
+    port_of = F.lit(20000) + E % ENDS
     pick = lambda a, b: F.when(F.col("p.back"), a).otherwise(b)
     fields = {
-        "job_id": E % 5, "frame_number": E * 8 + F.col("p.n"), "timestamp": F.col("ts").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, p.ms / 1000.0)"),
+        "job_id": E % 5 + 5 * F.floor(E / ENDS), "frame_number": E * 8 + F.col("p.n"), "timestamp": F.col("ts").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, p.ms / 1000.0)"),
         "src_ip": pick(F.lit(PEER), host()), "dst_ip": pick(host(), F.lit(PEER)), "src_port": pick(F.lit(port), port_of).cast("int"), "dst_port": pick(port_of, F.lit(port)).cast("int"),
         "protocol": F.lit(protocol), "payload": F.col("p.payload"), "payload_len": F.length("p.payload").cast("long"), "length": F.length("p.payload").cast("long") + 54,
         "seq": F.lit(1000).cast("long") + F.col("p.n") * 100_000, "ack": F.lit(0).cast("long"), "flags": F.lit(24), "ttl": F.lit(64), "ip_id": F.lit(0), "raw_packet": F.lit(None).cast("binary"),
@@ -66,6 +71,14 @@ def packets(events: DataFrame, protocol: str, port: int, *payloads: tuple[bool,
     return rows.select(*[v.alias(k) for k, v in fields.items()])
 
 
+def in_five_jobs(sent: DataFrame) -> DataFrame:
+    """The packets in jobs 0 to 4: connections of the same host and port have different peers instead."""
+    again = F.floor(F.col("frame_number") / (8 * ENDS))
+    peer = F.concat_ws(".", F.lit("10.4"), F.floor(again / 250).cast("string"), (1 + again % 250).cast("string"))
+    own = lambda side: F.when(F.col(side) == PEER, peer).otherwise(F.col(side))
+    return sent.withColumns({"job_id": F.col("job_id") % 5, "src_ip": own("src_ip"), "dst_ip": own("dst_ip")})
+
+
 #: What each decoder must read, by name.
 SQL = {
     "dns": """
@@ -257,7 +270,7 @@ def exchanges() -> dict[str, tuple]:
         d.dns, "flow_id", "query_type", "answers")
     # Three messages in one segment, in two jobs with the same packets.
     USER = lambda k: MESSAGE("c0", AVP(1, bytes_of(F.concat(F.lit("00101"), F.lpad((E % 1000 + k).cast("string"), 10, "0")))))
-    decoded("diameter_pairs", lambda e: (lambda p: p.unionByName(p.withColumn("job_id", F.col("job_id") + 5)))(packets(e, "TCP", 3868, (False, 0, F.concat(USER(0), USER(1), USER(2)), None))),
+    decoded("diameter_pairs", lambda e: (lambda p: p.unionByName(p.withColumn("job_id", F.col("job_id") + 5)))(in_five_jobs(packets(e, "TCP", 3868, (False, 0, F.concat(USER(0), USER(1), USER(2)), None)))),
         lambda p: d.decode(p, ["diameter"]), "job_id", "flow_id", "imsi")
     # A connection caught in the middle of two bodies, with an answer in chunks and another one behind it.
     decoded("midway", lambda e: packets(e, "TCP", 80,
