@@ -3,7 +3,7 @@
 from datetime import datetime, timedelta
 from random import Random
 
-from packetlake.operators import correlate
+from packetlake.operators import correlate, store
 
 
 def written(spark, df):
@@ -51,3 +51,12 @@ def test_streams_at_several_endpoints_of_a_call_count_once(spark):
         met = {(s[1], *s[9:]) for s in streams if ends & {(s[3], s[4]), (s[5], s[6])}}
         want[name] = len(met), min([c[9] for c in own] + [m[1] for m in met]), max([c[10] for c in own] + [m[2] for m in met])
     assert got == want and any(n > 20 for n, _, _ in got.values())
+
+
+def test_each_address_is_judged_once(spark):
+    flows = spark.createDataFrame([(f"8.8.8.{i % 5}", "10.0.0.1") for i in range(50)], "src_ip string, dst_ip string")
+    df = store.to_enrich(flows, spark.createDataFrame([("8.8.8.3",)], "ip string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    judged = next(i for i, line in enumerate(plan.splitlines()) if "RLIKE" in line)
+    assert judged < next(i for i, line in enumerate(plan.splitlines()) if "Aggregate" in line)
+    assert sorted(r.ip for r in df.collect()) == ["8.8.8.0", "8.8.8.1", "8.8.8.2", "8.8.8.4"]
