@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from random import Random
 
 from packetlake.operators import correlate, store
+from packetlake.operators.joins import interval_join
 
 
 def written(spark, df):
@@ -60,3 +61,12 @@ def test_each_address_is_judged_once(spark):
     judged = next(i for i, line in enumerate(plan.splitlines()) if "RLIKE" in line)
     assert judged < next(i for i, line in enumerate(plan.splitlines()) if "Aggregate" in line)
     assert sorted(r.ip for r in df.collect()) == ["8.8.8.0", "8.8.8.1", "8.8.8.2", "8.8.8.4"]
+
+
+def test_an_interval_stands_in_few_buckets(spark):
+    def spans(name, n):
+        return spark.createDataFrame([(f"{name}{i}", T + timedelta(seconds=1000 * i), T + timedelta(seconds=1000 * i + 75)) for i in range(n)], "id string, start_time timestamp_ntz, end_time timestamp_ntz")
+
+    rows, n = written(spark, interval_join(spans("a", 300), spans("b", 300), 5, 10))
+    assert sorted((r.l_id, r.r_id) for r in rows) == sorted((f"a{i}", f"b{i}") for i in range(300))
+    assert n < 600 * 5
