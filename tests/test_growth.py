@@ -70,3 +70,11 @@ def test_an_interval_stands_in_few_buckets(spark):
     rows, n = written(spark, interval_join(spans("a", 300), spans("b", 300), 5, 10))
     assert sorted((r.l_id, r.r_id) for r in rows) == sorted((f"a{i}", f"b{i}") for i in range(300))
     assert n < 600 * 5
+
+
+def test_members_are_dealt_to_more_tasks_as_flows_grow(spark, monkeypatch):
+    ids = ", imsi string, msisdn string, apn string, ue_ip string, teid string"
+    flows = spark.createDataFrame([(*flow(f"g{i}", "GTP", ("a", 2123), at=i), f"00101{i % 3}", None, None, None, None) for i in range(100)], FLOW + ids)
+    monkeypatch.setattr(correlate, "ROWS", 10, raising=False)
+    members = correlate.sessions(flows)
+    assert members.count() == 100 and members.rdd.getNumPartitions() == 10
