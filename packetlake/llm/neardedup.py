@@ -1,4 +1,4 @@
-"""Near-duplicate documents by MinHash candidates and the shingles they share."""
+"""Near-duplicate documents by SimHash and pivot distance tables, MinHash bands for the rest, and the shingles they share."""
 
 from __future__ import annotations
 
@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, split_exchange
 from .components import connected_components
 from .linededup import document_keys
-from .simhash import SEED, deal, shingle_hashes, signed, star
+from .simhash import SEED, block_keys, deal, links, majority, shingle_hashes, signed, star
 
 #: Shingles of five words; texts that share 0.8 of theirs are near copies.
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Candidates share one of BANDS keys of ROWS minima: at 0.8 all but one pair in 5,000 do.
+#: Candidates differ in at most this many bits of their SimHash: the block keys find all such pairs.
+MAX_BITS = 3
+#: Or they share one of BANDS keys of ROWS minima: at 0.8 all but one pair in 5,000 do.
 BANDS, ROWS = 16, 4
 #: Documents and shingles that one cell of a group holds on average.
 CELL_DOCUMENTS, CELL_SHINGLES = 512, 1 << 20
@@ -33,28 +35,59 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(k1, k2, node, keys, shingles): per document a hash of its words, its band keys and its size."""
+    """(k1, k2, node, fp, keys, shingles): per document a hash of its words, the SimHash of its set of shingles, its band keys and the set's size.
+
+    Of a set, so that a phrase repeated in one of two copies doesn't part their fingerprints.
+    """
     k1, k2 = document_keys(F.col("doc_id"), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys, sizes = [], [], []
+            nodes, fps, keys, sizes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 data = (text or "").encode()
-                hashes = shingle_hashes(data, shingle_words)
+                hashes = np.unique(shingle_hashes(data, shingle_words))
                 nodes.append(signed(xxhash.xxh64_intdigest(b" ".join(data.lower().split()), SEED)))
+                fps.append(signed(majority(hashes)))
                 keys.append(band_keys(hashes))
                 sizes.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["k1", "k2", "node", "keys", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["k1", "k2", "node", "fp", "keys", "shingles"])
+
+    return docs.select(k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text")).mapInArrow(run, "k1 long, k2 long, node long, fp long, keys array<long>, shingles long")
 
-    return docs.select(k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text")).mapInArrow(run, "k1 long, k2 long, node long, keys array<long>, shingles long")
+
+def fingerprint_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of nodes of (node, fp): ((node, fp, first) with the smallest node of each fingerprint, (a, b) links of these within MAX_BITS).
+
+    Fingerprints under one block key are discarded by the largest difference of their distances to the pivots,
+    and the survivors' bits are compared.
+    """
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    return nodes.select("node", "fp").join(first.select(split_exchange("fp"), "first"), "fp"), links(first.select(F.col("first").alias("node"), "fp"), block_keys(F.col("fp")), MAX_BITS)
 
 
 def band_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): links of the nodes of (node, keys) to the smallest node of each key that they share with another."""
+    """(a, b): links of the nodes of (node, keys) to the smallest node of each key that they share with another.
+
+    Rows of one node may be several, of the keys of all that it stands for.
+    """
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("size")).where("size > 1")
-    return keyed.join(least.select(split_exchange("key"), "b"), "key").select(F.col("node").alias("a"), "b")
+    ends = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most")
+    return keyed.join(ends.select(split_exchange("key"), "b"), "key").select(F.col("node").alias("a"), "b").where("a != b")
+
+
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links that join the nodes of (node, fp, keys) whose fingerprints are within MAX_BITS, or that share a band.
+
+    Bands are the way for what the fingerprints leave apart: a node hangs on the smallest one that its fingerprint
+    links it to, and only bands of several of these link anything.
+    """
+    of, close = fingerprint_links(nodes.select("node", "fp"))
+    of, close = cut(of), cut(close.where("a != b").distinct())
+    least = close.groupBy("a").agg(F.min("b").alias("b"))
+    stands = of.join(least.select(split_exchange("a"), "b").withColumnRenamed("a", "first"), "first", "left").select("node", F.coalesce("b", "first").alias("stand"))
+    bands = band_links(nodes.select("node", "keys").join(stands.select(split_exchange("node"), "stand"), "node").select(F.col("stand").alias("node"), "keys"))
+    return of.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(close).unionByName(bands)
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> list[np.ndarray]:
@@ -129,8 +162,8 @@ def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity:
     """(k1, k2, w1, w2): the key of every document and that of the document that stands for its group."""
     prints = cut(sketches(docs, shingle_words))
     # Texts of the same words are one node.
-    nodes = prints.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("keys").alias("keys"), F.first("shingles").alias("shingles"))
-    groups = connected_components(band_links(nodes))
+    nodes = prints.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("shingles").alias("shingles"))
+    groups = connected_components(candidate_links(nodes))
     member = groups.select("node", F.col("root").alias("key")).join(nodes.select(split_exchange("node"), "k", "shingles"), "node").select("k.k1", "k.k2", "node", "key", "shingles")
     members = cut(member)
     roots = connected_components(verified_links(docs, members, shingle_words, similarity))
@@ -144,7 +177,8 @@ def dedup_near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, simil
 
     Documents are alike whose sets of word shingles (A-Z lower-cased) have a Jaccard similarity of at
     least ``similarity``; a group is what is joined by such steps, and its document of the smallest id
-    stays (null ids last, then by a hash of the text). Candidates share a band of minima, or are joined by such steps: to
+    stays (null ids last, then by a hash of the text). Candidates are within MAX_BITS of each other's SimHash, told by
+    the pivot distance tables, or share a band of minima, or are joined by such steps: to
     compare all documents would take the square of their number. Each is verified against the
     shingles themselves, so that documents that are not alike stay. Texts of the same words are copies,
     also those of fewer words than a shingle, and all without words (null, empty). Of repeated rows one

@@ -3,7 +3,9 @@ from itertools import combinations
 
 import duckdb
 
+from packetlake.llm import neardedup
 from packetlake.llm.neardedup import dedup_near_copies, near_copies
+from packetlake.llm.simhash import shingle_hashes
 
 SCHEMA = "doc_id long, text string"
 
@@ -85,3 +87,23 @@ def test_repeated_shingles_do_not_hide_copies(spark):
     want = slow(rows)
     assert all(want[d] == d // 2 * 2 for d, _ in rows)
     assert {r.k1: r.w1 for r in near_copies(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_close_fingerprints_are_candidates(spark):
+    """Texts of 9 shingles that share 8 of 10, 0.8, and no band: their SimHashes are within 3 bits."""
+    rng = random.Random(215956)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(14)]
+    rows = [(1, " ".join(words[:13])), (2, " ".join([*words[:12], words[13]])), (3, " ".join(f"v{i}" for i in range(13)))]
+    bands, sets = [set(neardedup.band_keys(shingle_hashes(t.encode(), 5))) for _, t in rows], [shingles(t) for _, t in rows]
+    assert not bands[0] & bands[1] and len(sets[0] & sets[1]) == 8 and len(sets[0] | sets[1]) == 10
+    assert {r.k1: r.w1 for r in near_copies(spark.createDataFrame(rows, SCHEMA)).collect()} == slow(rows) == {1: 1, 2: 1, 3: 3}
+
+
+def test_bands_link_only_what_fingerprints_leave_apart(spark):
+    keys = {1: [10, 11], 2: [10, 12], 3: [12, 13], 4: [14], 5: [14]}
+    fps = {1: 0, 2: 0b111, 3: 0b1111111 << 40, 4: -1, 5: -1}
+    nodes = spark.createDataFrame([(n, fps[n], k) for n, k in keys.items()], "node long, fp long, keys array<long>")
+    links = sorted({(max(r), min(r)) for r in neardedup.candidate_links(nodes).collect()})
+    assert links == [(2, 1), (3, 1), (5, 4)]  # 2 hangs on 1, so its band with 3 links 3 to 1; 5 has the fingerprint of 4
+    _, close = neardedup.fingerprint_links(nodes)
+    assert {(r.a, r.b) for r in close.collect() if r.a != r.b} == {(2, 1)}
