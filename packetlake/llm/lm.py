@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
-from itertools import compress, groupby, repeat
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ GRAIN = 2.0**-24
 HELD = STEP * 10_000
 #: Words whose counts every task gets, the most frequent; the others are joined.
 FREQUENT = 200_000
+#: Bytes of texts whose words are looked up at once.
+TOGETHER = 1 << 23
 SMOOTH = 0.1
 #: A float's exponent starts at this bit, and 1.0 is that many of them.
 UNIT, ZERO = 1 << 23, np.float32(127 << 23)
@@ -85,14 +88,16 @@ def classes(counts: np.ndarray, before: np.ndarray, turns: int = 8) -> np.ndarra
     return out
 
 
-def power(bits: np.ndarray) -> np.ndarray:
-    """2**x, between whole x by straight lines, for x given as UNIT * x + ZERO: the number's own bits."""
-    return bits.astype(np.int32).view(np.float32)
+def power(bits: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """2**x, between whole x by straight lines, for x given as UNIT * x + ZERO: the number's own bits, written to ``out``, int32."""
+    np.copyto(out, bits, casting="unsafe")
+    return out.view(np.float32)
 
 
-def slopes(powers: np.ndarray) -> np.ndarray:
-    """The slopes of ``power`` where it has these values."""
-    return (powers.view(np.int32) & np.int32(-UNIT)).view(np.float32)
+def slopes(powers: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The slopes of ``power`` where it has these values, written to ``out``, which may be the same."""
+    np.bitwise_and(powers.view(np.int32), np.int32(-UNIT), out=out.view(np.int32))
+    return out
 
 
 class Attention:
@@ -116,40 +121,51 @@ class Attention:
         self.follow = ((whole + odds / 2**whole - 1) * UNIT + ZERO).astype(np.float32)
         normal = lambda *shape: (rng.standard_normal(shape) * shape[-2] ** -0.5).astype(np.float32)
         self.weights = {"position": normal(WINDOW, WIDTH) * np.float32(0.3), "project": normal(WIDTH, 2 * KEY + 2 * WIDTH), "out": np.zeros((WIDTH, len(follow)), np.float32)}
-        self.below = np.tril(np.ones((WINDOW, WINDOW), np.float32))[CONTEXT:]
-
-    def look(self, windows: np.ndarray, sloped: bool = True) -> dict[str, np.ndarray]:
-        """What the layer computes of ids [n, WINDOW], up to the odds of the classes at the scored positions; slopes if they are wanted."""
-        w = self.weights
-        x = self.place.take(windows, axis=0)
+        below = np.tril(np.ones((WINDOW, WINDOW), bool))[CONTEXT:]
+        self.low, self.high = (np.where(below, ZERO + bound, 0).astype(np.float32) for bound in (-60 * UNIT, 60 * UNIT))
+        self.rooms = {}
+
+    def room(self, name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+        """An array to write to, the same one for each batch, so that memory is neither asked for nor given back."""
+        held = self.rooms.get((name, kind))
+        if held is None or len(held) < shape[0] or held.shape[1:] != shape[1:]:
+            held = self.rooms[name, kind] = np.empty(shape, kind)
+        return held[: shape[0]]
+
+    def look(self, windows: np.ndarray) -> dict[str, np.ndarray]:
+        """What the layer computes of ids [n, WINDOW], up to the odds of the classes at the scored positions; valid until the next call.
+
+        What a position asks of another is ``x @ ask @ answer.T @ x.T``, and a mean of projected values is the projected
+        mean: so only scored positions are projected, and the others are met as they stand.
+        """
+        w, n = self.weights, len(windows)
+        rows, project, room = n * STEP, w["project"], partial(self.room, kind=np.result_type(*w.values()).type)
+        x = self.place.take(windows, axis=0, out=self.room("x", n, WINDOW, WIDTH), mode="clip")
         x += w["position"]
-        n = len(x)
-        parts = (x.reshape(-1, WIDTH) @ w["project"]).reshape(n, WINDOW, -1)
-        ask, answer, own = parts[:, CONTEXT:, :KEY], parts[..., KEY : 2 * KEY], parts[:, CONTEXT:, -WIDTH:]
-        v = np.ones((n, WINDOW, WIDTH + 1), np.float32)
-        v[..., :WIDTH] = parts[..., 2 * KEY : -WIDTH]
-        s = np.matmul(ask, answer.transpose(0, 2, 1))
-        s *= SCALE
-        np.clip(s, -60 * UNIT, 60 * UNIT, out=s)
+        both = room("both", n, STEP, 2 * WIDTH)  # means of what is looked at, and the positions themselves
+        both[..., WIDTH:] = x[:, CONTEXT:]
+        flat = both.reshape(rows, -1)
+        ask = np.matmul(flat[:, WIDTH:], project[:, :KEY] @ project[:, KEY : 2 * KEY].T * SCALE, out=room("ask", rows, WIDTH))
+        s = np.matmul(ask.reshape(n, STEP, -1), x.transpose(0, 2, 1), out=room("s", n, STEP, WINDOW))
         s += ZERO
-        p = power(s)
-        p *= self.below
-        slope = slopes(p) if sloped else p
-        a = np.matmul(p, v)
-        total = a[..., WIDTH:]
-        a = a[..., :WIDTH] / total
-        h = (a + own).reshape(-1, WIDTH)
-        bent = np.abs(h)
+        np.maximum(s, self.low, out=s)
+        np.minimum(s, self.high, out=s)  # nothing of later positions
+        p = power(s, self.room("p", n, STEP, WINDOW, kind=np.int32))
+        total = np.matmul(p.reshape(rows, -1), np.ones(WINDOW, np.float32), out=room("total", rows)).reshape(n, STEP, 1)
+        np.divide(np.matmul(p, x, out=room("y", n, STEP, WIDTH)), total, out=both[..., :WIDTH])
+        h = np.matmul(flat, project[:, 2 * KEY :].reshape(WIDTH, 2, WIDTH).transpose(1, 0, 2).reshape(2 * WIDTH, WIDTH), out=room("h", rows, WIDTH))
+        bent = np.abs(h, out=room("bent", rows, WIDTH))
         bent += 1
         h /= bent
-        z = self.follow.take(self.of.take(windows[:, CONTEXT:].ravel()), axis=0)
-        z += h @ (w["out"] * UNIT)
-        odds = power(z)
-        return {"x": x, "ask": ask, "answer": answer, "v": v, "p": p, "slope": slope, "total": total, "a": a, "bent": bent, "h": h, "odds": odds, "sum": odds @ np.ones(odds.shape[1], np.float32)}
+        number = self.follow.shape[1]
+        z = np.matmul(h, w["out"] * UNIT, out=room("z", rows, number))
+        z += self.follow.take(self.of.take(windows[:, CONTEXT:].ravel()), axis=0, out=self.room("classes", rows, number), mode="clip")
+        odds = power(z, self.room("odds", rows, number, kind=np.int32))
+        return {"x": x, "both": both, "ask": ask, "p": p, "total": total, "bent": bent, "h": h, "odds": odds, "sum": odds @ np.ones(number, np.float32)}
 
     def log_probabilities(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Logs to base 2 of the probabilities of ids [n, STEP], the next ones of the scored positions of ids [n, WINDOW]."""
-        c, goal = self.look(windows, sloped=False), targets.ravel()
+        c, goal = self.look(windows), targets.ravel()
         odds = c["odds"]
         found = odds.ravel().take(np.arange(0, odds.size, odds.shape[1]) + self.of.take(goal))
         return (np.log2(found / c["sum"]) + self.share.take(goal)).reshape(targets.shape)
@@ -157,34 +173,31 @@ class Attention:
     def gradients(self, windows: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss (natural) where ``counted``, by the weights."""
         w, c = self.weights, self.look(windows)
-        n, weight = len(windows), counted.ravel() * np.float32(1 / max(1, counted.sum()))
-        odds = c["odds"]
+        n, rows, odds, x, p, total = len(windows), len(windows) * STEP, c["odds"], c["x"], c["p"], c["total"]
+        room, flat, project = partial(self.room, kind=c["h"].dtype.type), c["both"].reshape(rows, -1), w["project"]
+        asked, answered, value, own = project[:, :KEY], project[:, KEY : 2 * KEY], project[:, 2 * KEY : -WIDTH], project[:, -WIDTH:]
+        dz = slopes(odds, self.room("classes", *odds.shape))
         goal = np.arange(0, odds.size, odds.shape[1]) + self.of.take(targets.ravel())
-        dz = slopes(odds)
         dz.ravel()[goal] -= dz.ravel().take(goal) / odds.ravel().take(goal) * c["sum"]
-        weight = (weight / c["sum"])[:, None]
-        du = dz @ w["out"].T
-        du *= weight
-        du /= c["bent"]
-        du /= c["bent"]
-        du = du.reshape(n, STEP, WIDTH)
-        da = np.empty((n, STEP, WIDTH + 1), np.float32)  # and less of the value that all positions share
-        np.divide(du, c["total"], out=da[..., :WIDTH])
-        np.negative(np.einsum("nij,nij->ni", da[..., :WIDTH], c["a"]), out=da[..., WIDTH])
-        ds = np.matmul(da, c["v"].transpose(0, 2, 1))
-        ds *= c["slope"]
-        back = np.empty((n, WINDOW, 2 * KEY + 2 * WIDTH), np.float32)
-        back[:, :CONTEXT, :KEY] = 0
-        back[:, :CONTEXT, -WIDTH:] = 0
-        back[:, CONTEXT:, :KEY] = np.matmul(ds, c["answer"])
-        back[..., KEY : 2 * KEY] = np.matmul(ds.transpose(0, 2, 1), c["ask"])
-        back[..., 2 * KEY : -WIDTH] = np.matmul(c["p"].transpose(0, 2, 1), da[..., :WIDTH])
-        back[:, CONTEXT:, -WIDTH:] = du
-        total = (np.ones(n, np.float32) @ back.reshape(n, -1)).reshape(WINDOW, -1)
-        project = c["x"].reshape(-1, WIDTH).T @ back.reshape(n * WINDOW, -1)
-        for x in (total, project):
-            x[:, : 2 * KEY] *= SCALE / UNIT
-        return {"position": total @ w["project"].T, "project": project, "out": (c["h"] * weight).T @ dz}
+        dz *= (counted.ravel() * np.float32(1 / max(1, counted.sum())) / c["sum"])[:, None]
+        dh = np.matmul(dz, w["out"].T, out=room("dh", rows, WIDTH))
+        dh /= c["bent"]
+        dh /= c["bent"]
+        mixed = flat.T @ dh
+        da = np.matmul(dh, value.T, out=room("da", rows, WIDTH)).reshape(n, STEP, -1)
+        da /= total
+        shared = np.multiply(da, c["both"][..., :WIDTH], out=room("y", n, STEP, WIDTH)).reshape(rows, -1) @ np.ones(WIDTH, np.float32)
+        ds = np.matmul(da, x.transpose(0, 2, 1), out=room("s", n, STEP, WINDOW))
+        ds -= shared.reshape(n, STEP, 1)  # of the sum that all positions share
+        position = p.reshape(rows, -1).T @ da.reshape(rows, -1)
+        ds *= slopes(p, p)
+        position += ds.reshape(rows, -1).T @ c["ask"] * np.float32(1 / UNIT)
+        y = np.matmul(ds, x, out=room("y", n, STEP, WIDTH))
+        y *= SCALE / UNIT
+        met = flat[:, WIDTH:].T @ y.reshape(rows, -1)
+        each = np.ones(n, np.float32)
+        position[CONTEXT:] += (each @ y.reshape(n, -1)).reshape(STEP, -1) @ (answered @ asked.T) + (each @ dh.reshape(n, -1)).reshape(STEP, -1) @ own.T
+        return {"position": position, "project": np.concatenate([met @ answered, met.T @ asked, mixed[:WIDTH], mixed[WIDTH:]], axis=1), "out": c["h"].T @ dz}
 
     def fit(self, windows: np.ndarray, targets: np.ndarray, counted: np.ndarray, past: dict[str, np.ndarray]) -> None:
         """One pass of Adagrad over the windows, in their order; ``past`` goes on from the passes before."""
@@ -197,7 +210,7 @@ class Attention:
     def unfitted(self) -> tuple[Attention, dict[str, np.ndarray]]:
         """(a copy whose weights may change, sums of squared gradients before the first step)."""
         out = Attention.__new__(Attention)
-        out.__dict__ = self.__dict__ | {"weights": {k: v.copy() for k, v in self.weights.items()}}
+        out.__dict__ = self.__dict__ | {"weights": {k: v.copy() for k, v in self.weights.items()}, "rooms": {}}
         return out, {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.weights.items()}
 
 
@@ -214,7 +227,7 @@ def cut_windows(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     order = np.arange(len(line)) - np.repeat(np.cumsum(number) - number, number)
     first = (ends - width)[line] + order * STEP
     counted = (order * STEP)[:, None] + np.arange(STEP) < sizes[line][:, None]
-    return every[first[:, None] + np.arange(WINDOW)], every[first[:, None] + CONTEXT + 1 + np.arange(STEP)], counted, line
+    return sliding_window_view(every, WINDOW)[first], sliding_window_view(every, STEP)[first + CONTEXT + 1], counted, line
 
 
 def lines_of(ids: np.ndarray) -> list[np.ndarray]:
@@ -257,9 +270,19 @@ def _binary(docs: DataFrame, *keys) -> DataFrame:
     return docs.select(*keys, F.col("text").cast("string").cast("binary").alias("text"))
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """A-Z lower-cased words, parted by white space of ASCII."""
-    return text.lower().split() if text else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(A-Z lower-cased words of all texts, the text each is of), parted by white space of ASCII; null has none."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    full = np.flatnonzero(pc.binary_length(texts).fill_null(0))
+    lists = pc.ascii_split_whitespace(texts.take(pa.array(full)))
+    return lists.flatten(), np.repeat(full.astype(np.int32), np.diff(lists.offsets))
+
+
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, about TOGETHER bytes at once."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * TOGETHER // max(1, batch.nbytes))
+        yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -267,10 +290,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter[bytes] = Counter()
-            for text in batch.column("text").to_pylist():
-                counts.update(words_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary(), size=len(counts)).cast(pa.string()), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], ["word", "n"])
+            counts = words_of(batch.column("text"))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"])
 
     return _binary(docs).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -310,7 +331,7 @@ def _summed(tokens: DataFrame, size: int, of: Callable[[np.ndarray], Iterable[np
             for ids in _read(batch):
                 held += [EDGES, ids]
                 n += len(ids)
-                if n > 1 << 20:
+                if n > 1 << 21:
                     add()
                     held, n = [], 0
         if held:
@@ -393,35 +414,31 @@ def base_scores(docs: DataFrame, counts: DataFrame, texts: int, frequent: int =
         if kept + r.v > frequent:
             break
         least, kept = r["class"], kept + r.v
-    hot = counts.where(F.col("class") >= least).select(F.col("word").cast("binary").alias("word"), "n").toArrow() if kept else None
+    hot = counts.where(F.col("class") >= least).select("word", "n").toArrow().combine_chunks() if kept else None
+    frequent_words = hot.column("word").combine_chunks() if kept else pa.array([], pa.string())
     logs = np.append(np.log10(hot.column("n").to_numpy() + SMOOTH), 0.0) if kept else np.zeros(1)
-    shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(hot.column("word").to_pylist())} if kept else {}, logs))
+    shared = docs.sparkSession.sparkContext.broadcast((frequent_words, logs))
     end = math.log10(texts + SMOOTH)
     k1, k2 = document_keys(F.col("doc_id"), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = shared.value
-        for batch in batches:
-            lengths, words, times, sums, found, tokens = [], [], [], [], [], []
-            for key, text in zip(batch.column("k2").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = words_of(text)
-                at = np.fromiter(map(known.get, own, repeat(-1)), np.int32, len(own))
-                rare = Counter(compress(own, (at < 0).tolist()))
-                n = len(own) - sum(rare.values())
-                # A document's first row has what its frequent words add. No word has a space, so it meets none.
-                words.append(b" %d" % key)
-                words += rare
-                times.append(0)
-                times += rare.values()
-                sums.append(float(logs.take(at).sum()) + end)
-                found.append(n + (texts > 0))
-                tokens.append(len(own) + 1)
-                lengths.append(1 + len(rare))
-            first = np.cumsum(lengths) - lengths
-            spread = lambda x, kind: (lambda out: out.__setitem__(first, x) or pa.array(out))(np.zeros(len(words), kind))  # noqa: E731  zero but in first rows
-            keys = [pa.array(np.repeat(batch.column(k).to_numpy(), lengths)) for k in ("k1", "k2")]
+        for batch in sliced(batches):
+            words, of = words_of(batch.column("text"))
+            number = np.bincount(of, minlength=batch.num_rows)
+            at = pc.index_in(words, value_set=known).fill_null(len(known)).to_numpy()
+            sums = np.bincount(of, logs.take(at), batch.num_rows) + end
+            other = np.flatnonzero(at == len(known))
+            rare = words.take(pa.array(other)).dictionary_encode()
+            each = max(1, len(rare.dictionary))
+            pairs, times = np.unique(of[other].astype(np.int64) * each + rare.indices.to_numpy(), return_counts=True)
+            found = number - np.bincount(of[other], minlength=batch.num_rows) + (texts > 0)
+            # A document's first row has what its frequent words add. No word has a space, so it meets none.
+            first = pa.array([" %d" % key for key in batch.column("k2").to_pylist()], pa.string())
+            spread = lambda x: pa.array(np.concatenate([x, np.zeros(len(pairs), x.dtype)]))  # noqa: E731  zero but in first rows
+            keys = [pa.array(np.concatenate([x, x[pairs // each]])) for x in (batch.column(k).to_numpy() for k in ("k1", "k2"))]
             yield pa.RecordBatch.from_arrays(
-                [*keys, pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), spread(sums, np.float64), spread(found, np.int64), spread(tokens, np.int64)],
+                [*keys, pa.concat_arrays([first, rare.dictionary.take(pa.array(pairs % each))]), pa.array(np.concatenate([np.zeros(batch.num_rows, np.int64), times])), spread(sums), spread(found), spread(number + 1)],
                 ["k1", "k2", "word", "times", "logs", "found", "tokens"],
             )
 

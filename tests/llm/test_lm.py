@@ -1,9 +1,11 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,29 @@ def test_gradients_against_differences():
             assert (up - down) / 2e-3 == pytest.approx(g[at], rel=0.05, abs=1e-3), (k, at)
 
 
+def test_a_step_asks_for_little_memory():
+    """Batches write to the same arrays, and only scored positions are projected."""
+    m = small()
+    rng = np.random.default_rng(6)
+    windows, targets, counted = rng.integers(0, 40, (128, WINDOW)), rng.integers(0, 40, (128, STEP)), rng.random((128, STEP)) < 0.7
+    first = m.gradients(windows, targets, counted)
+    m.gradients(windows[:5], targets[:5], counted[:5])
+    tracemalloc.start()
+    again = m.gradients(windows, targets, counted)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20 and all(np.array_equal(first[k], again[k]) for k in first)
+
+
+def test_words_are_parted_by_white_space_of_ascii_only():
+    texts = [None, "", " \t", " A\x0bb\x0c\x1cC\n\x85\xa0\u00c9d  ", "x", "\u3000Y \u2028z\x00\r\na"]
+    batch = pa.RecordBatch.from_arrays([pa.array([t and t.encode() for t in texts], pa.binary())], ["text"])
+    words, of = lm.words_of(batch.column("text"))
+    got = [[w.encode() for w, i in zip(words.to_pylist(), of, strict=True) if i == k] for k in range(len(texts))]
+    assert got == [(t or "").encode().lower().split() for t in texts]
+    assert [x for b in lm.sliced([batch, batch.slice(0, 0)]) for x in b.column("text").to_pylist()] == batch.column("text").to_pylist()
+
+
 def test_classes_and_places():
     counts = np.concatenate([[5000, 4000], np.full(98, 50)])
     beside = np.full((100, 6), 1.0)
