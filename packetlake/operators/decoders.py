@@ -76,23 +76,24 @@ def detailed(values: dict[str, Column]) -> Column:
 
 def parsed(packets: DataFrame, parse: Callable[[bytes], tuple | None], fields: str) -> DataFrame:
     """Packets with a struct ``m`` of what ``parse`` makes of the payload; those of which it makes nothing go."""
-    fields_of = [f.split()[0] for f in fields.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()), "double": pa.float64(), "map<string,string>": pa.map_(pa.string(), pa.string())}
-    kind = pa.struct([(n, kinds[t]) for n, t in (f.split() for f in fields.split(", "))])
+    of = [pa.field(n, kinds[t]) for n, t in (f.split() for f in fields.split(", "))]
     kept = [c for c in packets.columns if c not in ("payload", "raw_packet")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for data in b.column("payload").to_pylist():
+            for data in reassembly.listed(b.column("payload")):
                 try:
                     found.append(parse(data))
                 except (IndexError, ValueError, UnicodeError, wire.struct.error):  # cut-off or foreign bytes
                     found.append(None)
             rows = [i for i, x in enumerate(found) if x is not None]
             if rows:
-                values = pa.array([{k: list(v.items()) if isinstance(v, dict) else v for k, v in zip(fields_of, found[i], strict=True)} for i in rows], kind)
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(rows)) for c in kept], values], [*kept, "m"])
+                read = zip(*(found[i] for i in rows), strict=True)
+                values = pa.StructArray.from_arrays([pa.array([v and list(v.items()) for v in column] if pa.types.is_map(f.type) else column, f.type) for f, column in zip(of, read, strict=True)], fields=of)
+                own = b.select(kept) if len(rows) == len(b) else b.select(kept).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*own.columns, values], [*kept, "m"])
 
     types = dict(packets.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", m struct<" + ", ".join(f"{n}: {t}" for n, t in (f.split() for f in fields.split(", "))) + ">"
@@ -400,6 +401,10 @@ def transport(packets: DataFrame) -> DataFrame:
 
 DECODERS: dict[str, Callable[[DataFrame], DataFrame]] = {"sip": sip, "rtp": rtp, "dns": dns, "http": http, "tls": tls, "diameter": diameter, "gtp": gtp, "pfcp": pfcp, "s1ap": s1ap, "ngap": ngap, "nas5g": nas5g, "http2": http2, "snmp": snmp, "ajp": ajp, "websocket": websocket, "transport": transport}
 
+#: The decoders above but ``transport``, and columns that neither they nor reassembly read; decoders that are added get them.
+OWN = frozenset(d for n, d in DECODERS.items() if n != "transport")
+UNREAD = ["length", "ack", "flags", "ttl", "ip_id"]
+
 
 def decode(packets: DataFrame, names: list[str] | None = None, reassemble: bool = True) -> DataFrame:
     """The flows of all decoders, or of the named ones; more may be added to DECODERS.
@@ -408,8 +413,9 @@ def decode(packets: DataFrame, names: list[str] | None = None, reassemble: bool
     they are written to the shared folder once, and each decoder reads from there what its ports and
     columns need. ``transport`` always reads the packets themselves.
     """
-    whole = packets.drop("raw_packet")
-    if reassemble and set(names or DECODERS) != {"transport"}:
+    of_messages = {DECODERS[n] for n in names or DECODERS if n != "transport"}
+    whole = packets.drop("raw_packet", *(UNREAD if of_messages <= OWN else ()))
+    if reassemble and of_messages:
         whole = stored(reassembly.with_messages(whole))
     found = [DECODERS[n](packets if n == "transport" else whole) for n in names or DECODERS]
     out = found[0]

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,60 +145,94 @@ def _ajp(d: bytes) -> int | None:
     return 4 + int.from_bytes(d[2:4], "big") if d[:2] in (b"\x12\x34", b"AB") else None
 
 
+#: Bytes of a head and the length that it tells, of binary protocols.
+SIZES: dict[str, tuple[int, Callable[[bytes], int | None]]] = {"tls": (5, _tls), "diameter": (20, _diameter), "ajp": (4, _ajp)}
 FRAMERS: dict[str, Callable[[bytes], Found]] = {
     "text": text,
-    "tls": _binary(5, _tls, rb"[\x14-\x17]\x03"),
-    "diameter": _binary(20, _diameter, rb"\x01"),
-    "ajp": _binary(4, _ajp, rb"\x12\x34|AB"),
+    "tls": _binary(*SIZES["tls"], rb"[\x14-\x17]\x03"),
+    "diameter": _binary(*SIZES["diameter"], rb"\x01"),
+    "ajp": _binary(*SIZES["ajp"], rb"\x12\x34|AB"),
     "websocket": websocket,
 }
+#: The bytes of a message, its whole length, and what the first and last piece carried.
+Message = tuple[bytes, int, object, object]
 
 
 class Stream:
-    """One direction of a connection. ``add`` and ``end`` give (bytes, whole length, what the first and last piece carried)."""
+    """One direction of a connection. ``add`` and ``end`` give the messages that are whole, or left."""
 
     def __init__(self, framer: str, largest: int = LARGEST) -> None:
         self.framer, self.largest = framer, largest
         self.held, self.size, self.owed, self.asked = bytearray(), None, 0, False
         self.pieces: list[tuple[int, object]] = []  # bytes of each piece that are still held, and what came with it
-        self.at = 0
 
-    def add(self, data: bytes, carried: object) -> Iterator[tuple[bytes, int, object, object]]:
+    def add(self, data: bytes, carried: object) -> list[Message]:
+        out: list[Message] = []
+        if not data:
+            return out
         if self.owed:  # the rest of a message of which enough is kept
             gone = min(self.owed, len(data))
             self.owed -= gone
             data = data[gone:]
+        if not self.held:
+            data = self._whole(data, carried, out)
         if not data:
-            return
+            return out
         self.held += data
         self.pieces.append((len(data), carried))
         while self.held:
             if self.size is None:
-                kind, n = self._next()
+                kind, n = self._found(bytes(self.held))
                 if kind == "wait":
                     if len(self.held) <= self.largest:
-                        return
+                        break
                     kind, n = "skip", len(self.held)  # a body in chunks, or a head, that doesn't end: the next head is searched
                 if kind == "skip":
-                    yield self._take(n, n)
+                    out.append(self._take(n, n))
                     continue
                 self.size = n
             if len(self.held) < min(self.size, self.largest + 1):
-                return
+                break
             kept = min(len(self.held), self.size)
             self.owed = self.size - kept
             if self.size > self.largest:
-                yield self._take(kept, self.size, self.largest)
+                out.append(self._take(kept, self.size, self.largest))
             else:
-                yield self._take(kept, self.size)
-
-    def _next(self) -> Found:
-        data = bytes(self.held)
+                out.append(self._take(kept, self.size))
+        return out
+
+    def _whole(self, data: bytes, carried: object, out: list[Message]) -> bytes:
+        """Adds the messages that stand whole in a piece, where nothing is held, to ``out``; the bytes after them."""
+        at, there = 0, len(data)
+        if self.framer in SIZES:
+            head, size = SIZES[self.framer]
+            while there - at >= head:
+                n = size(data[at : at + head])
+                if n is None or not head <= n <= self.largest or at + n > there:
+                    break
+                out.append((data[at : at + n], n, carried, carried))
+                at += n
+            return data[at:]
+        while data:
+            kind, n = self._found(data)
+            if kind == "wait" or n > min(len(data), self.largest):
+                break
+            out.append((self._told(data[:n]), n, carried, carried))
+            data = data[n:]
+        return data
+
+    def _found(self, data: bytes) -> Found:
         if self.framer == "text" and self.asked and not 65 <= data[0] <= 90:  # no letter: the upgrade was taken
             self.framer = "websocket"
         return FRAMERS[self.framer](data)
 
-    def _take(self, n: int, size: int, most: int | None = None) -> tuple[bytes, int, object, object]:
+    def _told(self, out: bytes) -> bytes:
+        """``out``, after noting whether it asks for an upgrade."""
+        if self.framer == "text" and _HEAD.match(out):
+            self.asked = bool(_UPGRADE.search(out, 0, max(out.find(b"\r\n\r\n"), 0) + 2))
+        return out
+
+    def _take(self, n: int, size: int, most: int | None = None) -> Message:
         out, self.size = bytes(self.held[:n]), None
         del self.held[:n]
         first = last = self.pieces[0][1]
@@ -210,28 +245,22 @@ class Stream:
                 self.pieces.pop(0)
             else:
                 self.pieces[0] = (there - taken, carried)
-        if self.framer == "text" and _HEAD.match(out):
-            self.asked = bool(_UPGRADE.search(out, 0, max(out.find(b"\r\n\r\n"), 0) + 2))
-        return out[:most], size, first, last
+        return self._told(out)[:most], size, first, last
 
-    def end(self) -> Iterator[tuple[bytes, int, object, object]]:
+    def end(self) -> list[Message]:
         """What is left at a gap or at the end."""
-        if self.held:
-            n = len(self.held)
-            yield self._take(n, n, self.largest)
+        left = [self._take(len(self.held), len(self.held), self.largest)] if self.held else []
         self.owed, self.size = 0, None
+        return left
 
 
 def in_order(packets: DataFrame) -> DataFrame:
     """TCP packets with payload of framed ports: place in their direction, what is new of them, and whether bytes before are missing."""
     near = lambda ports: F.col("src_port").isin(ports) | F.col("dst_port").isin(ports)
-    kind = F.lit(None).cast("string")
-    for name, ports in FRAMED.items():
-        kind = F.when(kind.isNull() & near(ports), name).otherwise(kind)
+    kind = F.coalesce(*[F.when(near(ports), name) for name, ports in FRAMED.items()])
     own = packets.where("protocol = 'TCP' and payload_len > 0").withColumn("framer", kind).where("framer is not null")
     way = Window.partitionBy(*_DIRECTION)
-    first = F.min_by("seq", "frame_number").over(way)
-    placed = own.withColumn("pos", unwrapped(F.col("seq"), first))
+    placed = own.withColumn("first", F.min_by("seq", "frame_number").over(way)).withColumn("pos", unwrapped(F.col("seq"), F.col("first"))).drop("first")
     ends = way.orderBy("pos", "frame_number").rowsBetween(Window.unboundedPreceding, -1)
     before = F.max(F.col("pos") + F.col("payload_len")).over(ends)
     skip = F.greatest(F.lit(0), F.coalesce(F.col("before") - F.col("pos"), F.lit(0)))
@@ -241,6 +270,19 @@ def in_order(packets: DataFrame) -> DataFrame:
     return fresh.withColumns({"payload": F.expr("substring(payload, skip + 1)"), "gap": gap}).drop("before", "skip")
 
 
+def listed(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def begun(keys: list[pa.Array]) -> list[bool]:
+    """Whether a row's values differ from the row's before it; those of the first row don't count."""
+    out = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        value = k.dictionary_encode().indices.fill_null(-1).to_numpy()
+        out[1:] |= value[1:] != value[:-1]
+    return out.tolist()
+
+
 def messages(packets: DataFrame, largest: int = LARGEST) -> DataFrame:
     """Rows like ``packets`` and ``part``, one per message: the fields of the packet that it starts in, with its whole payload.
 
@@ -254,34 +296,49 @@ def messages(packets: DataFrame, largest: int = LARGEST) -> DataFrame:
     kinds = dict(packets.dtypes)
     ordered = in_order(packets).repartition(*_DIRECTION).sortWithinPartitions(*_DIRECTION, "pos", "frame_number")
 
+    told = [c for c in columns if c != "payload"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, stream, schema, frame, part = None, None, None, None, 0
+        key, stream, frame, part, held = None, None, None, 0, None
+        payloads, sizes, firsts, lasts, parts = found = [], [], [], [], []  # rows of the first and the last packet
 
-        def row(found: tuple[bytes, int, object, object]) -> dict:
+        def cut(messages: list[Message]) -> None:
             nonlocal frame, part
-            data, size, first, last = found
-            part = part + 1 if first["frame_number"] == frame else 0
-            frame = first["frame_number"]
-            return first | {"payload": data, "payload_len": size, "timestamp": last["timestamp"], "part": part}
-
-        def out(rows: list[dict]) -> pa.RecordBatch:
-            fields = [schema.field(c) for c in columns] + [pa.field("part", pa.int32())]
-            return pa.RecordBatch.from_pylist([{f.name: r[f.name] for f in fields} for r in rows], pa.schema(fields))
-
-        for batch in batches:
-            schema = batch.schema
-            rows: list[dict] = []
-            for r in batch.to_pylist():
-                now = tuple(r[c] for c in _DIRECTION)
-                if now != key:
-                    rows += map(row, stream.end()) if stream else ()
-                    key, stream, frame = now, Stream(r["framer"], largest), None
-                elif r["gap"]:
-                    rows += map(row, stream.end())
-                rows += map(row, stream.add(r["payload"], r))
-            if rows:
+            for data, size, first, last in messages:
+                part = part + 1 if frames[first] == frame else 0
+                frame = frames[first]
+                payloads.append(data), sizes.append(size), firsts.append(first), lasts.append(last), parts.append(part)
+
+        def out(rows: pa.Table) -> pa.RecordBatch:
+            first, last = pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64())
+            own = {"payload": pa.array(payloads, pa.binary()), "payload_len": pa.array(sizes, rows.schema.field("payload_len").type), "timestamp": rows["timestamp"].chunk(0).take(last), "part": pa.array(parts, pa.int32())}
+            for x in found:
+                x.clear()
+            return pa.RecordBatch.from_arrays([own[c] if c in own else rows[c].chunk(0).take(first) for c in [*columns, "part"]], [*columns, "part"])
+
+        for batch in filter(len, batches):
+            # Packets of which bytes are held stand before the batch, without their payload.
+            rows = pa.Table.from_batches([batch.select(told)] if held is None else [held, batch.select(told)]).combine_chunks()
+            frames, before, keys = listed(rows["frame_number"].chunk(0)), len(rows) - len(batch), [batch.column(c) for c in _DIRECTION]
+            begins = begun(keys)
+            begins[0] = tuple(k[0].as_py() for k in keys) != key
+            for i, (starts, gap, data, framer) in enumerate(zip(begins, *(listed(batch.column(c)) for c in ("gap", "payload", "framer")), strict=True), before):
+                if starts:
+                    if stream and stream.held:
+                        cut(stream.end())
+                    stream, frame = Stream(framer, largest), None
+                elif gap:
+                    cut(stream.end())
+                cut(stream.add(data, i))
+            key = tuple(k[len(batch) - 1].as_py() for k in keys)
+            if payloads:
                 yield out(rows)
-        if stream and (rows := [*map(row, stream.end())]):
+            held = rows.take([k for _, k in stream.pieces]).combine_chunks().to_batches()[0] if stream.pieces else None
+            stream.pieces = [(n, k) for k, (n, _) in enumerate(stream.pieces)]
+        if held is not None:
+            rows = pa.Table.from_batches([held])
+            frames = listed(rows["frame_number"].chunk(0))
+            cut(stream.end())
             yield out(rows)
 
     return ordered.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", part int")

@@ -58,8 +58,10 @@ def packets(events: DataFrame, protocol: str, port: int, *payloads: tuple[bool,
     Each event is a connection of its own: events that share their ends are in different jobs.
     """
     E = F.col("event_id")
-    each = [F.struct(F.lit(n).alias("n"), F.lit(back).alias("back"), F.lit(ms).alias("ms"), F.when(F.lit(True) if where is None else where, payload).alias("payload")) for n, (back, ms, payload, where) in enumerate(payloads)]
-    rows = events.select("event_id", "ts", F.explode(F.array(*each)).alias("p")).where("p.payload is not null")
+    # Payloads are columns before they are exploded: a projection evaluates what they share once, a generator each time it occurs.
+    made = events.select("event_id", "ts", *[F.when(F.lit(True) if where is None else where, payload).alias(f"payload{n}") for n, (_, _, payload, where) in enumerate(payloads)])
+    each = [F.struct(F.lit(n).alias("n"), F.lit(back).alias("back"), F.lit(ms).alias("ms"), F.col(f"payload{n}").alias("payload")) for n, (back, ms, _, _) in enumerate(payloads)]
+    rows = made.select("event_id", "ts", F.explode(F.array(*each)).alias("p")).where("p.payload is not null")
     port_of = F.lit(20000) + E % ENDS
     pick = lambda a, b: F.when(F.col("p.back"), a).otherwise(b)
     fields = {
@@ -270,7 +272,7 @@ def exchanges() -> dict[str, tuple]:
         d.dns, "flow_id", "query_type", "answers")
     # Three messages in one segment, in two jobs with the same packets.
     USER = lambda k: MESSAGE("c0", AVP(1, bytes_of(F.concat(F.lit("00101"), F.lpad((E % 1000 + k).cast("string"), 10, "0")))))
-    decoded("diameter_pairs", lambda e: (lambda p: p.unionByName(p.withColumn("job_id", F.col("job_id") + 5)))(in_five_jobs(packets(e, "TCP", 3868, (False, 0, F.concat(USER(0), USER(1), USER(2)), None)))),
+    decoded("diameter_pairs", lambda e: in_five_jobs(packets(e, "TCP", 3868, (False, 0, F.concat(USER(0), USER(1), USER(2)), None))).withColumn("job_id", F.explode(F.array(F.col("job_id"), F.col("job_id") + 5))),
         lambda p: d.decode(p, ["diameter"]), "job_id", "flow_id", "imsi")
     # A connection caught in the middle of two bodies, with an answer in chunks and another one behind it.
     decoded("midway", lambda e: packets(e, "TCP", 80,
